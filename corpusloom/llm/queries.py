@@ -1,16 +1,17 @@
-"""The registered queries of this subpackage: each applies one operator to its whole table."""
+"""The registered queries of this subpackage: each applies one operator to its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dup, packing, token_count
+from . import ann, chat, fingerprint, html_text, langid, mixing, near_dup, packing, suffix_dedup, token_count
 from .common import table
 
 
 def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return token_count.token_counts(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +19,72 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: A conversation that says the template's own marks.
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(turns.unionByName(probe)).withColumn("read", chat.read_turns(F.col("formatted")))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    done = done.withColumn("learned", chat.loss_text(F.col("formatted"), F.col("loss")))
+    return done.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '#', '\\h'), '<', '\\l')"
+OP6_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{PROBE_TEXT}' union all select -7, 1, 'assistant', '{PROBE_TEXT}'
+), ordered as (
+  select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) as before from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+  cast(sum(length({_ESCAPED.format('text')}) + 7
+    + case when before is distinct from role then length(replace({_ESCAPED.format('role')}, ':', '\\c')) + 7 else 0 end) as bigint) as formatted_chars
+from ordered group by conv_id
+"""
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op2_mix_sources, op4_best_fit_packing, op9_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_mix_sources, op3_nearest_vectors, op4_best_fit_packing, op5_suffix_dedup, op6_chat_format, op7_fingerprint, op8_language_id, op9_near_duplicates, op10_main_text)}
+#: The others need a tokenizer, a hash order or a model that SQL doesn't have; tests/llm holds them against brute force.
+ORACLE_SQL = {"op6_chat_format": OP6_SQL}
