@@ -1,10 +1,57 @@
-"""Five stages over `documents`; see README."""
+"""documents -> language ID -> near-duplicates -> repeated passages -> mix -> packed sequences.
 
-STAGES: list = []
+Each stage takes the documents that its predecessor kept and returns their columns; the last one returns the packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import langid, mixing, near_dup, packing, suffix_dedup
+from corpusloom.ship import ship
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in an identified language, with that language; those without a letter or with an ambiguous one go."""
+    ship(spark)
+    model = langid.learned(docs)
+    found = langid.identify(docs, model, keep=tuple(docs.columns))
+    return found.where(~F.col("ambiguous")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    ship(spark)
+    kept = near_dup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 200 bytes or more that stand anywhere else too; what is left empty goes."""
+    ship(spark)
+    return suffix_dedup.without_repeats(docs).where(F.length("text") > 0)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, as rows: a document stands as often as it is taken, the last time perhaps cut."""
+    ship(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.packed_documents(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("pack", pack)]
+#: Tokens, models and hash orders aren't SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
