@@ -18,35 +18,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .wordpieces import MEMO_WORDS, pretokens, split_rules, vocabulary_path
+from .wordpieces import Memo, byte_letters, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
 RANK_ROWS = 20_000
-_TOKENIZERS: dict[str, tuple] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
 def encoder(path: str):
-    """texts -> their ids as little-endian 32-bit bytes. Words met before come from a memory of bounded size."""
-    if path not in _TOKENIZERS:
+    """texts -> their ids as little-endian 32-bit bytes. The library's model encodes the words that a worker hasn't met before."""
+    if path not in _MEMOS:
         from tokenizers import Tokenizer
 
-        special = {s: int(i).to_bytes(4, "little") for s, i in split_rules(path)[1].items()}
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), special, dict(special))
-    tokenizer, special, memo = _TOKENIZERS[path]
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        found = [pretokens(t, path) if t else [] for t in texts]
-        new = list({w for words in found for w in words if w not in memo})
-        if new and len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            memo.update(special)
-            new = list({w for words in found for w in words if w not in memo})
-        for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in found]
-
-    return encode
+        tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
+
+        def make(words: list[str]) -> list[bytes]:
+            found = [tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)) for w in words]
+            ids = np.array([t.id for tokens in found for t in tokens], "<u4").tobytes()
+            ends = (4 * np.cumsum([len(tokens) for tokens in found])).tolist() if found else []
+            return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+        _MEMOS[path] = Memo(path, make, b"".join, lambda number: int(number).to_bytes(4, "little"))
+    return _MEMOS[path].values
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

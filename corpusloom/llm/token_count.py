@@ -11,23 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordpieces import MEMO_WORDS, merge_table, merged_counts, pretokens, split_rules, vocabulary_path
+from .wordpieces import Memo, merge_table, merged_counts, vocabulary_path
 
-_MEMO: dict[str, dict[str, int]] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
 def batch_counts(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text; None counts as empty."""
-    memo = _MEMO.setdefault(path, {s: 1 for s in split_rules(path)[1]})
-    found = [pretokens(t, path) if t else [] for t in texts]
-    new = list({w for words in found for w in words if w not in memo})
-    if new:
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            memo.update({s: 1 for s in split_rules(path)[1]})
-            new = list({w for words in found for w in words if w not in memo})
-        memo.update(zip(new, merged_counts(new, merge_table(path)).tolist(), strict=True))
-    return [sum(map(memo.__getitem__, words)) for words in found]
+    if path not in _MEMOS:
+        _MEMOS[path] = Memo(path, lambda words: merged_counts(words, merge_table(path)).tolist(), sum, lambda _: 1)
+    return _MEMOS[path].values(texts)
 
 
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 2048, vocabulary: str | None = None) -> DataFrame:

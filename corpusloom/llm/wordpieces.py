@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps; the memory is emptied when it is full, so that it is bounded by this number.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 NONE = np.int64(1 << 40)
 
 
@@ -41,17 +42,67 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-def pretokens(text: str, path: str) -> list[str]:
-    """The pre-tokens of a text in order; special strings stand as they are."""
-    marks, _, words = split_rules(path)
+_SPACES = regex.compile(r"\p{White_Space}+")
+
+
+def chunks(text: str, path: str) -> list[str]:
+    """A text's parts between white space, normalized, in order; special strings stand as parts of their own."""
+    marks, _, _ = split_rules(path)
     if "<|" not in text or not marks.search(text):
-        return words.findall(normalized(text))
+        return _split(normalized(text))
     out, at = [], 0
     for m in marks.finditer(text):
-        out += words.findall(normalized(text[at : m.start()]))
+        out += _split(normalized(text[at : m.start()]))
         out.append(m.group())
         at = m.end()
-    return out + words.findall(normalized(text[at:]))
+    return out + _split(normalized(text[at:]))
+
+
+def _split(text: str) -> list[str]:
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the vocabulary's pattern
+        return [x for x in _SPACES.split(text) if x]
+    return text.split()
+
+
+class Memo:
+    """Values of texts, put together from values of pre-tokens, which are made for many new ones at once.
+
+    Parts and pre-tokens met before are kept; each of the two memories is emptied when it holds MEMO_WORDS of them.
+    """
+
+    def __init__(self, path: str, make: Callable[[list[str]], list], combine: Callable, special: Callable[[int], object]):
+        self.path, self.make, self.combine = path, make, combine
+        self.special = {text: special(number) for text, number in split_rules(path)[1].items()}
+        self.parts, self.words = dict(self.special), {}
+
+    def values(self, texts: list[str | None]) -> list:
+        found = [chunks(t, self.path) if t else [] for t in texts]
+        distinct = set().union(*found)
+        new = distinct - self.parts.keys()
+        if len(self.parts) + len(new) > MEMO_WORDS:
+            self.parts = dict(self.special)
+            new = distinct - self.parts.keys()
+        if new:
+            split = split_rules(self.path)[2].findall
+            single = {c for c in new if c.isalpha()}  # letters alone are one pre-token
+            several = [(c, split(c)) for c in new - single]
+            needed = single.union(*(w for _, w in several))
+            words = needed - self.words.keys()
+            if len(self.words) + len(words) > MEMO_WORDS:
+                self.words, words = {}, needed
+            words = list(words)
+            self.words.update(zip(words, self.make(words), strict=True))
+            get = self.words.__getitem__
+            self.parts.update(zip(single, map(get, single), strict=True))
+            self.parts.update((c, self.combine(map(get, w))) for c, w in several)
+        get = self.parts.__getitem__
+        return [self.combine(map(get, c)) for c in found]
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from U+0100."""
+    letters = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    return letters | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in letters)}
 
 
 class MergeTable:
@@ -60,9 +111,7 @@ class MergeTable:
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {b: chr(b) for b in printable}
-        letters |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in letters)}
+        letters = byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         self.final = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -127,6 +176,6 @@ def merged_counts(words: list[str], table: MergeTable) -> np.ndarray:
         stay[hits + 1] = False
         now = hits - np.arange(len(hits))
         symbol, word, rank = symbol[stay], word[stay], rank[stay]
-        changed = np.unique(np.r_[now, now[now > 0] - 1])
-        rank[changed] = ranks_at(changed)
+        for changed in (now, now[now > 0] - 1):
+            rank[changed] = ranks_at(changed)
     return counts
