@@ -11,7 +11,7 @@ occur twice, and only their suffixes are looked at again:
 
 - the windows (strings of LENGTH bytes) with one minimizer are neighbours. If their whole stretch occurs twice, as
   inside a long match, all of them are repeated, and nothing else has to be compared;
-- else (the ends of a match) each window's own fingerprint is counted.
+- else (the ends of a match) the windows of one key are compared by their own fingerprints.
 
 Both count equal content per stretch or window; pairs of places are never listed, so a passage that a third of all
 documents share costs a row for each place.
@@ -32,6 +32,9 @@ LENGTH = 200
 GRAM = 64
 BATCHES = 4
 BLOCK = 1 << 19
+#: Keys with more contexts than this are compared a window at a time.
+HOT = 20_000
+BITS = 25
 _LOW = U64((1 << 20) - 1)
 
 
@@ -103,35 +106,94 @@ def repeated_keys(stored: DataFrame, batches: int) -> DataFrame:
     return written(found.distinct())
 
 
-def window_hashes(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """The windows of stretches whose context stands alone but whose key doesn't: rid, at, hash, single."""
-    per_text = open_runs.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "key", "single")).alias("runs"))
+def bitmap(ids: DataFrame) -> DataFrame:
+    """The ids (rid) as a bitmap of 2**BITS bits by hash: at most 2**BITS / 8 bytes, whatever their number, so it may be broadcast."""
+    bit = F.pmod("rid", F.lit(1 << BITS))
+    return written(ids.groupBy(F.floor(bit / 32768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits")))
+
+
+def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """docs with `maybe`: false only for rows whose rid isn't among the bitmap's ids. Keeps texts that aren't needed out of a shuffle."""
+    bit = F.pmod("rid", F.lit(1 << BITS))
+    place = (bit % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    x = docs.withColumn("_bucket", F.floor(bit / 32768).cast("int")).join(F.broadcast(bits), "_bucket", "left")
+    return x.withColumn("maybe", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("_bits", "_bucket")
+
+
+def open_contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
+    """open_runs (rid, first, windows, key, single, hot) with the bytes of each stretch."""
+    per_text = open_runs.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "key", "single", "hot")).alias("runs"))
 
     def run(batches):
         for batch in batches:
+            rows = []
             for rid, text, runs in zip(batch["rid"].to_numpy(), batch["text"], batch["runs"], strict=True):
-                prefix = prefix_hashes(np.frombuffer(text.encode("utf-8"), np.uint8))
-                first, n, key = (np.array([r[c] for r in runs], np.int64) for c in ("first", "windows", "key"))
-                at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                h = mixed(span_hashes(prefix, at, at + length) ^ np.repeat(key, n).view(np.uint64))
-                yield pd.DataFrame({"rid": rid, "at": at.astype(np.int32), "hash": h.view(np.int64), "single": np.repeat([r["single"] for r in runs], n)})
+                data = text.encode("utf-8")
+                rows += [(r["key"], rid, r["first"], r["windows"], r["single"], r["hot"], data[r["first"] : r["first"] + r["windows"] + length - 1]) for r in runs]
+            yield pd.DataFrame(rows, columns=["key", "rid", "first", "windows", "single", "hot", "context"])
+
+    texts = maybe_in(docs, bitmap(open_runs.select("rid"))).where("maybe")
+    return texts.join(per_text, "rid").select("rid", "text", "runs").mapInPandas(run, "key long, rid long, first int, windows int, single boolean, hot boolean, context binary")
+
+
+def windows_of(part: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its text, hash) of each window of some contexts; the hash includes the key."""
+    n = part["windows"].to_numpy().astype(np.int64)
+    prefix = prefix_hashes(np.frombuffer(b"".join(part["context"]), np.uint8))
+    starts = np.r_[0, np.cumsum(n + length - 1)[:-1]]
+    row = np.repeat(np.arange(len(part)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    at = starts[row] + inside
+    return row, part["first"].to_numpy()[row] + inside, mixed(span_hashes(prefix, at, at + length) ^ part["key"].to_numpy().view(np.uint64)[row])
+
+
+def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """rid, first, windows: repeated windows of single contexts. A key's contexts are compared in one task, those of hot keys a window at a time."""
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        row, at, h = windows_of(part, length)
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        hit = (n[back] > 1) & part["single"].to_numpy()[row]
+        row, at = row[hit], at[hit]
+        new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1)][: len(row)])
+        return pd.DataFrame({"rid": part["rid"].to_numpy()[row[new]], "first": at[new].astype(np.int32), "windows": np.diff(np.r_[new, len(row)]).astype(np.int32)})
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            split = int(np.searchsorted(batch["key"].to_numpy(), batch["key"].iloc[-1], "left")) if len(batch) else 0
+            if split:
+                yield compare(batch.iloc[:split])
+            rest = batch.iloc[split:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield compare(rest)
+
+    def single_windows(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 2000):
+                part = batch.iloc[i : i + 2000].reset_index(drop=True)
+                row, at, h = windows_of(part, length)
+                yield pd.DataFrame({"rid": part["rid"].to_numpy()[row], "at": at.astype(np.int32), "hash": h.view(np.int64), "single": part["single"].to_numpy()[row]})
 
-    return docs.join(per_text, "rid").select("rid", "text", "runs").mapInPandas(run, "rid long, at int, hash long, single boolean")
+    plain = contexts.where("not hot").repartition("key").sortWithinPartitions("key").mapInPandas(run, "rid long, first int, windows int")
+    hot = contexts.where("hot").mapInPandas(single_windows, "rid long, at int, hash long, single boolean")
+    twice = hot.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    return plain.union(hot.where("single").join(twice, "hash", "left_semi").select("rid", F.col("at").alias("first"), F.lit(1).alias("windows")))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """docs (rid, text; equal rids have equal texts) -> rid, spans: an array of (first window, windows), repeated windows only."""
     stored = written(suffixes(docs, length, gram))
     keys = repeated_keys(stored, batches)
     runs = written(stored.join(keys, "key", "left_semi"))
     by_content = written(runs.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("one")))
-    mixed_keys = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("key")
-    open_runs = by_content.join(mixed_keys, "key", "left_semi").select("one.rid", "one.first", "one.windows", "key", (F.col("n") == 1).alias("single"))
-    windows = written(window_hashes(docs, open_runs, length))
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    parts = windows.where("single").join(twice, "hash", "left_semi").select("rid", F.col("at").alias("first"), F.lit(1).alias("windows"))
+    mixed_keys = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("key", (F.col("contents") > hot).alias("hot"))
+    open_runs = written(by_content.join(mixed_keys, "key").select("one.rid", "one.first", "one.windows", "key", (F.col("n") == 1).alias("single"), "hot"))
+    parts = repeated_windows(written(open_contexts(docs, open_runs, length)), length)
     whole = runs.join(by_content.where("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("rid", "first", "windows")
-    return whole.union(parts).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    return written(whole.union(parts).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("spans")))
 
 
 def with_cuts(docs: DataFrame, length: int, keep: list[str], make, schema: str, **options) -> DataFrame:
@@ -154,7 +216,10 @@ def with_cuts(docs: DataFrame, length: int, keep: list[str], make, schema: str,
                 rows.append(make(row, data, starts, ends))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.join(spans, "rid", "left").select(*keep, "spans").mapInPandas(run, schema)
+    docs = maybe_in(docs, bitmap(spans.select("rid")))
+    cut = docs.where("maybe").join(spans, "rid", "left").select(*keep, "spans")
+    whole = docs.where("not maybe").select(*keep, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.union(whole).mapInPandas(run, schema)
 
 
 def left_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
