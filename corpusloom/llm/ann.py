@@ -20,9 +20,9 @@ from .common import written
 
 SAMPLE = 20_000
 TREES = 8
-LEAF = 100
-#: Rows of leaves that a query ranks: this share of its candidates, counted once a tree, and at least so many.
-SHARE = 1.0
+LEAF = 500
+#: Rows of leaves that a query ranks, counted once a tree: FACTOR * n ** POWER, and at least so many.
+FACTOR, POWER = 8.0, 0.8
 LEAST = 2000
 BLOCK = 5000
 
@@ -97,7 +97,7 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull()).select("vec_id", e.alias("embedding")).where(ok)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES, leaf: int = LEAF, factor: float = FACTOR, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found, by cosine in double precision, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's own. Vectors that are
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     counts = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most a row per leaf of the forest
     sizes = np.zeros(forest.leaves, np.int64)
     sizes[list(counts)] = list(counts.values())
-    budget = max(least, int(share * n))
+    budget = max(least, int(factor * n**POWER))
     sizes_shared = context.broadcast(sizes)
 
     def probe(batches):
@@ -160,18 +160,25 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     def rank(_, qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, x, ids = unit(qs["query"]), unit(xs["embedding"]), xs["vec_id"].to_numpy()
-        raw = np.array(xs["embedding"].tolist(), np.float64)
-        near = q @ x.T
-        near[qs["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        q, x, ids, asked = unit(qs["query"]), unit(xs["embedding"]), xs["vec_id"].to_numpy(), qs["query_id"].to_numpy()
+        raw_q, raw_x = (np.array(c.tolist(), np.float64).reshape(len(c), dim) for c in (qs["query"], xs["embedding"]))
         out = []
-        for i, query_id in enumerate(qs["query_id"]):
-            bar = np.partition(near[i], -k)[-k] if len(ids) > k else -np.inf
-            at = np.flatnonzero((near[i] >= bar - 1e-9) & (near[i] > -np.inf))
-            a = np.array(qs["query"].iloc[i], np.float64)
-            score = cosine(a, raw[at])
-            best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": score[best]}))
+        for i in range(0, len(q), 256):
+            near = q[i : i + 256] @ x.T
+            near[asked[i : i + 256, None] == ids[None]] = -np.inf
+            # a few more than k, then the exact measure: sums of a matrix product differ in the last bits
+            m = min(len(ids), 2 * k + 6)
+            at = np.argpartition(-near, m - 1, axis=1)[:, :m]
+            row = np.repeat(np.arange(len(near)), m)
+            at = at.ravel()
+            fine = near[row, at] > -np.inf
+            row, at = row[fine] + i, at[fine]
+            score = cosine(raw_q[row], raw_x[at])
+            order = np.lexsort((ids[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < k
+            out.append(pd.DataFrame({"query_id": asked[row[best]], "vec_id": ids[at[best]], "score": score[best]}))
         return pd.concat(out)
 
     found = probes.groupBy("leaf", "block").cogroup(rows.groupBy("leaf", "block")).applyInPandas(rank, "query_id long, vec_id long, score double").distinct()
@@ -179,13 +186,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def cosine(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The cosine of a with each row, the same for equal rows wherever they stand."""
-    dot = (rows * a).sum(axis=1)
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with that of b, the same for equal rows wherever they stand."""
     with np.errstate(over="ignore", invalid="ignore"):
-        score = dot / (np.sqrt((a * a).sum()) * np.sqrt((rows * rows).sum(axis=1)))
+        score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     bad = ~np.isfinite(score) | (score == 0)
     if bad.any():  # components so large or small that squares leave the range: scale first
-        s, r = a / np.abs(a).max(), rows[bad] / np.abs(rows[bad]).max(axis=1, keepdims=True)
-        score[bad] = (r * s).sum(axis=1) / (np.sqrt((s * s).sum()) * np.sqrt((r * r).sum(axis=1)))
+        a, b = (v[bad] / np.abs(v[bad]).max(axis=1, keepdims=True) for v in (a, b))
+        score[bad] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     return np.clip(score, -1.0, 1.0)

@@ -16,7 +16,7 @@ def exact(rows, every, k):
     x = np.stack([good[i] for i in ids])
     out = {}
     for q in ids[ids % every == 0]:
-        score = ann.cosine(good[q], x)
+        score = ann.cosine(np.broadcast_to(good[q], x.shape), x)
         order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
         out[int(q)] = [(int(ids[j]), float(score[j])) for j in order]
     return out
@@ -44,7 +44,7 @@ def test_recall_with_many_leaves(spark):
     x = centers[rng.integers(0, 12, 3000)] + 0.3 * rng.standard_normal((3000, 16))
     rows = [(i, [float(np.float32(v)) for v in e]) for i, e in enumerate(x)]
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
-    want, got = exact(rows, 50, 5), by_query(ann.nearest(df, leaf=20, least=600, share=0.0).collect())
+    want, got = exact(rows, 50, 5), by_query(ann.nearest(df, leaf=20, least=600, factor=0.0).collect())
     hits = sum(len({v for v, _ in want[q]} & {v for v, _ in got.get(q, [])}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
 
