@@ -124,6 +124,7 @@ def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
 def open_contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
     """open_runs (rid, first, windows, key, single, hot) with the bytes of each stretch."""
     per_text = open_runs.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "key", "single", "hot")).alias("runs"))
+    names = ["key", "rid", "first", "windows", "single", "hot", "context"]
 
     def run(batches):
         for batch in batches:
@@ -131,7 +132,11 @@ def open_contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFra
             for rid, text, runs in zip(batch["rid"].to_numpy(), batch["text"], batch["runs"], strict=True):
                 data = text.encode("utf-8")
                 rows += [(r["key"], rid, r["first"], r["windows"], r["single"], r["hot"], data[r["first"] : r["first"] + r["windows"] + length - 1]) for r in runs]
-            yield pd.DataFrame(rows, columns=["key", "rid", "first", "windows", "single", "hot", "context"])
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     texts = maybe_in(docs, bitmap(open_runs.select("rid"))).where("maybe")
     return texts.join(per_text, "rid").select("rid", "text", "runs").mapInPandas(run, "key long, rid long, first int, windows int, single boolean, hot boolean, context binary")
