@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIM = 4096
 ORDERS = (2, 3, 4)
-SAMPLE = 2000
+SAMPLE = 1000
 LANGUAGES = 500
 UNKNOWN = "und"
 #: Runner-up this close in probability: ambiguous.
