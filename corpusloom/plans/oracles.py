@@ -402,10 +402,11 @@ from wilson
 with {SUBTYPES},
 w as (select *, population / sum(population) over () as w from wilson),
 x as (
-  select cast(sum(population) as bigint) as population_total, cast(sum(adjudicated) as bigint) as adjudicated_total, sum(w * p) as sp, sum(case when adjudicated < population then w * w * p * (1 - p) / adjudicated else 0 end) as v, sum(population * (1 - p)) as fp from w
-)
+  select cast(sum(population) as bigint) as population_total, cast(sum(adjudicated) as bigint) as adjudicated_total, sum(w * p) as sp, sum(case when adjudicated < population then w * w * p * (1 - p) / adjudicated else 0 end) as v, sum(population * (1 - p)) as fp, count(*) filter (adjudicated = 0) as missing from w
+),
+y as (select population_total, adjudicated_total, case when missing = 0 then sp end as sp, case when missing = 0 then v end as v, case when missing = 0 then fp end as fp from x)
 select population_total, adjudicated_total, round(sp, 6) as stratified_precision, round(1.96 * sqrt(v), 6) as margin_95, round(fp, 6) as estimated_false_positive, round(500 / 12500, 6) as original_precision,
-  round(500 / (500 + greatest(0, 12000 - population_total) + fp), 6) as corrected_precision from x
+  round(500 / (500 + greatest(0, 12000 - population_total) + fp), 6) as corrected_precision from y
 """,
     "copied_documents": f"""
 with doc_text as (select min(doc_id) as id, {COMPACT} as t from documents group by text), {GRAMS.format(name="doc")},
