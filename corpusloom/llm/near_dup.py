@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     feats = written(shingle_features(docs, text, words))
     classes = written(feats.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     threshold = percent / 100
-    # sets of fewer than 1 / (1 - threshold) shingles are linked to equal ones only
-    least = -(-100 // max(1, 100 - percent))
+    # a set of n shingles is linked to one of n + 1 at most if n / (n + 1) reaches the threshold; smaller ones are linked to equal ones only
+    least = -(-percent // max(1, 100 - percent))
     roots = F.array(*(F.xxhash64(F.lit(t), F.lit(p), F.substring("sig", 4 * p + 1, 4)) for t in range(TREES) for p in range(t * BRANCHES, (t + 1) * BRANCHES)))
     rows = classes.where(F.col("n_shingles") >= least).select("cid", F.explode(roots).alias("node"))
     edges, stars = [], []

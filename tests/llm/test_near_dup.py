@@ -71,6 +71,16 @@ def test_small_nodes_off(spark, monkeypatch):
     check(near_dup.near_duplicates(df, words=2, percent=80).collect(), texts, 2, 80)
 
 
+def test_smallest_linked_sets(spark):
+    """Four shingles of five are 80 %; three of four aren't."""
+    for k in (2, 5):
+        pairs = [[f"p{i}x{j}" for j in range(k + 3)] for i in range(20)]
+        texts = dict(enumerate(" ".join(w) for p in pairs for w in (p, [*p, "more"])))
+        texts |= {100: " ".join(f"q{j}" for j in range(k + 2)), 101: " ".join(f"q{j}" for j in range(k + 3))}
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        check(near_dup.near_duplicates(df, words=k, percent=80).collect(), texts, k, 80)
+
+
 def test_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "z")]
     got = sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).na.fill(-1).collect())
