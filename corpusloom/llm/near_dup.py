@@ -229,7 +229,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
             yield pd.DataFrame({"cid": [set_key(s) for s in found], "found": [s.view(np.int64) for s in found]})
 
     wanted = written(wanted)  # read twice
-    sets = docs.select("doc_id", F.col(text).alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInPandas(sets_of, "cid long, found array<long>")
+    texts = docs.select("doc_id", F.col(text).alias("text"))
+    named = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = named.union(texts.where("doc_id is null")).select("text").mapInPandas(sets_of, "cid long, found array<long>")  # null ids name no class, so their texts are all read
     sets = written(sets.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("found").alias("found")))
 
     links, parts, tried = None, None, None

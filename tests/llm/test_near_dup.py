@@ -88,6 +88,14 @@ def test_nulls_repeats_and_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copy_without_id(spark):
+    """Its links count, and so do those that run through it."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (None, " ".join(words + ["x1", "x2", "x3", "x4", "x5", "x6"])), (2, " ".join(words + [f"x{i}" for i in range(1, 13)])), (None, "other words alone")]
+    got = sorted(tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).na.fill(-1).collect())
+    assert got == [(-1, 2, -1, True), (-1, 45, 1, False), (1, 39, 1, True), (2, 51, 1, False)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200)]
