@@ -94,13 +94,18 @@ def link_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of a host whose title or anchor stood there before."""
-    x = markdown.repeated_headings(t.page_outline(spark, sf_dir))
+    titles = t.page_outline(spark, sf_dir).where("line_no = 0").withColumns({"relative_path": F.lit("README.md"), "line_no": F.col("page_id") * 1000})
+    x = markdown.repeated_headings(titles)
     return x.select("unit_id", "issue_type", "line_start", "quote", F.element_at("extra", "first_line").cast("long").alias("first_line"))
 
 
 def numbered_list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lists of a host with a break in their numbers."""
-    return markdown.numbered_lists(t.page_outline(spark, sf_dir)).select("unit_id", "issue_type", "line_start", "quote")
+    """Numbered lists of a host's pages with a break in their numbers, over all items of a page.
+
+    line_start is page_id * 1000 and the place in the page, as in the SQL; a place of 1000 or more reaches into the numbers of the next page.
+    """
+    x = markdown.numbered_lists(t.page_outline(spark, sf_dir))
+    return x.select("unit_id", "issue_type", (F.col("file_path").cast("long") * 1000 + F.col("line_start")).alias("line_start"), "quote")
 
 
 def language_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,16 +21,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per host a Markdown file: each page's h1 as a heading, its list items as numbered lines; lines (unit_id, relative_path, kind, line_no, line).
+    """Per page a Markdown file: its h1 as a heading (line 0), all its list items as numbered lines; lines (unit_id: the host, relative_path: the page_id, kind, page_id, line_no, line).
 
-    A line's number is page_id * 1000 and its place in the page, so nothing has to be sorted over a host.
+    A page opens with its heading, so no list runs on into the next page and nothing has to be sorted over a host.
     """
     pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
     title = F.concat(F.lit("# "), F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1))
-    items = F.transform(F.slice(F.regexp_extract_all("html", F.lit(r"<li><a[^>]*>([^<]*)</a></li>"), F.lit(1)), 1, 900), lambda x, i: F.concat((i + 1 - F.when(F.col("page_id") % 3 == 0, i).otherwise(F.when(i >= 3, F.lit(1)).otherwise(0))).cast("string"), F.when(F.col("page_id") % 3 == 0, ") ").otherwise(". "), x))
-    body = F.posexplode(F.concat(F.array(title), items)).alias("n", "line")
-    return pages.select(host.alias("unit_id"), F.lit("README.md").alias("relative_path"), F.lit("readme").alias("kind"), "page_id", body).select("unit_id", "relative_path", "kind", (F.col("page_id") * 1000 + F.col("n")).alias("line_no"), "line")
+    items = F.transform(F.regexp_extract_all("html", F.lit(r"<li><a[^>]*>([^<]*)</a></li>"), F.lit(1)), lambda x, i: F.concat((i + 1 - F.when(F.col("page_id") % 3 == 0, i).otherwise(F.when(i >= 3, F.lit(1)).otherwise(0))).cast("string"), F.when(F.col("page_id") % 3 == 0, ") ").otherwise(". "), x))
+    body = F.posexplode(F.concat(F.array(title), items)).alias("line_no", "line")
+    return pages.select(host.alias("unit_id"), F.col("page_id").cast("string").alias("relative_path"), F.lit("readme").alias("kind"), "page_id", body)
 
 
 # Expressions that both engines read alike: findings made of events, by remainders of event_id.

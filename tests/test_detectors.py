@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import all_matches, line_number, quote_around, split_lines
 from corpusloom.operators import consistency, entities, links, markdown, readability, rights, similarity
 from corpusloom.operators.lines import lines, sticky_state, without_fences
+from corpusloom.plans import queries
 
 
 def files(spark, *rows):
@@ -121,3 +122,13 @@ def test_winnowing(spark):
     got = found(similarity.similar_units(docs), "a", "b")
     assert got == [("a", "b"), ("a", "d"), ("b", "d")]
     assert found(rights.copied_code(similarity.code_matches(docs)), "unit_id", "quote") == [("a", "b"), ("a", "d"), ("b", "a"), ("b", "d")]
+
+
+def test_long_numbered_lists(spark, tmp_path):
+    """A page's items behind the 900th count, and the next page's lines don't get between them."""
+    item = lambda x: f"<li><a href='#'>{x}</a></li>"
+    long = "<h1>long</h1>" + "".join(item("" if i == 1000 else f"x{i}") for i in range(1, 1201))
+    rows = [(3, "https://a.example/3", long), (4, "https://a.example/4", "<h1>short</h1>" + "".join(item(f"y{i}") for i in range(1, 7)))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = found(queries.numbered_list_blocks(spark, str(tmp_path)), "issue_type", "line_start", "quote")
+    assert got == sorted([("repeated_numbered_list_items", 3002, "1) x2"), ("repeated_numbered_list_items", 4002, "1) x1002"), ("numbered_list_reset", 4004, "3. y4")])
