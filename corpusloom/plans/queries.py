@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import all_matches, line_number, line_number_of_end, pattern, quote_around
+from ..materialize import written
 from ..operators import adjudicate, align, consistency, entities, evaluate, findings, links, markdown, readability, rights, similarity
 from ..operators.lines import batches, lines, unit_context
 from ..sources import tables as t
@@ -250,11 +251,18 @@ def _compact(docs: DataFrame, key: str) -> DataFrame:
 
 
 def copied_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents that share four fifths of the smaller one's fingerprints. Equal texts are one document here: the one with the smallest id."""
+    """Pairs of documents that share four fifths of the smaller one's fingerprints. Equal texts are one document here: the one with the smallest id; copied_document_classes has all of them."""
     docs = t.table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     return similarity.similar_units(_compact(docs, "doc_id"), key="doc_id", kind="md5").select("a", "b", "similarity")
 
 
+def copied_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of its equal texts, named by the smallest id (as in copied_documents), and how many there are; a null text is no copy and in no class."""
+    docs = written(t.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("key")))
+    copies = docs.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.join(copies, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("copies"))
+
+
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items of which a document has four fifths of the fingerprints."""
     items, docs = t.table(spark, sf_dir, "benchmark"), t.table(spark, sf_dir, "documents")
@@ -283,6 +291,6 @@ QUERIES = {
         long_lines_by_unit, line_numbers_and_quotes, line_statistics, sentence_counts, line_batches, unit_contexts, entity_counts, broken_urls, url_policy, link_status_ladder, duplicate_headings,
         numbered_list_blocks, language_mismatch, language_coverage, placeholder_lines, missing_license_units, severity_calibrated, dropped_findings, language_variant_collapse, run_summary,
         triage_tiers, finding_ids, soft_match_candidates, greedy_match, precision_recall, precision_recall_by_criterion, overview_set_metrics, slice_precision, fn_reasons, strict_signals,
-        mirror_dedupe, repetitive_cap, finding_validity, sample_plan, stratified_sample, wilson_by_stratum, stratified_precision, copied_documents, benchmark_contamination, sort_conflicts, email_variants,
+        mirror_dedupe, repetitive_cap, finding_validity, sample_plan, stratified_sample, wilson_by_stratum, stratified_precision, copied_documents, copied_document_classes, benchmark_contamination, sort_conflicts, email_variants,
     )
 }

@@ -132,3 +132,9 @@ def test_long_numbered_lists(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = found(queries.numbered_list_blocks(spark, str(tmp_path)), "issue_type", "line_start", "quote")
     assert got == sorted([("repeated_numbered_list_items", 3002, "1) x2"), ("repeated_numbered_list_items", 4002, "1) x1002"), ("numbered_list_reset", 4004, "3. y4")])
+
+
+def test_copied_document_classes(spark, tmp_path):
+    """Every copy is in a row, also of a text that has no near copy."""
+    spark.createDataFrame([(3, "same"), (1, "same"), (2, "other"), (7, "same"), (5, None), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert found(queries.copied_document_classes(spark, str(tmp_path)), "doc_id", "class_id", "copies") == [(1, 1, 3), (2, 2, 1), (3, 1, 3), (7, 1, 3)]
