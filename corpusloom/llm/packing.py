@@ -8,6 +8,7 @@ Lengths are whole numbers from 1 to the capacity, so the packing problem is its
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 
@@ -18,29 +19,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .wordpieces import Memo, byte_letters, vocabulary_path
+from .wordpieces import MEMO_WORDS, byte_letters, chunks, library, pretokens, split_rules, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
 RANK_ROWS = 20_000
-_MEMOS: dict[str, Memo] = {}
+_KNOWN: dict[str, PartIds] = {}
 
 
-def encoder(path: str):
-    """texts -> their ids as little-endian 32-bit bytes. The library's model encodes the words that a worker hasn't met before."""
-    if path not in _MEMOS:
-        from tokenizers import Tokenizer
+class PartIds(dict):
+    """Part of a text -> its ids as little-endian 32-bit bytes, encoded by the library's model when it is met first.
 
-        tokenize, letters = Tokenizer.from_file(path).model.tokenize, byte_letters()
+    It is emptied between texts when it holds MEMO_WORDS parts or pre-tokens; that changes no value.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.tokenize, self.letters, self.words = path, library(path).model.tokenize, byte_letters(), {}
+        self.special = {text: array("I", [number]).tobytes() for text, number in split_rules(path)[1].items()}
+        self.update(self.special)
+
+    def word(self, w: str) -> bytes:
+        shown = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters)
+        out = self.words[w] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return out
+
+    def __missing__(self, part: str) -> bytes:
+        get = self.words.get
+        out = self[part] = b"".join([get(w) or self.word(w) for w in pretokens(part, self.path)])
+        return out
+
+    def of(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self) > MEMO_WORDS or len(self.words) > MEMO_WORDS:
+            self.clear()
+            self.words.clear()
+            self.update(self.special)
+        return b"".join(map(self.__getitem__, chunks(text, self.path)))
 
-        def make(words: list[str]) -> list[bytes]:
-            found = [tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)) for w in words]
-            ids = np.array([t.id for tokens in found for t in tokens], "<u4").tobytes()
-            ends = (4 * np.cumsum([len(tokens) for tokens in found])).tolist() if found else []
-            return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-        _MEMOS[path] = Memo(path, make, b"".join, lambda number: int(number).to_bytes(4, "little"))
-    return _MEMOS[path].values
+def encoder(path: str) -> PartIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = PartIds(path)
+    return _KNOWN[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -52,13 +73,13 @@ def token_pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY,
     end = int(END_ID).to_bytes(4, "little")
 
     def cut(batches):
-        encode = encoder(path)
+        encode = encoder(path).of
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 rows = []
-                for doc_id, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
-                    ids += end
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    ids = encode(text) + end
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[i : i + 4 * capacity]
                         rows.append((doc_id, k, i // 4, len(piece) // 4, zlib.crc32(piece)))

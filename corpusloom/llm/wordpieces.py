@@ -46,16 +46,19 @@ _SPACES = regex.compile(r"\p{White_Space}+")
 
 
 def chunks(text: str, path: str) -> list[str]:
-    """A text's parts between white space, normalized, in order; special strings stand as parts of their own."""
+    """A text's parts between white space, as they stand, in order; special strings are parts of their own.
+
+    White space bounds every pre-token and takes part in no composition, so parts can be normalized one by one.
+    """
     marks, _, _ = split_rules(path)
     if "<|" not in text or not marks.search(text):
-        return _split(normalized(text))
+        return _split(text)
     out, at = [], 0
     for m in marks.finditer(text):
-        out += _split(normalized(text[at : m.start()]))
+        out += _split(text[at : m.start()])
         out.append(m.group())
         at = m.end()
-    return out + _split(normalized(text[at:]))
+    return out + _split(text[at:])
 
 
 def _split(text: str) -> list[str]:
@@ -64,10 +67,41 @@ def _split(text: str) -> list[str]:
     return text.split()
 
 
+#: Code points met so far that Python's Unicode data know; at most all of them.
+_ASSIGNED: set[str] = set()
+
+
+@lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def pretokens(part: str, path: str) -> list[str]:
+    """The pre-tokens of one part, normalized.
+
+    The library may know a newer Unicode than Python: parts with a code point that Python calls unassigned are
+    normalized and split by the library itself.
+    """
+    if not part.isascii() and not _ASSIGNED.issuperset(part):
+        if any(unicodedata.category(c) == "Cn" for c in part):
+            text = library(path).normalizer.normalize_str(part)
+            return [text[a:b] for _, (a, b) in library(path).pre_tokenizer.pre_tokenize_str(text)]
+        _ASSIGNED.update(part)
+    part = normalized(part)
+    if part.isalpha():  # letters alone are one pre-token
+        return [part]
+    if part[-1] in ".,;:!?" and part[:-1].isalpha():  # and so is a mark after them
+        return [part[:-1], part[-1]]
+    return split_rules(path)[2].findall(part)
+
+
 class Memo:
     """Values of texts, put together from values of pre-tokens, which are made for many new ones at once.
 
-    Parts and pre-tokens met before are kept; each of the two memories is emptied when it holds MEMO_WORDS of them.
+    Parts and pre-tokens met before are kept; each of the two memories is emptied when it holds MEMO_WORDS of them. What
+    is kept changes no value.
     """
 
     def __init__(self, path: str, make: Callable[[list[str]], list], combine: Callable, special: Callable[[int], object]):
@@ -78,23 +112,19 @@ class Memo:
     def values(self, texts: list[str | None]) -> list:
         found = [chunks(t, self.path) if t else [] for t in texts]
         distinct = set().union(*found)
-        new = distinct - self.parts.keys()
+        new = [c for c in distinct if c not in self.parts]
         if len(self.parts) + len(new) > MEMO_WORDS:
             self.parts = dict(self.special)
-            new = distinct - self.parts.keys()
+            new = [c for c in distinct if c not in self.parts]
         if new:
-            split = split_rules(self.path)[2].findall
-            single = {c for c in new if c.isalpha()}  # letters alone are one pre-token
-            several = [(c, split(c)) for c in new - single]
-            needed = single.union(*(w for _, w in several))
-            words = needed - self.words.keys()
+            split = [(c, pretokens(c, self.path)) for c in new]
+            needed = {w for _, found_words in split for w in found_words}
+            words = [w for w in needed if w not in self.words]
             if len(self.words) + len(words) > MEMO_WORDS:
-                self.words, words = {}, needed
-            words = list(words)
+                self.words, words = {}, list(needed)
             self.words.update(zip(words, self.make(words), strict=True))
             get = self.words.__getitem__
-            self.parts.update(zip(single, map(get, single), strict=True))
-            self.parts.update((c, self.combine(map(get, w))) for c, w in several)
+            self.parts.update((c, self.combine(map(get, w))) for c, w in split)
         get = self.parts.__getitem__
         return [self.combine(map(get, c)) for c in found]
 
