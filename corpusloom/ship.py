@@ -9,9 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise: a batch becomes Python objects of several times that size.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's files, once; does nothing if PYTHONPATH has it already."""
+    """Adds the package to the session's files, once; does nothing if PYTHONPATH has it already. Bounds Arrow batches by bytes."""
     root = Path(__file__).resolve().parent
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_corpusloom_shipped", False) or _started_with(root.parent):
         return spark
