@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..materialize import scratch, written  # noqa: F401
 from ..ship import ship
@@ -20,6 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+#: A bitmap of ids has 2**BITS bits.
+BITS = 25
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """The ids (rid) as a bitmap of 2**BITS bits by hash: at most 2**BITS / 8 bytes, whatever their number, so it may be broadcast."""
+    bit = F.pmod("rid", F.lit(1 << BITS))
+    return written(ids.groupBy(F.floor(bit / 32768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits")))
+
+
+def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
+    """docs with `maybe`: false only for rows whose rid isn't among the bitmap's ids. Keeps texts that aren't needed out of a shuffle."""
+    bit = F.pmod("rid", F.lit(1 << BITS))
+    place = (bit % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    x = docs.withColumn("_bucket", F.floor(bit / 32768).cast("int")).join(F.broadcast(bits), "_bucket", "left")
+    return x.withColumn("maybe", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("_bits", "_bucket")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix finalizer)."""
     x = x.astype(np.uint64, copy=True)

@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 DIM = 4096
 ORDERS = (2, 3, 4)
 SAMPLE = 1000
-LANGUAGES = 500
 UNKNOWN = "und"
 #: Runner-up this close in probability: ambiguous.
 MARGIN = 0.1
@@ -110,10 +111,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learned(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
-    """The model of a hash-random sample, equal numbers of each language as far as there are; None without labelled texts."""
+    """The model of a hash-random sample, equal numbers of each language as far as there are; None without labelled texts.
+
+    At most `sample` documents are fitted, or one of each language if there are more languages than that.
+    """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col(text).rlike(r"\p{L}"))
     ids = usable.select("doc_id", "lang")
-    found = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    found = [r[0] for r in ids.select("lang").distinct().orderBy("lang").collect()]  # a row per language
     if not found:
         return None
     order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
@@ -124,33 +128,41 @@ def learned(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "profile": [profile(t).tobytes() for t in batch["text"]]})
 
-    rows = usable.select("doc_id", "lang", F.col(text).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    # of several texts under one id and language the smallest, so that reruns agree
+    rows = usable.select("doc_id", "lang", F.col(text).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = rows.mapInPandas(profiles, "doc_id long, lang string, profile binary").orderBy("doc_id", "lang").collect()
     return fit(np.stack([np.frombuffer(r["profile"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs (none named like the new ones) with lang_pred, score (0 to 1) and ambiguous.
+def prediction(spark: SparkSession, model: Model | None, text: str = "text") -> Column:
+    """A struct of lang_pred, score (0 to 1) and ambiguous for each text.
 
-    A text that is null or has no letter is UNKNOWN with score 0, and so is every text without a model.
+    A text that is null or has no letter is UNKNOWN with score 0 and ambiguous, and so is every text without a model.
+    Texts go to Python once, a few megabytes at a time, and don't come back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def found(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        for batch in batches:
-            has = np.array([isinstance(t, str) and bool(_LETTER.search(t)) for t in batch["_text"]], bool)
-            lang, score, flag = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch)), np.ones(len(batch), bool)
-            if m is not None and has.any():
-                at = np.flatnonzero(has)
-                for part in np.array_split(at, -(-len(at) // 512)):
-                    best, p, close = m.decode(np.stack([profile(batch["_text"].iloc[i]) for i in part]))
-                    lang[part], score[part], flag[part] = np.array(m.languages, object)[best], p, close
-            yield batch.drop(columns="_text").assign(lang_pred=lang, score=score, ambiguous=flag)
-
-    x = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
-    return x.mapInPandas(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+        has = np.array([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], bool)
+        lang, score, flag = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+        if m is not None and has.any():
+            at = np.flatnonzero(has)
+            for part in np.array_split(at, -(-len(at) // 512)):
+                best, p, close = m.decode(np.stack([profile(texts.iloc[i]) for i in part]))
+                lang[part], score[part], flag[part] = np.array(m.languages, object)[best], p, close
+        return pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": flag})
+
+    # not deterministic to the optimizer, so that a condition on the result doesn't run it a second time
+    return found.asNondeterministic()(F.col(text))
+
+
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of docs with lang_pred, score and ambiguous as `prediction` says; kept columns of those names are replaced."""
+    name = free_name(docs, "found")
+    kept = [c for c in keep if c.lower() not in ("lang_pred", "score", "ambiguous")]
+    return docs.withColumn(name, prediction(docs.sparkSession, model, text)).select(*kept, f"{name}.lang_pred", f"{name}.score", f"{name}.ambiguous")
 
 
 def language_of(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:

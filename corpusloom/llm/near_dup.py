@@ -4,32 +4,37 @@
 2. Each tree of the forest branches the classes: a node chooses BRANCHES signature places at random, and a class goes to
    the child of each chosen place and its own minwise token there. A class and one that is similar share a child with
    the probability of their similarity. Small nodes are compared exhaustively by sketch; larger ones branch again.
-3. A larger node whose members mostly look like its pivot is a family of near copies. It would not get smaller by
-   branching: its members are paired with the pivot (a star, not all pairs), and those that look linked to the pivot
-   leave the tree. What is linked to a member that is linked to the pivot has a similarity of at least
-   2 * threshold - 1 to the pivot, so it is in the star too. A member that isn't connected to the pivot in the end is
-   paired with all of the star.
-4. Candidate pairs are confirmed on full sets, best ones first: each class with one candidate, then all pairs that still
-   lie between components. Pairs inside a component can't change the result and cost nothing.
-
-A pair with the threshold's similarity shares no node of a tree with a probability of 6 %, and of TREES trees below 1e-6.
+3. A larger node whose members mostly look like its pivot, its oldest document, is a family of near copies. It would not
+   get smaller by branching, so it ends here: its members are paired with the pivot (a star, not all pairs). What is
+   still in another component than the pivot after that is a query against all members of the pivot's families.
+4. Pairs are confirmed on full sets: the stars and each class with its best candidate first, then all other candidates
+   that still lie between components. Pairs inside a component can't change the result and cost nothing. The queries of
+   step 3 are compared with the members in blocks, on full sets too; only links between components leave a block.
+
+A pair with the threshold's similarity shares no node of a tree with a probability of 4 %, and of TREES trees below 1e-6.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, prefix_hashes, span_hashes, written
+from .common import U64, bitmap, maybe_in, mixed, prefix_hashes, span_hashes, written
 from .graph import connected_components
 
 PLACES = 64
 TREES = 5
 BRANCHES = 2
+#: Nodes of so many classes at most are compared as a whole, larger ones branch, up to DEPTH times; what is then still
+#: larger goes the way of step 3 with all its members as queries. None of the three changes a result.
 SMALL = 32
-DEPTH = 4
+DEPTH = 6
+#: Classes, and shingles, in a block of queries or members.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, PLACES, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -124,16 +129,69 @@ def small_node_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked (full sets reach the threshold) and near (they reach 2 * threshold - 1).
+    """pairs (a, b) with linked: whether their full sets reach the threshold.
 
     The pairs are written first: when they are few, Spark knows it and leaves the sets where they are.
     """
     x = written(pairs.select("a", "b"))
-    x = x.join(sets.select(F.col("cid").alias("a"), F.col("found").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("found").alias("set_b")), "b")
+    x = x.join(sets.select(F.col("cid").alias("b"), F.col("found").alias("set_b")), "b").join(sets.select(F.col("cid").alias("a"), F.col("found").alias("set_a")), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     x = x.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    union = F.col("total") - F.col("both")
-    return x.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked"), (100 * F.col("both") >= (2 * percent - 100) * union).alias("near"))
+    return x.select("a", "b", (100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).alias("linked"))
+
+
+def block_links(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) on full sets between queries and members (cid, part, found) of other parts: one for each two parts."""
+    if not len(queries) or not len(members):
+        return pd.DataFrame({"a": [], "b": []})
+    tokens = np.unique(np.concatenate(queries["found"].tolist()))
+    flat = np.concatenate(members["found"].tolist())
+    sizes = np.array([len(s) for s in members["found"]])
+    row = np.repeat(np.arange(len(members)), sizes)
+    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+    shared = tokens[at] == flat  # what no query has counts only in the sizes
+    at, row = at[shared], row[shared]
+    cid, part = members["cid"].to_numpy(), members["part"].to_numpy()
+    mark = np.zeros(len(tokens), np.int64)
+    a, b, x, y = [], [], [], []
+    for q, q_part, found in zip(queries["cid"], queries["part"], queries["found"], strict=True):
+        own = np.searchsorted(tokens, found)
+        mark[own] = 1
+        both = np.bincount(row, mark[at], len(members)).astype(np.int64)
+        mark[own] = 0
+        hits = np.flatnonzero((100 * both >= percent * (sizes + len(found) - both)) & (part != q_part))
+        hits = hits[np.unique(part[hits], return_index=True)[1]]
+        a += [q] * len(hits)
+        b += cid[hits].tolist()
+        x += [q_part] * len(hits)
+        y += part[hits].tolist()
+    out = pd.DataFrame({"a": a, "b": b, "x": x, "y": y}, dtype=np.int64)
+    return out.drop_duplicates(["x", "y"])[["a", "b"]]
+
+
+def group_links(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """groups (grp, cid, hub) -> links (a, b): members that aren't in the hub's part (all, if hub is null) against all of the group.
+
+    A group's queries and members are dealt into blocks, and each block of queries meets each block of members in a
+    task; a group costs its queries times its members, without a row for a pair.
+    """
+    part = lambda name, key: parts.select(F.col("id").alias(key), F.col("component").alias(name))
+    x = groups.join(part("part", "cid"), "cid", "left").join(part("hub_part", "hub"), "hub", "left")
+    x = x.select("grp", "cid", F.coalesce("part", "cid").alias("part"), (F.coalesce("hub_part", "hub").isNull() | (F.coalesce("part", "cid") != F.coalesce("hub_part", "hub"))).alias("asks"))
+    x = written(x.join(sets.select("cid", F.size("found").alias("n")), "cid"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    asks = F.col("asks").cast("int")
+    dealt = x.groupBy("grp").agg(blocks(F.sum(asks), F.sum(asks * F.col("n"))).alias("of_q"), blocks(F.count(F.lit(1)), F.sum("n")).alias("of_m")).where("of_q > 0")
+    x = x.join(dealt, "grp").join(sets, "cid")
+    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = x.where("asks").select("grp", place("of_q").alias("q"), every("of_m").alias("m"), "cid", "part", "found", "asks")
+    members = x.select("grp", every("of_q").alias("q"), place("of_m").alias("m"), "cid", "part", "found", F.lit(False).alias("asks"))
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        return block_links(block[block["asks"]], block[~block["asks"]], percent)
+
+    return queries.union(members).groupBy("grp", "q", "m").applyInPandas(links, "a long, b long")
 
 
 def alike_count(a: str, b: str) -> Column:
@@ -184,77 +242,56 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     least = -(-percent // max(1, 100 - percent))
     roots = F.array(*(F.xxhash64(F.lit(t), F.lit(p), F.substring("sig", 4 * p + 1, 4)) for t in range(TREES) for p in range(t * BRANCHES, (t + 1) * BRANCHES)))
     rows = classes.where(F.col("n_shingles") >= least).select("cid", F.explode(roots).alias("node"))
-    edges, stars = [], []
+    small, stars, groups = [], [], []
     for depth in range(1, DEPTH + 1):
         seen = Observation()
-        counts = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").observe(seen, F.max("n").alias("most")))
-        members = rows.join(counts, "node")
-        members = written(members) if depth == 1 else members
-        small = members.where(F.col("n") <= SMALL).join(classes, "cid").select("node", "cid", "n_shingles", "sketch")
-        edges.append(small_node_pairs(small, percent))
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = written(rows.join(counts, "node").observe(seen, F.max("n").alias("most")))
+        small.append(small_node_pairs(members.where(F.col("n") <= SMALL).join(classes, "cid").select("node", "cid", "n_shingles", "sketch"), percent))
         if (seen.get["most"] or 0) <= SMALL:
             break
-        big = members.where(F.col("n") > SMALL)
-        pivots = big.groupBy("node").agg(F.min("cid").alias("pivot"))
+        big = members.where(F.col("n") > SMALL).join(classes.select("cid", "doc_id"), "cid")
+        pivots = big.groupBy("node").agg(F.min_by("cid", F.struct(F.col("doc_id").isNull(), "doc_id", "cid")).alias("pivot"))
         pivots = pivots.join(classes.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        big = written(big.join(classes, "cid").join(pivots, "node").select("node", "cid", "pivot", "sig", alike_count("sig", "pivot_sig").alias("alike")))
-        families = big.groupBy("node").agg(F.avg((F.col("alike") >= PLACES * (threshold - 0.2)).cast("int")).alias("share")).where("share >= 0.5").select("node", F.lit(True).alias("family"))
-        big = big.join(families, "node", "left").withColumn("family", F.coalesce("family", F.lit(False)))
-        big = big.withColumn("gone", F.col("family") & (F.col("alike") >= PLACES * threshold))
-        if depth == DEPTH:  # classes that share the tokens of so many places and are no family: all pairs of a node are compared
-            x = big.where(~F.col("gone"))
-            x = x.select("node", F.col("cid").alias("a"), F.col("sig").alias("sig_a")).join(x.select("node", F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "node")
-            edges.append(x.where("a < b").select("a", "b", alike_count("sig_a", "sig_b").alias("alike")).where(F.col("alike") >= PLACES * (threshold - 0.2)))
-        star = F.col("family") & (F.col("cid") != F.col("pivot")) & (F.col("alike") >= PLACES * max(0.0, 2 * threshold - 1 - 0.2))
-        stars.append(big.where(star).select("cid", "pivot", "alike"))
+        big = written(big.select("cid", "node").join(classes.select("cid", "sig"), "cid").join(pivots, "node").select("node", "cid", "pivot", alike_count("sig", "pivot_sig").alias("alike")))
+        alike = F.col("alike") >= PLACES * (threshold - 0.2)
+        families = big.groupBy("node").agg((F.avg(alike.cast("int")) >= 0.5).alias("family"))
+        big = big.join(families, "node")
+        stars.append(big.where("family").select("cid", "pivot", "alike"))
+        groups.append(big.where("family").select(F.col("pivot").alias("grp"), "cid", F.col("pivot").alias("hub")))
+        rest = big.where("not family")
+        if depth == DEPTH:
+            groups.append(rest.select(F.col("node").alias("grp"), "cid", F.lit(None).cast("long").alias("hub")))
+            break
         chosen = [F.pmod(F.xxhash64(F.lit(b), "node"), F.lit(PLACES)).cast("int") for b in range(BRANCHES)]
-        rows = big.where(~F.col("gone") | (F.col("cid") == F.col("pivot"))).select("cid", F.explode(F.array(*(F.xxhash64("node", p, F.substring(F.col("sig"), 4 * p + 1, F.lit(4))) for p in chosen))).alias("node"))
-    star = stars[0] if stars else None
-    for x in stars[1:]:
-        star = star.union(x)
-    if star is not None:
-        star = written(star.groupBy("cid", "pivot").agg(F.max("alike").alias("alike")))
-        edges.append(star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), "alike"))
-    pairs = edges[0]
-    for e in edges[1:]:
-        pairs = pairs.union(e)
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+        rows = rest.join(classes.select("cid", "sig"), "cid").select("cid", F.explode(F.array(*(F.xxhash64("node", p, F.substring(F.col("sig"), 4 * p + 1, F.lit(4))) for p in chosen))).alias("node"))
+    pairs = written(union(small).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    star = written(union(stars).groupBy("cid", "pivot").agg(F.max("alike").alias("alike"))) if stars else None
+    groups = written(union(groups).distinct()) if groups else None
 
     # full sets of all classes that have candidates
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
+    ends = [pairs.select("a"), pairs.select("b")] + ([groups.select("cid")] if groups is not None else [])
+    wanted = written(union(ends).toDF("cid").distinct().join(classes.select("cid", "doc_id"), "cid"))
 
     def sets_of(batches):
         for batch in batches:
             found = [shingle_set(t, words) for t in batch["text"]]
             yield pd.DataFrame({"cid": [set_key(s) for s in found], "found": [s.view(np.int64) for s in found]})
 
-    wanted = written(wanted)  # read twice
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    named = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = named.union(texts.where("doc_id is null")).select("text").mapInPandas(sets_of, "cid long, found array<long>")  # null ids name no class, so their texts are all read
+    rid = F.xxhash64("doc_id").alias("rid")  # null ids, which name no class, share one
+    sets = maybe_in(docs.select(rid, F.col(text).alias("text")), bitmap(wanted.select(rid))).where("maybe").select("text").mapInPandas(sets_of, "cid long, found array<long>")
     sets = written(sets.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("found").alias("found")))
 
-    links, parts, tried = None, None, None
-    for last in (False, True):
-        open_pairs = between(pairs, parts)
-        if tried is not None:
-            open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
-        now = written(compared(open_pairs if last else best_pairs(open_pairs), sets, percent))
-        tried = now if tried is None else tried.union(now)
-        links = tried.where("linked").select("a", "b")
-        parts = connected_components(links if parts is None else parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(now.where("linked").select("a", "b")))
+    first = best_pairs(between(pairs, None))
     if star is not None:
-        ends = star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), "cid", "pivot", "alike")
-        apart = between(ends, parts).join(tried.where("near or linked"), ["a", "b"], "left_semi").select("cid", "pivot")
-        left = star.select(F.col("cid").alias("z"), "pivot")
-        sig = classes.select("cid", "sig", "n_shingles")
-        x = apart.join(sig, "cid").select("pivot", F.col("cid").alias("y"), F.col("sig").alias("sig_y"), F.col("n_shingles").alias("n_y"))
-        x = x.join(left.join(sig.withColumnRenamed("cid", "z"), "z").select("pivot", "z", F.col("sig").alias("sig_z"), F.col("n_shingles").alias("n_z")), "pivot")
-        x = x.where("y <> z").where(100 * F.least("n_y", "n_z") >= percent * F.greatest("n_y", "n_z"))
-        x = x.select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b"), alike_count("sig_y", "sig_z").alias("alike"))
-        x = x.where(F.col("alike") >= PLACES * (threshold - 0.2)).distinct()
-        found = written(compared(between(x, parts).join(tried, ["a", "b"], "left_anti"), sets, percent))
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.where("linked").select("a", "b")))
+        likely = star.where(F.col("cid") != F.col("pivot")).where(F.col("alike") >= PLACES * (threshold - 0.08))
+        first = first.union(likely.select(F.least("cid", "pivot"), F.greatest("cid", "pivot"))).distinct()
+    tried = written(compared(first, sets, percent))
+    parts = connected_components(tried.where("linked").select("a", "b"))
+    found = [compared(between(pairs, parts).join(tried, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b")]
+    if groups is not None:
+        found.append(group_links(groups, parts, sets, percent))
+    parts = connected_components(union([parts.select(F.col("id").alias("a"), F.col("component").alias("b")), *found]))
 
     labels = classes.select("cid", F.col("doc_id").alias("_first")).join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = labels.groupBy("component").agg(F.min("_first").alias("component_id"))
@@ -262,3 +299,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     out = feats.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(labels, "cid", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, prefix_hashes, span_hashes, written
+from .common import U64, bitmap, maybe_in, mixed, prefix_hashes, span_hashes, written
 
 LENGTH = 200
 GRAM = 64
@@ -34,7 +34,6 @@ BATCHES = 4
 BLOCK = 1 << 19
 #: Keys with more contexts than this are compared a window at a time.
 HOT = 20_000
-BITS = 25
 _LOW = U64((1 << 20) - 1)
 
 
@@ -106,21 +105,6 @@ def repeated_keys(stored: DataFrame, batches: int) -> DataFrame:
     return written(found.distinct())
 
 
-def bitmap(ids: DataFrame) -> DataFrame:
-    """The ids (rid) as a bitmap of 2**BITS bits by hash: at most 2**BITS / 8 bytes, whatever their number, so it may be broadcast."""
-    bit = F.pmod("rid", F.lit(1 << BITS))
-    return written(ids.groupBy(F.floor(bit / 32768).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(bit % 32768).alias("_bits")))
-
-
-def maybe_in(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """docs with `maybe`: false only for rows whose rid isn't among the bitmap's ids. Keeps texts that aren't needed out of a shuffle."""
-    bit = F.pmod("rid", F.lit(1 << BITS))
-    place = (bit % 32768).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    x = docs.withColumn("_bucket", F.floor(bit / 32768).cast("int")).join(F.broadcast(bits), "_bucket", "left")
-    return x.withColumn("maybe", F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))).drop("_bits", "_bucket")
-
-
 def open_contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
     """open_runs (rid, first, windows, key, single, hot) with the bytes of each stretch."""
     per_text = open_runs.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "key", "single", "hot")).alias("runs"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from corpusloom.llm import graph, near_dup
 from corpusloom.llm.queries import op9_near_duplicates
 from tests.conftest import SF
@@ -61,16 +63,37 @@ def test_families_and_edges(spark):
     check(near_dup.near_duplicates(df, words=2, percent=80).collect(), data, 2, 80)
 
 
-def test_small_nodes_off(spark, monkeypatch):
-    """With nodes of two at most, families go through their pivots."""
+@pytest.mark.parametrize("depth, block", [(6, 1024), (1, 1024), (2, 7)])
+def test_small_nodes_off(spark, monkeypatch, depth, block):
+    """With nodes of two at most, families go through their pivots, and what doesn't branch further is compared in blocks."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "DEPTH", depth)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
-    texts = dict(enumerate([*family(rng, 50, 100, 12, vocabulary), *family(rng, 30, 100, 20, vocabulary)]))
+    texts = dict(enumerate([*family(rng, 50, 100, 12, vocabulary), *family(rng, 30, 100, 20, vocabulary), *("the same start of all " + " ".join(rng.choices(vocabulary, k=12)) for _ in range(40))]))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check(near_dup.near_duplicates(df, words=2, percent=80).collect(), texts, 2, 80)
 
 
+def test_recall_at_the_threshold(spark):
+    """All of 1,500 pairs with similarities from 0.8 to 0.85 are found."""
+    rng = random.Random(8)
+    texts, want = {}, 0
+    while want < 1500:
+        base = [f"{want}x{i}" for i in range(60)]
+        copy = list(base)
+        for at in rng.sample(range(2, 58, 4), rng.choice((3, 3, 2))):
+            copy[at] = f"{want}y{at}"
+        a, b = shingles(" ".join(base), 2), shingles(" ".join(copy), 2)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            texts[2 * want], texts[2 * want + 1] = " ".join(base), " ".join(copy)
+            want += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, words=2, percent=80).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(want)) == want
+
+
 def test_smallest_linked_sets(spark):
     """Four shingles of five are 80 %; three of four aren't."""
     for k in (2, 5):
