@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, mixing, near_dup, packing, suffix_dedup
+from corpusloom.llm.common import free_name
 from corpusloom.ship import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language, with that language; those without a letter or with an ambiguous one go."""
+    """Documents in an identified language, with that language; those without a letter or with an ambiguous one go.
+
+    A given lang stays. Repeated rows, other columns and their order stay; a null text goes; no rows give none.
+    """
     ship(spark)
-    model = langid.learned(docs)
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where(~F.col("ambiguous")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, langid.prediction(spark, langid.learned(docs))).where(~F.col(f"{name}.ambiguous"))
+    return found.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
