@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one priority queue a query.
 
 The forest is fitted on the driver from a hash-random sample of at most SAMPLE vectors, so its size is bounded; every
-vector is indexed, in the tasks. A query walks all trees at once: a queue ordered by the smallest margin on the way to a
-branch gives the next most promising one of any tree, until the leaves reached hold enough rows. Its leaves' rows are
-then ranked by the exact cosine.
+vector is indexed, in the tasks. A query walks all trees at once: a queue ordered by the largest margin on the way to a
+branch gives the next most promising one of any tree. It ends where the margin is more than a neighbour is likely to lie
+off in one direction (by the query's distance to the sample), or when the leaves reached hold enough rows. Its leaves'
+rows are then ranked by the exact cosine.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ from pyspark.sql import functions as F
 from .common import written
 
 SAMPLE = 20_000
-TREES = 8
-LEAF = 500
-#: Rows of leaves that a query ranks, counted once a tree: FACTOR * n ** POWER, and at least so many.
+TREES = 4
+LEAF = 400
+#: A query's search ends at margins of REACH * (distance of its k-th nearest sampled vector) / sqrt(dimension), but
+#: not before its leaves hold LEAST rows, or at leaves that hold FACTOR * n ** POWER rows (both counted once a tree).
+REACH = 1.0
 FACTOR, POWER = 8.0, 0.8
 LEAST = 2000
-BLOCK = 5000
+#: Rows, and queries, of a leaf that meet in one task; a larger leaf is split, and all its blocks are searched.
+BLOCK, QUERIES = 5000, 20_000
+#: Pairs whose exact measure is taken at once.
+PAIRS = 100_000
 
 
 class Forest:
@@ -32,6 +38,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, trees: int, leaf: float, seed: int = 1):
         self.trees = []
+        self.sample = sample.astype(np.float32)
         self.leaves = 0
         for t in range(trees):
             rng = np.random.default_rng([seed, t])
@@ -72,13 +79,21 @@ class Forest:
             node[inner] = kids[at, right.astype(int)]
         return -1 - node
 
-    def search(self, q: np.ndarray, sizes: np.ndarray, rows: int) -> list[int]:
-        """Leaves in the order of the shared queue, until they hold so many rows."""
+    def reach(self, q: np.ndarray, k: int) -> np.ndarray:
+        """How far in one direction each query's k nearest are likely to lie off, by its distances to the sample."""
+        k = min(k, len(self.sample) - 1)  # counted from 0: the query itself may be in the sample
+        near = np.partition(q.astype(np.float32) @ self.sample.T, len(self.sample) - 1 - k, axis=1)[:, len(self.sample) - 1 - k]
+        return REACH * np.sqrt(np.maximum(0.0, 2 - 2 * near.astype(np.float64)) / q.shape[1])
+
+    def search(self, q: np.ndarray, sizes: np.ndarray, rows: int, least: int = 0, reach: float = np.inf) -> list[int]:
+        """Leaves in the order of the shared queue, until they hold `rows`, or `least` and the margin is above `reach`."""
         queue = [(-np.inf, t, root) for t, (_, _, _, root) in enumerate(self.trees)]
         margins = [normals @ q - offsets if len(offsets) else None for normals, offsets, _, _ in self.trees]
         out, seen = [], 0
         while queue and seen < rows:
             cost, t, node = heapq.heappop(queue)
+            if cost > reach and seen >= least:
+                break
             while node >= 0:
                 m = margins[t][node]
                 near, far = (1, 0) if m > 0 else (0, 1)
@@ -90,7 +105,7 @@ class Forest:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """Without vectors that are null, zero, or have null or non-finite components (or another length than most)."""
+    """Without vectors that are null, zero, or have null or non-finite components."""
     e = F.col("embedding").cast("array<double>")
     ok = F.size(e) > 0
     ok = ok & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -101,19 +116,19 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     """query_id, rank, vec_id, score: each query's k nearest rows found, by cosine in double precision, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's own. Vectors that are
-    null, zero, or hold null or non-finite components take no part, nor do those of another length than the first
-    sampled one, nor rows without a vec_id. Of equal vectors only the k + 1 smallest ids are indexed: the others can't
+    null, zero, or hold null or non-finite components take no part, nor do those of another length than most (the
+    shorter, if as many), nor rows without a vec_id. Of equal vectors only the k + 1 smallest ids are indexed: the others can't
     be among anyone's k nearest. Repeated rows of one vec_id are one candidate. Fewer than k candidates give them all;
     an empty table gives an empty result; other columns take no part.
     """
     good = valid_vectors(vectors).where("vec_id is not null")
-    sampled = good.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").limit(SAMPLE).collect()
-    dim = len(sampled[0]["embedding"]) if sampled else 1
+    lengths = good.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim, n = lengths or (1, 0)
     good = good.where(F.size("embedding") == dim)
-    sample = np.array([r["embedding"] for r in sampled if len(r["embedding"]) == dim], np.float64).reshape(-1, dim)
+    sampled = good.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = np.array([r["embedding"] for r in sampled], np.float64).reshape(-1, dim)
     sample = sample / np.maximum(np.abs(sample).max(axis=1, keepdims=True), 1e-300)
     sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-    n = good.count()
     # a leaf of `leaf` rows has so many sampled ones; at least 4, so that the forest stays within the sample's size
     forest = Forest(sample, trees, max(4.0, leaf * len(sample) / max(n, 1)))
     context = vectors.sparkSession.sparkContext
@@ -139,23 +154,28 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     budget = max(least, int(factor * n**POWER))
     sizes_shared = context.broadcast(sizes)
 
+    queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    chunks = max(1, -(-queries.count() // QUERIES))
+
     def probe(batches):
         for batch in batches:
-            for q, e, raw in zip(batch["vec_id"], unit(batch["embedding"]), batch["embedding"], strict=True):
-                found = shared.value.search(e, sizes_shared.value, budget)
-                # leaves that hold more rows than fit in a task are split into blocks, which are all searched
-                keys = [(leaf, b) for leaf in found for b in range(-(-int(sizes_shared.value[leaf]) // BLOCK))]
-                yield pd.DataFrame({"leaf": [x for x, _ in keys], "block": [b for _, b in keys], "query_id": q, "query": [raw] * len(keys)})
-
-    queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    probes = queries.mapInPandas(probe, "leaf int, block int, query_id long, query array<double>")
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                x = unit(part["embedding"])
+                for q, e, raw, reach in zip(part["vec_id"], x, part["embedding"], shared.value.reach(x, k), strict=True):
+                    found = shared.value.search(e, sizes_shared.value, budget, least, reach)
+                    # leaves that hold more rows than fit in a task are split into blocks, which are all searched
+                    keys = [(leaf, b) for leaf in found for b in range(-(-int(sizes_shared.value[leaf]) // BLOCK))]
+                    yield pd.DataFrame({"leaf": [x for x, _ in keys], "block": [b for _, b in keys], "query_id": q, "query": [raw] * len(keys)})
+
+    probes = queries.mapInPandas(probe, "leaf int, block int, query_id long, query array<double>").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
     blocks = context.broadcast(np.maximum(1, -(-sizes // BLOCK)))
 
     @F.pandas_udf("int")
     def block_of(leaf: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series(np.mod(h.to_numpy(), blocks.value[leaf.to_numpy()])).astype("int32")
 
-    rows = rows.withColumn("block", block_of("leaf", F.xxhash64("vec_id")))
+    rows = rows.withColumn("block", block_of("leaf", F.xxhash64("vec_id"))).withColumn("chunk", F.explode(F.array(*(F.lit(i) for i in range(chunks)))) if chunks > 1 else F.lit(0))
 
     def rank(_, qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
@@ -166,14 +186,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
         for i in range(0, len(q), 256):
             near = q[i : i + 256] @ x.T
             near[asked[i : i + 256, None] == ids[None]] = -np.inf
-            # a few more than k, then the exact measure: sums of a matrix product differ in the last bits
-            m = min(len(ids), 2 * k + 6)
-            at = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            row = np.repeat(np.arange(len(near)), m)
-            at = at.ravel()
-            fine = near[row, at] > -np.inf
-            row, at = row[fine] + i, at[fine]
-            score = cosine(raw_q[row], raw_x[at])
+            m = min(len(ids), k)
+            # all that may be among the k by the exact measure: sums of a matrix product differ in the last bits
+            low = np.maximum(np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m, None] - 1e-9, -2.0)
+            row, at = np.nonzero(near >= low)
+            score = np.concatenate([cosine(raw_q[row[j : j + PAIRS] + i], raw_x[at[j : j + PAIRS]]) for j in range(0, max(len(row), 1), PAIRS)])
+            row = row + i
             order = np.lexsort((ids[at], -score, row))
             row, at, score = row[order], at[order], score[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -181,7 +199,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
             out.append(pd.DataFrame({"query_id": asked[row[best]], "vec_id": ids[at[best]], "score": score[best]}))
         return pd.concat(out)
 
-    found = probes.groupBy("leaf", "block").cogroup(rows.groupBy("leaf", "block")).applyInPandas(rank, "query_id long, vec_id long, score double").distinct()
+    keys = ("leaf", "block", "chunk")
+    found = probes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double").distinct()
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -64,3 +64,45 @@ def test_many_equal_vectors(spark):
     df = spark.range(300).selectExpr("id as vec_id", "array(cast(1 as float), cast(2 as float)) as embedding", "0 as label")
     got = by_query(ann.nearest(df).collect())
     assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and [v for v, _ in got[250]] == [0, 1, 2, 3, 4]
+
+
+def test_all_ties_are_measured(spark):
+    """Different vectors, all at the same angle to the query: the smallest ids win."""
+    rows = [(0, [1.0] + [0.0] * 63)] + [(i, [0.0] * (1 + i % 60) + [float(i)] + [0.0] * (62 - i % 60)) for i in range(1, 300)]
+    got = by_query(ann.nearest(spark.createDataFrame([(i, e, 1) for i, e in rows], SCHEMA)).collect())
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5]
+
+
+def test_one_odd_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3 if i == 77 else 8).tolist(), 0) for i in range(200)]
+    got = by_query(ann.nearest(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert set(got) == {0, 50, 100, 150} and all(len(v) == 5 for v in got.values()) and all(j != 77 for v in got.values() for j, _ in v)
+
+
+def test_queries_of_a_leaf_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist(), 0) for i in range(300)], SCHEMA)
+    want = by_query(ann.nearest(df, every=5).collect())
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    assert by_query(ann.nearest(df, every=5).collect()) == want
+
+
+def test_the_queue_prunes(spark):
+    """Clustered vectors: under a fifth of the rows are ranked, with a recall of 0.9."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 64))[rng.integers(0, 60, 40_000)] + 0.5 * rng.standard_normal((40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest(x[rng.choice(len(x), 8000, replace=False)], ann.TREES, 60)
+    leaves = np.stack([forest.leaf_of(x, t) for t in range(ann.TREES)])
+    sizes = np.bincount(leaves.ravel(), minlength=forest.leaves)
+    hits = ranked = 0
+    for q in range(0, 40_000, 800):
+        near = x @ x[q]
+        near[q] = -9
+        found = forest.search(x[q], sizes, int(ann.FACTOR * len(x) ** ann.POWER), ann.LEAST, forest.reach(x[q : q + 1], 5)[0])
+        rows = np.isin(leaves, found).any(axis=0)
+        hits += rows[np.argsort(-near)[:5]].sum()
+        ranked += rows.sum()
+    assert hits >= 0.9 * 5 * 50 and ranked < 50 * 40_000 / 5
