@@ -60,7 +60,7 @@ def sampling_plan(rows: DataFrame, margin: float = 0.15, census_max: int = 10, b
 def stratified_sample(rows: DataFrame, seed: int = 42, margin: float = 0.15, census_max: int = 10, by: str = "subtype", key: str = "finding_id") -> DataFrame:
     """The rows to look at: of each stratum its sample_size rows with the smallest hashes, whatever the partitions."""
     plan = sampling_plan(rows, margin, census_max, by).select(by, "sample_size")
-    order = W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    order = W.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key))
     return rows.join(plan, by).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("sample_size")).drop("_n", "sample_size")
 
 

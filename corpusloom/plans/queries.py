@@ -230,7 +230,7 @@ def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The false positives to look at; chosen by hash, so SQL can't repeat the choice."""
+    """The false positives to look at: of each stratum those with the smallest hashes."""
     return adjudicate.stratified_sample(_subtypes(spark, sf_dir), margin=0.05)
 
 
