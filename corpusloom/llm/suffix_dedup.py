@@ -6,12 +6,13 @@ about 70), ordered by the fingerprint of their first GRAM bytes, which a long ma
 
 Documents come in batches. Each batch's suffixes become a sorted array; it is merge-scanned (a sort-merge join) against
 the arrays of the levels so far, and then becomes a level itself; two levels of equal size merge into one of twice the
-size, so there are never more levels than the logarithm of the number of batches. The scans give the fingerprints that
-occur twice, and only their suffixes are looked at again:
+size, so there are never more levels than the logarithm of the number of batches (`SuffixIndex`, which takes further
+batches at any time). The scans give the fingerprints that occur twice, and only their suffixes are looked at again:
 
 - the windows (strings of LENGTH bytes) with one minimizer are neighbours. If their whole stretch occurs twice, as
   inside a long match, all of them are repeated, and nothing else has to be compared;
-- else (the ends of a match) the windows of one key are compared by their own fingerprints.
+- else (the ends of a match) the windows of one key are compared: those whose fingerprints agree are sorted by their
+  bytes, and neighbours that agree in all of them are repeated.
 
 Both count equal content per stretch or window; pairs of places are never listed, so a passage that a third of all
 documents share costs a row for each place.
@@ -20,11 +21,15 @@ documents share costs a row for each place.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import U64, bitmap, maybe_in, mixed, prefix_hashes, span_hashes, written
 
@@ -32,8 +37,10 @@ LENGTH = 200
 GRAM = 64
 BATCHES = 4
 BLOCK = 1 << 19
-#: Keys with more contexts than this are compared a window at a time.
-HOT = 20_000
+#: Keys with more contexts than this are compared a window at a time, over all tasks, by fingerprints of windows alone.
+HOT = 2_000
+#: Contexts whose windows are compared at once.
+CONTEXTS = 2_000
 _LOW = U64((1 << 20) - 1)
 
 
@@ -86,23 +93,50 @@ def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInPandas(run, "rid long, first int, windows int, key long, context long")
 
 
-def repeated_keys(stored: DataFrame, batches: int) -> DataFrame:
-    """The keys that stand at two places or more, found batch by batch against the levels of the index."""
-    levels: list[tuple[int, DataFrame]] = []  # (size in batches, sorted array of distinct keys), largest first
-    found = None
-    for b in range(batches):
-        array = written(stored.where(F.pmod("rid", F.lit(batches)) == b).groupBy("key").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("key"))
+class SuffixIndex:
+    """Sparse suffix arrays of batches of documents, in levels that double.
+
+    `levels` are (size in batches, table of sorted keys), largest first; `stored` the suffixes of each batch and `docs`
+    the batches. All tables lie in the shared folder. A batch costs scans of at most log2(batches) levels.
+    """
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+        self.length, self.gram = length, gram
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.stored: list[DataFrame] = []
+        self.docs: list[DataFrame] = []
+        self.found: list[DataFrame] = []
+
+    def add_batch(self, docs: DataFrame) -> SuffixIndex:
+        """Takes in docs (rid, text; equal rids have equal texts)."""
+        self.docs.append(docs)
+        return self.add_suffixes(written(suffixes(docs, self.length, self.gram)))
+
+    def add_suffixes(self, rows: DataFrame, last: bool = False) -> SuffixIndex:
+        """Takes in a batch's suffixes; after the last batch of all, the merged level needn't be written."""
+        self.stored.append(rows)
+        array = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("key"))
         hits = array.where("n > 1").select("key")
-        for _, level in levels:  # merge-scan: both sides sorted by key
+        for _, level in self.levels:  # merge-scan: both sides sorted by key
             hits = hits.union(array.join(level, "key", "left_semi").select("key"))
-        found = hits if found is None else found.union(hits)
-        levels.append((1, array.select("key")))
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            (m, x), (n, y) = levels.pop(), levels.pop()
+        self.found.append(hits)
+        self.levels.append((1, array.select("key")))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (m, x), (n, y) = self.levels.pop(), self.levels.pop()
             merged = y.union(x).distinct()
-            # the last merge of all would be scanned by no further batch
-            levels.append((m + n, written(merged.sortWithinPartitions("key")) if b + 1 < batches else merged))
-    return written(found.distinct())
+            self.levels.append((m + n, merged if last else written(merged.sortWithinPartitions("key"))))
+        return self
+
+    def repeated_keys(self) -> DataFrame:
+        """The keys that stand at two places or more."""
+        return written(reduce(DataFrame.union, self.found).distinct())
+
+    def suffixes(self) -> DataFrame:
+        return reduce(DataFrame.union, self.stored)
+
+    def repeated_spans(self, hot: int = HOT) -> DataFrame:
+        """rid, spans: an array of (first window, windows), repeated windows only, over all batches."""
+        return spans_of(self.suffixes(), self.repeated_keys(), reduce(DataFrame.union, self.docs), self.length, hot)
 
 
 def open_contexts(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
@@ -141,9 +175,32 @@ def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
     """rid, first, windows: repeated windows of single contexts. A key's contexts are compared in one task, those of hot keys a window at a time."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
+        key = part["key"].to_numpy()
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1  # keys stay whole
+        out, at = [], 0
+        while at < len(part):
+            to = int(ends[max(np.searchsorted(ends, at + CONTEXTS, "right") - 1, np.searchsorted(ends, at, "right"))])
+            out.append(compare_keys(part.iloc[at:to].reset_index(drop=True)))
+            at = to
+        return pd.concat(out, ignore_index=True)
+
+    def compare_keys(part: pd.DataFrame) -> pd.DataFrame:
         row, at, h = windows_of(part, length)
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        hit = (n[back] > 1) & part["single"].to_numpy()[row]
+        maybe = np.flatnonzero(n[back] > 1)
+        # sorted by the key, then the bytes; neighbours with all bytes in common are repeated
+        data = np.frombuffer(b"".join(part["context"]), np.uint8)
+        start = np.r_[0, np.cumsum(part["windows"].to_numpy().astype(np.int64) + length - 1)[:-1]]
+        place = start[row[maybe]] + at[maybe] - part["first"].to_numpy()[row[maybe]]
+        hit = np.zeros(len(row), bool)
+        if len(maybe):
+            words = np.lib.stride_tricks.sliding_window_view(data, length)[place]
+            key = part["key"].to_numpy()[row[maybe]].astype(">i8").view(np.uint8).reshape(-1, 8)
+            text = np.hstack([key, words]).view(f"V{length + 8}").ravel()
+            order = np.argsort(text, kind="stable")
+            same = text[order][1:] == text[order][:-1]
+            hit[maybe[order[np.r_[False, same] | np.r_[same, False]]]] = True
+        hit &= part["single"].to_numpy()[row]
         row, at = row[hit], at[hit]
         new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1)][: len(row)])
         return pd.DataFrame({"rid": part["rid"].to_numpy()[row[new]], "first": at[new].astype(np.int32), "windows": np.diff(np.r_[new, len(row)]).astype(np.int32)})
@@ -174,8 +231,14 @@ def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """docs (rid, text; equal rids have equal texts) -> rid, spans: an array of (first window, windows), repeated windows only."""
-    stored = written(suffixes(docs, length, gram))
-    keys = repeated_keys(stored, batches)
+    stored, index = written(suffixes(docs, length, gram)), SuffixIndex(length, gram)
+    for b in range(batches):
+        index.add_suffixes(stored.where(F.pmod("rid", F.lit(batches)) == b), last=b + 1 == batches)
+    return spans_of(stored, index.repeated_keys(), docs, length, hot)
+
+
+def spans_of(stored: DataFrame, keys: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
+    """The repeated windows among the suffixes with repeated keys; `hot` changes the way, not the result."""
     runs = written(stored.join(keys, "key", "left_semi"))
     by_content = written(runs.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "windows")).alias("one")))
     mixed_keys = by_content.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("key", (F.col("contents") > hot).alias("hot"))
@@ -185,30 +248,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     return written(whole.union(parts).groupBy("rid").agg(F.collect_list(F.struct("first", "windows")).alias("spans")))
 
 
-def with_cuts(docs: DataFrame, length: int, keep: list[str], make, schema: str, **options) -> DataFrame:
-    """make(row, bytes of the text, starts and ends of what is removed) for each row of docs."""
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.where(F.octet_length("text") >= length).select("rid", "text"), length, **options)
+def merged_spans(spans: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the maximal runs that windows cover."""
+    if not spans:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s = np.array([(r["first"], r["first"] + r["windows"] - 1 + length) for r in spans], np.int64)
+    s = s[np.argsort(s[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(s[:, 1])
+    new = np.r_[True, s[1:, 0] > reach[:-1]]
+    return s[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
+
+
+def with_cuts(docs: DataFrame, text: str, length: int, keep: list[str], make, fields: dict[str, str], **options) -> DataFrame:
+    """Columns k0, k1, ... for `keep`, as they are, and `fields` with what make(text, bytes, starts and ends of what is removed) gives."""
+    inner = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"), *(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)))
+    spans = repeated_spans(inner.where(F.octet_length("text") >= length).select("rid", "text"), length, **options)
+    kept = [f"k{i}" for i in range(len(keep))]
+    schema = StructType([inner.schema[c] for c in kept] + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields.items())).fields)
+    types = to_arrow_schema(StructType(schema.fields[len(kept) :]))
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                data = (row.text or "").encode("utf-8")
-                starts = ends = np.zeros(0, np.int64)
-                if row.spans is not None and len(row.spans):
-                    s = np.array([(r["first"], r["first"] + r["windows"] - 1 + length) for r in row.spans], np.int64)
-                    s = s[np.argsort(s[:, 0], kind="stable")]
-                    reach = np.maximum.accumulate(s[:, 1])
-                    new = np.r_[True, s[1:, 0] > reach[:-1]]
-                    starts, ends = s[new, 0], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
-                rows.append(make(row, data, starts, ends))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    docs = maybe_in(docs, bitmap(spans.select("rid")))
-    cut = docs.where("maybe").join(spans, "rid", "left").select(*keep, "spans")
-    whole = docs.where("not maybe").select(*keep, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return cut.union(whole).mapInPandas(run, schema)
+            made = []
+            for value, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                made.append(make(value, (value or "").encode("utf-8"), *merged_spans(found, length)))
+            columns = [pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), types, strict=True)] if made else [pa.array([], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *fields])
+
+    inner = maybe_in(inner, bitmap(spans.select("rid")))
+    cut = inner.where("maybe").join(spans, "rid", "left").select("text", *kept, "spans")
+    whole = inner.where("not maybe").select("text", *kept, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.union(whole).mapInArrow(run, schema)
 
 
 def left_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -223,24 +293,20 @@ def suffix_dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, **op
     are equal (doc_id and text) repeat each other. Other columns take no part. An empty table gives an empty one.
     """
 
-    def make(row, data, starts, ends):
+    def make(_, data, starts, ends):
         kept = left_of(data, starts, ends)
-        return row.doc_id, len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
+        return len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
 
-    plain = docs.select("doc_id", F.col(text).alias("text"))
-    return with_cuts(plain, length, ["doc_id", "text"], make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+    out = with_cuts(docs, text, length, ["doc_id"], make, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}, **options)
+    return out.withColumnRenamed("k0", "doc_id")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **options) -> DataFrame:
-    """docs with each text cut as `suffix_dedup` says; a character that loses some of its bytes goes as a whole. Null texts stay null."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.columns.index(text)
-
-    def make(row, data, starts, ends):
-        values = list(row[: len(docs_columns)])
-        if len(starts):
-            values[at] = left_of(data, starts, ends).decode("utf-8", "ignore")
-        return tuple(values)
-
-    docs_columns = list(docs.columns)
-    return with_cuts(docs, length, docs_columns, make, fields, **options)
+    """docs with each text cut as `suffix_dedup` says; a character that loses some of its bytes goes as a whole. Null texts stay null; all other columns stay, whatever their names."""
+
+    def make(value, data, starts, ends):
+        return (left_of(data, starts, ends).decode("utf-8", "ignore") if len(starts) else value,)
+
+    keep = [c for c in docs.columns if c != text]
+    out = with_cuts(docs, text, length, keep, make, {"text": "string"}, **options)
+    return out.select(*(F.col("text" if c == text else f"k{keep.index(c)}").alias(c) for c in docs.columns))

@@ -33,16 +33,17 @@ def test_query(spark):
     check(op5_suffix_dedup(spark, SF).collect(), texts, 200)
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_small_windows(spark, hot):
+@pytest.mark.parametrize("hot, contexts", [(2_000, 2_000), (2_000, 3), (2, 2_000)])
+def test_small_windows(spark, monkeypatch, hot, contexts):
     """Short windows over a small alphabet: many overlaps, periodic texts, edges of matches."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
     rng = random.Random(hot)
     word = lambda n: "".join(rng.choices("abé", k=n))
     passages = [word(rng.randrange(10, 60)) for _ in range(6)]
     texts = ["".join(rng.choice(passages) if rng.random() < 0.4 else word(12) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
     texts += [None, "", "ab" * 80, "a" * 100, texts[0], "é" * 30, passages[0][:19]]
     data = dict(enumerate(texts))
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in data.items()], "doc_id long, text string, rid int, spans int").select("doc_id", "text")
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in data.items()], "doc_id long, text string, rid int, spans int")
     check(suffix_dedup.suffix_dedup(df, length=20, gram=8, batches=5, hot=hot).collect(), data, 20)
 
 
@@ -56,9 +57,25 @@ def test_long_text_crosses_blocks(spark, monkeypatch):
 
 def test_repeats_nothing_and_columns(spark):
     long = "".join(random.Random(1).choices("abcdefghij ", k=500))
-    rows = [(1, long, "s", 7), (1, long, "s", 7), (None, "é" + long[:300], "t", 8), (2, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    rows = [(1, long, "s", 7, 1, [1]), (1, long, "s", 7, None, None), (None, "é" + long[:300], "t", 2**60 + 1, 2, [2]), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rid long, spans int, `k 0` array<int>")
     out = suffix_dedup.without_repeats(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted((r["source"] or "", r["rid"] or 0, r["spans"] or 0, r["k 0"] or []) for r in out.collect()) == [("", 0, 0, []), ("s", 7, 0, []), ("s", 7, 1, [1]), ("t", 2**60 + 1, 2, [2])]
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"] is not None) == [(0, "é"), (1, ""), (1, "")]
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_batches_one_by_one(spark):
+    """An index that takes in batches, over four levels, finds what one run over all of them finds."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdef", k=n))
+    passages = [word(60) for _ in range(5)]
+    df = spark.createDataFrame([(i, word(30) + rng.choice(passages) + word(30)) for i in range(70)], "rid long, text string")
+    index = suffix_dedup.SuffixIndex(50, 20)
+    for b in range(7):
+        index.add_batch(df.where(f"rid % 7 = {b}"))
+        assert [n for n, _ in index.levels] == [2**k for k in (2, 1, 0) if (b + 1) >> k & 1]
+    plain = lambda x: sorted((r["rid"], sorted(map(tuple, r["spans"]))) for r in x.collect())
+    found = plain(index.repeated_spans())
+    assert found and found == plain(suffix_dedup.repeated_spans(df, 50, 20))
