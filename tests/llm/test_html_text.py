@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from corpusloom.llm import html_text
 from corpusloom.llm.queries import op10_main_text
 from tests.conftest import SF
@@ -18,26 +20,66 @@ def test_query(spark):
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+@pytest.fixture(scope="module")
 def model(spark):
     return html_text.learned(spark.read.parquet(f"{SF}/pages.parquet"))
 
 
-def test_other_layouts(spark):
-    m = model(spark)
-    story = "".join(f"<p>Sentence number {i} of the story &amp; its <b>details</b>, told at some\n length here.</p>" for i in range(4))
-    want = "\n\n".join(f"Sentence number {i} of the story & its details, told at some length here." for i in range(4))
-    head = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav>"
-    boxes = ["<aside class=sidebar><p>Other stories you may like to read some day</p></aside>", '<div class="comments"><p>I do not agree with this story at all</p></div>', "<form><label>Your name please</label><input></form>", '<div class="cookie-notice"><p>We use cookies to make this site better</p></div>', "<footer>&copy; someone</footer>", '<header class="site-header">The Daily Something</header>', '<div class="ad">Buy now, only today</div>']
-    for frame in ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>'):
-        for box in boxes:
-            for page in (head + frame.format(story) + box, head + box + frame.format(story), head + frame.format(story + box)):
-                assert html_text.main_text([page + "<script>var x='</p>';</script></body></html>"], m) == [want], page
+STORY = [f"Sentence number {i} of the story & its details, told at some length here." for i in range(4)]
+BOXES = [
+    "<aside class=sidebar><p>Other stories you may like to read some day</p></aside>", '<div class="comments"><p>I do not agree with this story at all</p></div>', "<form><label>Your name please</label><input></form>",
+    '<div class="cookie-notice"><p>We use cookies to make this site better</p></div>', "<footer>&copy; someone</footer>", '<header class="site-header">The Daily Something</header>', '<div class="ad">Buy now, only today</div>',
+    '<div class="infobox">This page needs more sources</div>', '<div class="notice"><p>This story was changed after it came out</p></div>',
+]
+FRAMES = [
+    "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<article class="post category-news tag-social">{}</article>', '<div class="content has-sidebar"><article>{}</article></div>',
+    '<div class="page-with-tools"><main>{}</main></div>', '<div class="x9 qq"><section>{}</section></div>',
+]
+
+
+@pytest.mark.parametrize("body", ["", ' class="single single-post comments-open"', ' class="q r"'])
+def test_other_layouts(model, body):
+    """Layouts that the trees didn't see: boilerplate before, after and inside the content, and names of boilerplate on what holds it."""
+    shown = [f"<p>{t.replace('&', '&amp;').replace('details', '<b>details</b>').replace('some ', f'some{chr(10)} ')}</p>" for t in STORY]
+    start = f"<html><head><title>T</title><style>p{{}}</style></head><body{body}><nav><a href=/>Home</a></nav>"
+    end = "<script>var x='</p>';</script></body></html>"
+    wrong = []
+    for frame in FRAMES:
+        for box in BOXES:
+            for page in (frame.format("".join(shown)) + box, box + frame.format("".join(shown)), frame.format("".join(shown) + box), frame.format(shown[0] + box + "".join(shown[1:]))):
+                wrong += [page] * (html_text.main_text([start + page + end], model) != ["\n\n".join(STORY)])
+    assert not wrong
+
+
+def test_generated_layouts(model):
+    """Layouts of other words and seeds: nearly all are right node by node."""
+    words = [f"word{i}" for i in range(500)]
+    wrong = 0
+    for seed in range(200):
+        nodes = html_text.parsed(html_text.layout(words, 10**9 + seed))
+        score = model([nodes])
+        shown = html_text.kept_nodes(nodes, score) & (score > 0)
+        wrong += any(x.own and shown[i] != bool(y) for i, (x, y) in enumerate(zip(nodes, html_text.labels(nodes), strict=True)))
+    assert wrong <= 10
+
+
+def test_long_page(model):
+    """A page of thousands of paragraphs is read as a whole."""
+    story = [f"Paragraph {i} of a very long story that goes on and on." for i in range(4000)]
+    page = "<body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{t}</p>" for t in story) + "</article><footer>end</footer>"
+    assert html_text.main_text([page], model) == ["\n\n".join(story)]
+
+
+def test_pages_without_content_elements(spark):
+    """Their own words make the layouts that are fitted."""
+    df = spark.createDataFrame([(i, "u", f"<div><p>Some text number {i} that is long enough to be one</p></div>") for i in range(30)], SCHEMA)
+    assert all(r["text"].startswith("Some text") for r in html_text.extract_text(df).collect())
 
 
-def test_edges(spark):
+def test_edges(spark, model):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain < text"), (4, "u", "<article><p>a<p>b <br>c &#x41;&nbsp;d</article>"), (4, "u", "<article><p>a<p>b <br>c &#x41;&nbsp;d</article>"), (None, None, "<article><p" + " x" * 20000), (5, "u", "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", text int").select("page_id", "url", "html", "text")
-    out = html_text.extract_text(df, model(spark))
+    out = html_text.extract_text(df, model)
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     got = [tuple(r) for r in out.collect()]
     assert len(got) == 7 and (1, "u", "", 0) in got and (2, None, "", 0) in got
