@@ -24,8 +24,6 @@ from .wordpieces import MEMO_WORDS, byte_letters, chunks, library, pretokens, sp
 CAPACITY = 2048
 END_ID = 0
 RANK_ROWS = 20_000
-_KNOWN: dict[str, PartIds] = {}
-
 
 class PartIds(dict):
     """Part of a text -> its ids as little-endian 32-bit bytes, encoded by the library's model when it is met first.
@@ -58,12 +56,6 @@ class PartIds(dict):
         return b"".join(map(self.__getitem__, chunks(text, self.path)))
 
 
-def encoder(path: str) -> PartIds:
-    if path not in _KNOWN:
-        _KNOWN[path] = PartIds(path)
-    return _KNOWN[path]
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,7 +65,7 @@ def token_pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY,
     end = int(END_ID).to_bytes(4, "little")
 
     def cut(batches):
-        encode = encoder(path).of
+        encode = PartIds(path).of  # its memory ends with the task
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]

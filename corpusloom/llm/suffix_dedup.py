@@ -38,9 +38,9 @@ GRAM = 64
 BATCHES = 4
 BLOCK = 1 << 19
 #: Keys with more contexts than this are compared a window at a time, over all tasks, by fingerprints of windows alone.
-HOT = 2_000
+HOT = 500
 #: Contexts whose windows are compared at once.
-CONTEXTS = 2_000
+CONTEXTS = 500
 _LOW = U64((1 << 20) - 1)
 
 
@@ -198,7 +198,8 @@ def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
             key = part["key"].to_numpy()[row[maybe]].astype(">i8").view(np.uint8).reshape(-1, 8)
             text = np.hstack([key, words]).view(f"V{length + 8}").ravel()
             order = np.argsort(text, kind="stable")
-            same = text[order][1:] == text[order][:-1]
+            text = text[order]
+            same = text[1:] == text[:-1]
             hit[maybe[order[np.r_[False, same] | np.r_[same, False]]]] = True
         hit &= part["single"].to_numpy()[row]
         row, at = row[hit], at[hit]

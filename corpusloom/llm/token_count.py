@@ -7,20 +7,18 @@ numpy arrays (`wordpieces.merged_counts`) and adds up the counts. No shuffle; me
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordpieces import Memo, merge_table, merged_counts, vocabulary_path
 
-_MEMOS: dict[str, Memo] = {}
-
 
-def batch_counts(texts: list[str | None], path: str) -> list[int]:
-    """Tokens of each text; None counts as empty."""
-    if path not in _MEMOS:
-        _MEMOS[path] = Memo(path, lambda words: merged_counts(words, merge_table(path)).tolist(), sum, lambda _: 1)
-    return _MEMOS[path].values(texts)
+def counter(path: str) -> Memo:
+    """Tokens of texts; None counts as empty."""
+    return Memo(path, lambda words: merged_counts(words, merge_table(path)).tolist(), sum, lambda _: 1)
 
 
 def token_counts(docs: DataFrame, text: str = "text", limit: int = 2048, vocabulary: str | None = None) -> DataFrame:
@@ -32,9 +30,11 @@ def token_counts(docs: DataFrame, text: str = "text", limit: int = 2048, vocabul
     path = vocabulary or vocabulary_path()
 
     @F.pandas_udf("long")
-    def count(batches: pd.Series) -> pd.Series:
-        texts = batches.tolist()
-        return pd.Series([n for i in range(0, len(texts), 256) for n in batch_counts(texts[i : i + 256], path)], dtype="int64")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts = counter(path).values  # its memory ends with the task
+        for batch in batches:
+            texts = batch.tolist()
+            yield pd.Series([n for i in range(0, len(texts), 256) for n in counts(texts[i : i + 256])], dtype="int64")
 
     added = ("n_bytes", "n_tokens", "over_limit")
     return (

@@ -12,8 +12,8 @@ import public_tokenizers
 import regex
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker keeps; the memory is emptied when it is full, so that it is bounded by this number.
-MEMO_WORDS = 500_000
+#: Words that a task keeps; the memory is emptied when it is full, so that it is bounded by this number.
+MEMO_WORDS = 200_000
 NONE = np.int64(1 << 40)
 
 

@@ -37,6 +37,27 @@ def test_counts(spark, library):
     assert token_count.token_counts(docs(spark, [])).count() == 0
 
 
+def test_code_points_newer_than_pythons(spark, library):
+    """What Python's Unicode data don't know goes through the library's own rules."""
+    rng = random.Random(2)
+    odd = [chr(c) for c in (0xA7CB, 0xA7DC, 0xA7DA, 0x10D50, 0x10D70, 0x1C89, 0x16EA0, 0x378, 0x301, 0x331, 0x2000)] + list("aH İΣ'7,")
+    texts = ["".join(rng.choices(odd, k=rng.randrange(1, 14))) for _ in range(800)]
+    df = docs(spark, texts)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df).collect()} == {i: len(ids(library, t)) for i, t in enumerate(texts)}
+    check_packing(library, packing.packed_documents(df).collect(), dict(enumerate(texts)))
+
+
+def test_a_full_memory_changes_nothing(library, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randrange(1, 6))) for _ in range(40)) for _ in range(60)]
+    want = [ids(library, t) for t in texts]
+    monkeypatch.setattr(packing, "MEMO_WORDS", 5)
+    monkeypatch.setattr("corpusloom.llm.wordpieces.MEMO_WORDS", 5)
+    encode, counts = packing.PartIds(vocabulary_path()).of, token_count.counter(vocabulary_path())
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
+    assert [n for i in range(0, 60, 7) for n in counts.values(texts[i : i + 7])] == [len(w) for w in want]
+
+
 def test_merging_by_words(library):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdeinorst", k=rng.randrange(1, 30))) for _ in range(500)]
