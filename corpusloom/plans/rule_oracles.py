@@ -330,6 +330,74 @@ select root, case when root = '' then 'all-courses' when root like 'Courses%' th
 select page_id, case page_id % 3 when 0 then 'Привет' || chr(10) when 1 then 'Пр' || chr(10) || 'a' else 'a' || chr(65533) || chr(65533) || 'b' end as text from pages
 """,
 }
+ORACLE_SQL |= {
+    "checklist_questions": """
+with p as (select cast(page_id as varchar) as unit_id, page_id % 4 as way from pages)
+select unit_id, 0 as q_index, case way when 0 then 'Task 1: pairs' when 2 then 'Task 7 login form' end as name,
+  case way when 0 then 'Check that the expected output is: select a from t where p1.id > p2.id and p1.age = 5'
+    when 2 then '"Pizza A" "Pizza A" "Pizza A" must be the expected output of whoami, see the example capture dump1.pcap' end as description,
+  case way when 1 then 'no_questions' when 3 then 'yaml_error' end as problem from p
+union all select unit_id, 1, 'Task 2', 'short', null from p where way = 0
+""",
+    "checklist_alignment": """
+select cast(page_id as varchar) as unit_id, case page_id % 4 when 1 then 'no_questions' when 3 then 'yaml_error' else 'checklist_alignment' end as issue_type,
+  case page_id % 4 when 0 then 'minor' when 1 then 'major' when 2 then 'info' else 'critical' end as severity, case page_id % 4 when 0 then 'warning' when 2 then 'pass' else 'fail' end as verdict,
+  cast(case page_id % 4 when 0 then 0.72 when 1 then 0.9 when 2 then 0.75 else 0.95 end as double) as confidence from pages
+""",
+    "checklist_grounding": """
+with x as (
+  select page_id, 'ungrounded_self_join_order' as issue_type, 'p1.id > p2.id' as quote from pages where page_id % 4 = 0
+  union all select page_id, 'ungrounded_sql_condition', 'p1.age = 5' from pages where page_id % 4 = 0
+  union all select page_id, 'suspicious_duplicate_name_result', 'Pizza A × 3' from pages where page_id % 4 = 2
+  union all select page_id, 'ungrounded_command', 'whoami' from pages where page_id % 4 = 2 and page_id % 16 <> 6
+  union all select page_id, 'artifact_missing_expected_text', 'whoami не найден в dump1.pcap' from pages where page_id % 16 = 6
+  union all select page_id, 'expected_file_name_mismatch', 'dump1.pcap vs dump_1.pcap' from pages where page_id % 8 = 2
+  union all select page_id, 'ungrounded_resource', 'dump1.pcap' from pages where page_id % 8 = 6
+)
+select cast(page_id as varchar) as unit_id, issue_type, quote, 'major' as severity, 'warning' as verdict, cast(case when issue_type like 'artifact%' then 0.88 else 0.84 end as double) as confidence from x
+""",
+    "gold_cases": f"""
+with {made("problem_rows")},
+x as (
+  select *, 'links' as criterion, 1 as n, 12 as line_start, 'Строка 12 - сломанная ссылка' as gold_text from problem_rows where row_number % 5 = 0
+  union all select *, 'readability', 1, null, '10-12 - опечатка' from problem_rows where row_number % 5 = 1
+  union all select *, unnest(['readability', 'correctness']), 2, 15, '15 - неверно, example' from problem_rows where row_number % 5 = 1
+  union all select *, 'technology_freshness', 1, null, 'устарел стек' from problem_rows where row_number % 5 = 2
+  union all select *, unnest(['facts', 'correctness']), 1, null, 'Тип проблемы: x' from problem_rows where row_number % 5 = 4
+)
+select 'gold_' || cast(row_number as varchar) || '_' || criterion || '_' || cast(n as varchar) as case_id, row_number, project_id, criterion, line_start, line_start as line_end, gold_text from x
+""",
+    "project_matches": f"""
+with {made("named_projects")}
+select distinct raw_project, case raw_project when 'proj_b.id_77 x' then 'u2' when 'zzz' then null else 'u1' end as project_id, case raw_project when 'proj_b.id_77 x' then 'PROJ B' when 'zzz' then null else 'Proj A' end as matched_project,
+  cast(case raw_project when 'zzz' then 0 when 'Proj' then 0.95 else 1 end as double) as score, raw_project = 'zzz' as weak from named_projects
+""",
+    "atomic_gold": """
+select 'gold_' || cast(doc_id as varchar) || '_links' as case_id, cast(doc_id as integer) as row_number, 'p' as raw_project, 'links' as criterion, cast(case doc_id % 4 when 0 then 12 when 1 then 7 end as integer) as line_start,
+  cast(case doc_id % 4 when 0 then 12 when 1 then 9 end as integer) as line_end, 'case ' || cast(doc_id as varchar) as gold_text, case doc_id % 3 when 0 then 'a.md' when 2 then 'c.md' end as file_hint, doc_id % 5 in (0, 1) as is_opinion
+from labels where doc_id % 6 <> 5
+""",
+    "curriculum_signals": """
+with x as (select cast(page_id % 10 as varchar) as unit_id, cast(page_id as integer) as line_no, page_id % 10 < 5 as java, page_id % 8 as way from pages),
+y as (
+  select *, case when way = 0 then 'language_material_conflict' when way = 1 and java then 'inappropriate_tool' when way = 2 and java then 'language_tooling_conflict' when way = 3 then 'outdated_approach'
+    when way = 4 then 'topic_review' when way = 5 then 'absolute_practice_claim' end as issue_type from x
+)
+select unit_id, line_no, issue_type, case when way = 1 or (way = 0 and java) then 'major' when way = 4 then 'info' else 'minor' end as severity, case when way = 3 then 'technology_freshness' else 'correctness' end as criterion, way not in (3, 4) as strong
+from y where issue_type is not null
+""",
+    "missing_topics": f"""
+with {made("topic_files")},
+u as (select unit_id, cast(unit_id as integer) % 4 as way, max(text) filter (kind = 'readme') as quote from topic_files group by 1 having bool_or(kind = 'readme') and bool_or(kind = 'code')),
+t as (
+  select *, 'preprocessor' as topic, 'minor' as severity from u where way <> 1
+  union all select *, 'unsigned_types', 'minor' from u where way = 0
+  union all select *, 'debugger', 'info' from u where way = 2
+  union all select *, 'state_machine', 'info' from u where way = 3
+)
+select unit_id, 'README.md' as file_path, 1 as line_start, quote, severity, topic from t
+""",
+}
 #: Over candidates that the query above this one gives.
 ORACLE_SQL["dependency_freshness"] = f"""
 with declared as ({ORACLE_SQL["declared_dependencies"]}),

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_match
-from ..operators import adjudicate, align, consistency, context, dependencies, entities, evaluate, findings, links, markdown, readability, resources, rights, sinks, verdicts
+from ..materialize import written
+from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, readability, resources, rights, sinks, verdicts
 from ..operators.images import image_quality
 from ..operators.lines import FILE, lines, sticky_state, without_fences
 from ..sources import files as f
@@ -67,6 +68,18 @@ MADE = {
     "any_paths": ("pages", {"page_id": "page_id", "path": "case page_id % 9 when 0 then 'docs/README_RUS.md' when 1 then 'check-list.yml' when 2 then 'app/package.json' when 3 then 'Materials/a.md' when 4 then 'tests/x.txt' when 5 then 'node_modules/a.json' when 6 then 'build/a.txt' when 7 then 'src/main.py' else 'src/build/Dockerfile' end"}),
     "roots": ("pages", {"root": "case page_id % 4 when 0 then '' when 1 then concat('Courses/C ', cast(page_id as string)) when 2 then concat('проект_', cast(page_id as string)) else '--' end", "label": "case page_id % 4 when 0 then 'All Courses!' when 1 then concat('C ', cast(page_id as string)) when 2 then concat('проект_', cast(page_id as string)) else '--' end"}),
     "contents": ("pages", {"page_id": "page_id", "content": "case page_id % 3 when 0 then unhex('CFF0E8E2E5F20D0A') when 1 then unhex('D09FD1800D61') else unhex('61989862') end"}),
+    "checklist_files": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "'check-list.yml'", "kind": "'checklist'", "text": "case page_id % 4 when 0 then '{\"sections\":[{\"questions\":[{\"name\":\"Task 1: pairs\",\"text\":\"Check that the expected output is: select a from t where p1.id > p2.id and p1.age = 5\"},{\"name\":\"Task 2\",\"id\":\"x\",\"text\":[\"short\", 5]}]}]}' when 1 then '{\"sections\": []}' when 2 then replace('{\"sections\":[{\"questions\":[{\"name\":\"Task 7 login form\",\"text\":\"~Pizza A~ ~Pizza A~ ~Pizza A~ must be the expected output of whoami, see the example capture dump1.pcap\"}]}]}', '~', concat(chr(92), chr(34))) else 'a: [b' end"}),
+    "checklist_readmes": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "'README.md'", "kind": "'readme'", "text": "case page_id % 4 when 0 then concat('# Task 1', chr(10), 'Return pairs of people where age=5', chr(10), '# Task 2', chr(10), 'x') when 2 then concat('# Task 7', chr(10), 'The login form and names of pizzerias') else 'nothing' end"}),
+    "checklist_paths": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "case when page_id % 8 = 2 then 'materials/dump_1.pcap' else 'README.md' end"}),
+    "artifact_index": ("pages", {"unit_id": "cast(page_id as string)", "ref": "case when page_id % 16 = 6 then 'dump1.pcap' else 'other.txt' end", "text": "'only pizza a stands here'"}),
+    "problem_rows": ("labels", {"row_number": "doc_id", "project_id": "concat('p', cast(doc_id % 7 as string))", "problem": "case doc_id % 5 when 0 then 'Ссылки' when 1 then 'опечатки и факты' when 2 then 'Актуальность' when 3 then 'Прочее' else 'логика' end", "details": "case doc_id % 5 when 0 then concat('1. Строка 12 - сломанная ссылка', chr(10), 'Решение:', chr(10), 'исправить') when 1 then concat('* 10-12 - опечатка', chr(10), '15 - неверно, example') when 2 then 'устарел стек' when 3 then null else 'Тип проблемы: x' end"}),
+    "named_projects": ("labels", {"raw_project": "case doc_id % 4 when 0 then 'Proj A (1)' when 1 then 'proj_b.id_77 x' when 2 then 'zzz' else 'Proj' end"}),
+    "project_units": ("labels", {"project_id": "case doc_id % 3 when 0 then 'u1' when 1 then 'u2' else 'u3' end", "name": "case doc_id % 3 when 0 then 'Proj A' when 1 then 'PROJ B' else 'other' end"}),
+    "atomic_rows": ("labels", {"row_number": "cast(doc_id as int)", "`критерий_код`": "case when doc_id % 6 = 5 then '' else 'links' end", "`Текст кейса`": "concat(' case ', cast(doc_id as string))", "`Проект`": "'p'", "`Строка`": "case doc_id % 4 when 0 then '12' when 1 then ' 9 - 7 ' when 2 then 'x' else null end", "`Файл`": "case doc_id % 3 when 0 then ' a.md ; b.md' when 1 then '' else 'c.md' end", "`Оставить`": "case doc_id % 5 when 0 then 'Opinion?' when 1 then 'мнение' else 'defect' end"}),
+    "curriculum_lines": ("pages", {**PAGE_FILE, "line": "case page_id % 8 when 0 then 'Follow the Google C++ code style' when 1 then 'Use ASP.NET' when 2 then 'Run make to build the target' when 3 then 'Write in C11' when 4 then 'Read about the debugger' when 5 then 'Never use goto' when 6 then 'make build target with Maven' else 'none' end"}),
+    "curriculum_units": ("pages", {"unit_id": "cast(page_id % 10 as string)", "name": "case when page_id % 10 < 5 then 'java_shop' else 'shop' end"}),
+    "curriculum_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "case when page_id % 10 < 5 then 'README.md' else 'src/a.c' end"}),
+    "topic_files": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'README.md' else 'src/a.c' end", "kind": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'readme' else 'code' end", "text": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 1 then '#include <stdio.h>' when page_id % 4 = 0 then 'The int and char data types' when page_id % 4 = 1 then 'What is #include for' when page_id % 4 = 2 then 'gcc: quest 1, quest 2, quest 3' else 'A console game' end"}),
 }
 #: Rules of availability, in order: (pattern, status, reason).
 AVAILABILITY = (("figma.com", "unavailable", "r"), ("*.slack.com", "limited", "r"), ("docker", "manual_review", "r"), ("notion", "wrong", "r"))
@@ -314,6 +327,51 @@ def decoded_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(spark, sf_dir, "contents").select("page_id", f.decoded(F.col("content")).alias("text"))
 
 
+def checklist_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checklists.questions(made(spark, sf_dir, "checklist_files")).select("unit_id", "q_index", "name", "description", "problem")
+
+
+def checklist_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check-lists of units against their READMEs."""
+    asked = written(checklists.questions(made(spark, sf_dir, "checklist_files")))
+    return checklists.alignment(asked, checklists.readmes(made(spark, sf_dir, "checklist_readmes"))).select("unit_id", "issue_type", "severity", "verdict", "confidence")
+
+
+def checklist_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What questions demand beyond the README, the files and the artifacts."""
+    asked = written(checklists.questions(made(spark, sf_dir, "checklist_files")))
+    x = checklists.grounding(asked, checklists.readmes(made(spark, sf_dir, "checklist_readmes")), made(spark, sf_dir, "checklist_paths"), made(spark, sf_dir, "artifact_index"))
+    return checklists.grounding_findings(x).select("unit_id", "issue_type", "quote", "severity", "verdict", "confidence")
+
+
+def gold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single cases of a sheet's rows, with their criteria and lines."""
+    return gold.gold_cases(made(spark, sf_dir, "problem_rows"))
+
+
+def project_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.matched_projects(made(spark, sf_dir, "named_projects"), made(spark, sf_dir, "project_units").distinct())
+
+
+def atomic_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.atomic_cases(made(spark, sf_dir, "atomic_rows"))
+
+
+def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = made(spark, sf_dir, "checklist_readmes").where("false")
+    return curriculum.language_hints(none, made(spark, sf_dir, "curriculum_paths"), made(spark, sf_dir, "curriculum_units"))
+
+
+def curriculum_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.line_signals(made(spark, sf_dir, "curriculum_lines"), _hints(spark, sf_dir)).select("unit_id", "line_no", "issue_type", "severity", "criterion", "strong")
+
+
+def missing_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(spark, sf_dir, "topic_files")
+    hints = curriculum.language_hints(files, files.select("unit_id", "relative_path"), files.select("unit_id", F.lit("x").alias("name")))
+    return curriculum.curriculum_findings(curriculum.missing_topics(files, hints)).select("unit_id", "file_path", "line_start", "quote", "severity", F.element_at("extra", "topic").alias("topic"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -322,5 +380,6 @@ QUERIES = {
         copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates, market_fit, call_outputs, foreign_materials, fact_claims,
         stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, text_anchors, stem_similarity, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
+        checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics,
     )
 }
