@@ -14,7 +14,8 @@ DENY = ("GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"
 REVIEW = ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0", "LicenseRef-Custom")
 DATASET = r"\b(kaggle\.com/datasets|huggingface\.co/datasets|archive\.ics\.uci\.edu|датасет|dataset)\b"
 LADDER = {"violation": ("critical", "fail", True), "unlicensed": ("major", "fail", True), "no_source": ("minor", "warning", True), "no_license_only": ("info", "warning", False), "unverifiable": ("info", "unknown", True)}
-LICENSE_TEXT = r"(?iu)licen[sc]e|лицензи"
+LICENSE_TEXT = r"(?iu)license|лицензи"
+PROJECT_LICENSE = (r"(?m)^\s*license\s*=\s*[\"']([^\"']+)", r"(?m)^\s*license\s*=\s*\{[^}\n]*(?:text|file)\s*=\s*[\"']([^\"']+)")
 DECORATIVE = ("icon", "badge", "logo", "avatar", "divider", "emoji", "shields.io", "икон", "логотип")
 
 
@@ -46,10 +47,21 @@ def rights_findings(signals: DataFrame) -> DataFrame:
     return findings(graded(signals).withColumns({"criterion": F.lit("rights"), "checker_name": F.lit("rights_originality_checker")}))
 
 
+def declared_license(name: Column, text: Column) -> Column:
+    """The licence that a file of this name states: package.json or pyproject.toml by their field, LICENSE files by their words; null if none."""
+    low = F.lower(name)
+    package = F.from_json(text, "struct<license:string>")["license"]
+    project = F.coalesce(*(F.nullif(F.regexp_extract(text, rule, 1), F.lit("")) for rule in PROJECT_LICENSE))
+    stated = F.when(low == "package.json", package).when(low == "pyproject.toml", project).when(low.startswith("license"), guessed_license(text))
+    return F.nullif(F.trim(stated), F.lit(""))
+
+
 def units_without_license(files: DataFrame) -> DataFrame:
-    """A signal for each unit that has no LICENSE or NOTICE file and whose README names no licence."""
-    name = F.upper(F.substring_index("relative_path", "/", -1))
+    """A signal for each unit that has no LICENSE or NOTICE file, whose README names no licence, and whose manifests declare none."""
+    base = F.substring_index("relative_path", "/", -1)
+    name = F.upper(base)
     has = (name.startswith("LICENSE") | name.startswith("NOTICE")) | ((F.col("kind") == "readme") & F.coalesce(F.col("text").rlike(LICENSE_TEXT), F.lit(False)))
+    has = has | F.when(F.lower(base).isin("package.json", "pyproject.toml"), declared_license(base, F.col("text")).isNotNull()).otherwise(False)
     x = files.groupBy("unit_id").agg(F.max(has).alias("has")).where("not has")
     return rights_findings(x.select("unit_id", F.lit("no_license_only").alias("risk"), F.lit(True).alias("deterministic"), F.lit(0.6).alias("confidence"), F.lit("no_project_license").alias("issue_type")))
 

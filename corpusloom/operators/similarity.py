@@ -18,6 +18,8 @@ from ..materialize import written
 CODE_SUFFIXES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "go": "go", "rb": "ruby", "rs": "rust", "cs": "csharp"}
 ATTRIBUTION = r"https?://|источник|лицензи|автор|copyright|license|adapted from|based on|courtesy of|©"
 GRAM, WINDOW = 30, 4
+#: A bitmap of fingerprints has 2**BITS bits (4 MB).
+BITS = 25
 
 
 def code_language(path: Column) -> Column:
@@ -48,30 +50,50 @@ def winnowed(text: str, gram: int, window: int, kind: str) -> np.ndarray:
     places = range(len(text) - gram + 1)
     data = text.encode()
     grams = [data[i : i + gram] for i in places] if len(data) == len(text) else [text[i : i + gram].encode() for i in places]
-    hashes = np.array(list(map(zlib.crc32, grams)) if kind == "crc32" else [int(hashlib.md5(g).hexdigest()[:15], 16) for g in grams], np.int64)
+    if kind == "crc32":
+        hashes = np.fromiter(map(zlib.crc32, grams), np.int64, len(grams))
+    else:
+        md5 = hashlib.md5
+        digests = b"".join([md5(g).digest() for g in grams])
+        hashes = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
     if len(hashes) < window:
         return hashes[:0]
     return np.unique(sliding_window_view(hashes, window).min(axis=1))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], gram: int = GRAM, window: int = WINDOW, kind: str = "crc32") -> DataFrame:
+def fingerprints(docs: DataFrame, keys: list[str], gram: int = GRAM, window: int = WINDOW, kind: str = "crc32", among: DataFrame | None = None) -> DataFrame:
     """docs (keys, text) -> keys, fingerprint (distinct in a text). Texts shorter than a gram, or with fewer hashes than a window, have none.
 
-    Hashing each gram has to be done a text at a time; only distinct fingerprints leave the task. They are written, as they are used several times.
+    Hashing each gram has to be done a text at a time; only distinct fingerprints leave the task. They are written, as
+    they are used several times. With `among` (fingerprint), only its fingerprints are kept, and perhaps a few others:
+    a bitmap of 2**BITS bits, whatever their number, goes to the tasks.
     """
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(among)) if among is not None else None
 
     def run(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = winnowed(row.text, gram, window, kind)
-                if len(found):
-                    yield pd.DataFrame({k: [getattr(row, k)] * len(found) for k in keys} | {"fingerprint": found})
+            found = [winnowed(t, gram, window, kind) for t in batch["text"]]
+            if bits is not None:
+                found = [f[bits.value[(f & ((1 << BITS) - 1)) >> 3] >> (f & 7) & 1 == 1] for f in found]
+            row = np.repeat(np.arange(len(batch)), [len(f) for f in found])
+            out = batch[keys].iloc[row].reset_index(drop=True)
+            yield out.assign(fingerprint=np.concatenate(found) if found else np.zeros(0, np.int64))
 
     plain = docs.where(F.char_length("text") >= gram + window - 1).select(*keys, "text")
     schema = ", ".join(f"{k} {plain.schema[k].dataType.simpleString()}" for k in keys)
     return written(plain.mapInPandas(run, f"{schema}, fingerprint long"))
 
 
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """Which low bits occur among fingerprints: 2**BITS bits, collected as at most 2**BITS / 32768 rows."""
+    low = F.col("fingerprint").bitwiseAND(F.lit((1 << BITS) - 1))
+    rows = prints.groupBy(F.shiftright(low, 15).alias("bucket")).agg(F.bitmap_construct_agg(low % 32768).alias("bits")).collect()
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows:
+        out[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 def similar_units(docs: DataFrame, key: str = "unit_id", scope: str = "language", threshold: float = 0.8, kind: str = "crc32", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs (scope, key, text) -> scope, a, b (a < b), similarity: shared fingerprints over the smaller set, of pairs from the threshold on.
 
@@ -101,11 +123,11 @@ def similar_units(docs: DataFrame, key: str = "unit_id", scope: str = "language"
 def containment(items: DataFrame, corpus: DataFrame, item: str, doc: str, threshold: float = 0.8, kind: str = "crc32", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """item, doc, containment: share of an item's fingerprints that a document has, from the threshold on.
 
-    Only fingerprints of items take part, so the corpus side is filtered by a semi join before anything is paired.
+    Only fingerprints of items take part: the corpus's others stay in the tasks that make them.
     """
     own = fingerprints(items, [item], gram, window, kind)
     sizes = own.groupBy(item).agg(F.count(F.lit(1)).alias("size"))
-    theirs = fingerprints(corpus, [doc], gram, window, kind).join(own.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    theirs = fingerprints(corpus, [doc], gram, window, kind, among=own)
     x = own.join(theirs, "fingerprint").groupBy(item, doc).agg(F.count(F.lit(1)).alias("both")).join(sizes, item)
     x = x.withColumn("containment", F.bround(F.col("both") / F.col("size"), 4))
     return x.where(F.col("containment") >= threshold).select(item, doc, "containment")

@@ -250,7 +250,7 @@ select cast(page_id % 20 as varchar) as unit_id, cast(page_id as integer) as lin
 """,
     "missing_license_units": """
 select source || '-' || cast(doc_id % 10 as varchar) as unit_id, 'rights' as criterion, 'info' as severity, 'warning' as verdict, cast(0.6 as double) as confidence, false as needs_human_review
-from documents group by 1 having not bool_or(regexp_matches(lower(text), 'licen[sc]e|лицензи'))
+from documents group by 1 having not bool_or(regexp_matches(lower(text), 'license|лицензи'))
 """,
     "severity_calibrated": f"""
 with {FINDINGS},

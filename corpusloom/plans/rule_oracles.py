@@ -376,6 +376,16 @@ select distinct raw_project, case raw_project when 'proj_b.id_77 x' then 'u2' wh
 select 'gold_' || cast(doc_id as varchar) || '_links' as case_id, cast(doc_id as integer) as row_number, 'p' as raw_project, 'links' as criterion, cast(case doc_id % 4 when 0 then 12 when 1 then 7 end as integer) as line_start,
   cast(case doc_id % 4 when 0 then 12 when 1 then 9 end as integer) as line_end, 'case ' || cast(doc_id as varchar) as gold_text, case doc_id % 3 when 0 then 'a.md' when 2 then 'c.md' end as file_hint, doc_id % 5 in (0, 1) as is_opinion
 from labels where doc_id % 6 <> 5
+""",
+    "audit_counts": """
+select * from (
+  select 'structure_checker' as checker_name, 'missing_checklist' as issue_type, 'major' as severity, 'fail' as verdict, count(distinct page_id % 50) as n from pages
+  union all select 'readability_checker', 'placeholder', 'major', 'fail', count(*) from pages where page_id % 5 = 0
+  union all select 'local_consistency_checker', 'invalid_definition', 'minor', 'warning', count(*) from pages where page_id % 5 = 1
+  union all select 'broken_url_syntax_checker', 'broken_url_syntax', 'major', 'fail', count(*) from pages where page_id % 5 = 2
+  union all select 'local_link_checker', 'missing_local_image', 'major', 'fail', count(*) from pages where page_id % 5 = 3
+  union all select 'link_checker', 'gone', 'major', 'fail', count(*) from pages where page_id % 5 = 4
+) where n > 0
 """,
     "curriculum_signals": """
 with x as (select cast(page_id % 10 as varchar) as unit_id, cast(page_id as integer) as line_no, page_id % 10 < 5 as java, page_id % 8 as way from pages),

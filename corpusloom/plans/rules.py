@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..detector import Corpus, audit
 from ..functions.text import normalize_for_match
 from ..materialize import written
 from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, readability, resources, rights, sinks, verdicts
@@ -80,6 +81,7 @@ MADE = {
     "curriculum_units": ("pages", {"unit_id": "cast(page_id % 10 as string)", "name": "case when page_id % 10 < 5 then 'java_shop' else 'shop' end"}),
     "curriculum_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "case when page_id % 10 < 5 then 'README.md' else 'src/a.c' end"}),
     "topic_files": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'README.md' else 'src/a.c' end", "kind": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'readme' else 'code' end", "text": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 1 then '#include <stdio.h>' when page_id % 4 = 0 then 'The int and char data types' when page_id % 4 = 1 then 'What is #include for' when page_id % 4 = 2 then 'gcc: quest 1, quest 2, quest 3' else 'A console game' end"}),
+    "audited": ("pages", {"unit_id": "cast(page_id % 50 as string)", "relative_path": "concat('README_', cast(page_id as string), '.md')", "kind": "'readme'", "text": "concat('# Title ', cast(page_id as string), chr(10), case page_id % 5 when 0 then 'TODO: describe' when 1 then 'A word is any symbol' when 2 then 'Look at http:/broken.example/x' when 3 then '![shot](img/none.png)' else 'Look at https://gone.example/x' end, chr(10), 'License: MIT')"}),
 }
 #: Rules of availability, in order: (pattern, status, reason).
 AVAILABILITY = (("figma.com", "unavailable", "r"), ("*.slack.com", "limited", "r"), ("docker", "manual_review", "r"), ("notion", "wrong", "r"))
@@ -372,6 +374,13 @@ def missing_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum_findings(curriculum.missing_topics(files, hints)).select("unit_id", "file_path", "line_start", "quote", "severity", F.element_at("extra", "topic").alias("topic"))
 
 
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all detectors report about units made of pages, with a snapshot of link states."""
+    states = spark.createDataFrame([("https://gone.example/x", 404, None, None)], "url string, status int, final_url string, error string")
+    kept, _ = audit(Corpus(made(spark, sf_dir, "audited"), lookups={"url_status": states}))
+    return kept.groupBy("checker_name", "issue_type", "severity", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -380,6 +389,6 @@ QUERIES = {
         copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates, market_fit, call_outputs, foreign_materials, fact_claims,
         stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, text_anchors, stem_similarity, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
-        checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics,
+        checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
     )
 }
