@@ -31,8 +31,8 @@ TREES = 5
 BRANCHES = 2
 #: Nodes of so many classes at most are compared as a whole, larger ones branch, up to DEPTH times; what is then still
 #: larger goes the way of step 3 with all its members as queries. None of the three changes a result.
-SMALL = 32
-DEPTH = 6
+SMALL = 64
+DEPTH = 4
 #: Classes, and shingles, in a block of queries or members.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, PLACES, dtype=np.uint64) * U64(2) + U64(1)
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
         seen = Observation()
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         members = written(rows.join(counts, "node").observe(seen, F.max("n").alias("most")))
-        small.append(small_node_pairs(members.where(F.col("n") <= SMALL).join(classes, "cid").select("node", "cid", "n_shingles", "sketch"), percent))
+        small.append(written(small_node_pairs(members.where(F.col("n") <= SMALL).join(classes, "cid").select("node", "cid", "n_shingles", "sketch"), percent)))
         if (seen.get["most"] or 0) <= SMALL:
             break
         big = members.where(F.col("n") > SMALL).join(classes.select("cid", "doc_id"), "cid")
@@ -288,9 +288,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
         first = first.union(likely.select(F.least("cid", "pivot"), F.greatest("cid", "pivot"))).distinct()
     tried = written(compared(first, sets, percent))
     parts = connected_components(tried.where("linked").select("a", "b"))
-    found = [compared(between(pairs, parts).join(tried, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b")]
+    found = [written(compared(between(pairs, parts).join(tried, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b"))]
     if groups is not None:
-        found.append(group_links(groups, parts, sets, percent))
+        found.append(written(group_links(groups, parts, sets, percent)))
     parts = connected_components(union([parts.select(F.col("id").alias("a"), F.col("component").alias("b")), *found]))
 
     labels = classes.select("cid", F.col("doc_id").alias("_first")).join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

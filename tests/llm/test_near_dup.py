@@ -63,7 +63,7 @@ def test_families_and_edges(spark):
     check(near_dup.near_duplicates(df, words=2, percent=80).collect(), data, 2, 80)
 
 
-@pytest.mark.parametrize("depth, block", [(6, 1024), (1, 1024), (2, 7)])
+@pytest.mark.parametrize("depth, block", [(4, 1024), (1, 1024), (2, 7)])
 def test_small_nodes_off(spark, monkeypatch, depth, block):
     """With nodes of two at most, families go through their pivots, and what doesn't branch further is compared in blocks."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
