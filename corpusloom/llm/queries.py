@@ -15,8 +15,7 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"), "text", "size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

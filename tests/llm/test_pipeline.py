@@ -1,7 +1,9 @@
 """The stages, each against a brute-force version on what came before."""
 
 import re
+import zlib
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,6 +38,51 @@ def test_language(steps):
     assert all(r["doc_id"] in kept for r in before if re.search(r"[^\W\d_]{3}", r["text"] or ""))
 
 
+def test_language_rejects(spark):
+    """Ambiguous and letterless documents go; others get the language that is predicted, or keep theirs."""
+    words = {"en": "the cat and the dog saw this house ", "de": "der Hund und die Katze sehen das Haus "}
+    rows = [(i, words["en" if i % 2 else "de"] * 3, "en" if i % 2 else "de", "s") for i in range(80)]
+    rows += [(100, "12 34 !?", None, "s"), (101, None, "en", "s"), (102, words["en"] * 2 + "x", None, "s"), (103, words["de"] * 2, "fr", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, df, SF).collect()}
+    assert 100 not in got and 101 not in got and got[102] == "en" and got[103] == "fr" and len(got) == 82
+    from corpusloom.llm import langid
+
+    close = langid.identify(df, langid.learned(df)).where("ambiguous").select("doc_id").collect()
+    assert not {r["doc_id"] for r in close} & set(got)
+
+
+ODD_COLUMNS = "doc_id long, text string, lang string, source string, found int, kept_id int, _id int, spans array<int>, rid string, size int, taken int, words string, _key double, lang_pred string, length int, `a b` int"
+
+
+def odd_rows():
+    long = " ".join(f"word{i} of the text" for i in range(300))
+    for i, (doc_id, text, lang, source) in enumerate([(1, long, "en", "a"), (1, long, "en", "a"), (2, None, None, None), (None, "some other text without an id", None, "b"), (3, "", "de", "b"), (4, "ein ganz anderer Text steht hier", "de", None), (5, long + " and an end", "en", "b")]):
+        yield doc_id, text, lang, source, i, i, None, [i], None, i, i, "w", 0.5, None, i, i
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_tables(spark, name, stage):
+    """Nulls in any column, empty texts, repeated rows, clashing names and no rows at all."""
+    df = spark.createDataFrame(list(odd_rows()), ODD_COLUMNS)
+    out, none = stage(spark, df, SF), stage(spark, df.where("false"), SF)
+    rows = out.collect()
+    assert none.columns == out.columns and none.count() == 0
+    if name == "pack":
+        assert len(rows) >= 7 and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+        return
+    assert out.columns == df.columns and [t for _, t in out.dtypes] == [t for _, t in df.dtypes]
+    seen = sorted((r["doc_id"] or 0) for r in rows)
+    if name == "near_duplicates":
+        assert seen == [0, 1, 1, 2, 3, 4]
+    elif name == "repeated_passages":
+        assert seen == [0, 4, 5] and {r["text"] for r in rows if r["doc_id"] == 5} == {" and an end"}
+    elif name == "mix":
+        assert set(seen) <= {0, 1, 4, 5} and len(rows) >= 3
+    by_found = {r[4]: r for r in odd_rows()}
+    assert all((r["spans"], r["a b"], r["_key"]) == ([r["found"]], r["found"], 0.5) and by_found[r["found"]][0] == r["doc_id"] for r in rows)
+
+
 def test_near_duplicates(steps):
     texts = {r["doc_id"]: r["text"] for r in steps[0][1]}
     want, _ = components(texts, 5, 80)
@@ -66,3 +113,18 @@ def test_pack(steps):
     rows = steps[0][5]
     assert sum(r["length"] for r in rows) == total
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for found in places.values():  # no gaps, no more than fits
+        ends = [0]
+        for offset, length in sorted(found):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    pieces = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    want = []
+    for r in steps[0][4]:
+        ids = [*library.encode(r["text"], add_special_tokens=False).ids, 0]
+        want += [(r["doc_id"], i, len(ids[i : i + 2048]), zlib.crc32(np.array(ids[i : i + 2048], "<u4").tobytes())) for i in range(0, len(ids), 2048)]
+    assert pieces == sorted(want)
