@@ -25,26 +25,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Rows with that id stay, repeated ones too; texts that are null or have no word are near nothing and stay.
+    """
     ship(spark)
-    kept = near_dup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own = free_name(docs, "kept_id")
+    kept = near_dup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 200 bytes or more that stand anywhere else too; what is left empty goes."""
+    """Texts without the byte strings of 200 bytes or more that stand anywhere else too; what is left empty, or was empty or null, goes."""
     ship(spark)
     return suffix_dedup.without_repeats(docs).where(F.length("text") > 0)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, as rows: a document stands as often as it is taken, the last time perhaps cut."""
+    """The mix of sources, as rows: a document stands as often as it is taken, the last time perhaps cut. Texts without a word go; a null source is one of its own."""
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences of 2048 tokens."""
+    """The places of all pieces in sequences of 2048 tokens. A null text is its end mark alone; repeated rows have places of their own."""
     ship(spark)
     return packing.packed_documents(docs)
 
