@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder. Only an unset folder (tests) is replaced by a local one."""
+    """A new path in the shared folder that spark.checkpoint.dir names.
+
+    If it is unset, a session on one machine gets a folder of its own; on a cluster executors would write where the
+    driver can't read, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"

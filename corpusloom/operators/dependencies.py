@@ -13,6 +13,8 @@ from .findings import findings
 from .lines import first_in, lines, top_n
 
 GROUPS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+#: Availability patterns with a wildcard that are tried on every value.
+WILDCARDS = 1000
 CANDIDATE = "unit_id string, file_path string, ecosystem string, name string, spec string, line_start int, grp string"
 
 
@@ -201,15 +203,24 @@ def availability_key(value: Column) -> Column:
 def availability(values: DataFrame, rules: DataFrame) -> DataFrame:
     """values (unit_id, file_path, line_start, value, quote) against rules (ord, pattern, status, reason, source): the first rule that matches a value.
 
-    Distinct values are matched once, so that the rules, a small curated table, meet each of them a single time.
+    Distinct values are matched once. Plain patterns are joined by the value, the domains above it and its words; only
+    patterns with a wildcard, at most WILDCARDS, are tried on every value.
     """
-    distinct = values.select("value").distinct().withColumn("v", availability_key(F.col("value")))
+    distinct = values.select("value").distinct().withColumn("v", availability_key(F.col("value"))).where("v <> ''")
     p = rules.where(F.col("pattern").isNotNull() & (F.trim("pattern") != "") & F.col("status").isin("unavailable", "limited", "manual_review") & (F.trim(F.coalesce("reason", F.lit(""))) != "")).withColumn("p", availability_key(F.col("pattern")))
+    rule = F.struct("pattern", "status", "reason", "source", "updated_at").alias("rule")
+    labels = F.split("v", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    forms = F.array_distinct(F.concat(above, F.split("v", "[^a-zа-я0-9.+#-]+")))
+    hit = distinct.select("value", F.explode(forms).alias("p")).join(p.where(~F.col("p").contains("*")).select("p", "ord", rule), "p").select("value", "ord", "rule")
     mask = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("p", r"([^\w*])", r"\\$1"), r"\*", ".*"), F.lit("$"))
-    token = F.array_contains(F.split("v", "[^a-zа-я0-9.+#-]+"), F.col("p"))
-    match = F.when(F.col("p").contains("*"), F.rlike(F.col("v"), F.col("mask"))).otherwise((F.col("v") == F.col("p")) | F.col("v").endswith(F.concat(F.lit("."), F.col("p"))) | token)
-    hit = distinct.join(p.withColumn("mask", mask), match & (F.col("v") != ""))
-    hit = hit.groupBy("value").agg(F.min_by(F.struct("pattern", "status", "reason", "source", "updated_at"), "ord").alias("rule"))
+    wild = p.where(F.col("p").contains("*")).select("ord", mask.alias("mask")).limit(WILDCARDS + 1).collect()
+    if len(wild) > WILDCARDS:
+        raise ValueError(f"more than {WILDCARDS} patterns with a wildcard")
+    if wild:
+        found = F.filter(F.array(*(F.when(F.col("v").rlike(r["mask"]), F.lit(r["ord"])) for r in wild)), lambda o: o.isNotNull())
+        hit = hit.unionByName(distinct.select("value", F.explode(found).alias("ord")).join(p.select("ord", rule), "ord").select("value", "ord", "rule"))
+    hit = hit.groupBy("value").agg(F.min_by("rule", "ord").alias("rule"))
     x = values.join(hit, "value").withColumn("_v", F.lower("value")).dropDuplicates(["unit_id", "file_path", "_v", "line_start"])
     severity = F.when(F.col("rule.status") == "unavailable", "major").when(F.col("rule.status") == "limited", "minor").otherwise("info")
     return findings(

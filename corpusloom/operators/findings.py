@@ -46,12 +46,13 @@ def legacy_id() -> Column:
 
 def findings(rows: DataFrame) -> DataFrame:
     """rows with any of the finding columns -> all of them; missing ones are null, ids and issue_kind are computed. `ordinal` stays."""
-    for name, kind in FINDING_COLUMNS.items():
-        if name not in rows.columns:
-            value = F.create_map().cast(kind) if name == "extra" else F.array().cast(kind) if name == "evidence" else F.lit(None).cast(kind)
-            rows = rows.withColumn(name, value)
-    rows = rows.withColumn("extra", F.coalesce("extra", F.create_map().cast(FINDING_COLUMNS["extra"]))).withColumn("issue_kind", issue_kind())
-    rows = rows.withColumn("legacy_finding_id", legacy_id())
+    def absent(name: str, kind: str) -> Column:
+        return F.create_map().cast(kind) if name == "extra" else F.array().cast(kind) if name == "evidence" else F.lit(None).cast(kind)
+
+    missing = {name: absent(name, kind) for name, kind in FINDING_COLUMNS.items() if name not in rows.columns}
+    if "extra" in rows.columns:
+        missing["extra"] = F.coalesce("extra", F.create_map().cast(FINDING_COLUMNS["extra"]))
+    rows = rows.withColumns(missing).withColumn("issue_kind", issue_kind()).withColumn("legacy_finding_id", legacy_id())
     rows = rows.withColumn("finding_key", F.concat_ws(":", "legacy_finding_id", F.coalesce("issue_type", F.lit(""))))
     return rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in FINDING_COLUMNS.items()), *(c for c in ("ordinal",) if c in rows.columns))
 

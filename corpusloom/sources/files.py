@@ -107,8 +107,12 @@ def files(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFra
     x = x.withColumn("path", F.regexp_replace(F.substring_index("path", ":", -1), F.concat(F.lit(r"^/*\Q"), base, F.lit(r"\E/*")), ""))
     x = x.where(is_text_file(F.col("path")))
     u = units(listing(spark, root), root.rstrip("/").rsplit("/", 1)[-1]).select("unit_id", "relative_path")
-    inside = (F.col("relative_path") == "") | F.col("path").startswith(F.concat(F.col("relative_path"), F.lit("/")))
-    x = x.join(F.broadcast(u.withColumnRenamed("relative_path", "unit_path").withColumn("relative_path", F.col("unit_path"))), inside)  # units of one listing: a row per project
+    # a unit's folder is the scanned one, a child of it or a child's child, so each path has three names to look up
+    parts = F.split("path", "/")
+    keys = (F.lit(""), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))), F.when(F.size(parts) > 2, F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))
+    for d, key in enumerate(keys):
+        x = x.withColumn(f"_k{d}", key).join(u.select(F.col("unit_id").alias(f"_u{d}"), F.col("relative_path").alias(f"_k{d}"), F.col("relative_path").alias(f"_p{d}")), f"_k{d}", "left")
+    x = x.withColumns({"unit_id": F.coalesce("_u2", "_u1", "_u0"), "unit_path": F.coalesce("_p2", "_p1", "_p0")}).where("unit_id is not null")
     own = F.when(F.col("unit_path") == "", F.col("path")).otherwise(F.expr("substring(path, char_length(unit_path) + 2)"))
     x = x.withColumn("relative_path", own).where(~is_ignored(F.col("relative_path")))
     return x.select("unit_id", "relative_path", file_kind(F.col("relative_path")).alias("kind"), decoded(F.col("content")).alias("text"), F.col("length").alias("size_bytes"))
