@@ -330,7 +330,65 @@ select root, case when root = '' then 'all-courses' when root like 'Courses%' th
 select page_id, case page_id % 3 when 0 then 'Привет' || chr(10) when 1 then 'Пр' || chr(10) || 'a' else 'a' || chr(65533) || chr(65533) || 'b' end as text from pages
 """,
 }
+STRICT = f"""{made("strict_gold", "strict_found")},
+both_sides as (
+  select g.gold_idx, f.pred_idx, g.project_id, g.criterion as gold_criterion, f.criterion as found_criterion, g.line_start as gs, f.line_start as ps, g.gold_text, f.found_text, g.file_hint, f.file_path,
+    case when g.gold_text = '' or f.found_text <> 'aaa bbb ccc' then 0 when g.gold_text = 'bbb aaa' then 1 else 0.95 end as text,
+    case when g.line_start is null then 'none' when g.line_start = f.line_start then 'overlap' when abs(g.line_start - f.line_start) <= 2 then 'near' else 'far' end as relation
+  from strict_gold g join strict_found f on g.project_id = f.project_id where g.use_row and f.use_row
+)"""
+SCORED = f"""{STRICT},
+typed as (
+  select *, case when relation = 'overlap' and text >= 0.25 then 'line_and_text' when relation = 'overlap' then 'line_overlap' when relation = 'near' and text >= 0.2 then 'near_line_and_text' when text >= 0.55 then 'text_similarity' else 'criterion_only' end as match_type
+  from both_sides where gold_criterion = found_criterion
+),
+scored as (
+  select gold_idx, pred_idx, project_id || ':' || gold_criterion as scope, match_type,
+    cast(case match_type when 'line_overlap' then 0.82 when 'line_and_text' then greatest(0.9, text) when 'near_line_and_text' then greatest(0.75, text) when 'criterion_only' then greatest(0.15, text) else text end as double) as score from typed
+)"""
+SCREENED = f"""{STRICT},
+rated as (
+  select *, gold_criterion = found_criterion as same, coalesce(file_hint = 'README.md' and file_path = 'readme_rus.md', false) as same_file, relation in ('overlap', 'near') as close,
+    case when gold_text = '' or found_text <> 'aaa bbb ccc' then 0 else 1 end as content from both_sides
+),
+ranked as (
+  select *, cast(case when same_file and close then 0.9 when same_file and gs is null then 0.84 else content + case when close then 0.1 else 0 end end as double) as score from rated
+),
+screened as (select * from (select *, row_number() over (partition by gold_idx order by same desc, score desc, pred_idx) as rank from ranked where score >= 0.1) where rank <= 8)"""
+
+
+def greedy(source: str) -> str:
+    """CTEs walk and taken: `source` (scope, gold_idx, pred_idx, place) in order of place; a pair is taken if neither end was."""
+    free = "not list_contains(w.golds, o.gold_idx) and not list_contains(w.preds, o.pred_idx)"
+    return f"""walk as (
+  select scope, cast(0 as bigint) as place, cast([] as bigint[]) as golds, cast([] as bigint[]) as preds, false as hit from {source} group by scope
+  union all
+  select o.scope, o.place, case when {free} then list_append(w.golds, o.gold_idx) else w.golds end, case when {free} then list_append(w.preds, o.pred_idx) else w.preds end, {free}
+  from walk w join {source} o on o.scope = w.scope and o.place = w.place + 1
+),
+taken as (select o.* from walk w join {source} o on o.scope = w.scope and o.place = w.place where w.hit)"""
+
+
 ORACLE_SQL |= {
+    "pair_scores": f"with {SCORED} select gold_idx, pred_idx, match_type, score from scored",
+    "strict_matches": f"""
+with recursive {SCORED},
+queue as (select *, row_number() over (partition by scope order by score desc, gold_idx, pred_idx) as place from scored where match_type <> 'criterion_only'),
+{greedy("queue")},
+free as (
+  select *, row_number() over (partition by gold_idx order by score desc, pred_idx) as k from scored where pred_idx not in (select pred_idx from taken) and gold_idx not in (select gold_idx from taken)
+),
+found as (select gold_idx, pred_idx, match_type, score, true as counted from taken union all select gold_idx, pred_idx, match_type, score, false from free where k = 1)
+select g.gold_idx, f.pred_idx, coalesce(f.match_type, 'missed') as match_type, coalesce(f.score, 0) as score, coalesce(f.counted, false) as counted from strict_gold g left join found f on f.gold_idx = g.gold_idx where g.use_row
+""",
+    "prescreened_pairs": f"with {SCREENED} select gold_idx, pred_idx, same, round(score, 6) as score, rank from screened",
+    "assigned_pairs": f"""
+with recursive {SCREENED},
+sure as (select gold_idx, pred_idx, project_id as scope, same, greatest(score, 0.9) as confidence from screened where score >= 0.82),
+queue as (select *, row_number() over (partition by scope order by same desc, confidence desc, gold_idx, pred_idx) as place from sure),
+{greedy("queue")}
+select gold_idx, pred_idx, same, round(confidence, 6) as confidence from taken
+""",
     "checklist_questions": """
 with p as (select cast(page_id as varchar) as unit_id, page_id % 4 as way from pages)
 select unit_id, 0 as q_index, case way when 0 then 'Task 1: pairs' when 2 then 'Task 7 login form' end as name,

@@ -82,6 +82,8 @@ MADE = {
     "curriculum_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "case when page_id % 10 < 5 then 'README.md' else 'src/a.c' end"}),
     "topic_files": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'README.md' else 'src/a.c' end", "kind": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'readme' else 'code' end", "text": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 1 then '#include <stdio.h>' when page_id % 4 = 0 then 'The int and char data types' when page_id % 4 = 1 then 'What is #include for' when page_id % 4 = 2 then 'gcc: quest 1, quest 2, quest 3' else 'A console game' end"}),
     "audited": ("pages", {"unit_id": "cast(page_id % 50 as string)", "relative_path": "concat('README_', cast(page_id as string), '.md')", "kind": "'readme'", "text": "concat('# Title ', cast(page_id as string), chr(10), case page_id % 5 when 0 then 'TODO: describe' when 1 then 'A word is any symbol' when 2 then 'Look at http:/broken.example/x' when 3 then '![shot](img/none.png)' else 'Look at https://gone.example/x' end, chr(10), 'License: MIT')"}),
+    "strict_gold": ("events", {"gold_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 = 0", "gold_text": "case event_id % 4 when 0 then 'aaa bbb' when 1 then 'ccc' when 2 then '' else 'bbb aaa' end", "file_hint": "case when event_id % 2 = 0 then 'README.md' else null end", "line_start": "cast(case when event_id % 3 = 0 then null else event_id % 7 + 1 end as int)", "line_end": "cast(null as int)"}),
+    "strict_found": ("events", {"pred_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 in (1, 2)", "found_text": "case event_id % 3 when 0 then 'aaa bbb ccc' when 1 then 'ddd' else '' end", "file_path": "case event_id % 4 when 0 then 'readme_rus.md' when 1 then 'x.md' else null end", "line_start": "cast(event_id % 6 + 1 as int)", "line_end": "cast(null as int)"}),
 }
 #: Rules of availability, in order: (pattern, status, reason).
 AVAILABILITY = (("figma.com", "unavailable", "r"), ("*.slack.com", "limited", "r"), ("docker", "manual_review", "r"), ("notion", "wrong", "r"))
@@ -374,6 +376,31 @@ def missing_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum_findings(curriculum.missing_topics(files, hints)).select("unit_id", "file_path", "line_start", "quote", "severity", F.element_at("extra", "topic").alias("topic"))
 
 
+def _strict(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold cases and predictions of a user's events; several of each compete."""
+    return made(spark, sf_dir, "strict_gold").where("use_row"), made(spark, sf_dir, "strict_found").where("use_row")
+
+
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.pair_scores(*_strict(spark, sf_dir)).select("gold_idx", "pred_idx", "match_type", "score")
+
+
+def strict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per gold case: its match, its best free prediction, or neither."""
+    cases, found = _strict(spark, sf_dir)
+    return evaluate.strict_matches(cases, written(evaluate.pair_scores(cases, found))).select("gold_idx", "pred_idx", "match_type", "score", "counted")
+
+
+def prescreened_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.prescreened(*_strict(spark, sf_dir)).select("gold_idx", "pred_idx", "same", F.round("score", 6).alias("score"), "rank")
+
+
+def assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a project that the rules take for the same defect, one to one."""
+    x = align.assigned(written(align.judged(align.prescreened(*_strict(spark, sf_dir)))))
+    return x.select("gold_idx", "pred_idx", "same", F.round("confidence", 6).alias("confidence"))
+
+
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all detectors report about units made of pages, with a snapshot of link states."""
     states = spark.createDataFrame([("https://gone.example/x", 404, None, None)], "url string, status int, final_url string, error string")
@@ -390,5 +417,6 @@ QUERIES = {
         stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, text_anchors, stem_similarity, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
         checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
+        pair_scores, strict_matches, prescreened_pairs, assigned_pairs,
     )
 }
