@@ -389,6 +389,14 @@ queue as (select *, row_number() over (partition by scope order by same desc, co
 {greedy("queue")}
 select gold_idx, pred_idx, same, round(confidence, 6) as confidence from taken
 """,
+    "image_sources": "select cast(page_id as varchar) as unit_id, 'img/x.png' as quote, 'minor' as severity, 'warning' as verdict, cast(0.65 as double) as confidence from pages where page_id % 6 = 3",
+    "discovered_units": f"""
+with {made("unit_files")},
+x as (select distinct case when path like 'p%' then split_part(path, '/', 1) else split_part(path, '/', 1) || '/inner' end as relative_path from unit_files)
+select case when relative_path like 'p%' then relative_path else 'inner' end || '__' || substr(sha1(relative_path), 1, 8) as unit_id, case when relative_path like 'p%' then relative_path else 'inner' end as name, relative_path,
+  case when relative_path like 'Q%' then split_part(relative_path, '/', 1) end as branch from x
+""",
+    "manifest_licenses": "select cast(page_id as varchar) as unit_id, 'info' as severity, 'warning' as verdict, cast(0.6 as double) as confidence from pages where page_id % 6 in (4, 5)",
     "checklist_questions": """
 with p as (select cast(page_id as varchar) as unit_id, page_id % 4 as way from pages)
 select unit_id, 0 as q_index, case way when 0 then 'Task 1: pairs' when 2 then 'Task 7 login form' end as name,
@@ -480,3 +488,8 @@ y as (
 select unit_id, file_path, name || ' ' || spec as quote, rung as issue_type, case rung when 'outdated' then 'minor' else 'info' end as severity, case rung when 'no_snapshot' then 'unknown' when 'outdated' then 'warning' else 'pass' end as verdict,
   cast(case rung when 'no_snapshot' then 0.45 when 'outdated' then 0.85 else 0.75 end as double) as confidence, latest_version from y
 """
+ORACLE_SQL["dependency_conflicts"] = f"""
+with declared as ({ORACLE_SQL["declared_dependencies"]})
+select unit_id, name || ' ' || spec as quote, case name when 'lib0' then 'react' else 'node' end as related_dependency, case name when 'lib0' then '^17.0' else '<16' end as required_spec, 'major' as severity, cast(0.8 as double) as confidence
+from declared where name in ('lib0', 'lib1')
+"""

@@ -84,6 +84,10 @@ MADE = {
     "audited": ("pages", {"unit_id": "cast(page_id % 50 as string)", "relative_path": "concat('README_', cast(page_id as string), '.md')", "kind": "'readme'", "text": "concat('# Title ', cast(page_id as string), chr(10), case page_id % 5 when 0 then 'TODO: describe' when 1 then 'A word is any symbol' when 2 then 'Look at http:/broken.example/x' when 3 then '![shot](img/none.png)' else 'Look at https://gone.example/x' end, chr(10), 'License: MIT')"}),
     "strict_gold": ("events", {"gold_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 = 0", "gold_text": "case event_id % 4 when 0 then 'aaa bbb' when 1 then 'ccc' when 2 then '' else 'bbb aaa' end", "file_hint": "case when event_id % 2 = 0 then 'README.md' else null end", "line_start": "cast(case when event_id % 3 = 0 then null else event_id % 7 + 1 end as int)", "line_end": "cast(null as int)"}),
     "strict_found": ("events", {"pred_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 in (1, 2)", "found_text": "case event_id % 3 when 0 then 'aaa bbb ccc' when 1 then 'ddd' else '' end", "file_path": "case event_id % 4 when 0 then 'readme_rus.md' when 1 then 'x.md' else null end", "line_start": "cast(event_id % 6 + 1 as int)", "line_end": "cast(null as int)"}),
+    "image_files": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "'README.md'", "kind": "'readme'", "text": "case page_id % 3 when 0 then 'See ![a](img/x.png)' when 1 then 'From https://a.example ![a](img/x.png)' else '![a](img/logo.png)' end"}),
+    "image_meta": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "'img/x.png'", "width": "800", "height": "600", "author": "case when page_id % 6 = 0 then 'me' else null end", "copyright": "cast(null as string)", "license": "cast(null as string)", "has_c2pa": "false"}),
+    "unit_files": ("pages", {"path": "case when page_id % 2 = 0 then concat('p', cast(page_id % 7 as string), '/README.md') else concat('Q', cast(page_id % 7 as string), '/inner/src/a', cast(page_id as string), '.py') end", "length": "page_id"}),
+    "license_files": ("pages", {"unit_id": "cast(page_id as string)", "relative_path": "case page_id % 6 when 0 then 'package.json' when 1 then 'app/pyproject.toml' when 2 then 'License.txt' when 3 then 'README.md' when 4 then 'package.json' else 'a.txt' end", "kind": "case when page_id % 6 = 3 then 'readme' else 'text' end", "text": "case page_id % 6 when 0 then '{\"license\": \"MIT\"}' when 1 then concat('[project]', chr(10), 'license = \"Apache-2.0\"') when 3 then 'Лицензия: MIT' when 4 then '{\"name\": \"license\"}' else 'license' end"}),
 }
 #: Rules of availability, in order: (pattern, status, reason).
 AVAILABILITY = (("figma.com", "unavailable", "r"), ("*.slack.com", "limited", "r"), ("docker", "manual_review", "r"), ("notion", "wrong", "r"))
@@ -401,6 +405,33 @@ def assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("gold_idx", "pred_idx", "same", F.round("confidence", 6).alias("confidence"))
 
 
+def dependency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared dependencies that need a peer which isn't there, or another node than the project's."""
+    registry = made(spark, sf_dir, "registry").select("ecosystem", "name").distinct().withColumns({
+        "required_python": F.when(F.col("name") == "Flask", "<3"),
+        "peer_dependencies": F.when(F.col("name") == "lib0", F.create_map(F.lit("react"), F.lit("^17.0"))),
+        "engines": F.when(F.col("name") == "lib1", F.create_map(F.lit("node"), F.lit("<16"))),
+    })
+    x = dependencies.compatibility(dependencies.candidates(made(spark, sf_dir, "manifests")), registry)
+    return x.select("unit_id", "quote", *(F.element_at("extra", k).alias(k) for k in ("related_dependency", "required_spec")), "severity", "confidence")
+
+
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures without metadata and without a source nearby."""
+    files = made(spark, sf_dir, "image_files")
+    images = entities.entities(files, ("image",)).withColumn("target", F.col("value"))
+    return rights.image_sources(images, files, made(spark, sf_dir, "image_meta")).select("unit_id", "quote", "severity", "verdict", "confidence")
+
+
+def discovered_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f.units(made(spark, sf_dir, "unit_files"))
+
+
+def manifest_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units without a licence in files, README or manifests."""
+    return rights.units_without_license(made(spark, sf_dir, "license_files")).select("unit_id", "severity", "verdict", "confidence")
+
+
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all detectors report about units made of pages, with a snapshot of link states."""
     states = spark.createDataFrame([("https://gone.example/x", 404, None, None)], "url string, status int, final_url string, error string")
@@ -417,6 +448,6 @@ QUERIES = {
         stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, text_anchors, stem_similarity, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
         checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
-        pair_scores, strict_matches, prescreened_pairs, assigned_pairs,
+        pair_scores, strict_matches, prescreened_pairs, assigned_pairs, dependency_conflicts, image_sources, discovered_units, manifest_licenses,
     )
 }
