@@ -95,8 +95,8 @@ def id_ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> Column:
     return F.when(F.col("doc_id").isNull(), -1).otherwise((g - 1) * step + inside).cast("int")
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: Column) -> DataFrame:
-    """docs (doc_id, text, ...) with next_<c> for each c of columns: the value in the next row by descending doc_id.
+def with_next(docs: DataFrame, columns: list[str], ranges: Column, made: dict[str, Column] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) with the columns `made`, and next_<c> for each c of columns: the value in the next row by descending doc_id.
 
     The rows go to their range of ids, once. The row that follows a range's last one is the head of the next range (of
     the first one, in the end), and goes along as a sentinel. Rows with the same doc_id follow each other by text hash.
@@ -108,7 +108,8 @@ def with_next(docs: DataFrame, columns: list[str], ranges: Column) -> DataFrame:
     heads = heads.select("_head", F.coalesce(F.lag("_range").over(down), F.min("_range").over(everything)).alias("_to"))
     sentinels = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head.doc_id")) & (F.col("_h") == F.col("_head._h")))
     sentinels = sentinels.dropDuplicates(["_to"]).withColumn("_range", F.col("_to")).drop("_head", "_to")
-    rows = docs.withColumn("_last", F.lit(0)).unionByName(sentinels.withColumn("_last", F.lit(1)))
+    # what takes work is made of the sentinels that were found, not of all rows that are looked through for them
+    rows = docs.withColumn("_last", F.lit(0)).unionByName(sentinels.withColumn("_last", F.lit(1))).withColumns(made or {})
     order = W.partitionBy("_range").orderBy("_last", F.col("doc_id").desc_nulls_last(), F.col("_h").desc())
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
@@ -129,7 +130,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     plain = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = id_ranges(plain.select("doc_id"))
-    rows = with_next(plain.withColumn("lanes", fingerprint_lanes(F.col("text"))), ["text", "lanes"], ranges)
+    rows = with_next(plain, ["text", "lanes"], ranges, {"lanes": fingerprint_lanes(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
