@@ -67,7 +67,8 @@ def mix(docs: DataFrame, size: str = "size", weights=(5, 2, 1), share: float = 1
 
     sizes = keyed(sizes.select("doc_id", "source", size))
     per_source = sizes.groupBy("source").agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    targets = source_targets(per_source, weights, share, most).select(F.col("source").alias(source), "source_size", "target", F.ceil(F.col("rows") / RANGE_ROWS).cast("long").alias(ranges))
+    # small tables are written, so that Spark knows their size and doesn't shuffle whole documents to join them
+    targets = written(source_targets(per_source, weights, share, most).select(F.col("source").alias(source), "source_size", "target", F.ceil(F.col("rows") / RANGE_ROWS).cast("long").alias(ranges)))
     high = F.shiftrightunsigned(F.col(key), 32)
 
     def placed(x: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, size: str = "size", weights=(5, 2, 1), share: float = 1
 
     sums = placed(sizes).groupBy("source", at).agg(F.sum(size).alias("_sum"))
     upto = W.partitionBy("source").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias(source), F.col(at).alias(own), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias(start))
+    starts = written(sums.select(F.col("source").alias(source), F.col(at).alias(own), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias(start)))
     docs = placed(keyed(docs)).join(starts, F.col("source").eqNullSafe(F.col(source)) & (F.col(at) == F.col(own))).drop(source, own)
     inside = W.partitionBy("source", at).orderBy(high, key, F.col("doc_id").asc_nulls_last(), size).rowsBetween(W.unboundedPreceding, -1)
     before = F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0))

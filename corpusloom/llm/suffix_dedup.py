@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -38,9 +39,11 @@ GRAM = 64
 BATCHES = 4
 BLOCK = 1 << 19
 #: Keys with more contexts than this are compared a window at a time, over all tasks, by fingerprints of windows alone.
-HOT = 500
+HOT = 2_000
 #: Contexts whose windows are compared at once.
 CONTEXTS = 500
+#: Windows that are sorted at once; those with one fingerprint stay together.
+WINDOWS = 50_000
 _LOW = U64((1 << 20) - 1)
 
 
@@ -188,19 +191,25 @@ def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
         row, at, h = windows_of(part, length)
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
         maybe = np.flatnonzero(n[back] > 1)
+        maybe = maybe[np.argsort(h[maybe], kind="stable")]
         # sorted by the key, then the bytes; neighbours with all bytes in common are repeated
         data = np.frombuffer(b"".join(part["context"]), np.uint8)
         start = np.r_[0, np.cumsum(part["windows"].to_numpy().astype(np.int64) + length - 1)[:-1]]
-        place = start[row[maybe]] + at[maybe] - part["first"].to_numpy()[row[maybe]]
+        place = start[row] + at - part["first"].to_numpy()[row]
         hit = np.zeros(len(row), bool)
-        if len(maybe):
-            words = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-            key = part["key"].to_numpy()[row[maybe]].astype(">i8").view(np.uint8).reshape(-1, 8)
+        done = 0
+        while done < len(maybe):
+            last = min(done + WINDOWS, len(maybe)) - 1
+            to = int(np.searchsorted(h[maybe], h[maybe[last]], "right"))
+            some = maybe[done:to]
+            words = np.lib.stride_tricks.sliding_window_view(data, length)[place[some]]
+            key = part["key"].to_numpy()[row[some]].astype(">i8").view(np.uint8).reshape(-1, 8)
             text = np.hstack([key, words]).view(f"V{length + 8}").ravel()
             order = np.argsort(text, kind="stable")
             text = text[order]
             same = text[1:] == text[:-1]
-            hit[maybe[order[np.r_[False, same] | np.r_[same, False]]]] = True
+            hit[some[order[np.r_[False, same] | np.r_[same, False]]]] = True
+            done = to
         hit &= part["single"].to_numpy()[row]
         row, at = row[hit], at[hit]
         new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) != 1)][: len(row)])
@@ -226,8 +235,9 @@ def repeated_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     plain = contexts.where("not hot").repartition("key").sortWithinPartitions("key").mapInPandas(run, "rid long, first int, windows int")
     hot = contexts.where("hot").mapInPandas(single_windows, "rid long, at int, hash long, single boolean")
-    twice = hot.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return plain.union(hot.where("single").join(twice, "hash", "left_semi").select("rid", F.col("at").alias("first"), F.lit(1).alias("windows")))
+    # one shuffle of the windows: joining them with the counts of their fingerprints would make them twice
+    found = hot.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("hash"))).where("n > 1 and single")
+    return plain.union(found.select("rid", F.col("at").alias("first"), F.lit(1).alias("windows")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = HOT) -> DataFrame:

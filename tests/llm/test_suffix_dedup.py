@@ -37,6 +37,7 @@ def test_query(spark):
 def test_small_windows(spark, monkeypatch, hot, contexts):
     """Short windows over a small alphabet: many overlaps, periodic texts, edges of matches."""
     monkeypatch.setattr(suffix_dedup, "CONTEXTS", contexts)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 7 * contexts)
     rng = random.Random(hot)
     word = lambda n: "".join(rng.choices("abé", k=n))
     passages = [word(rng.randrange(10, 60)) for _ in range(6)]
