@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,50 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     """A 64-bit hash of the bytes of each span [start, end), the same wherever the bytes stand."""
     _, down = powers(len(prefix))
     return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (A-Z in lower case, split at space and U+0009 to U+000D) of all texts, and where each text's words end.
+
+    Each distinct word's bytes are hashed on their own (xxh3), so that words which differ collide by chance alone.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    inside = np.r_[False, ~_SPACE[data], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    text_ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]), "left")
+    if not len(starts):
+        return np.zeros(0, np.uint64), text_ends
+    letters = data[inside[1:-1]]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    known = words.dictionary.to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[words.indices.to_numpy()], text_ends
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; a shorter text's whole sequence is one; none without words."""
+    w, ends = word_hashes(texts)
+    h = np.full(max(0, len(w) - words + 1), U64(words), np.uint64)
+    for i in range(words if len(h) else 0):
+        h = mixed(h * _STEP + w[i : len(w) - words + 1 + i])
+    out, start = [], 0
+    for end in ends.tolist():
+        n = end - start
+        if n >= words or not n:
+            out.append(np.unique(h[start : end - words + 1]) if n else np.zeros(0, np.uint64))
+        else:
+            one = np.full(1, U64(n), np.uint64)
+            for x in w[start:end]:
+                one = mixed(one * _STEP + x)
+            out.append(one)
+        start = end
+    return out
+
+
+_STEP = U64(0xC2B2AE3D27D4EB4F)

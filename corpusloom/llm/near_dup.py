@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap, maybe_in, mixed, prefix_hashes, span_hashes, written
+from .common import U64, bitmap, maybe_in, mixed, shingle_sets, written
 from .graph import connected_components
 
 PLACES = 64
@@ -36,33 +36,6 @@ DEPTH = 4
 #: Classes, and shingles, in a block of queries or members.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, PLACES, dtype=np.uint64) * U64(2) + U64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word (A-Z in lower case, split at space and U+0009 to U+000D)."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    data = np.frombuffer(raw, np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    inside = np.r_[False, ~_SPACE[data], False]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return span_hashes(prefix_hashes(data), edges[0::2], edges[1::2])
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a shorter text's whole sequence is one."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    k = min(words, len(w))
-    h = np.full(len(w) - k + 1, U64(k), np.uint64)
-    for i in range(k):
-        h = mixed(h * U64(0xC2B2AE3D27D4EB4F) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
-
-
 def signature(found: np.ndarray) -> np.ndarray:
     """Minwise values of a set under PLACES hash functions, 32 bits each."""
     low = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
@@ -80,7 +53,7 @@ def shingle_features(docs: DataFrame, text: str, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
+            sets = shingle_sets(batch["text"].tolist(), words)
             out = pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "cid": [set_key(s) for s in sets], "sig": [signature(s).tobytes() if len(s) else b"" for s in sets]})
             out["sketch"] = [s[::4] for s in out["sig"]]  # the low byte of each value
             yield out
@@ -140,8 +113,13 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", (100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).alias("linked"))
 
 
-def block_links(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) on full sets between queries and members (cid, part, found) of other parts: one for each two parts."""
+def block_links(queries: pd.DataFrame, members: pd.DataFrame, percent: int, possible: np.ndarray | None = None) -> pd.DataFrame:
+    """Links (a, b) on full sets between queries and members (cid, part, found) of other parts: one for each two parts.
+
+    possible: which pairs may be linked at all; queries without one aren't compared.
+    """
+    if possible is not None:
+        queries, members = queries[possible.any(axis=1)], members[possible.any(axis=0)]
     if not len(queries) or not len(members):
         return pd.DataFrame({"a": [], "b": []})
     tokens = np.unique(np.concatenate(queries["found"].tolist()))
@@ -169,7 +147,7 @@ def block_links(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> p
     return out.drop_duplicates(["x", "y"])[["a", "b"]]
 
 
-def group_links(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def group_links(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, compare=block_links) -> DataFrame:
     """groups (grp, cid, hub) -> links (a, b): members that aren't in the hub's part (all, if hub is null) against all of the group.
 
     A group's queries and members are dealt into blocks, and each block of queries meets each block of members in a
@@ -189,7 +167,7 @@ def group_links(groups: DataFrame, parts: DataFrame, sets: DataFrame, percent: i
     members = x.select("grp", every("of_q").alias("q"), place("of_m").alias("m"), "cid", "part", "found", F.lit(False).alias("asks"))
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        return block_links(block[block["asks"]], block[~block["asks"]], percent)
+        return compare(block[block["asks"]], block[~block["asks"]], percent)
 
     return queries.union(members).groupBy("grp", "q", "m").applyInPandas(links, "a long, b long")
 
@@ -269,13 +247,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     star = written(union(stars).groupBy("cid", "pivot").agg(F.max("alike").alias("alike"))) if stars else None
     groups = written(union(groups).distinct()) if groups else None
 
+    return resolved(docs, text, words, percent, feats, classes, pairs, star, groups)
+
+
+def resolved(docs: DataFrame, text: str, words: int, percent: int, feats: DataFrame, classes: DataFrame, pairs: DataFrame, star: DataFrame | None, groups: DataFrame | None, compare=block_links) -> DataFrame:
+    """The documents' components, from candidates that are confirmed on full sets.
+
+    feats (doc_id, n_shingles, cid) has a row a document, classes (cid, doc_id) one a set. Candidates are pairs (a, b, alike:
+    agreement out of PLACES), star (cid, pivot, alike), and groups (grp, cid, hub) of which all pairs are candidates.
+    """
     # full sets of all classes that have candidates
     ends = [pairs.select("a"), pairs.select("b")] + ([groups.select("cid")] if groups is not None else [])
     wanted = written(union(ends).toDF("cid").distinct().join(classes.select("cid", "doc_id"), "cid"))
 
     def sets_of(batches):
         for batch in batches:
-            found = [shingle_set(t, words) for t in batch["text"]]
+            found = shingle_sets(batch["text"].tolist(), words)
             yield pd.DataFrame({"cid": [set_key(s) for s in found], "found": [s.view(np.int64) for s in found]})
 
     rid = F.xxhash64("doc_id").alias("rid")  # null ids, which name no class, share one
@@ -284,13 +271,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
 
     first = best_pairs(between(pairs, None))
     if star is not None:
-        likely = star.where(F.col("cid") != F.col("pivot")).where(F.col("alike") >= PLACES * (threshold - 0.08))
+        likely = star.where(F.col("cid") != F.col("pivot")).where(F.col("alike") >= PLACES * (percent / 100 - 0.08))
         first = first.union(likely.select(F.least("cid", "pivot"), F.greatest("cid", "pivot"))).distinct()
     tried = written(compared(first, sets, percent))
     parts = connected_components(tried.where("linked").select("a", "b"))
     found = [written(compared(between(pairs, parts).join(tried, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b"))]
     if groups is not None:
-        found.append(written(group_links(groups, parts, sets, percent)))
+        found.append(written(group_links(groups, parts, sets, percent, compare)))
     parts = connected_components(union([parts.select(F.col("id").alias("a"), F.col("component").alias("b")), *found]))
 
     labels = classes.select("cid", F.col("doc_id").alias("_first")).join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, crosstok, fingerprint, html_text, langid, mixing, near_dup, packing, repair, suffix_dedup, token_count
+from . import ann, chat, crosstok, fingerprint, html_text, langid, mixing, near_dup, packing, repair, sigtree, suffix_dedup, token_count
 from .common import table
 
 
@@ -89,6 +89,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' components of 5-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by the checksums of their rows' keys, and their cheapest repair."""
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
@@ -140,6 +145,6 @@ from (select distinct conv_id from conversations) c left join stats s on s.conv_
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_count, op2_mix_sources, op3_nearest_vectors, op4_best_fit_packing, op5_suffix_dedup, op6_chat_format, op7_fingerprint, op8_language_id, op9_near_duplicates, op10_main_text, op11_token_alignment, op13_structure_repair)}
+QUERIES = {f.__name__: f for f in (op1_token_count, op2_mix_sources, op3_nearest_vectors, op4_best_fit_packing, op5_suffix_dedup, op6_chat_format, op7_fingerprint, op8_language_id, op9_near_duplicates, op10_main_text, op11_token_alignment, op12_jaccard_join, op13_structure_repair)}
 #: The others need a tokenizer, a hash order or a model that SQL doesn't have; tests/llm holds them against brute force.
 ORACLE_SQL = {"op6_chat_format": OP6_SQL, "op13_structure_repair": OP13_SQL}
