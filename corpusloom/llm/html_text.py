@@ -18,6 +18,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +51,9 @@ APART_TAGS = frozenset("nav header footer aside form button menu dialog fieldset
 CONTENT_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_RAW_ENDS = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -77,10 +80,61 @@ def attribute_words(attributes: str) -> tuple[frozenset, bool]:
     return frozenset(words), hidden
 
 
+class Markup:
+    """The comments, declarations and tags of a page, found from left to right in linear time.
+
+    A quote that is never closed makes a tag end at its first `>`. Openings of quotes from which no tag can end are
+    remembered, so no stretch is searched again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.cdata, self.dead = page, page.rfind(">"), True, set()
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, name, attributes) of the next one from a place on; the name is empty if it is no tag."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                at = start + 1
+                continue
+            if page.startswith(("<!", "<?"), start):
+                end = page.find("]]>", start + 9) if self.cdata and page.startswith("<![CDATA[", start) else -1
+                if end >= 0:
+                    return start, end + 3, "", "", ""
+                self.cdata = self.cdata and not page.startswith("<![CDATA[", start)
+                return start, page.find(">", start + 2) + 1, "", "", ""
+            m = _NAME.match(page, start)
+            if m:
+                end = self.tag_end(m.end())
+                return start, end + 1, m[1], m[2], page[m.end() : end]
+            at = start + 1
+        return None
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag: outside quotes, or simply the next one."""
+        page, place, seen = self.page, at, []
+        while True:
+            place = _PLAIN.match(page, place).end()
+            if page.startswith(">", place):
+                return place
+            if place >= len(page) or place in self.dead:
+                break
+            seen.append(place)
+            place = page.find(page[place], place + 1) + 1
+            if not place:
+                break
+        self.dead.update(seen)
+        return page.find(">", at)
+
+
 def parsed(page: str) -> list[Node]:
     """The block-level nodes of a page in page order, the first being the root. Inline elements are part of their block."""
     nodes = [Node("#root", frozenset(), -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block that they are in
+    opened: Counter[str] = Counter()
     at, links, end = 0, 0, len(page)
 
     def say(text: str) -> None:
@@ -97,21 +151,22 @@ def parsed(page: str) -> list[Node]:
         nonlocal links
         for tag, _ in stack[k:]:
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
-    lower = None
+    markup = Markup(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
+        found = markup.after(at)
+        if not found:
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, stop, closing, tag, attributes = found
+        say(page[at:start])
+        at = stop
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
+        tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -122,9 +177,8 @@ def parsed(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                lower = lower or page.lower()
-                stop = lower.find(f"</{tag}", at)
-                after = page.find(">", stop) if stop >= 0 else -1
+                m = _RAW_ENDS[tag].search(page, at)
+                after = page.find(">", m.start()) if m else -1
                 at = end if after < 0 else after + 1
             continue
         if tag in CLOSES_P:
@@ -156,6 +210,7 @@ def parsed(page: str) -> list[Node]:
                 nodes[stack[-1][1]].parts.append(" ")
             if tag not in VOID:
                 links += tag == "a"
+                opened[tag] += 1
                 stack.append((tag, stack[-1][1]))
             continue
         parent = stack[-1][1]
@@ -168,6 +223,7 @@ def parsed(page: str) -> list[Node]:
         nodes[parent].children.append(number)
         nodes[parent].parts.append(number)
         if not attributes.endswith("/") or tag in CLOSES_P:
+            opened[tag] += 1
             stack.append((tag, number))
     say(page[at:])
     return nodes

@@ -10,7 +10,6 @@ come to the driver); prediction reads whole texts in the tasks and shuffles noth
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +26,15 @@ SAMPLE = 1000
 UNKNOWN = "und"
 #: Runner-up this close in probability: ambiguous.
 MARGIN = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (\\p{L}); numerals like those of U+00BD, U+00B2, U+2460 and U+2167 are none."""
+    return any(map(str.isalpha, text))
+
+
 def profile(text: str) -> np.ndarray:
     """The hashed counts of a text's byte n-grams (A-Z in lower case, other ASCII as spaces), square-rooted, of length 1."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -145,7 +148,7 @@ def prediction(spark: SparkSession, model: Model | None, text: str = "text") ->
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def found(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        has = np.array([isinstance(t, str) and bool(_LETTER.search(t)) for t in texts], bool)
+        has = np.array([isinstance(t, str) and bool(has_letter(t)) for t in texts], bool)
         lang, score, flag = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
         if m is not None and has.any():
             at = np.flatnonzero(has)

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -85,3 +87,35 @@ def test_edges(spark, model):
     assert len(got) == 7 and (1, "u", "", 0) in got and (2, None, "", 0) in got
     assert got.count((4, "u", "a\n\nb c A d", 10)) == 2
     assert html_text.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
+
+
+def test_markup_as_one_pattern():
+    """What is found from left to right is what one (quadratic) pattern finds."""
+    rng = random.Random(6)
+    pieces = ["<a", "<b", ">", '"', "'", " x=", "/", "<!--", "-->", "<![CDATA[", "]]>", "<!", "<?", "</p", " ", "t", "<"]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))
+        want = [(m.start(), m.end(), m[1] or m[4] or "", m[2] or m[5] or "", m[3] or m[6] or "") for m in TOKEN.finditer(page)]
+        got, at, markup = [], 0, html_text.Markup(page)
+        while found := markup.after(at):
+            got.append(found)
+            at = found[1]
+        assert got == want, page
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[", '<a href="', "<a ", "<a '>'", "<b>", "<", "<!--", "<script", "</p>", '<div class="', "<q><div>"])
+def test_hostile_markup(piece):
+    """1 MB of markup without end is read in about a second, and with an end too."""
+    for end in ("", ">", '"'):
+        start = time.process_time()
+        html_text.parsed(piece * (1_000_000 // len(piece)) + end)
+        assert time.process_time() - start < 4
+
+
+def test_letters_that_grow_in_lower_case(model):
+    """U+0130 is longer in lower case; what follows a script stays where it is."""
+    page = f"<article><p>{'İ' * 12}</p><script>x</script><p>kept one here</p><SCRIPT>y</SCRIPT><p>kept two here</p></article><p>"
+    assert html_text.main_text([page], model) == ["İ" * 12 + "\n\nkept one here\n\nkept two here"]

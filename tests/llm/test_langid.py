@@ -50,3 +50,9 @@ def test_decoding_corrects_a_bit():
     x[0, : code.shape[1]] = 3.0 * code[2]
     x[0, 0] *= -1
     assert model.decode(x)[0][0] == 2
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, "the cat and the dog " * 3 if i % 2 else "der Hund und die Katze " * 3, "en" if i % 2 else "de") for i in range(60)] + [(100 + i, t, None) for i, t in enumerate(["½ ² ①", "Ⅷ", "_ 1", "ª", "ж"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[100] == got[101] == got[102] == "und" and got[103] != "und" and got[104] != "und"
