@@ -26,6 +26,8 @@ from .near_dup import PLACES, block_links, resolved, set_key
 
 #: 64-bit words of a bitmap; members of a leaf; children of an upper node.
 WORDS, LEAF, FAN = 16, 64, 8
+#: Sets of more tokens than this have a bitmap of their own size, too.
+WIDE = 512
 #: Documents of a batch that have to share a shingle for it to be counted, and how many of the commonest are put last.
 COMMON, RANKED = 4, 1 << 18
 
@@ -38,6 +40,30 @@ def token_bits(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_bits(tokens: np.ndarray) -> bytes | None:
+    """The bitmap of a set of over WIDE tokens with two to four bits a token, so that long sets don't fill it."""
+    if len(tokens) <= WIDE:
+        return None
+    size = 1 << int(2 * len(tokens) - 1).bit_length()
+    place = tokens & U64(size - 1)
+    out = np.zeros(size >> 6, np.uint64)
+    np.bitwise_or.at(out, (place >> U64(6)).astype(np.int64), U64(1) << (place & U64(63)))
+    return out.tobytes()
+
+
+def widely_alike(x: bytes | None, n: int, y: bytes | None, m: int, percent: int) -> bool:
+    """Whether wide bitmaps, the larger one folded to the size of the other, allow a link."""
+    if x is None or y is None:
+        return True
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return bool(most_overlap(a, n, b, m) >= least_overlap(n, m, percent))
+
+
 def least_overlap(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that sets of these sizes need: the least o with 100 * o >= percent * (x + y - o)."""
     return -(-percent * (x + y) // (100 + percent))
@@ -133,9 +159,9 @@ def set_features(docs: DataFrame, words: int) -> DataFrame:
             common = [None] * len(batch)
             if often.any():
                 common[0] = [{"token": t, "n": c} for t, c in zip(tokens[often].view(np.int64).tolist(), n[often].tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "cid": keys, "bits": [token_bits(s).tobytes() for s in sets], "common": common})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "cid": keys, "bits": [token_bits(s).tobytes() for s in sets], "wide": [wide_bits(s) for s in sets], "common": common})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, cid long, bits binary, common array<struct<token:long,n:long>>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, cid long, bits binary, wide binary, common array<struct<token:long,n:long>>")
 
 
 def commonest(feats: DataFrame) -> np.ndarray:
@@ -227,6 +253,19 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(run, "a long, b long, alike int")
 
 
+def long_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs without those of long sets that their wide bitmaps rule out."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch[[widely_alike(*x, percent) for x in zip(batch["wide_a"], batch["n_a"], batch["wide_b"], batch["n_b"], strict=True)]][["a", "b", "alike"]]
+
+    end = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    long = classes.where("wide is not null").select(F.col("cid").alias("a"))
+    rest = pairs.join(long, "a", "left_anti")
+    return rest.union(pairs.join(end("a"), "a").where("wide_a is not null").join(end("b"), "b").mapInPandas(run, "a long, b long, alike int"))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of each row of docs.
 
@@ -237,7 +276,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = 5, perc
     """
     x = docs.select("doc_id", F.col(text).alias("text"))
     feats = written(set_features(x, words))
-    classes = written(feats.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")))
+    classes = written(feats.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     least = -(-percent // max(1, 100 - percent))  # smaller sets are linked to equal ones only
     order = commonest(feats)
     by_token = np.argsort(order)
@@ -260,6 +299,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = 5, perc
     members = rows.join(small.select("token"), "token").select(F.col("token").alias("grp"), "cid")
     pairs = written(leaf_pairs(members.join(classes.select("cid", "n_shingles", "bits"), "cid"), percent))
     pairs = written(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    pairs = written(long_pairs(pairs, classes, percent))
     # large groups go by their pivot, the least key, so that those of one family are one group
     big = written(rows.join(large.select("token", "low"), "token").select(F.col("low").alias("grp"), "cid").distinct())
     star, own = None, None

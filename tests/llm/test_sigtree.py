@@ -32,12 +32,13 @@ def corpus(rng):
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("leaf, common, block", [(64, 4, 1024), (4, 4, 1024), (2, 2, 7), (64, 1 << 30, 1024)])
-def test_families_and_edges(spark, monkeypatch, leaf, common, block):
+@pytest.mark.parametrize("leaf, common, block, wide", [(64, 4, 1024, 512), (4, 4, 1024, 20), (2, 2, 7, 90), (64, 1 << 30, 1024, 0)])
+def test_families_and_edges(spark, monkeypatch, leaf, common, block, wide):
     """Also with small leaves, so that most groups go through trees and blocks, and in another order of shingles."""
     monkeypatch.setattr(sigtree, "LEAF", leaf)
     monkeypatch.setattr(sigtree, "COMMON", common)
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(sigtree, "WIDE", wide)
     data = corpus(random.Random(leaf))
     df = spark.createDataFrame([(i, t, "a", 1) for i, t in data.items()], "doc_id long, text string, cid string, grp int").repartition(3)
     check(sigtree.jaccard_components(df).collect(), data, 5, 80)
@@ -62,6 +63,20 @@ def test_traversal_loses_nothing(monkeypatch):
     assert linked.sum() > 400 and (left | ~linked).all() and left.sum() < 2 * linked.sum()
 
 
+def test_wide_bitmaps():
+    """Linked sets of any sizes pass, sets that share half of their tokens don't."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, int(rng.integers(600, 3000))).astype(np.uint64)
+        more = rng.integers(0, 1 << 63, int(rng.integers(0, len(base) // 8))).astype(np.uint64)
+        x, y = np.unique(base), np.unique(np.concatenate([base[int(rng.integers(0, len(base) // 20)) :], more]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            assert sigtree.widely_alike(sigtree.wide_bits(x), len(x), sigtree.wide_bits(y), len(y), 80)
+        z = np.unique(np.concatenate([base[: len(base) // 2], rng.integers(0, 1 << 63, len(base) // 2).astype(np.uint64)]))
+        assert not sigtree.widely_alike(sigtree.wide_bits(x), len(x), sigtree.wide_bits(z), len(z), 80)
+
+
 def test_prefixes_meet():
     """Linked sets share one of their first shingles, whatever is ranked last."""
     rng = np.random.default_rng(2)
