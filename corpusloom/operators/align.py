@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_issue_text
 from ..schema import severity_rank
-from .evaluate import greedy, line_relation, missing_artifact, sequence_ratio
+from .evaluate import line_relation, missing_artifact, sequence_ratio
+from .matching import greedy
 
 # Patterns, suffixes, stop words, file families, thresholds.
 URL = r"(?i)https?:[/\\]+[^\s)>\]\"'|]+"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalize_issue_text
+from .matching import greedy
 
 # Groups of checkers, commands and words of the missing-artifact signal, counted kinds of match.
 CHECKER_GROUPS = {
@@ -54,26 +55,6 @@ def soft_candidates(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return x.select("gold_idx", "pred_idx", "unit_id", "criterion", F.bround(F.lit(0.6) + F.col("_f") * 0.2 + F.col("_l") * 0.2, 4).alias("score"))
 
 
-def greedy(candidates: DataFrame, scope: list[str], order: list[tuple[str, bool]]) -> DataFrame:
-    """One-to-one pairs: each candidate in order (column, ascending) is taken if neither gold_idx nor pred_idx was taken before.
-
-    The choice is sequential, but only within a scope, as candidates never cross scopes.
-    """
-    columns, ways = [c for c, _ in order], [a for _, a in order]
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(columns, ascending=ways, kind="stable")
-        gold, pred, keep = set(), set(), []
-        for g, p in zip(rows["gold_idx"], rows["pred_idx"], strict=True):
-            free = g not in gold and p not in pred
-            keep.append(free)
-            if free:
-                gold.add(g), pred.add(p)
-        return rows[keep]
-
-    return candidates.groupBy(*scope).applyInPandas(choose, candidates.schema)
-
-
 def soft_matches(candidates: DataFrame) -> DataFrame:
     """Best score first; of equal ones the later gold row, then the later prediction."""
     return greedy(candidates, ["unit_id", "criterion"], [("score", False), ("gold_idx", False), ("pred_idx", False)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..detector import Corpus, audit
 from ..functions.text import normalize_for_match
 from ..materialize import written
-from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, readability, resources, rights, sinks, verdicts
+from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, matching, readability, resources, rights, sinks, verdicts
 from ..operators.images import image_quality
 from ..operators.lines import FILE, lines, sticky_state, without_fences
 from ..sources import files as f
@@ -288,7 +288,7 @@ def issue_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs where gold rows and predictions compete: best score first, then the later gold row, then the later prediction."""
     x = made(spark, sf_dir, "rivals").groupBy("scope", "gold_idx", "pred_idx").agg(F.max("score").alias("score"))
-    return evaluate.greedy(x, ["scope"], [("score", False), ("gold_idx", False), ("pred_idx", False)])
+    return matching.greedy(x, ["scope"], [("score", False), ("gold_idx", False), ("pred_idx", False)])
 
 
 def postprocess_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:

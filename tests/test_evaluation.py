@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import adjudicate, align, evaluate, findings
+import pytest
+
+from corpusloom.operators import adjudicate, align, evaluate, findings, matching
 
 
 def greedy(rows, key):
@@ -31,6 +33,40 @@ def test_soft_matches(spark):
     assert (x["true_positive"], x["false_positive"], x["false_negative"], x["precision"]) == (n, 40 - n, 40 - n, round(n / 40, 4))
 
 
+@pytest.mark.parametrize("batch", [7, 60, 50_000])
+@pytest.mark.parametrize("order", [[("score", False), ("gold_idx", False), ("pred_idx", False)], [("same", False), ("score", False), ("gold_idx", True), ("pred_idx", True)]])
+def test_parallel_matching(spark, monkeypatch, batch, order):
+    """As the sequential loop, with ties and a third of all pairs in one scope, in batches of any size."""
+    monkeypatch.setattr(matching, "BATCH", batch)
+    rng = random.Random(batch)
+    pairs = {(s, s * 100 + rng.randrange(25), s * 100 + rng.randrange(25)) for s in [0] * 200 + list(range(1, 8)) * 60}
+    rows = [{"scope": s, "gold_idx": g, "pred_idx": p, "score": rng.choice([0.5, 0.75, 0.9, 1.0]), "same": rng.random() < 0.5} for s, g, p in pairs]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "scope long, gold_idx long, pred_idx long, score double, same boolean").repartition(5)
+    key = lambda r: tuple(r[c] if up else -r[c] for c, up in order)
+    got = sorted((r["gold_idx"], r["pred_idx"]) for r in matching.greedy(df, ["scope"], order).collect())
+    assert got == sorted(p for s in range(8) for p in greedy([r for r in rows if r["scope"] == s], key))
+
+
+def test_no_group_in_one_task(spark, monkeypatch):
+    """Pairs of one scope that all tie: no task sees more than a batch of them."""
+    monkeypatch.setattr(matching, "BATCH", 50)
+    seen = spark.sparkContext.accumulator(0)
+    plain = matching.first_batch
+
+    def counted(x, scope, order, ends):
+        most = x.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
+        got = plain(x, scope, order, ends)
+        seen.add(1)
+        assert most <= 50 or got.count() <= 50
+        return got
+
+    monkeypatch.setattr(matching, "first_batch", counted)
+    df = spark.range(400).selectExpr("0 as scope", "id div 20 as gold_idx", "id % 20 as pred_idx", "1.0D as score")
+    got = sorted((r["gold_idx"], r["pred_idx"]) for r in matching.greedy(df, ["scope"], [("score", False), ("gold_idx", True), ("pred_idx", True)]).collect())
+    assert got == [(i, i) for i in range(20)] and seen.value > 2
+    assert matching.greedy(df.where("false"), ["scope"], [("score", False), ("gold_idx", True), ("pred_idx", True)]).count() == 0
+
+
 def test_strict_ladder(spark):
     gold = [(1, "p", "readability", "The heading is repeated twice here", 10, 12), (2, "p", "readability", "pcap dump: whoami is missing", None, None), (3, "p", "readability", "entirely different words", 50, 50), (4, "q", "facts", "nothing near", None, None)]
     pred = [(11, "p", "readability", "heading repeated", 11, 11), (12, "p", "readability", "whoami not found in the capture", 90, 90), (13, "p", "readability", "zzz qqq", 52, 52)]
