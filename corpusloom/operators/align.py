@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_issue_text
+from ..materialize import written
 from ..schema import severity_rank
-from .evaluate import line_relation, missing_artifact, sequence_ratio
+from .evaluate import artifact_words, letter_counts, line_relation, matched_share
 from .matching import greedy
 
 # Patterns, suffixes, stop words, file families, thresholds.
@@ -37,11 +40,6 @@ def anchors(text: Column) -> Column:
     return F.struct(F.array_distinct(urls).alias("urls"), F.array_distinct(files).alias("files"), F.array_distinct(phrases).alias("phrases"))
 
 
-def share_anchor(a: Column, b: Column) -> Column:
-    inside = F.exists(a["phrases"], lambda p: F.exists(b["phrases"], lambda q: q.contains(p) | p.contains(q)))
-    return F.arrays_overlap(a["urls"], b["urls"]) | F.arrays_overlap(a["files"], b["files"]) | inside
-
-
 def content_tokens(text: Column) -> Column:
     """The distinct words of three letters or more that aren't stop words."""
     return F.array_distinct(F.filter(F.split(normalize_issue_text(text), " "), lambda t: (F.char_length(t) > 2) & ~t.isin(*STOPWORDS)))
@@ -71,33 +69,123 @@ def mirror_family(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), name)
 
 
-def content_score(a: Column, b: Column) -> Column:
-    x, y = content_tokens(a), content_tokens(b)
-    tokens = F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.greatest(tokens, sequence_ratio(normalize_issue_text(a), normalize_issue_text(b))))
-
-
-def prescreened(gold_cases: DataFrame, predictions: DataFrame, topk: int = 8, content=content_score) -> DataFrame:
-    """Pairs of a project with a prescreen score of at least PRESCREEN_MIN, the best `topk` a gold case: same criterion first, then by score.
-
-    Anchors are taken once per row, before the join.
+#: Gold cases and predictions in a block; all blocks of a project's gold cases meet all of its predictions.
+GOLD_BLOCK, PRED_BLOCK = 256, 4096
+
+
+class Screen:
+    """A block of predictions, looked up by anchors, words, lines and letters: what each may score, before any text is compared."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows, n = rows, len(rows)
+        self.criterion, self.family, self.idx = rows["criterion"].to_numpy(), rows["family"].to_numpy(), rows["idx"].to_numpy()
+        self.start, self.end = rows["line_start"].to_numpy(float), rows["line_end"].to_numpy(float)
+        self.text, self.letters = rows["text"].tolist(), np.stack([np.asarray(x, np.int64) for x in rows["letters"]]) if n else np.zeros((0, 1), np.int64)
+        self.size, self.words = self.letters.sum(axis=1), rows["tokens"].map(len).to_numpy()
+        self.by = {kind: _postings(rows[kind]) for kind in ("urls", "files", "absent", "tokens")}
+        self.phrases = [(q, j) for j, found in enumerate(rows["phrases"]) for q in found]
+
+    def close(self, start: float, end: float) -> np.ndarray:
+        """Whose lines overlap or are two lines away at most."""
+        with np.errstate(invalid="ignore"):
+            over = (start <= self.end) & (self.start <= end)
+            return over | (np.minimum(np.abs(start - self.end), np.abs(self.start - end)) <= 2)
+
+    def best(self, gold, k: int) -> tuple[list[tuple[int, float, bool]], int]:
+        """The best k predictions of a gold case as (row, score, same criterion), and how many texts were compared for them."""
+        n = len(self.rows)
+        close = self.close(gold.line_start, gold.line_end)
+        score, sure = np.zeros(n), np.zeros(n, bool)
+        if gold.family:
+            same_file = self.family == gold.family
+            score[same_file], sure[same_file] = 0.84, np.isnan(gold.line_start)
+            score[same_file & close], sure[same_file & close] = 0.9, True
+        for kind, value in (("absent", 0.95), ("urls", 1.0), ("files", 1.0)):
+            for key in getattr(gold, kind):
+                at = self.by[kind].get(key, [])
+                score[at], sure[at] = np.maximum(score[at], value), True
+        for p in gold.phrases:
+            at = [j for q, j in self.phrases if p in q or q in p]
+            score[at], sure[at] = 1.0, True
+        shared = np.zeros(n)
+        for key in gold.tokens:
+            shared[self.by["tokens"].get(key, [])] += 1
+        words = shared / np.maximum(np.minimum(len(gold.tokens), self.words), 1)
+        letters = np.asarray(gold.letters)
+        total = self.size + letters.sum()
+        bound = np.where(total > 0, 2.0 * np.minimum(self.letters, letters).sum(axis=1) / np.maximum(total, 1), 1.0)
+        full = (self.words > 0) & (len(gold.tokens) > 0)
+        lead = np.where(close, 0.1, 0.0)
+        most = np.where(sure, score, np.where(full, np.maximum(words, bound), 0.0) + lead)
+        found, compared = [], 0
+        for same in (True, False):
+            level, need = [], k - len(found)
+            rows = np.flatnonzero((self.criterion == gold.criterion) == same)
+            for j in rows[np.lexsort((self.idx[rows], -most[rows]))] if need else ():
+                if most[j] < PRESCREEN_MIN or (len(level) >= need and most[j] < sorted(level, reverse=True)[need - 1][0]):
+                    break
+                value = score[j]
+                if not sure[j]:
+                    value = lead[j]
+                    if full[j]:
+                        exact = words[j]
+                        if bound[j] > exact:
+                            exact, compared = max(exact, matched_share(gold.text, self.text[j])), compared + 1
+                        value += exact
+                if value >= PRESCREEN_MIN:
+                    level.append((value, j))
+            found += [(j, v, same) for v, j in sorted(level, key=lambda x: (-x[0], self.idx[x[1]]))[:need]]
+        return found, compared
+
+
+def _postings(lists: pd.Series) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for j, keys in enumerate(lists):
+        for key in keys:
+            out.setdefault(key, []).append(j)
+    return out
+
+
+def _features(rows: DataFrame, idx: str, text: str, around: Column, path: str) -> DataFrame:
+    """What one side brings to the screen, taken once a row."""
+    plain = normalize_issue_text(F.col(text))
+    end = F.when(F.coalesce("line_end", F.lit(0)) == 0, F.col("line_start")).otherwise(F.col("line_end"))
+    family = F.when(F.coalesce(path, F.lit("")) == "", "").otherwise(mirror_family(F.col(path)))
+    x = rows.select(F.col(idx).alias("idx"), "project_id", "criterion", plain.alias("text"), content_tokens(F.col(text)).alias("tokens"), anchors(around).alias("found"), artifact_words(F.col(text)).alias("absent"), family.alias("family"), F.col("line_start").cast("double"), end.cast("double").alias("line_end"))
+    return x.select("*", "found.*", letter_counts(F.col("text")).alias("letters")).drop("found")
+
+
+def prescreened(gold_cases: DataFrame, predictions: DataFrame, topk: int = 8) -> DataFrame:
+    """Pairs of a project with a prescreen score of at least PRESCREEN_MIN, the best `topk` a gold case: same criterion first, then by score, then by pred_idx.
+
+    A top-k join by upper bounds: blocks of gold cases meet blocks of predictions, anchors, words and lines are looked up,
+    letters bound what a text comparison may give, and texts are compared from the highest bound down, until no bound
+    reaches the k-th best. A block leaves topk rows a gold case, and no pair is a row before that.
     """
-    g = gold_cases.select("gold_idx", "project_id", F.col("criterion").alias("gold_criterion"), "gold_text", "file_hint", F.col("line_start").alias("gs"), F.col("line_end").alias("ge"), anchors(F.col("gold_text")).alias("ga"))
-    full = F.concat_ws(" ", "found_text", F.coalesce("file_path", F.lit("")))
-    p = predictions.select("pred_idx", "project_id", F.col("criterion").alias("pred_criterion"), "found_text", "file_path", F.col("line_start").alias("ps"), F.col("line_end").alias("pe"), anchors(full).alias("pa"))
-    x = g.join(p, "project_id").withColumn("relation", line_relation(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
-    close = F.col("relation").isin("overlap", "near")
-    same_file = (F.coalesce("file_hint", F.lit("")) != "") & (F.coalesce("file_path", F.lit("")) != "") & (mirror_family(F.col("file_hint")) == mirror_family(F.col("file_path")))
-    score = (
-        F.when(share_anchor(F.col("ga"), F.col("pa")), 1.0)
-        .when(missing_artifact(F.col("gold_text"), F.col("found_text")), 0.95)
-        .when(same_file & close, 0.9)
-        .when(same_file & F.col("gs").isNull(), 0.84)
-        .otherwise(content(F.col("gold_text"), F.col("found_text")) + F.when(close, 0.1).otherwise(0.0))
-    )
-    x = x.withColumn("score", score).where(F.col("score") >= PRESCREEN_MIN).withColumn("same", F.col("gold_criterion") == F.col("pred_criterion"))
+    g = written(_features(gold_cases, "gold_idx", "gold_text", F.col("gold_text"), "file_hint"))
+    p = written(_features(predictions, "pred_idx", "found_text", F.concat_ws(" ", "found_text", F.coalesce("file_path", F.lit(""))), "file_path"))
+    parts = lambda x, n, name: x.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    dealt = parts(g, GOLD_BLOCK, "of_g").join(parts(p, PRED_BLOCK, "of_p"), "project_id")
+    place = lambda n: F.pmod(F.xxhash64("idx"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    golds = g.join(dealt, "project_id").withColumn("g", place("of_g")).withColumn("p", every("of_p")).drop("of_g", "of_p")
+    preds = p.join(dealt, "project_id").withColumn("p", place("of_p")).withColumn("g", every("of_g")).drop("of_g", "of_p")
+
+    def screen(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        block, out = Screen(right), []
+        for row in left.itertuples(index=False) if len(right) else ():
+            found, compared = block.best(row, topk)
+            out += [(row.project_id, row.idx, block.idx[j], float(v), bool(s), compared) for j, v, s in found]
+        return pd.DataFrame(out, columns=["project_id", "gold_idx", "pred_idx", "score", "same", "compared"])
+
+    kind = lambda x, c: x.schema[c].dataType.simpleString()
+    schema = f"project_id {kind(g, 'project_id')}, gold_idx {kind(g, 'idx')}, pred_idx {kind(p, 'idx')}, score double, same boolean, compared long"
+    x = golds.groupBy("project_id", "g", "p").cogroup(preds.groupBy("project_id", "g", "p")).applyInPandas(screen, schema)
     best = W.partitionBy("gold_idx").orderBy(F.desc("same"), F.desc("score"), "pred_idx")
-    return x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= topk)
+    x = x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= topk)
+    x = x.join(gold_cases.select("gold_idx", "gold_text", F.col("line_start").alias("gs"), F.col("line_end").alias("ge")), "gold_idx")
+    x = x.join(predictions.select("pred_idx", "found_text", F.col("line_start").alias("ps"), F.col("line_end").alias("pe")), "pred_idx")
+    return x.withColumn("relation", line_relation(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")))
 
 
 def judged(pairs: DataFrame) -> DataFrame:

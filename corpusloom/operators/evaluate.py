@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalize_issue_text
+from ..materialize import written
 from .matching import greedy
 
 # Groups of checkers, commands and words of the missing-artifact signal, counted kinds of match.
@@ -136,37 +137,80 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
 
 
+def matched_share(a: str | None, b: str | None) -> float:
+    return SequenceMatcher(a=a or "", b=b or "").ratio()
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of matching blocks (Ratcliff and Obershelp) of two texts."""
-    return pd.Series([SequenceMatcher(a=x or "", b=y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([matched_share(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def text_score(gold: Column, found: Column) -> Column:
-    """0 if a side is empty, 0.95 if one contains the other, else the better of token overlap and sequence ratio."""
-    a, b = normalize_issue_text(gold), normalize_issue_text(found)
-    inside = b.contains(a) | a.contains(b)
-    return F.when((a == "") | (b == ""), 0.0).when(inside, 0.95).otherwise(F.bround(F.greatest(token_overlap(a, b), sequence_ratio(a, b)), 4))
+#: Characters that are counted one by one; all others count as one more.
+LETTERS = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюя0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS stands in a text, and how many others."""
+    n = F.char_length(text)
+    counts = [n - F.char_length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.concat(F.array(*counts), F.array(n - sum(counts[1:], counts[0])))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that the sequence ratio of two texts with these letter counts can be."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    total = F.aggregate(F.concat(a, b), F.lit(0), lambda s, x: s + x)
+    return F.when(total > 0, 2.0 * both / F.when(total > 0, total)).otherwise(1.0)
+
+
+def artifact_words(text: Column) -> Column:
+    """The commands that a text names, if it also speaks of an artifact and something absent; two such texts with a common one are a missing-artifact signal."""
+    a = normalize_issue_text(text)
+    named = F.array_compact(F.array(*(F.when(a.rlike(rf"(?U)(?<![\w-]){re.escape(c)}(?![\w-])"), c) for c in COMMANDS)))
+    return F.when(a.rlike(ARTIFACT) & a.rlike(ABSENT), named).otherwise(F.array().cast("array<string>"))
 
 
 def missing_artifact(gold: Column, found: Column) -> Column:
     """Both speak of the same command, an artifact, and something absent."""
-    a, b = normalize_issue_text(gold), normalize_issue_text(found)
-    shared = F.lit(False)
-    for c in COMMANDS:
-        p = rf"(?U)(?<![\w-]){re.escape(c)}(?![\w-])"
-        shared = shared | (a.rlike(p) & b.rlike(p))
-    return shared & a.rlike(ARTIFACT) & b.rlike(ARTIFACT) & a.rlike(ABSENT) & b.rlike(ABSENT)
+    return F.arrays_overlap(artifact_words(gold), artifact_words(found))
+
+
+#: A text score up to this changes no score and no kind of match.
+IDLE = 0.15
+
+
+def text_scored(pairs: DataFrame) -> DataFrame:
+    """pairs with `a` and `b` (normal forms) and their letter counts, as pairs with `text`, their score, and `verified`.
+
+    0 if a side is empty, 0.95 if one contains the other, else the better of token overlap and sequence ratio. The ratio is
+    taken once for each two texts, and only where letters allow that it beats the overlap (and IDLE): filter and verify.
+    """
+    a, b = F.col("a"), F.col("b")
+    inside = b.contains(a) | a.contains(b)
+    x = pairs.withColumn("overlap", token_overlap(a, b))
+    sure = F.when((a == "") | (b == ""), 0.0).when(inside, 0.95).when(ratio_bound(F.col("letters_a"), F.col("letters_b")) <= F.greatest("overlap", F.lit(IDLE)), F.bround("overlap", 4))
+    x = written(x.withColumn("sure", sure).drop("letters_a", "letters_b"))
+    ratios = x.where("sure is null").select("a", "b").distinct().withColumn("ratio", sequence_ratio(a, b))
+    x = x.join(written(ratios), ["a", "b"], "left")
+    return x.withColumns({"text": F.coalesce("sure", F.bround(F.greatest("overlap", "ratio"), 4)), "verified": F.col("sure").isNull()}).drop("sure", "ratio", "overlap")
 
 
 def pair_scores(gold_cases: DataFrame, predictions: DataFrame) -> DataFrame:
-    """gold_cases (gold_idx, project_id, criterion, gold_text, line_start, line_end) x predictions (pred_idx, ..., found_text, ...) -> match_type, score."""
-    p = predictions.select("pred_idx", "project_id", "criterion", "found_text", F.col("line_start").alias("ps"), F.col("line_end").alias("pe"))
-    x = gold_cases.select("gold_idx", "project_id", "criterion", "gold_text", F.col("line_start").alias("gs"), F.col("line_end").alias("ge")).join(p, ["project_id", "criterion"])
-    x = x.withColumn("relation", line_relation(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe"))).withColumn("text", text_score(F.col("gold_text"), F.col("found_text")))
+    """gold_cases (gold_idx, project_id, criterion, gold_text, line_start, line_end) x predictions (pred_idx, ..., found_text, ...) -> match_type, score, verified.
+
+    What belongs to one side is taken once a row, before the join.
+    """
+    own = lambda text, k: (normalize_issue_text(F.col(text)).alias(k), artifact_words(F.col(text)).alias(f"words_{k}"))
+    p = predictions.select("pred_idx", "project_id", "criterion", *own("found_text", "b"), F.col("line_start").alias("ps"), F.col("line_end").alias("pe")).withColumn("letters_b", letter_counts(F.col("b")))
+    x = gold_cases.select("gold_idx", "project_id", "criterion", *own("gold_text", "a"), F.col("line_start").alias("gs"), F.col("line_end").alias("ge")).withColumn("letters_a", letter_counts(F.col("a")))
+    x = x.join(p, ["project_id", "criterion"])
+    x = x.withColumns({"relation": line_relation(F.col("gs"), F.col("ge"), F.col("ps"), F.col("pe")), "absent": F.arrays_overlap("words_a", "words_b")})
+    x = text_scored(x.select("gold_idx", "pred_idx", "project_id", "criterion", "a", "b", "letters_a", "letters_b", "relation", "absent"))
     relation, text = F.col("relation"), F.col("text")
     kind = (
-        F.when(missing_artifact(F.col("gold_text"), F.col("found_text")), "artifact_missing_signal")
+        F.when(F.col("absent"), "artifact_missing_signal")
         .when((relation == "overlap") & (text >= 0.25), "line_and_text")
         .when(relation == "overlap", "line_overlap")
         .when((relation == "near") & (text >= 0.2), "near_line_and_text")
@@ -174,9 +218,9 @@ def pair_scores(gold_cases: DataFrame, predictions: DataFrame) -> DataFrame:
         .otherwise("criterion_only")
     )
     x = x.withColumn("match_type", kind)
-    floor = F.coalesce(*(F.when(F.col("match_type") == k, F.lit(v)) for k, v in (("artifact_missing_signal", 0.78), ("line_and_text", 0.9), ("near_line_and_text", 0.75), ("criterion_only", 0.15))), F.lit(0.0))
+    floor = F.coalesce(*(F.when(F.col("match_type") == k, F.lit(v)) for k, v in (("artifact_missing_signal", 0.78), ("line_and_text", 0.9), ("near_line_and_text", 0.75), ("criterion_only", IDLE))), F.lit(0.0))
     score = F.when(F.col("match_type") == "line_overlap", 0.82).otherwise(F.greatest(floor, text))
-    return x.select("gold_idx", "pred_idx", "project_id", "criterion", "match_type", F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
+    return x.select("gold_idx", "pred_idx", "project_id", "criterion", "match_type", F.bround(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4).alias("score"), "verified")
 
 
 def strict_matches(gold_cases: DataFrame, scored: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Matching and scores against plain Python on random small inputs."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,63 @@ def test_strict_ladder(spark):
     assert not rows[3]["counted"] and rows[3]["pred_idx"] == 13 and rows[4]["match_type"] == "missed"
 
 
+def test_text_scores_are_filtered_and_verified(spark):
+    """As each pair by itself; equal pairs are compared once, and letters keep most hopeless ones from being compared."""
+    rng = random.Random(12)
+    words = ["heading", "заголовок", "zzz", "qqq", "7", "раздел", "link", "file", "x"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(5))) for _ in range(40)]
+    rows = [(i, texts[rng.randrange(40)], texts[rng.randrange(40)]) for i in range(300)] + [(300 + i, "aaaa bbbb", "zz yy ww") for i in range(50)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").withColumns({"letters_a": evaluate.letter_counts(F.col("a")), "letters_b": evaluate.letter_counts(F.col("b"))})
+    got = {r["i"]: r for r in evaluate.text_scored(df).collect()}
+    for i, a, b in rows:
+        x, y = set(a.split()), set(b.split())
+        overlap = len(x & y) / max(1, min(len(x), len(y)))
+        exact = SequenceMatcher(a=a, b=b).ratio()
+        want = 0.0 if not a or not b else 0.95 if a in b or b in a else round(max(overlap, exact), 4)
+        assert got[i]["text"] == want or (not got[i]["verified"] and max(want, got[i]["text"]) <= evaluate.IDLE), (a, b)
+    assert sum(r["verified"] for r in got.values()) < 0.8 * len(rows) and not any(got[300 + i]["verified"] for i in range(50))
+
+
+@pytest.mark.parametrize("blocks", [(256, 4096), (3, 5)])
+def test_prescreen_as_all_pairs(spark, monkeypatch, blocks):
+    """The best of all pairs by the plain ladder, with any blocks; few texts are compared."""
+    monkeypatch.setattr(align, "GOLD_BLOCK", blocks[0])
+    monkeypatch.setattr(align, "PRED_BLOCK", blocks[1])
+    rng = random.Random(31)
+    words = ["heading", "twice", "wrong", "number", "table", "a.md", "b.py", "order", "missing", "stale", "link", "field"]
+    row = lambda i: (i, rng.choice("pq"), rng.choice("rs"), " ".join(rng.choices(words, k=rng.randrange(1, 7))), rng.choice([None, "README.md", "x.md"]), line := rng.choice([None, 3, 5, 40]), line)
+    gold, pred = [row(i) for i in range(25)], [row(100 + i) for i in range(60)]
+    g = spark.createDataFrame(gold, "gold_idx long, project_id string, criterion string, gold_text string, file_hint string, line_start int, line_end int")
+    p = spark.createDataFrame(pred, "pred_idx long, project_id string, criterion string, found_text string, file_path string, line_start int, line_end int")
+    got = align.prescreened(g, p, 4).collect()
+    files = lambda t: {w for w in t.split() if w in ("a.md", "b.py")}
+    plain = lambda t: t.replace(".", " ")
+    tokens = lambda t: {w for w in plain(t).split() if len(w) > 2}
+    want = set()
+    for gi, project, criterion, text, hint, start, _ in gold:
+        found = []
+        for pi, other, own, said, path, line, _ in pred:
+            if other != project:
+                continue
+            close = start is not None and line is not None and abs(start - line) <= 2
+            theirs = files(said) | ({path.lower()} if path else set())
+            if files(text) & theirs:
+                score = 1.0
+            elif hint and hint == path and close:
+                score = 0.9
+            elif hint and hint == path and start is None:
+                score = 0.84
+            else:
+                x, y = tokens(text), tokens(said)
+                score = (max(len(x & y) / max(1, min(len(x), len(y))), SequenceMatcher(a=plain(text), b=plain(said)).ratio()) if x and y else 0.0) + (0.1 if close else 0.0)
+            if score >= 0.1:
+                found.append((criterion == own, score, -pi))
+        want |= {(gi, -q, same, round(score, 9), k + 1) for k, (same, score, q) in enumerate(sorted(found, reverse=True)[:4])}
+    assert {(r["gold_idx"], r["pred_idx"], r["same"], round(r["score"], 9), r["rank"]) for r in got} == want
+    if blocks[0] == 256:
+        assert sum({r["gold_idx"]: r["compared"] for r in got}.values()) < 0.4 * sum(g[1] == p[1] for g in gold for p in pred)
+
+
 def test_line_relation(spark):
     df = spark.createDataFrame([(1, 3, 3, 5), (1, 1, 3, 3), (1, 1, 4, 4), (None, None, 1, 1), (5, None, 5, None)], "a int, b int, c int, d int")
     assert [r[0] for r in df.select(evaluate.line_relation(*map(F.col, "abcd"))).collect()] == ["overlap", "near", "far", "none", "overlap"]
