@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,48 +46,128 @@ def code_docs(files: DataFrame) -> DataFrame:
     return docs.join(own, "unit_id")
 
 
-def winnowed(text: str, gram: int, window: int, kind: str) -> np.ndarray:
-    """The distinct minima of `window` neighbouring gram hashes: crc32, or the first 15 hexadecimal digits of md5 (which SQL engines have too)."""
-    places = range(len(text) - gram + 1)
-    data = text.encode()
-    grams = [data[i : i + gram] for i in places] if len(data) == len(text) else [text[i : i + gram].encode() for i in places]
+def _crc_step(states: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after a zero byte: the polynomial's remainder of the low byte, and the rest moved down."""
+    low = states & np.uint32(0xFF)
+    for _ in range(8):
+        low = (low >> np.uint32(1)) ^ np.where(low & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return low ^ (states >> np.uint32(8))
+
+
+@lru_cache(maxsize=1)
+def _byte_crcs() -> np.ndarray:
+    """The register after each byte, from an empty one."""
+    return _crc_step(np.arange(256, dtype=np.uint32))
+
+
+@lru_cache(maxsize=32)
+def _zeros(k: int) -> np.ndarray:
+    """2**k zero bytes as a linear map over GF(2): the images of the values of each of a register's four bytes."""
+    values = np.arange(256, dtype=np.uint32)
+    if not k:
+        return np.stack([_crc_step(values << np.uint32(8 * b)) for b in range(4)])
+    half = _zeros(k - 1)
+    return np.stack([_moved(half, half[b]) for b in range(4)])
+
+
+def _moved(zeros: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return zeros[0][x & 0xFF] ^ zeros[1][(x >> 8) & 0xFF] ^ zeros[2][(x >> 16) & 0xFF] ^ zeros[3][x >> 24]
+
+
+def gram_crcs(text: str, gram: int) -> np.ndarray:
+    """zlib.crc32 of the UTF-8 bytes of every `gram` neighbouring characters.
+
+    The register without its fixed start and end is linear: that of two neighbouring stretches is the first, moved by as many
+    zero bytes as the second has, plus the second. So stretches of 1, 2, 4 ... bytes are made for all places at once, and each
+    gram is put together from those that its length in bytes asks for.
+    """
+    data = np.frombuffer(text.encode(), np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80) if len(data) != len(text) else np.arange(len(data))
+    if len(first) < gram:
+        return np.zeros(0, np.int64)
+    ends = np.append(first, len(data))
+    place, length = first[: len(first) - gram + 1].copy(), ends[gram:] - first[: len(first) - gram + 1]
+    stretches = [_byte_crcs()[data]]
+    for k in range(int(length.max()).bit_length() - 1):
+        x = stretches[-1]
+        stretches.append(_moved(_zeros(k), x[: -(1 << k)]) ^ x[1 << k :])
+    out, same = np.zeros(len(place), np.uint32), bool((length == length[0]).all())
+    for k in reversed(range(len(stretches))):
+        if same:
+            if int(length[0]) >> k & 1:
+                out = _moved(_zeros(k), out) ^ stretches[k][place]
+                place += 1 << k
+        else:
+            at = np.flatnonzero(length >> k & 1)
+            out[at] = _moved(_zeros(k), out[at]) ^ stretches[k][place[at]]
+            place[at] += 1 << k
+    fixed = np.array([zlib.crc32(bytes(n)) for n in range(int(length.max()) + 1)], np.uint32)
+    return (out ^ fixed[length]).astype(np.int64)
+
+
+def _md5(text: str, places: np.ndarray, gram: int) -> np.ndarray:
+    """The first 15 hexadecimal digits of md5 (which SQL engines have too) of the grams at these places."""
+    digests = b"".join([hashlib.md5(text[i : i + gram].encode()).digest() for i in places.tolist()])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+
+
+def winnowed(text: str, gram: int, window: int, kind: str, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minima of `window` neighbouring gram hashes (crc32 or md5), and a crc32 of a gram that has each.
+
+    With wanted (a bitmap of low bits of crc32), only minima whose crc32 is in it, and perhaps some others: md5 is taken
+    only around grams that are.
+    """
+    crcs = gram_crcs(text, gram)
+    n = len(crcs) - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.arange(n)
+    if wanted is not None:
+        hit = wanted[(crcs & ((1 << BITS) - 1)) >> 3] >> (crcs & 7).astype(np.uint8) & 1 == 1
+        starts = np.flatnonzero(sliding_window_view(hit, window).any(axis=1))
     if kind == "crc32":
-        hashes = np.fromiter(map(zlib.crc32, grams), np.int64, len(grams))
+        hashes = crcs
     else:
-        md5 = hashlib.md5
-        digests = b"".join([md5(g).digest() for g in grams])
-        hashes = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
-    if len(hashes) < window:
-        return hashes[:0]
-    return np.unique(sliding_window_view(hashes, window).min(axis=1))
+        near = np.zeros(len(crcs), bool)
+        for i in range(window):
+            near[starts + i] = True
+        places = np.flatnonzero(near)
+        hashes = np.zeros(len(crcs), np.int64)
+        hashes[places] = _md5(text, places, gram)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    windows = hashes[starts[:, None] + np.arange(window)]
+    least = windows.argmin(axis=1)
+    found, at = np.unique(windows[np.arange(len(starts)), least], return_index=True)
+    return found, crcs[(starts + least)[at]]
 
 
 def fingerprints(docs: DataFrame, keys: list[str], gram: int = GRAM, window: int = WINDOW, kind: str = "crc32", among: DataFrame | None = None) -> DataFrame:
-    """docs (keys, text) -> keys, fingerprint (distinct in a text). Texts shorter than a gram, or with fewer hashes than a window, have none.
+    """docs (keys, text) -> keys, fingerprint (distinct in a text), crc, size (their number in the text). Texts shorter than a gram, or with fewer hashes than a window, have none.
 
-    Hashing each gram has to be done a text at a time; only distinct fingerprints leave the task. They are written, as
-    they are used several times. With `among` (fingerprint), only its fingerprints are kept, and perhaps a few others:
-    a bitmap of 2**BITS bits, whatever their number, goes to the tasks.
+    Only distinct fingerprints leave the task. They are written, as they are used several times. With `among` (fingerprint,
+    crc), only its fingerprints are kept, and perhaps a few others: a bitmap of 2**BITS bits, whatever their number, goes to
+    the tasks; size then counts what is kept.
     """
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(among)) if among is not None else None
 
     def run(batches):
         for batch in batches:
-            found = [winnowed(t, gram, window, kind) for t in batch["text"]]
-            if bits is not None:
-                found = [f[bits.value[(f & ((1 << BITS) - 1)) >> 3] >> (f & 7) & 1 == 1] for f in found]
-            row = np.repeat(np.arange(len(batch)), [len(f) for f in found])
+            found = [winnowed(t, gram, window, kind, bits.value if bits is not None else None) for t in batch["text"]]
+            sizes = [len(f) for f, _ in found]
+            row = np.repeat(np.arange(len(batch)), sizes)
             out = batch[keys].iloc[row].reset_index(drop=True)
-            yield out.assign(fingerprint=np.concatenate(found) if found else np.zeros(0, np.int64))
+            prints, crcs = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            yield out.assign(fingerprint=prints, crc=crcs, size=np.array(sizes, np.int64)[row])
 
     plain = docs.where(F.char_length("text") >= gram + window - 1).select(*keys, "text")
     schema = ", ".join(f"{k} {plain.schema[k].dataType.simpleString()}" for k in keys)
-    return written(plain.mapInPandas(run, f"{schema}, fingerprint long"))
+    return written(plain.mapInPandas(run, f"{schema}, fingerprint long, crc long, size long"))
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
-    """Which low bits occur among fingerprints: 2**BITS bits, collected as at most 2**BITS / 32768 rows."""
-    low = F.col("fingerprint").bitwiseAND(F.lit((1 << BITS) - 1))
+    """Which low bits of crc occur among fingerprints: 2**BITS bits, collected as at most 2**BITS / 32768 rows."""
+    low = F.col("crc").bitwiseAND(F.lit((1 << BITS) - 1))
     rows = prints.groupBy(F.shiftright(low, 15).alias("bucket")).agg(F.bitmap_construct_agg(low % 32768).alias("bits")).collect()
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for r in rows:
@@ -102,10 +183,9 @@ def similar_units(docs: DataFrame, key: str = "unit_id", scope: str = "language"
     also ordered by rarity in each set, and only the rarest (1 - threshold) * size + 1 of either side open a pair: two sets
     that share `threshold` of the smaller one share at least one of these. So common fingerprints seldom make pairs.
     """
-    prints = fingerprints(docs, [scope, key], gram, window, kind)
+    prints = fingerprints(docs, [scope, key], gram, window, kind).drop("crc")
     per_print = prints.groupBy(scope, "fingerprint").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    sizes = prints.groupBy(scope, key).agg(F.count(F.lit(1)).alias("size"))
-    shared = prints.join(per_print, [scope, "fingerprint"]).join(sizes, [scope, key])
+    shared = prints.join(per_print, [scope, "fingerprint"])
     rank = F.row_number().over(W.partitionBy(scope, key).orderBy("df", "fingerprint"))
     # of the smaller set, all but ceil(threshold * size) - 1 may be missing from the other; those that nobody shares are missing anyway
     lone = F.col("size") - F.count(F.lit(1)).over(W.partitionBy(scope, key))
@@ -126,13 +206,17 @@ def containment(items: DataFrame, corpus: DataFrame, item: str, doc: str, thresh
     Only fingerprints of items take part: the corpus's others stay in the tasks that make them.
     """
     own = fingerprints(items, [item], gram, window, kind)
-    sizes = own.groupBy(item).agg(F.count(F.lit(1)).alias("size"))
-    theirs = fingerprints(corpus, [doc], gram, window, kind, among=own)
-    x = own.join(theirs, "fingerprint").groupBy(item, doc).agg(F.count(F.lit(1)).alias("both")).join(sizes, item)
+    theirs = fingerprints(corpus, [doc], gram, window, kind, among=own).drop("crc", "size")
+    x = own.join(theirs, "fingerprint").groupBy(item, doc, "size").agg(F.count(F.lit(1)).alias("both"))
     x = x.withColumn("containment", F.bround(F.col("both") / F.col("size"), 4))
     return x.where(F.col("containment") >= threshold).select(item, doc, "containment")
 
 
+def link_counts(pairs: DataFrame, scope: str = "language") -> DataFrame:
+    """pairs (scope, a, b, similarity) -> scope, id, links: to how many others each is similar."""
+    return pairs.select(scope, F.explode(F.array("a", "b")).alias("id")).groupBy(scope, "id").agg(F.count(F.lit(1)).alias("links"))
+
+
 def code_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """unit_id, other_unit_id, language, similarity, attributed: each pair from both sides."""
     pairs = similar_units(docs, threshold=threshold)

@@ -415,6 +415,15 @@ pairs as (select a.id as a, b.id as b, count(*) as n from doc_prints a join doc_
 select a, b, round(n / least(x.size, y.size), 4) as similarity from pairs join sizes x on x.id = a join sizes y on y.id = b where round(n / least(x.size, y.size), 4) >= 0.8
 """,
     "copied_document_classes": "select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies from documents where text is not null",
+    "copied_document_links": f"""
+with doc_text as (select min(doc_id) as id, {COMPACT} as t from documents where text is not null group by text), {GRAMS.format(name="doc")},
+sizes as (select id, count(*) as size from doc_prints group by 1),
+pairs as (select a.id as a, b.id as b, count(*) as n from doc_prints a join doc_prints b on a.f = b.f and a.id < b.id group by 1, 2),
+linked as (select a, b from pairs join sizes x on x.id = a join sizes y on y.id = b where round(n / least(x.size, y.size), 4) >= 0.8),
+links as (select id, count(*) as links from (select a as id from linked union all select b from linked) group by 1),
+classes as (select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies from documents where text is not null)
+select doc_id, class_id, copies, coalesce(links, 0) as links from classes left join links on links.id = class_id
+""",
     "benchmark_contamination": f"""
 with doc_text as (select doc_id as id, {COMPACT} as t from documents), item_text as (select item_id as id, {COMPACT} as t from benchmark), {GRAMS.format(name="doc")}, {GRAMS.format(name="item")},
 sizes as (select id, count(*) as size from item_prints group by 1),

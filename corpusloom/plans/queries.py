@@ -263,6 +263,15 @@ def copied_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(copies, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("copies"))
 
 
+def copied_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of its equal texts, the number of its copies, and to how many other classes it is similar."""
+    docs = written(t.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.sha2("text", 256).alias("key")))
+    classes = written(docs.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
+    links = similarity.link_counts(similarity.similar_units(_compact(classes, "class_id"), key="class_id", kind="md5"))
+    x = docs.select("doc_id", "key").join(classes.drop("text"), "key").join(links.select(F.col("id").alias("class_id"), "links"), "class_id", "left")
+    return x.select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items of which a document has four fifths of the fingerprints."""
     items, docs = t.table(spark, sf_dir, "benchmark"), t.table(spark, sf_dir, "documents")
@@ -291,6 +300,6 @@ QUERIES = {
         long_lines_by_unit, line_numbers_and_quotes, line_statistics, sentence_counts, line_batches, unit_contexts, entity_counts, broken_urls, url_policy, link_status_ladder, duplicate_headings,
         numbered_list_blocks, language_mismatch, language_coverage, placeholder_lines, missing_license_units, severity_calibrated, dropped_findings, language_variant_collapse, run_summary,
         triage_tiers, finding_ids, soft_match_candidates, greedy_match, precision_recall, precision_recall_by_criterion, overview_set_metrics, slice_precision, fn_reasons, strict_signals,
-        mirror_dedupe, repetitive_cap, finding_validity, sample_plan, stratified_sample, wilson_by_stratum, stratified_precision, copied_documents, copied_document_classes, benchmark_contamination, sort_conflicts, email_variants,
+        mirror_dedupe, repetitive_cap, finding_validity, sample_plan, stratified_sample, wilson_by_stratum, stratified_precision, copied_documents, copied_document_classes, copied_document_links, benchmark_contamination, sort_conflicts, email_variants,
     )
 }

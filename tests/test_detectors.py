@@ -1,5 +1,9 @@
 """Rules on small texts, each with a twin that must not fire."""
 
+import random
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import all_matches, line_number, quote_around, split_lines
@@ -138,3 +142,28 @@ def test_copied_document_classes(spark, tmp_path):
     """Every copy is in a row, also of a text that has no near copy."""
     spark.createDataFrame([(3, "same"), (1, "same"), (2, "other"), (7, "same"), (5, None), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert found(queries.copied_document_classes(spark, str(tmp_path)), "doc_id", "class_id", "copies") == [(1, 1, 3), (2, 2, 1), (3, 1, 3), (7, 1, 3)]
+
+
+def test_rolling_crc():
+    """Every gram's checksum is zlib's, whatever its length in bytes."""
+    rng = random.Random(3)
+    for alphabet in ("abc ", "aé", "aжж日🙂"):
+        for n in (0, 5, 30, 31, 200, 1500):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            for gram in (1, 7, 30):
+                assert similarity.gram_crcs(text, gram).tolist() == [zlib.crc32(text[i : i + gram].encode()) for i in range(len(text) - gram + 1)]
+
+
+def test_winnowed_among_is_a_filter():
+    """With a bitmap of wanted grams, the wanted minima are those of the whole text, for either hash."""
+    rng = random.Random(4)
+    for kind in ("crc32", "md5"):
+        part = "".join(rng.choice("abcdé ") for _ in range(120))
+        text = "".join(rng.choice("abcdé ") for _ in range(700)) + part + "".join(rng.choice("abcd ") for _ in range(300))
+        own, crcs = similarity.winnowed(part, 10, 4, kind)
+        bits = np.zeros(1 << (similarity.BITS - 3), np.uint8)
+        for c in crcs & ((1 << similarity.BITS) - 1):
+            bits[c >> 3] |= 1 << (c & 7)
+        whole, _ = similarity.winnowed(text, 10, 4, kind)
+        some, _ = similarity.winnowed(text, 10, 4, kind, bits)
+        assert set(own) & set(whole) == set(own) & set(some) and len(some) < 0.5 * len(whole) and len(set(own) & set(some)) > 30
