@@ -7,8 +7,9 @@
 3. A node of a signature tree holds the OR of its members' token bitmaps and the range of their sizes. What a set has bits
    for and a node hasn't can't be shared, so a pair of nodes whose largest possible overlap is below what their smallest
    sizes ask for is pruned (exact). Groups of LEAF classes are leaves, of which all pairs of members meet as bitmaps.
-4. Larger groups are dealt into blocks. Members that aren't linked to the group's pivot yet are queries: a tree over them and
-   a tree over all members are traversed together, and what is left is compared on full sets.
+4. Larger groups are dealt into blocks. Members that their bitmaps keep from the group's pivot are queries: trees over them and
+   trees over all members are traversed together, and members without a possible partner leave the group. The others are
+   compared on full sets, those that aren't linked to the pivot with all, again by trees.
 
 Candidates are confirmed on full sets, as in `near_dup.resolved`; pairs inside a component can't change the result and
 aren't compared. No step loses a linked pair.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap, maybe_in, shingle_sets, written
-from .near_dup import PLACES, block_links, resolved, set_key
+from .near_dup import BLOCK, PLACES, block_links, resolved, set_key
 
 #: 64-bit words of a bitmap; members of a leaf; children of an upper node.
 WORDS, LEAF, FAN = 16, 64, 8
@@ -32,23 +33,25 @@ WIDE = 512
 COMMON, RANKED = 4, 1 << 18
 
 
-def token_bits(tokens: np.ndarray) -> np.ndarray:
-    """A set's bitmap: one bit a token."""
-    place = tokens >> U64(64 - (WORDS * 64).bit_length() + 1)
-    out = np.zeros(WORDS, np.uint64)
+def token_bits(tokens: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A set's bitmap: one bit a token, by its low bits, so that a wide bitmap folds to a narrow one."""
+    place = tokens & U64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
     np.bitwise_or.at(out, (place >> U64(6)).astype(np.int64), U64(1) << (place & U64(63)))
     return out
 
 
-def wide_bits(tokens: np.ndarray) -> bytes | None:
-    """The bitmap of a set of over WIDE tokens with two to four bits a token, so that long sets don't fill it."""
-    if len(tokens) <= WIDE:
-        return None
-    size = 1 << int(2 * len(tokens) - 1).bit_length()
-    place = tokens & U64(size - 1)
-    out = np.zeros(size >> 6, np.uint64)
-    np.bitwise_or.at(out, (place >> U64(6)).astype(np.int64), U64(1) << (place & U64(63)))
-    return out.tobytes()
+def own_bits(tokens: np.ndarray) -> np.ndarray:
+    """A set's bitmap with two to four bits a token if it has over WIDE, so that long sets don't fill it."""
+    return token_bits(tokens, (1 << int(2 * len(tokens) - 1).bit_length()) >> 6) if len(tokens) > max(WIDE, 32 * WORDS) else token_bits(tokens)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) with at most so many words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
 def widely_alike(x: bytes | None, n: int, y: bytes | None, m: int, percent: int) -> bool:
@@ -56,12 +59,13 @@ def widely_alike(x: bytes | None, n: int, y: bytes | None, m: int, percent: int)
     if x is None or y is None:
         return True
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) != len(b):
-        if len(a) > len(b):
-            a = a[: len(a) // 2] | a[len(a) // 2 :]
-        else:
-            b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return bool(most_overlap(a, n, b, m) >= least_overlap(n, m, percent))
+    words = min(len(a), len(b))
+    return bool(most_overlap(folded(a, words), n, folded(b, words), m) >= least_overlap(n, m, percent))
+
+
+def wide_bits(tokens: np.ndarray) -> bytes | None:
+    found = own_bits(tokens)
+    return found.tobytes() if len(found) > WORDS else None
 
 
 def least_overlap(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -135,15 +139,58 @@ def dual_traversal(x: Tree, y: Tree, percent: int) -> np.ndarray:
     return out
 
 
+def possible_pairs(x: list[np.ndarray], x_sizes: np.ndarray, y: list[np.ndarray], y_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets their own bitmaps allow: sets are put into trees by the width of their bitmaps, and trees of near widths are traversed together."""
+    out = np.zeros((len(x), len(y)), bool)
+    widths_x, widths_y = (np.array([len(b) for b in side]) for side in (x, y))
+    for w in np.unique(widths_x):
+        for v in np.unique(widths_y):
+            i, j, words = np.flatnonzero(widths_x == w), np.flatnonzero(widths_y == v), min(w, v)
+            if 100 * x_sizes[i].max() >= percent * y_sizes[j].min() and 100 * y_sizes[j].max() >= percent * x_sizes[i].min():
+                trees = (Tree(np.stack([folded(side[k], words) for k in at]), sizes[at]) for side, at, sizes in ((x, i, x_sizes), (y, j, y_sizes)))
+                out[np.ix_(i, j)] = dual_traversal(*trees, percent)
+    return out
+
+
 def tree_links(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """`near_dup.block_links` for the pairs that a dual traversal of both sides' trees leaves."""
     if not len(queries) or not len(members):
         return pd.DataFrame({"a": [], "b": []})
-    trees = []
+    sides = []
     for side in (queries, members):
         sets = [np.asarray(s).view(np.uint64) for s in side["found"]]
-        trees.append(Tree(np.stack([token_bits(s) for s in sets]), np.array([len(s) for s in sets], np.int64)))
-    return block_links(queries, members, percent, dual_traversal(*trees, percent))
+        sides += [[own_bits(s) for s in sets], np.array([len(s) for s in sets], np.int64)]
+    return block_links(queries, members, percent, possible_pairs(*sides, percent))
+
+
+def group_survivors(big: DataFrame, percent: int) -> DataFrame:
+    """big (grp, cid, n_shingles, bits, wide, near: whether the pivot's bitmap allows a link) -> grp, cid of the members that may be linked to another one.
+
+    Those near the pivot stay. The others are queries against all members, in blocks of bitmaps: a query stays with its
+    possible partners, or goes. So members that share a passage and nothing else go before any full set is fetched.
+    """
+    asks = (~F.col("near")).cast("int")
+    dealt = big.groupBy("grp").agg(F.ceil(F.sum(asks) / BLOCK).cast("int").alias("of_q"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of_m"))
+    x = big.join(dealt, "grp")
+    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ("cid", "n_shingles", "bits", "wide")
+    queries = x.where("not near").select("grp", place("of_q").alias("q"), every("of_m").alias("m"), *cols, F.lit(True).alias("asks"))
+    members = x.where("of_q > 0").select("grp", every("of_q").alias("q"), place("of_m").alias("m"), *cols, F.lit(False).alias("asks"))
+
+    def stay(block: pd.DataFrame) -> pd.DataFrame:
+        sides, ids = [], []
+        for side in (block[block["asks"]], block[~block["asks"]]):
+            sides += [[np.frombuffer(w if w is not None else b, np.uint64) for w, b in zip(side["wide"], side["bits"], strict=True)], side["n_shingles"].to_numpy()]
+            ids.append(side["cid"].to_numpy())
+        if not all(len(i) for i in ids):
+            return pd.DataFrame({"grp": [], "cid": []})
+        found = possible_pairs(*sides, percent) & (ids[0][:, None] != ids[1][None])
+        cid = np.unique(np.concatenate([ids[0][found.any(axis=1)], ids[1][found.any(axis=0)]]))
+        return pd.DataFrame({"grp": np.full(len(cid), block["grp"].iloc[0]), "cid": cid})
+
+    found = queries.union(members).groupBy("grp", "q", "m").applyInPandas(stay, "grp long, cid long")
+    return big.where("near").select("grp", "cid").union(found).distinct()
 
 
 def set_features(docs: DataFrame, words: int) -> DataFrame:
@@ -304,19 +351,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = 5, perc
     big = written(rows.join(large.select("token", "low"), "token").select(F.col("low").alias("grp"), "cid").distinct())
     star, own = None, None
     if big.take(1):
-        own = big.select("grp", "cid", F.col("grp").alias("hub"))
-        ends = lambda c, p: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
-        star = written(big.where("grp <> cid").join(ends("cid", "x"), "cid").join(ends("grp", "y"), "grp").mapInPandas(_alike(percent), "cid long, pivot long, alike int"))
+        pivots = big.select("grp").distinct().join(classes.select(F.col("cid").alias("grp"), F.col("n_shingles").alias("n_p"), F.col("bits").alias("bits_p"), F.col("wide").alias("wide_p")), "grp")
+        big = written(big.join(classes.select("cid", "n_shingles", "bits", "wide"), "cid").join(pivots, "grp").mapInPandas(_near_pivot(percent), "grp long, cid long, n_shingles long, bits binary, wide binary, alike int, near boolean"))
+        star = big.where("near and grp <> cid").select("cid", F.col("grp").alias("pivot"), "alike")
+        own = written(group_survivors(big, percent)).select("grp", "cid", F.col("grp").alias("hub"))
     return resolved(docs, text, words, percent, feats, classes, pairs, star, own, tree_links).select("doc_id", "n_shingles", "component_id")
 
 
-def _alike(percent: int):
+def _near_pivot(percent: int):
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[f"bits_{p}"]), np.uint64).reshape(len(batch), WORDS) for p in "xy")
-            n, m = batch["n_x"].to_numpy(), batch["n_y"].to_numpy()
-            most = most_overlap(x, n, y, m)
-            ok = most >= least_overlap(n, m, percent)
-            yield pd.DataFrame({"cid": batch["cid"], "pivot": batch["grp"], "alike": (PLACES * most // np.maximum(n + m - most, 1)).astype(np.int32)})[ok]
+            sides = [[np.frombuffer(w if w is not None else b, np.uint64) for w, b in zip(batch[f"wide{p}"], batch[f"bits{p}"], strict=True)] for p in ("", "_p")]
+            n, m = batch["n_shingles"].to_numpy(), batch["n_p"].to_numpy()
+            most = np.array([most_overlap(folded(x, min(len(x), len(y))), i, folded(y, min(len(x), len(y))), j) for x, y, i, j in zip(*sides, n, m, strict=True)], np.int64)
+            yield batch[["grp", "cid", "n_shingles", "bits", "wide"]].assign(alike=(PLACES * most // np.maximum(n + m - most, 1)).astype(np.int32), near=most >= least_overlap(n, m, percent))
 
     return run
