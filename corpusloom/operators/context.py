@@ -46,6 +46,16 @@ THEORY_SECTION = r"(?iuU)^\s*#{2,6}\s*(?:chapter\s+iii|theory|general\s+concepts
 OPTION = r"^\s*(?:\d+[).]|[A-ZА-ЯЁ][).])\s+"
 FEEDBACK = r"(feedback|опрос|educational experience|оставить отзыв|leave your feedback)"
 REQUIREMENTS = (" must ", " should ", " need to ", " needs to ", " required ", " requirement ", " have to ", " we recommend ", " it is necessary to ", " recommended to ", "должен", "должна", "должны", "нужно", "необходимо", "требуется", "следует", "рекоменду", "обязательно")
+POINTER = r"\[(?:here|there|link|source|documentation|docs|тут|здесь|сюда|ссылка|источник|документация)\]\s*\(\s*https?://[^)]+\)"
+LEADING = r"^(?:before|when|if|to|перед|когда|если|чтобы)\b[^,]*,\s*(?:clone|install|define|store|create|implement|build|run|follow|write|download|configure|use|set|скопир|установ|создай|создайте|реализу|запуст|добав|склонир|настрой)\b"
+LOCAL = (
+    r"\b(?:program|project|application|solution|utility|script|service)\b.{0,100}\b(?:built|compiled|implemented|located|placed|stored|run|tested|uses?|contains?)\b",
+    r"\b(?:программа|проект|приложение|решение|утилита|скрипт|сервис)\b.{0,100}\b(?:собирается|компилируется|реализуется|располагается|лежит|запускается|тестируется|использует|содержит)\b",
+    r"\b(?:target|makefile target|turn-in|files to turn in|src/|tests?/|artifacts?)\b",
+    r"\b(?:цель\s+сборки|таргет|файлы\s+для\s+сдачи|артефакт[а-я]*)\b",
+)
+DEFINITION = r"^\s*(?:\*\*)?[A-ZА-ЯЁ][^:\n]{1,90}(?:\*\*)?\s*[:—-]\s+\S"
+FACT_README = r"(?i)(?:^|/)readme(?:_rus)?\.md$"
 SECOND_PERSON = r"\byou (?:must|need|have to|should|can)\b|\byour (?:code|project|repository|program|solution)\b"
 
 
@@ -134,14 +144,16 @@ def clean_claim(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"\[([^\]]+)\]\(([^)]+)\)", "$1"), r"(?U)\s+", " "))
 
 
-def is_claim_noise(text: Column) -> Column:
-    """Headings, table rows, options, navigation and requirements aren't facts to check."""
-    s = strip(text)
-    low = F.concat(F.lit(" "), F.lower(clean_claim(s)), F.lit(" "))
+def is_claim_noise(s: Column, claim: Column) -> Column:
+    """Headings, table rows, options, navigation, pointers to sources, requirements, instructions and statements on the project itself aren't facts to check. s: the stripped text, claim: the same as clean_claim has it."""
+    low = F.concat(F.lit(" "), F.lower(claim), F.lit(" "))
     words = lambda c: F.regexp_count(c, F.lit(r"(?U)\w+"))
-    inner = r"\[[^\]]+\]\(\s*#[^)]+\)"
+    inner, pointer = r"\[[^\]]+\]\(\s*#[^)]+\)", pattern(POINTER, True)
     navigation = s.rlike(inner) & (words(F.regexp_replace(s, inner, "")) <= 3)
-    return (s == "") | s.startswith("#") | s.rlike(r"^\s*\|.+\|\s*$") | s.rlike(pattern(FEEDBACK, True)) | s.rlike(OPTION) | navigation | _any(low, REQUIREMENTS) | low.rlike(pattern(SECOND_PERSON, True))
+    pointing = s.rlike(pointer) & (words(F.regexp_replace(s, pointer, "")) <= 6)
+    asked = low.rlike("|".join(REQUIREMENTS)) | claim.rlike(pattern(LEADING, True)) | claim.rlike(pattern(SECOND_PERSON, True))
+    local = ~claim.rlike(FACT_DATE) & claim.rlike(pattern("|".join(LOCAL), True))
+    return (s == "") | s.startswith("#") | s.rlike(r"^\s*\|.+\|\s*$") | s.rlike(pattern(FEEDBACK, True)) | s.rlike(OPTION) | navigation | pointing | asked | local
 
 
 def looks_like_fact(claim: Column, technologies: str) -> Column:
@@ -154,10 +166,45 @@ def looks_like_fact(claim: Column, technologies: str) -> Column:
 def fact_claims(lines: DataFrame, per_unit: int = 8, technologies: str = pattern(r"\b(python|java|docker|postgresql|linux|javascript|typescript|go|rust)\b", True)) -> DataFrame:
     """unit_id, claim, relative_path, line_no: sentences with a date, a version, a technology or a marker of fact, each once, the first per_unit of a unit."""
     x = sticky_state(lines.where(F.col("kind").isin("readme", "material", "text")), TASK_SECTION, THEORY_SECTION).where("not (in_task and kind = 'readme')")
-    x = x.select(*FILE, "kind", "line_no", F.posexplode(sentences(F.col("line"))).alias("n", "sentence")).where(~is_claim_noise(F.col("sentence")))
-    x = x.withColumn("claim", clean_claim(F.col("sentence"))).where(looks_like_fact(F.col("claim"), technologies))
+    x = x.select(*FILE, "kind", "line_no", F.posexplode(sentences(F.col("line"))).alias("n", "sentence"))
+    x = x.select("*", F.inline(F.array(F.struct(strip(F.col("sentence")).alias("s"), clean_claim(F.col("sentence")).alias("claim"))))).drop("sentence").withColumnRenamed("s", "sentence")
+    x = x.where(~is_claim_noise(F.col("sentence"), F.col("claim"))).where(looks_like_fact(F.col("claim"), technologies))
     rank = F.when(F.col("kind") == "readme", 0).when(F.col("kind") == "material", 1).otherwise(2)
     order = ["rank", "relative_path", "line_no", "n"]
     x = first_in(x.withColumn("rank", rank).withColumn("key", normalize_for_match(F.col("claim"))), ["unit_id", "key"], order)
     w = W.partitionBy("unit_id").orderBy(*order)
     return x.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_unit).select("unit_id", "k", "claim", "relative_path", "line_no")
+
+
+TECHNOLOGIES = pattern(r"\b(python|java|docker|postgresql|linux|javascript|typescript|go|rust)\b", True)
+
+
+def fact_lines(lines: DataFrame, technologies: str = TECHNOLOGIES) -> DataFrame:
+    """The lines of README.md and README_RUS.md, outside tasks, that state a fact to check or define a term."""
+    rows = lines.where(F.col("relative_path").rlike(FACT_README))
+    x = sticky_state(rows, TASK_SECTION, THEORY_SECTION).where(~F.col("in_task")).drop("in_task")
+    # as rows of a generator, so that filters can't take the expressions apart and work them out again for each pattern
+    x = x.select("*", F.inline(F.array(F.struct(strip(F.col("line")).alias("_s"), clean_claim(F.col("line")).alias("_claim")))))
+    claim = F.col("_claim")
+    defined = F.char_length(claim).between(20, 520) & claim.rlike(DEFINITION) & (claim.rlike(pattern(FACT, True)) | claim.rlike(technologies) | claim.contains(":"))
+    return x.where(~is_claim_noise(F.col("_s"), claim)).where(looks_like_fact(claim, technologies) | defined).drop("_s", "_claim")
+
+
+def fact_batches(lines: DataFrame, size: int = 90, most: int = 8, technologies: str = TECHNOLOGIES) -> DataFrame:
+    """unit_id, batch, relative_path, line_start, line_end, text, allowed_lines: fact lines with their numbers, `size` a batch, the first `most` batches of a unit by file and line.
+
+    Batches don't run over the ends of files. The first lines of each unit are found before anything is collected, so a
+    task holds no more than most * size lines of a unit at once.
+    """
+    by_file = W.partitionBy(*FILE).orderBy("line_no")
+    x = fact_lines(lines, technologies).withColumn("part", F.floor((F.row_number().over(by_file) - 1) / size).cast("int"))
+    # of a file no more than `most` batches can count, and of a unit no more than its first `most` batches
+    x = x.where(F.col("part") < most).withColumn("low", F.lower("relative_path"))
+    starts = x.groupBy("unit_id", "low", "relative_path", "part").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("unit_id").orderBy("low", "relative_path", "part")
+    starts = starts.withColumn("batch", F.row_number().over(order) - 1).where(F.col("batch") < most).drop("low", "n")
+    body = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    x = x.join(starts, ["unit_id", "relative_path", "part"]).groupBy("unit_id", "batch", "relative_path").agg(body.alias("body"))
+    text = F.array_join(F.transform("body", lambda r: F.concat(r["line_no"].cast("string"), F.lit(": "), r["line"])), "\n")
+    numbers = F.transform("body", lambda r: r["line_no"])
+    return x.select("unit_id", "batch", "relative_path", F.array_min(numbers).alias("line_start"), F.array_max(numbers).alias("line_end"), text.alias("text"), numbers.alias("allowed_lines"))

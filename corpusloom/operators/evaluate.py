@@ -46,13 +46,15 @@ def file_name_key(path: Column) -> Column:
 
 def soft_candidates(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """gold (gold_idx, unit_id, criterion, file_path, line_start) x predictions (pred_idx, ...) of equal unit and criterion -> gold_idx, pred_idx, unit_id, criterion, score > 0."""
-    p = predictions.select("pred_idx", "unit_id", "criterion", F.col("file_path").alias("pred_file"), F.col("line_start").alias("pred_line"))
-    x = gold.select("gold_idx", "unit_id", "criterion", F.col("file_path").alias("gold_file"), F.col("line_start").alias("gold_line")).join(p, ["unit_id", "criterion"])
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    file = F.when(empty("gold_file"), 0.8).when(empty("pred_file"), 0.0).when(file_name_key(F.col("gold_file")) == file_name_key(F.col("pred_file")), 1.0).otherwise(0.0)
+    p = predictions.select("pred_idx", "unit_id", "criterion", F.when(~empty("file_path"), file_name_key(F.col("file_path"))).alias("file_key"), F.col("line_start").alias("pred_line"))
+    g = gold.select("gold_idx", "unit_id", "criterion", F.when(~empty("file_path"), file_name_key(F.col("file_path"))).alias("file_key"), F.col("line_start").alias("gold_line"))
+    # a named file is part of the key; only gold rows without one meet all of their unit
+    named = g.join(p, ["unit_id", "criterion", "file_key"]).withColumn("_f", F.lit(1.0))
+    x = named.unionByName(g.where("file_key is null").drop("file_key").join(p, ["unit_id", "criterion"]).withColumn("_f", F.lit(0.8)))
     gap = F.abs(F.col("gold_line") - F.col("pred_line"))
     line = F.when(F.col("gold_line").isNull(), 0.8).when(F.col("pred_line").isNull(), 0.0).when(gap == 0, 1.0).when(gap <= 2, 0.75).otherwise(0.0)
-    x = x.withColumn("_f", file).withColumn("_l", line).where("_f > 0 and _l > 0")
+    x = x.withColumn("_l", line).where("_l > 0")
     return x.select("gold_idx", "pred_idx", "unit_id", "criterion", F.bround(F.lit(0.6) + F.col("_f") * 0.2 + F.col("_l") * 0.2, 4).alias("score"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .oracles import FINDINGS, LINES, MATCHES, SUBTYPES
-from .rules import AVAILABILITY, MADE
+from ..operators import context as c
+from .oracles import FINDINGS, LINE_SPLIT, LINES, MATCHES, SUBTYPES
+from .rules import AVAILABILITY, FACT_LINES, FACT_TECHNOLOGIES, GATE_ITEMS, MADE
 
 
 def made(*names: str) -> str:
@@ -22,7 +23,105 @@ sized as (select subtype, count(*) as n from rows_in group by 1),
 plan as (select subtype, case when n <= 10 then n else least(n, ceil(96.04 / (1 + (96.04 - 1) / n))) end as wanted from sized),
 drawn as (select r.*, row_number() over (partition by r.subtype order by md5('42:' || cast(finding_id as varchar)), finding_id) as k from rows_in r)"""
 
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACES}+|{SPACES}+$', '', 'g')"
+
+
+def words(x: str) -> str:
+    return rf"len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
+
+
+def folded(p: str) -> str:
+    """A pattern of the JVM that doesn't look at case, for this engine."""
+    return "(?i)" + p.removeprefix("(?iuU)")
+
+
+# The rules' own patterns over whole texts; nothing here knows which line stands before a document.
+POINTER, INNER = folded(c.POINTER), r"\[[^\]]+\]\(\s*#[^)]+\)"
+FACTS = rf"""
+files as (
+  select source as unit_id, cast(doc_id as varchar) || '/' || case when doc_id % 5 = 0 then 'README_RUS.md' when doc_id % 5 = 1 then 'notes.md' else 'readme.MD' end as relative_path,
+    (case {" ".join(f"when doc_id % {len(FACT_LINES)} = {i} then {x}" for i, x in enumerate(FACT_LINES))} end) || chr(10) || text as text from documents where text is not null
+),
+raw_lines as (select unit_id, relative_path, unnest({LINE_SPLIT}) as line, generate_subscripts({LINE_SPLIT}, 1) as line_no, len({LINE_SPLIT}) as total from files),
+states as (
+  select *, coalesce(last_value(case when regexp_matches(line, '{folded(c.THEORY_SECTION)}') then false when regexp_matches(line, '{folded(c.TASK_SECTION)}') then true end ignore nulls)
+    over (partition by unit_id, relative_path order by line_no rows between unbounded preceding and current row), false) as in_task
+  from raw_lines where not (line_no = total and line = '') and regexp_matches(relative_path, '{c.FACT_README}')
+),
+claims as (
+  select *, {stripped("line")} as s, {stripped(f"regexp_replace(regexp_replace(regexp_replace({stripped('line')}, '^{SPACES}*(?:#{{1,6}}|[-*]|[0-9]+[.)]){SPACES}*', ''), '{chr(92)}[([^{chr(92)}]]+){chr(92)}]{chr(92)}(([^)]+){chr(92)})', '{chr(92)}1', 'g'), '{SPACES}+', ' ', 'g')")} as claim from states where not in_task
+),
+fact_lines as (
+  select * from claims
+  where s <> '' and s not like '#%' and not regexp_matches(s, '^\s*\|.+\|\s*$') and not regexp_matches(s, '{folded(c.FEEDBACK)}') and not regexp_matches(s, '{c.OPTION}')
+    and not (regexp_matches(s, '{INNER}') and {words(f"regexp_replace(s, '{INNER}', '', 'g')")} <= 3)
+    and not (regexp_matches(s, '{POINTER}') and {words(f"regexp_replace(s, '{POINTER}', '', 'g')")} <= 6)
+    and not ({" or ".join(f"contains(' ' || lower(claim) || ' ', '{m}')" for m in c.REQUIREMENTS)})
+    and not regexp_matches(claim, '{folded(c.LEADING)}') and not regexp_matches(claim, '{folded(c.SECOND_PERSON)}')
+    and (regexp_matches(claim, '{c.FACT_DATE}') or not regexp_matches(claim, '{folded("|".join(c.LOCAL))}'))
+    and (
+      length(claim) between 35 and 520 and not regexp_matches(lower(claim), '^(https?://|!\[|\[)') and {words("claim")} >= 5
+        and (regexp_matches(claim, '{c.FACT_DATE}') or regexp_matches(claim, '{folded(c.FACT)}') or regexp_matches(claim, '{FACT_TECHNOLOGIES}'))
+      or length(claim) between 20 and 520 and regexp_matches(claim, '{c.DEFINITION}') and (regexp_matches(claim, '{folded(c.FACT)}') or regexp_matches(claim, '{FACT_TECHNOLOGIES}') or contains(claim, ':'))
+    )
+)"""
+LONG_LINES = f"""
+raw_lines as (select doc_id, source, {LINE_SPLIT} as own, unnest({LINE_SPLIT}) as line, generate_subscripts({LINE_SPLIT}, 1) as no, len({LINE_SPLIT}) as total from documents where text is not null),
+kept as (select *, case when total > 0 and own[total] = '' then own[1:total - 1] else own end as lines from raw_lines where not (no = total and line = '')),
+reported as (
+  select *, row_number() over (partition by doc_id order by no) - 1 as n, case when no % 2 = 0 then 'link_checker' else 'readability_checker' end as checker_name,
+    case no % 3 when 0 then 'fail' when 1 then 'unknown' else 'warning' end as verdict, cast(doc_id % 10 as double) / 10 as confidence, {stripped("coalesce(lines[no + 1], '')")} as following
+  from kept where length({stripped("line")}) > 260
+),
+flat as (
+  select *, doc_id * 4294967296 + n as pred_idx, concat_ws(' | ', {stripped("line")}, nullif(following, ''), nullif(following, ''), 'shorten it', 'long_line') as found_text from reported where no % 7 <> 6
+)"""
+GATE_SQL = "select " + ", ".join(f"{e.replace('split(text, ' + chr(39) + chr(92) + 'n' + chr(39) + ')[0]', 'split_part(text, chr(10), 1)')} as {n}" for n, e in GATE_ITEMS.items()) + ", text from events join documents on user_id = doc_id where text is not null"
+
 ORACLE_SQL = {
+    "readme_fact_lines": f"with {FACTS} select unit_id, relative_path, line_no, md5(line) as line_md5 from fact_lines",
+    "readme_fact_batches": f"""
+with {FACTS},
+parts as (select *, (row_number() over (partition by unit_id, relative_path order by line_no) - 1) // 90 as part from fact_lines),
+joined as (select unit_id, relative_path, part, min(line_no) as line_start, max(line_no) as line_end, count(*) as n_lines, md5(string_agg(cast(line_no as varchar) || ': ' || line, chr(10) order by line_no)) as text_md5 from parts group by 1, 2, 3),
+placed as (select *, row_number() over (partition by unit_id order by lower(relative_path), relative_path, part) - 1 as batch from joined)
+select unit_id, batch, relative_path, line_start, line_end, text_md5, n_lines from placed where batch < 8
+""",
+    "gated_verdicts": f"""
+with items as ({GATE_SQL}),
+shown as (select distinct unit_id, checker_name, relative_path from items where item_id % 11 <> 2 and line = 1),
+x as (
+  select i.*, s.unit_id is not null and line = 1 as inside, lower(concat_ws(' ', quote, evidence, recommendation)) as said, {LINE_SPLIT} as own from items i left join shown s on s.unit_id = i.unit_id and s.checker_name = i.checker_name and s.relative_path = i.relative_path
+),
+y as (
+  select *, case checker_name
+    when 'spelling_wording_checker' then case when confidence < 0.65 then 'confidence' when issue_type not in ('typo', 'tautology', 'case', 'wording', 'quote_style') then 'issue_type' when trim(quote) = '' or evidence = '' then 'text'
+      when not inside then 'line' when not contains(own[line], quote) then 'quote' end
+    when 'curriculum_relevance_checker' then case when confidence < case issue_type when 'outdated_approach' then 0.72 when 'missing_key_topic' then 0.74 else 0.55 end then 'confidence' when verdict = 'pass' then 'verdict'
+      when criterion = 'links' then 'criterion' when issue_type = 'outdated_approach' and contains(said, 'makefile') and not (contains(said, ' java') or contains(said, 'java-') or contains(said, 'asp.net') or contains(said, 'c#')) then 'tooling' end
+    when 'model_rubric_checker' then case when confidence < 0.7 then 'confidence' when verdict = 'unknown' then 'verdict' end
+    when 'cross_file_consistency_checker' then case when confidence < 0.6 then 'confidence' end
+    when 'readme_fact_actuality_checker' then case when not inside then 'line' end end as gate from x
+),
+z as (select *, row_number() over (partition by unit_id, checker_name, relative_path, substr(quote, 1, 160), gate is null order by item_id) as again from y)
+select item_id, checker_name, case when checker_name = 'cross_file_consistency_checker' and gate is null and again > 1 then 'repeated' else gate end as gate from z
+""",
+    "flattened_predictions": f"""
+with {LONG_LINES}
+select pred_idx, cast(doc_id as varchar) || ':' || cast(no as varchar) as finding_id, source as project_id, upper(source) as project, checker_name, cast(no as integer) as line_start, cast(doc_id as varchar) || '.md' as file_path, verdict, confidence, 'long_line' as issue_type, md5(found_text) as text_md5 from flat
+""",
+    "report_precision": f"""
+with {LONG_LINES},
+strict as (select * from flat where not (verdict = 'unknown' and confidence < 0.8) and (checker_name <> 'link_checker' or verdict = 'fail')),
+gold as (select l.doc_id from labels l join documents d on d.doc_id = l.doc_id where quality = 0),
+n as (select (select count(*) from gold) as gold_total, (select count(*) from strict) as predicted_total, (select count(*) from gold where doc_id in (select doc_id from strict)) as true_positive)
+select gold_total, predicted_total, true_positive, predicted_total - true_positive as false_positive, gold_total - true_positive as false_negative,
+  round(true_positive / predicted_total, 4) as precision, round(true_positive / gold_total, 4) as recall, cast(0 as double) as critical_recall, round((predicted_total - true_positive) / predicted_total, 4) as false_positive_rate from n
+""",
     "image_entities": f"""
 with {made("image_notes")},
 found as (

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detector import Corpus, audit
-from ..functions.text import normalize_for_match
+from ..functions.text import normalize_for_match, split_lines, strip
 from ..materialize import written
 from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, matching, readability, resources, rights, sinks, verdicts
 from ..operators.images import image_quality
 from ..operators.lines import FILE, lines, sticky_state, without_fences
 from ..sources import files as f
+from ..sources import findings_json
 from ..sources import tables as t
 from .queries import _matches, _subtypes, page_notes
 
@@ -439,6 +440,87 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("checker_name", "issue_type", "severity", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Lines that are put before a document's own, by its place in the corpus: what the fact rules look for, and what they leave out.
+FACT_LINES = (
+    "'## Theory'", "concat('Docker: the standard of ', source, ' since ', cast(1990 + doc_id % 40 as string), ' for all of its users')", "'The project is built and tested with the latest release of its standard tools'",
+    "'See [here](https://example.org/a) for the standard of 2020 and more'", "'To run the latest release of the standard, install the tools of 2021 first'", "'A heading: of 2020 | the latest standard'", "'## Task 1'", "concat('The release of ', cast(doc_id as string), ' was published in 2020 by its own team')",
+)
+
+
+def fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as README files of their source, whole, each with one of FACT_LINES before its text."""
+    line = "case " + " ".join(f"when doc_id % {len(FACT_LINES)} = {i} then {x}" for i, x in enumerate(FACT_LINES)) + " end"
+    return t.table(spark, sf_dir, "documents").where("text is not null").selectExpr("source as unit_id", "concat(cast(doc_id as string), '/', case when doc_id % 5 = 0 then 'README_RUS.md' when doc_id % 5 = 1 then 'notes.md' else 'readme.MD' end) as relative_path", "'readme' as kind", f"concat({line}, '\n', text) as text")
+
+
+def readme_fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of documents, and of what stands before them, that state a fact or define a term."""
+    return context.fact_lines(lines(fact_files(spark, sf_dir)), FACT_TECHNOLOGIES).select("unit_id", "relative_path", "line_no", F.md5("line").alias("line_md5"))
+
+
+#: Without word borders, whose meaning differs between engines next to letters beyond ASCII.
+FACT_TECHNOLOGIES = "(?i)(docker|postgresql|javascript)"
+
+
+def readme_fact_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact lines in batches of 90, 8 of a unit."""
+    x = context.fact_batches(lines(fact_files(spark, sf_dir)), technologies=FACT_TECHNOLOGIES)
+    return x.select("unit_id", "batch", "relative_path", "line_start", "line_end", F.md5("text").alias("text_md5"), F.size("allowed_lines").alias("n_lines"))
+
+
+# Items of models about the lines of documents: each fails one gate, or none, by the event that it belongs to.
+GATE_ITEMS = {
+    "item_id": "event_id", "unit_id": "source", "relative_path": "cast(doc_id as string)", "line": "case when event_id % 13 = 5 then 3 else 1 end",
+    "checker_name": "case event_id % 6 when 0 then 'spelling_wording_checker' when 1 then 'curriculum_relevance_checker' when 2 then 'model_rubric_checker' when 3 then 'cross_file_consistency_checker' when 4 then 'readme_fact_actuality_checker' else 'other_checker' end",
+    "issue_type": "case event_id % 5 when 0 then 'typo' when 1 then 'outdated_approach' when 2 then 'missing_key_topic' when 3 then 'wording' else 'style' end",
+    "quote": "case when event_id % 17 = 3 then 'no such words' when event_id % 19 = 4 then '' else substr(split(text, '\n')[0], 1, 12) end", "criterion": "case when event_id % 7 = 1 then 'links' else 'correctness' end",
+    "verdict": "case event_id % 8 when 0 then 'pass' when 1 then 'unknown' else 'fail' end", "confidence": "least(cast(1 as double), value / 100)", "evidence": "case when event_id % 9 = 0 then '' when event_id % 9 = 1 then 'the Makefile is old' else 'it is wrong' end", "recommendation": "'write it anew'",
+}
+
+
+def gated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which gate of its checker each stored item fails, over the first lines of the documents that users' events point to."""
+    docs = t.table(spark, sf_dir, "documents").where("text is not null")
+    events = t.table(spark, sf_dir, "events")
+    items = events.join(docs, events["user_id"] == docs["doc_id"]).selectExpr(*(f"{e} as {c}" for c, e in GATE_ITEMS.items()))
+    shown = items.where("item_id % 11 <> 2 and line = 1").select("unit_id", "checker_name", "relative_path", "line")
+    own = lines(docs.selectExpr("source as unit_id", "cast(doc_id as string) as relative_path", "'readme' as kind", "text"))
+    return verdicts.gated(items, verdicts.line_ranges(shown), own).select("item_id", "checker_name", "gate")
+
+
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested JSON report a document: its long lines as findings, with what follows each line as evidence."""
+    docs = t.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", split_lines(F.col("text")).alias("own"))
+    found = F.filter(F.transform("own", lambda x, i: F.struct(x.alias("line"), (i + 1).alias("no"))), lambda x: F.char_length(strip(x["line"])) > 260)
+
+    def finding(x):
+        detail = F.struct(F.lit("next").alias("title"), F.coalesce(F.get("own", x["no"]), F.lit("")).alias("detail"), F.lit(None).cast("string").alias("url"))
+        return F.struct(
+            F.concat_ws(":", F.col("doc_id").cast("string"), x["no"].cast("string")).alias("finding_id"), F.when(x["no"] % 7 == 6, "elsewhere").otherwise(F.col("source")).alias("unit_id"), F.lit("readability").alias("criterion"),
+            F.when(x["no"] % 2 == 0, "link_checker").otherwise("readability_checker").alias("checker_name"), F.lit("minor").alias("severity"), F.when(x["no"] % 3 == 0, "fail").when(x["no"] % 3 == 1, "unknown").otherwise("warning").alias("verdict"),
+            (F.pmod("doc_id", F.lit(10)) / 10).alias("confidence"), x["line"].alias("quote"), F.lit(" shorten it ").alias("recommendation"), F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), x["no"].alias("line_start"), x["no"].alias("line_end")).alias("location"),
+            F.array(detail, detail, detail).alias("evidence"), F.create_map(F.lit("issue_type"), F.lit("long_line")).alias("extra"),
+        )
+
+    units = F.array(F.struct(F.col("source").alias("unit_id"), F.upper("source").alias("name")))
+    return docs.select(F.col("doc_id").alias("report_no"), F.to_json(F.struct(units.alias("units"), F.transform(found, finding).alias("findings"))).alias("report"))
+
+
+def flattened_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of nested reports as the predictions of an evaluation."""
+    x = findings_json.predictions(json_reports(spark, sf_dir))
+    return x.select("pred_idx", "finding_id", "project_id", "project", "checker_name", "line_start", "file_path", "verdict", "confidence", "issue_type", F.md5("found_text").alias("text_md5"))
+
+
+def report_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From nested reports to the scores of an evaluation: strict signals, one-to-one matches with documents of low quality, precision and recall."""
+    found = written(evaluate.strict_signals(findings_json.predictions(json_reports(spark, sf_dir))))
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("unit_id"))
+    gold = t.table(spark, sf_dir, "labels").where("quality = 0").join(docs, "doc_id").select(F.col("doc_id").alias("gold_idx"), "unit_id", F.lit("readability").alias("criterion"), F.lit("minor").alias("severity"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.lit(None).cast("int").alias("line_start"))
+    gold = written(gold)
+    return evaluate.precision_recall(gold, found, evaluate.soft_matches(evaluate.soft_candidates(gold, found)))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -449,5 +531,6 @@ QUERIES = {
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
         checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
         pair_scores, strict_matches, prescreened_pairs, assigned_pairs, dependency_conflicts, image_sources, discovered_units, manifest_licenses,
+        readme_fact_lines, readme_fact_batches, gated_verdicts, flattened_predictions, report_precision,
     )
 }

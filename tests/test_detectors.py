@@ -1,15 +1,17 @@
 """Rules on small texts, each with a twin that must not fire."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import all_matches, line_number, quote_around, split_lines
-from corpusloom.operators import consistency, entities, links, markdown, readability, rights, similarity
+from corpusloom.functions.text import all_matches, line_number, quote_around, split_lines, strip
+from corpusloom.operators import consistency, context, entities, links, markdown, readability, rights, similarity, verdicts
 from corpusloom.operators.lines import lines, sticky_state, without_fences
 from corpusloom.plans import queries
+from corpusloom.sources import findings_json
 
 
 def files(spark, *rows):
@@ -167,3 +169,60 @@ def test_winnowed_among_is_a_filter():
         whole, _ = similarity.winnowed(text, 10, 4, kind)
         some, _ = similarity.winnowed(text, 10, 4, kind, bits)
         assert set(own) & set(whole) == set(own) & set(some) and len(some) < 0.5 * len(whole) and len(set(own) & set(some)) > 30
+
+
+def test_claim_noise(spark):
+    """Each filter drops its line, and a twin of each stays."""
+    rows = [
+        ("See [here](https://a.example/b) for more", True), ("The standard [here](https://a.example/b) was set for all of its users in 2020", False),
+        ("To run the latest release, install the tools", True), ("Some tools of the latest release install themselves", False),
+        ("The project is built with the latest standard tools", True), ("The project was built in 2020 with standard tools", False), ("Files to turn in: the standard ones", True),
+        ("You must use the standard", True), ("# Heading", True), ("| a | b |", True), ("", True), ("[Up](#top) of all", True), ("Leave your feedback", True), ("1. An option", True), ("The release was published", False),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r["i"]: r["noise"] for r in df.select("i", context.is_claim_noise(strip(F.col("t")), context.clean_claim(F.col("t"))).alias("noise")).collect()}
+    assert got == {i: noise for i, (_, noise) in enumerate(rows)}
+
+
+def test_fact_batches(spark):
+    """README.md and README_RUS.md only, outside tasks, with definitions, in batches that end with their file."""
+    fact = "The release of version 3 was published in 2020 by its team."
+    text = "\n".join(["## Theory", fact, "Docker: a tool", "Docker: a tool of the kind that is standard", "## Task 1", fact, "## Theory", *[fact] * 5])
+    rows = lines(files(spark, ("u", "b/README.md", "readme", text), ("u", "A/readme_rus.md", "readme", fact), ("u", "README_ENG.md", "readme", fact), ("v", "README.md", "text", "nothing at all")))
+    got = [tuple(r) for r in context.fact_batches(rows, 3, 3).orderBy("batch").select("batch", "relative_path", "line_start", "line_end", "allowed_lines").collect()]
+    assert got == [(0, "A/readme_rus.md", 1, 1, [1]), (1, "b/README.md", 2, 8, [2, 4, 8]), (2, "b/README.md", 9, 11, [9, 10, 11])]
+    assert context.fact_batches(rows, 3, 3).where("batch = 1").first()["text"].split("\n")[0] == f"2: {fact}"
+
+
+def test_gates(spark):
+    """Each gate fails once, the first that does is told, and what passes all has none."""
+    base = {"unit_id": "u", "checker_name": "spelling_wording_checker", "relative_path": "README.md", "line": 2, "quote": "teh", "issue_type": "Typo", "criterion": "readability", "verdict": "fail", "confidence": 0.9, "evidence": "wrong", "recommendation": "the"}
+    own = {"checker_name": "curriculum_relevance_checker", "criterion": "correctness", "issue_type": "inappropriate_tool", "line": None}
+    cases = [
+        ({}, None), ({"confidence": 0.6}, "confidence"), ({"issue_type": "facts"}, "issue_type"), ({"issue_type": None}, "issue_type"), ({"evidence": " "}, "text"), ({"line": 9}, "line"), ({"quote": "the"}, "quote"), ({"confidence": None}, "confidence"),
+        (own, None), (own | {"confidence": 0.64}, "confidence"), (own | {"confidence": 0.64, "issue_type": "other"}, None), (own | {"verdict": "pass"}, "verdict"), (own | {"criterion": "links"}, "criterion"), (own | {"evidence": "a Makefile"}, "tooling"),
+        (own | {"evidence": "a Makefile in a Java project"}, None), (own | {"quote": "", "evidence": None, "recommendation": ""}, "text"),
+        ({"checker_name": "model_rubric_checker", "confidence": 0.65}, "confidence"), ({"checker_name": "model_rubric_checker", "verdict": "unknown"}, "verdict"), ({"checker_name": "model_rubric_checker", "relative_path": None, "quote": None}, "place"), ({"checker_name": "model_rubric_checker", "relative_path": None}, None),
+        ({"checker_name": "cross_file_consistency_checker"}, None), ({"checker_name": "cross_file_consistency_checker", "evidence": "again"}, "repeated"), ({"checker_name": "readme_fact_actuality_checker", "confidence": 0.1, "line": 3}, None), ({"checker_name": "readme_fact_actuality_checker", "line": 4}, "line"),
+        ({"checker_name": "another", "confidence": 0.0}, None),
+    ]
+    rows = [base | change for change, _ in cases]
+    schema = "item_id long, unit_id string, checker_name string, relative_path string, line int, quote string, issue_type string, criterion string, verdict string, confidence double, evidence string, recommendation string"
+    items = spark.createDataFrame([(i, *(r[c.split()[0]] for c in schema.split(", ")[1:])) for i, r in enumerate(rows)], schema)
+    allowed = spark.createDataFrame([("u", c, "README.md", n) for c in ("spelling_wording_checker", "readme_fact_actuality_checker") for n in (1, 2, 3, 7)], "unit_id string, checker_name string, relative_path string, line int")
+    ranges = verdicts.line_ranges(allowed)
+    assert sorted(tuple(r) for r in ranges.where("checker_name like 'spell%'").select("first", "last").collect()) == [(1, 3), (7, 7)]
+    got = {r["item_id"]: r["gate"] for r in verdicts.gated(items, ranges, readme(spark, "one\nteh two\nthree")).collect()}
+    assert got == {i: gate for i, (_, gate) in enumerate(cases)}
+
+
+def test_nested_reports(spark, tmp_path):
+    """Quote, two details, recommendation and type; findings of unknown units and unreadable reports are left out."""
+    report = {"units": [{"unit_id": "u", "name": "Unit"}], "findings": [
+        {"finding_id": "f1", "unit_id": "u", "criterion": "facts", "checker_name": "c", "severity": "minor", "verdict": "fail", "confidence": 0.5, "quote": " q ", "location": {"file_path": "a.md", "line_start": 3, "line_end": None}, "evidence": [{"detail": "one"}, {"detail": None}, {"detail": "three"}], "recommendation": "do", "extra": {"issue_type": "typo", "more": 1}},
+        {"finding_id": "f2", "unit_id": "v"}, {"finding_id": "f3", "unit_id": "u", "location": None, "evidence": None, "extra": {}},
+    ]}
+    for name, text in (("a", json.dumps(report, indent=1)), ("b", "not json"), ("c", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = [tuple(r) for r in findings_json.predictions(findings_json.read_reports(spark, str(tmp_path))).orderBy("pred_idx").select("pred_idx", "finding_id", "project", "line_start", "file_path", "issue_type", "found_text").collect()]
+    assert got == [(1 << 32, "f1", "Unit", 3, "a.md", "typo", "q | one | do | typo"), ((1 << 32) + 2, "f3", "Unit", None, None, "", "")]
