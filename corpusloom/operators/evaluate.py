@@ -248,3 +248,56 @@ def missed_reasons(gold: DataFrame, matches: DataFrame, predictions: DataFrame,
     x = left.join(near.select("gold_idx").distinct().withColumn("_near", F.lit(True)), "gold_idx", "left").join(same, ["unit_id", "criterion"], "left").join(unit, "unit_id", "left").join(anywhere, "criterion", "left")
     reason = F.when(F.col("_near"), "near_miss").when(F.col("_same"), "same_criterion").when(F.col("_unit"), "other_criterion").when(F.col("_any"), "unit_only").otherwise("not_covered")
     return x.select("gold_idx", reason.alias("reason"))
+
+
+#: The tables of an evaluation.
+BUNDLE = ("summary", "main", "by_criterion", "overview_by_criterion", "by_checker", "by_checker_group", "false_negative_analysis", "false_positive_detailed", "false_negative", "false_positive")
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """rows (..., gold_total, predicted_total, true_positive) with false_positive, false_negative, precision, recall, f1_score."""
+    x = rows.na.fill(0, ["gold_total", "predicted_total", "true_positive"])
+    tp, gold, predicted = (F.col(c) for c in ("true_positive", "gold_total", "predicted_total"))
+    x = x.withColumns({"false_positive": predicted - tp, "false_negative": gold - tp, "precision": ratio(tp, predicted), "recall": ratio(tp, gold)})
+    return x.withColumn("f1_score", f1(F.col("precision"), F.col("recall")))
+
+
+def evaluation(gold_cases: DataFrame, predictions: DataFrame, scored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ten tables of an evaluation (BUNDLE), all from one written table of matches and one of predictions with their hits.
+
+    gold_cases (gold_idx, project_id, criterion, gold_text, line_start, line_end) and predictions (pred_idx, project_id,
+    criterion, checker_name, found_text, line_start, line_end, ...). Predictions of criteria without gold cases are out of
+    scope. scored: pair scores, if there are any already.
+    """
+    gold = written(gold_cases.select("gold_idx", "project_id", "criterion", "gold_text", "line_start", "line_end"))
+    scope = gold.select("criterion").distinct()
+    found = predictions.join(F.broadcast(scope), "criterion", "left_semi")  # a row per criterion
+    found = written(found.select("pred_idx", "project_id", "criterion", "checker_name", "found_text", "line_start", "line_end").withColumn("checker_group", checker_group(F.col("checker_name"))))
+    matches = written(strict_matches(gold, written(scored if scored is not None else pair_scores(gold, found))))
+    hits = matches.where("counted").select("pred_idx").withColumn("hit", F.lit(1))
+    found = written(found.join(hits, "pred_idx", "left"))
+    main = gold.join(matches.drop("project_id", "criterion"), "gold_idx").join(found.select("pred_idx", "found_text", "checker_name", F.col("line_start").alias("found_start"), F.col("line_end").alias("found_end")), "pred_idx", "left")
+    by = lambda rows, key, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    criteria = scores(by(gold, "criterion", "gold_total").join(by(found, "criterion", "predicted_total"), "criterion", "full").join(by(matches.where("counted"), "criterion", "true_positive"), "criterion", "left"))
+    keys = ["project_id", "criterion"]
+    sides = written(gold.select(*keys).distinct().withColumn("in_gold", F.lit(1)).join(predictions.select(*keys).distinct().withColumn("in_found", F.lit(1)), keys, "full"))
+    overview = scores(sides.groupBy("criterion").agg(F.count("in_gold").alias("gold_total"), F.count("in_found").alias("predicted_total"), F.count(F.when(F.col("in_gold") == F.col("in_found"), 1)).alias("true_positive")))
+
+    def sliced(key: str) -> DataFrame:
+        x = found.groupBy(F.col(key).alias("slice_name")).agg(F.count(F.lit(1)).alias("predicted_total"), F.count("hit").alias("true_positive")).withColumn("false_positive", F.col("predicted_total") - F.col("true_positive"))
+        total = F.sum("false_positive").over(W.partitionBy(F.lit(0)))  # a row per slice
+        return x.withColumns({"precision": ratio(F.col("true_positive"), F.col("predicted_total")), "false_positive_share": ratio(F.col("false_positive"), total)})
+
+    missed = main.where("not counted")
+    in_unit = found.groupBy("project_id").agg(F.count(F.lit(1)).alias("_unit"))
+    in_scope = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_same"))
+    reason = F.when(F.col("match_type") != "missed", "near_miss").when(F.col("_same").isNotNull(), "same_criterion").when(F.col("_unit").isNotNull(), "other_criterion").otherwise("not_covered")
+    analysis = missed.join(in_scope, keys, "left").join(in_unit, "project_id", "left").select("gold_idx", *keys, "line_start", "line_end", "gold_text", F.col("pred_idx").alias("nearest_pred_idx"), F.col("checker_name").alias("nearest_checker"), F.col("match_type").alias("nearest_match_type"), F.col("score").alias("nearest_score"), reason.alias("reason_code"))
+    one = lambda rows, *aggs: rows.agg(*aggs)
+    totals = one(gold, F.count(F.lit(1)).alias("gold_total")).crossJoin(one(found, F.count(F.lit(1)).alias("predicted_total"), F.count("hit").alias("true_positive")))  # one row by one row
+    return {
+        "summary": scores(totals).crossJoin(macro(criteria.withColumnRenamed("f1_score", "f1"))),
+        "main": main,
+        "by_criterion": criteria, "overview_by_criterion": overview, "by_checker": sliced("checker_name"), "by_checker_group": sliced("checker_group"), "false_negative_analysis": analysis,
+        "false_positive_detailed": found.where("hit is null").drop("hit", "checker_group"), "false_negative": sides.where("in_found is null").select(*keys), "false_positive": sides.where("in_gold is null").select(*keys),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import context as c
 from .oracles import FINDINGS, LINE_SPLIT, LINES, MATCHES, SUBTYPES
-from .rules import AVAILABILITY, FACT_LINES, FACT_TECHNOLOGIES, GATE_ITEMS, MADE
+from .rules import AVAILABILITY, FACT_LINES, FACT_TECHNOLOGIES, GATE_ITEMS, MADE, STRICT_CHECKER
 
 
 def made(*names: str) -> str:
@@ -468,7 +468,30 @@ def greedy(source: str) -> str:
 taken as (select o.* from walk w join {source} o on o.scope = w.scope and o.place = w.place where w.hit)"""
 
 
+TAKEN = f"""{SCORED},
+queue as (select *, row_number() over (partition by scope order by score desc, gold_idx, pred_idx) as place from scored where match_type <> 'criterion_only'),
+{greedy("queue")},
+golds as (select * from strict_gold where use_row),
+finds as (select *, {STRICT_CHECKER} as checker, pred_idx in (select pred_idx from taken) as hit from strict_found where use_row and criterion in (select criterion from golds)),
+gold_keys as (select distinct project_id, criterion from golds), found_keys as (select distinct project_id, criterion from strict_found where use_row)"""
 ORACLE_SQL |= {
+    "evaluation_bundle": f"""
+with recursive {TAKEN}
+select 'summary' as name, cast(1 as bigint) as n union all select 'main', count(*) from golds union all select 'by_criterion', count(distinct criterion) from golds
+union all select 'overview_by_criterion', count(distinct criterion) from (select criterion from gold_keys union all select criterion from found_keys)
+union all select 'by_checker', count(distinct checker) from finds union all select 'by_checker_group', count(distinct checker) from finds
+union all select 'false_negative_analysis', count(*) from golds where gold_idx not in (select gold_idx from taken) union all select 'false_positive_detailed', count(*) from finds where not hit
+union all select 'false_negative', count(*) from (from gold_keys except from found_keys) union all select 'false_positive', count(*) from (from found_keys except from gold_keys)
+""",
+    "evaluation_slices": f"""
+with recursive {TAKEN},
+sliced as (
+  select 'by_checker' as kind, checker as name, hit from finds
+  union all select 'by_checker_group', case checker when 'link_checker' then 'links_and_resources' when 'market_fit_checker' then 'methodology' else 'other' end, hit from finds
+  union all select 'by_criterion', criterion, hit from finds
+)
+select kind, name, count(*) as predicted_total, count(*) filter (hit) as true_positive, count(*) filter (not hit) as false_positive, round(count(*) filter (hit) / count(*), 4) as precision from sliced group by 1, 2
+""",
     "pair_scores": f"with {SCORED} select gold_idx, pred_idx, match_type, score from scored",
     "strict_matches": f"""
 with recursive {SCORED},

@@ -5,12 +5,14 @@ The expressions that make them are read alike by both engines; `rule_oracles` bu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detector import Corpus, audit
 from ..functions.text import normalize_for_match, split_lines, strip
-from ..materialize import written
+from ..materialize import scratch, written
 from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, matching, readability, resources, rights, sinks, verdicts
 from ..operators.images import image_quality
 from ..operators.lines import FILE, lines, sticky_state, without_fences
@@ -406,6 +408,26 @@ def assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("gold_idx", "pred_idx", "same", F.round("confidence", 6).alias("confidence"))
 
 
+STRICT_CHECKER = "case pred_idx % 3 when 0 then 'link_checker' when 1 then 'readability_checker' else 'market_fit_checker' end"
+
+
+def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten tables of an evaluation, written as one commit and read back: how many rows each has."""
+    cases, found = _strict(spark, sf_dir)
+    bundle = sinks.Bundle(spark, scratch(spark))
+    bundle.write(evaluate.evaluation(cases, found.withColumn("checker_name", F.expr(STRICT_CHECKER))))
+    return reduce(DataFrame.unionAll, (x.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, x in bundle.tables().items()))
+
+
+def evaluation_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of checkers, by groups of checkers and by criterion, from one table of matches."""
+    cases, found = _strict(spark, sf_dir)
+    tables = evaluate.evaluation(cases, found.withColumn("checker_name", F.expr(STRICT_CHECKER)))
+    cols = ("kind", "name", "predicted_total", "true_positive", "false_positive", "precision")
+    parts = [tables[t].withColumn("kind", F.lit(t)).withColumnRenamed(key, "name") for t, key in (("by_checker", "slice_name"), ("by_checker_group", "slice_name"), ("by_criterion", "criterion"))]
+    return reduce(DataFrame.unionAll, (x.select(*cols) for x in parts))
+
+
 def dependency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared dependencies that need a peer which isn't there, or another node than the project's."""
     registry = made(spark, sf_dir, "registry").select("ecosystem", "name").distinct().withColumns({
@@ -531,6 +553,6 @@ QUERIES = {
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
         checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
         pair_scores, strict_matches, prescreened_pairs, assigned_pairs, dependency_conflicts, image_sources, discovered_units, manifest_licenses,
-        readme_fact_lines, readme_fact_batches, gated_verdicts, flattened_predictions, report_precision,
+        evaluation_bundle, evaluation_slices, readme_fact_lines, readme_fact_batches, gated_verdicts, flattened_predictions, report_precision,
     )
 }
