@@ -100,14 +100,14 @@ DETECTORS: tuple[Detector, ...] = (
     Rule("labels", lambda c: markdown.labels(c.lines)),
     Rule("missing_resources", lambda c: resources.missing_resources(c.lines, c.all_paths)),
     Rule("placeholders", lambda c: readability.placeholders(c.lines)),
-    Rule("editorial", lambda c: readability.editorial(c.lines)),
+    Rule("editorial", lambda c: readability.editorial(c.lines, readability.java_units(c.all_paths), readability.artifact_lines(c.lookups["contents"], c.files) if "contents" in c.lookups else None)),
     Rule("language_mismatches", lambda c: readability.language_mismatches(c.files)),
     Rule("sort_conflicts", lambda c: consistency.sort_conflicts(c.lines)),
     Rule("table_mismatches", lambda c: consistency.table_mismatches(c.lines)),
     Rule("units_without_license", lambda c: rights.units_without_license(c.files)),
     Rule("market_fit", lambda c: context.market_fit(c.lines, c.all_paths)),
     Rule("call_outputs", lambda c: context.call_outputs(c.lines)),
-    Rule("foreign_materials", lambda c: context.foreign_materials(c.lines, c.all_paths)),
+    Rule("foreign_materials", lambda c: context.foreign_materials(c.lines, c.all_paths, c.lookups.get("units"))),
     Rule("missing_images", lambda c: links.missing_images(c.mentioned("image"), c.all_paths)),
     Rule("unconfirmed_paths", lambda c: resources.unconfirmed_paths(c.lines, c.all_paths)),
     Rule("resources_without_artifact", lambda c: resources.resources_without_artifact(c.lines, c.all_paths)),

@@ -46,6 +46,7 @@ THEORY_SECTION = r"(?iuU)^\s*#{2,6}\s*(?:chapter\s+iii|theory|general\s+concepts
 OPTION = r"^\s*(?:\d+[).]|[A-ZА-ЯЁ][).])\s+"
 FEEDBACK = r"(feedback|опрос|educational experience|оставить отзыв|leave your feedback)"
 REQUIREMENTS = (" must ", " should ", " need to ", " needs to ", " required ", " requirement ", " have to ", " we recommend ", " it is necessary to ", " recommended to ", "должен", "должна", "должны", "нужно", "необходимо", "требуется", "следует", "рекоменду", "обязательно")
+NAME_HINTS = (("java", "java"), ("_go_", "go"), ("_js", "javascript"), ("python", "python"))
 POINTER = r"\[(?:here|there|link|source|documentation|docs|тут|здесь|сюда|ссылка|источник|документация)\]\s*\(\s*https?://[^)]+\)"
 LEADING = r"^(?:before|when|if|to|перед|когда|если|чтобы)\b[^,]*,\s*(?:clone|install|define|store|create|implement|build|run|follow|write|download|configure|use|set|скопир|установ|создай|создайте|реализу|запуст|добав|склонир|настрой)\b"
 LOCAL = (
@@ -110,22 +111,26 @@ def call_outputs(lines: DataFrame) -> DataFrame:
     )
 
 
-def unit_language(paths: DataFrame) -> DataFrame:
-    """unit_id, language: of most source files, without tests and build scripts; ties by name."""
+def unit_language(paths: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """unit_id, language: of most source files, without tests and build scripts; ties by name. Units (unit_id, name) without any have that of their name, if it names one."""
     path = F.lower("relative_path")
     base = F.substring_index(path, "/", -1)
     table = F.create_map(*(F.lit(x) for pair in SOURCE_LANGUAGES.items() for x in pair))
     x = paths.where(~path.contains("test") & ~base.isin("build.py", "conftest.py", "setup.py", "add_args.py"))
     x = x.withColumn("language", F.try_element_at(table, F.regexp_extract(path, r"\.([^./]+)$", 1))).where("language is not null")
     x = x.groupBy("unit_id", "language").agg(F.count(F.lit(1)).alias("n"))
-    return first_in(x, ["unit_id"], [F.desc("n"), "language"]).select("unit_id", "language")
+    x = first_in(x, ["unit_id"], [F.desc("n"), "language"]).select("unit_id", "language")
+    if units is None:
+        return x
+    named = F.coalesce(*(F.when(F.lower("name").contains(hint), language) for hint, language in NAME_HINTS))
+    return x.unionByName(units.select("unit_id", named.alias("language")).where("language is not null").join(x, "unit_id", "left_anti"))
 
 
-def foreign_materials(lines: DataFrame, paths: DataFrame) -> DataFrame:
+def foreign_materials(lines: DataFrame, paths: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Findings for style guides and frameworks of another language than the unit's code; the first of a file and language."""
     hits = [F.when(F.col("line").rlike(pattern(p, True)), F.lit(lang)) for lang, p in MATERIALS]
     x = lines.where(F.col("relative_path").rlike(INSTRUCTION)).select(*FILE, "line_no", "line", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("tech"))
-    x = x.join(unit_language(paths), "unit_id").where("tech <> language")
+    x = x.join(unit_language(paths, units), "unit_id").where("tech <> language")
     for tech, own in COVERED:
         x = x.where(~((F.col("tech") == tech) & (F.col("language") == own)))
     x = first_in(x, [*FILE, "tech"], ["line_no"])

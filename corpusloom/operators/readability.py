@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_match, pattern, strip
 from .findings import findings
-from .lines import FILE, batches, first_in, top_n, without_fences
+from .lines import FILE, batches, first_in, lines, top_n, without_fences
 
 # Patterns, markers and thresholds of the rules.
 PLACEHOLDER = (
@@ -99,10 +99,35 @@ def prose_lines(lines: DataFrame) -> DataFrame:
     return x.where(~noise)
 
 
-def editorial(lines: DataFrame, java_units: DataFrame | None = None) -> DataFrame:
-    """Findings of the editorial rules on prose lines; java_units (unit_id) also get the ASP.NET rule."""
+# Diagrams and other artifacts whose text is looked at.
+ARTIFACT_SUFFIXES, ARTIFACT_BYTES = ("drawio", "xml", "svg"), 1_000_000
+
+
+def artifact_lines(contents: DataFrame, files: DataFrame) -> DataFrame:
+    """contents (unit_id, relative_path, content, size_bytes) -> the lines, with their numbers, of diagrams and XML files that aren't among the text files already.
+
+    What isn't UTF-8 in them is left out; larger files aren't looked at, and blank lines neither.
+    """
+    suffix = F.regexp_extract(F.lower("relative_path"), r"\.([^./]+)$", 1)
+    own = contents.where(suffix.isin(*ARTIFACT_SUFFIXES) & (F.col("size_bytes") <= ARTIFACT_BYTES))
+    known = files.select("unit_id", F.lower("relative_path").alias("_low")).distinct()
+    own = own.withColumn("_low", F.lower("relative_path")).join(known, ["unit_id", "_low"], "left_anti")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    x = own.select("unit_id", "relative_path", F.lit("text").alias("kind"), F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
+    return lines(x).where(strip(F.col("line")) != "")
+
+
+def java_units(files: DataFrame) -> DataFrame:
+    """unit_id of units with a Java file."""
+    return files.where(F.lower("relative_path").endswith(".java")).select("unit_id").distinct()
+
+
+def editorial(own_lines: DataFrame, java_units: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
+    """Findings of the editorial rules on prose lines, and on all lines of artifacts; java_units (unit_id) also get the ASP.NET rule."""
     rules = [(t, pattern(p, True), 0.88) for t, p in EDITORIAL]
-    x = prose_lines(lines)
+    x = prose_lines(own_lines)
+    if artifacts is not None:
+        x = x.unionByName(artifacts.select(*x.columns))
     if java_units is not None:
         x = x.join(java_units.select("unit_id", F.lit(True).alias("java")).distinct(), "unit_id", "left")
     else:

@@ -159,6 +159,13 @@ parts as (select unit_id, relative_path, '# ' || relative_path || chr(10) || sub
 sums as (select *, coalesce(sum(length(part)) over (partition by unit_id order by relative_path rows between unbounded preceding and 1 preceding), 0) as before from parts),
 joined as (select unit_id, substr(string_agg(part, chr(10) || chr(10) order by relative_path), 1, 3000) as context from sums where before < 3000 group by 1)
 select unit_id, md5(context) as context_md5, length(context) as n_chars from joined
+""",
+    "unit_contexts_whole": f"""
+with {FILES},
+parts as (select unit_id, relative_path, '# ' || relative_path || chr(10) || substr(text, 1, 3000) as part from files),
+sums as (select *, coalesce(sum(length(part)) over (partition by unit_id order by relative_path rows between unbounded preceding and 1 preceding), 0) as before from parts),
+joined as (select unit_id, substr(string_agg(part, chr(10) || chr(10) order by relative_path), 1, 12000) as context from sums where before < 12000 group by 1)
+select unit_id, md5(context) as context_md5, length(context) as n_chars from joined
 """,
     "entity_counts": """
 with notes as (

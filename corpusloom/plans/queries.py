@@ -54,6 +54,12 @@ def unit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("unit_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.char_length("context").alias("n_chars"))
 
 
+def unit_contexts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 12000 characters of each unit's files in order, 3000 a file."""
+    x = unit_context(t.files(spark, sf_dir), 12000, 3000)
+    return x.select("unit_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.char_length("context").alias("n_chars"))
+
+
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, versions, dates and technologies in a note about each page."""
     return entities.entities(page_notes(spark, sf_dir)).groupBy("entity_type", "value").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first_line"))
@@ -171,8 +177,9 @@ def soft_match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    gold, predictions = t.label_gold(spark, sf_dir), t.long_line_predictions(spark, sf_dir)
-    return gold, predictions, evaluate.soft_matches(evaluate.soft_candidates(gold, predictions))
+    """Gold rows, predictions and matches, each worked out and written once."""
+    gold, predictions = written(t.label_gold(spark, sf_dir)), written(t.long_line_predictions(spark, sf_dir))
+    return gold, predictions, written(evaluate.soft_matches(evaluate.soft_candidates(gold, predictions)))
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +304,7 @@ def email_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        long_lines_by_unit, line_numbers_and_quotes, line_statistics, sentence_counts, line_batches, unit_contexts, entity_counts, broken_urls, url_policy, link_status_ladder, duplicate_headings,
+        long_lines_by_unit, line_numbers_and_quotes, line_statistics, sentence_counts, line_batches, unit_contexts, unit_contexts_whole, entity_counts, broken_urls, url_policy, link_status_ladder, duplicate_headings,
         numbered_list_blocks, language_mismatch, language_coverage, placeholder_lines, missing_license_units, severity_calibrated, dropped_findings, language_variant_collapse, run_summary,
         triage_tiers, finding_ids, soft_match_candidates, greedy_match, precision_recall, precision_recall_by_criterion, overview_set_metrics, slice_precision, fn_reasons, strict_signals,
         mirror_dedupe, repetitive_cap, finding_validity, sample_plan, stratified_sample, wilson_by_stratum, stratified_precision, copied_documents, copied_document_classes, copied_document_links, benchmark_contamination, sort_conflicts, email_variants,

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..materialize import written
+
 # Which files and folders count.
 SUFFIXES = ("md", "txt", "yml", "yaml", "json", "csv", "toml", "lock", "xml", "gradle")
 BARE_NAMES = ("changelog", "dockerfile", "go.mod", "license", "pipfile")
 IGNORED = (".git", ".idea", ".vscode", ".venv", "__pycache__", "node_modules")
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
 IGNORED_TOP = ("build", "dist")
 MARKERS = ("readme.md", "readme_rus.md", "readme_uzb.md", "check-list.yml", "check-list.yaml")
 MARKER_DIRS = ("materials", "tests", "src", "misc")
@@ -32,11 +35,20 @@ def name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def plain_path(root: str) -> str:
+    """Without scheme and outer slashes."""
+    return re.sub(SCHEME, "", root.rstrip("/")).lstrip("/")
+
+
+def below(path: Column, root: str) -> Column:
+    """A path of a file below root, relative to it; the scheme doesn't matter, nor colons in names or a port."""
+    return F.regexp_replace(F.regexp_replace(path, SCHEME, ""), rf"^/*\Q{plain_path(root)}\E/*", "")
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path (below root) and length of every file; contents aren't read."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    return x.select(F.regexp_replace(F.substring_index("path", ":", -1), F.concat(F.lit(r"^/*\Q"), base, F.lit(r"\E/*")), "").alias("path"), "length")
+    return x.select(below(F.col("path"), root).alias("path"), "length")
 
 
 def unit_roots(paths: DataFrame) -> DataFrame:
@@ -101,12 +113,19 @@ def decoded(content: Column) -> Column:
 
 
 def files(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFrame:
-    """unit_id, relative_path, kind, text, size_bytes of the text files below root; larger files and ignored folders are left out before they are decoded."""
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
+    """unit_id, relative_path, kind, text, size_bytes of the text files below root.
+
+    Paths are listed and units found without a look into any file. Then only files are opened whose size, name and folders
+    allow it: these conditions are on file metadata, by which Spark leaves files out when it plans the scan.
+    """
+    u = written(units(listing(spark, root), root.rstrip("/").rsplit("/", 1)[-1]).select("unit_id", "relative_path"))
+    # a unit's own folder, two levels down at most, may have the name of an ignored one; if none does, such folders are closed wherever they are
+    odd = u.where(F.arrays_overlap(F.split("relative_path", "/"), F.array(*map(F.lit, IGNORED)))).take(1)
+    # the metadata's path is encoded as a URL, which leaves the number of folders as it is
+    folders = F.slice(F.split(F.regexp_replace(F.regexp_replace("_metadata.file_path", SCHEME, ""), "^/+", ""), "/"), len([x for x in plain_path(root).split("/") if x]) + (3 if odd else 1), 10_000)
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    x = x.withColumn("path", F.regexp_replace(F.substring_index("path", ":", -1), F.concat(F.lit(r"^/*\Q"), base, F.lit(r"\E/*")), ""))
-    x = x.where(is_text_file(F.col("path")))
-    u = units(listing(spark, root), root.rstrip("/").rsplit("/", 1)[-1]).select("unit_id", "relative_path")
+    x = x.where(is_text_file(F.col("_metadata.file_name")) & ~F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED))))
+    x = x.withColumn("path", below(F.col("path"), root))
     # a unit's folder is the scanned one, a child of it or a child's child, so each path has three names to look up
     parts = F.split("path", "/")
     keys = (F.lit(""), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))), F.when(F.size(parts) > 2, F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))

@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from corpusloom.detector import Corpus, audit
-from corpusloom.operators import context, dependencies, resources, sinks, verdicts
+from corpusloom.operators import context, dependencies, readability, resources, sinks, verdicts
 from corpusloom.operators.lines import lines
 from corpusloom.sources import files as source
 from corpusloom.streaming import lines as streaming
@@ -119,3 +119,58 @@ def test_stream_equals_batch(spark, tmp_path):
     f.write.parquet(str(tmp_path / "in"))
     streaming.write_findings(streaming.read_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert found(spark.read.parquet(str(tmp_path / "out")), "unit_id", "issue_type") == [("u", "broken_url_syntax"), ("u", "placeholder"), ("v", "placeholder")]
+
+
+def bytes_read(df):
+    """The sizes of the files that a query's scans have opened with their contents."""
+    df.collect()
+
+    def leaves(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return leaves(plan.executedPlan())
+        if hasattr(plan, "plan") and kind.endswith("QueryStageExec"):
+            return leaves(plan.plan())
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [x for c in children for x in leaves(c)] if children else [plan]
+
+    scans = [x for x in leaves(df._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName() == "FileSourceScanExec"]
+    return sum(x.metrics().apply("filesSize").value() for x in scans if "content" in [x.output().apply(i).name() for i in range(x.output().size())])
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    """Pictures, archives and ignored folders aren't opened; a unit whose own folder is named like an ignored one is."""
+    wanted = {"p1/README.md": "one", "p1/src/a.txt": "x = 1", "p2/README.md": "two", "p2/build.md": "b"}
+    for path, text in wanted.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    for path in ("p1/node_modules/big.md", "p1/shot.png", "p2/.git/config.txt", "p2/src/__pycache__/a.txt", "p2/dump.zip"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"y" * 100_000)
+    df = source.files(spark, str(tmp_path))
+    assert {r["text"] for r in df.collect()} == set(wanted.values())
+    assert bytes_read(source.files(spark, str(tmp_path))) == sum(map(len, wanted.values()))
+    (tmp_path / ".venv").mkdir()
+    (tmp_path / ".venv/README.md").write_text("odd")
+    hidden = {r["text"] for r in source.files(spark, str(tmp_path)).collect()}
+    assert set(wanted.values()) <= hidden <= {*wanted.values(), "odd"}
+
+
+def test_editorial_in_artifacts_and_java(spark):
+    """Diagrams that weren't read as text are looked at line by line; the rule on ASP.NET needs a Java file."""
+    rows = lines(files(spark, ("j", "README.md", "readme", "We use ASP.NET here"), ("u", "README.md", "readme", "We use ASP.NET here")))
+    paths = spark.createDataFrame([("j", "src/A.java"), ("u", "a.cs")], "unit_id string, relative_path string")
+    got = found(readability.editorial(rows, readability.java_units(paths)), "unit_id", "issue_type")
+    assert got == [("j", "wording")]
+    bad = "the COMANY of it"
+    own = [("u", "d/a.drawio", b"<x>\n" + bad.encode() + b"\xff\n", 30), ("u", "b.SVG", bad.encode(), 30), ("u", "big.xml", bad.encode(), 2_000_000), ("u", "seen.xml", bad.encode(), 30), ("u", "c.md", bad.encode(), 30)]
+    contents = spark.createDataFrame([(u, p, bytearray(c), n) for u, p, c, n in own], "unit_id string, relative_path string, content binary, size_bytes long")
+    x = readability.artifact_lines(contents, spark.createDataFrame([("u", "Seen.xml")], "unit_id string, relative_path string"))
+    assert found(x, "relative_path", "line_no", "line") == [("b.SVG", 1, bad), ("d/a.drawio", 1, "<x>"), ("d/a.drawio", 2, bad)]
+    assert {r["file_path"] for r in readability.editorial(rows, None, x).collect()} == {"b.SVG", "d/a.drawio"}
+
+
+def test_language_by_name(spark):
+    paths = spark.createDataFrame([("u", "a.py"), ("v", "README.md"), ("w", "x.md")], "unit_id string, relative_path string")
+    units = spark.createDataFrame([("u", "Java_x"), ("v", "A1_Maze_Java"), ("w", "plain")], "unit_id string, name string")
+    assert found(context.unit_language(paths, units), "unit_id", "language") == [("u", "python"), ("v", "java")]
