@@ -136,3 +136,12 @@ def test_components(spark):
     want = {(x, find(x)) for x in root if any(x in e for e in edges if e[0] != e[1])}
     df = spark.createDataFrame(edges, "a long, b long")
     assert {tuple(r) for r in graph.connected_components(df).collect()} == want
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Words of a and b by the parity of their place's bits, and the same with a and b swapped, are different words."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: f"{word} q r s", 2: f"{other} q r s", 3: f"{word} q {other} q"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(near_dup.near_duplicates(df, words=2, percent=80).collect(), texts, 2, 80)
