@@ -113,8 +113,22 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[words.indices.to_numpy()], text_ends
 
 
+#: Characters of texts whose words are in memory at once; a longer text is taken alone.
+CHUNK = 1 << 20
+
+
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles; a shorter text's whole sequence is one; none without words."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK or i == len(texts) - 1:
+            out += _shingle_sets(texts[start : i + 1], words)
+            start, size = i + 1, 0
+    return out
+
+
+def _shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     w, ends = word_hashes(texts)
     h = np.full(max(0, len(w) - words + 1), U64(words), np.uint64)
     for i in range(words if len(h) else 0):
