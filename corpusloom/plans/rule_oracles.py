@@ -146,17 +146,6 @@ select unit_id, count(*) filter (coalesce(state, false)) as in_task, count(*) as
 with {made("unit_paths")}, x as (select unit_id, bool_or(relative_path = 'Readme_x.MD') as r, bool_or(relative_path = 'check-list.yaml') as c from unit_paths group by 1)
 select unit_id, 'readability' as criterion, 'missing_readme' as issue_type, 'major' as severity, 'fail' as verdict, cast(0.95 as double) as confidence from x where not r
 union all select unit_id, 'checklist_alignment', 'missing_checklist', 'major', 'fail', 0.95 from x where not c
-""",
-    "chapter_sequence": f"""
-with {made("chapters")},
-n as (select *, case split_part(line, ' ', 3) when 'I' then 1 when 'II' then 2 when 'III' then 3 when 'IV' then 4 when 'V' then 5 when 'IX' then 9 else 12 end as c from chapters),
-x as (select *, lag(c) over w as b, lag(line_no) over w as l from n window w as (partition by unit_id order by line_no))
-select unit_id, line_no as line_start, substr(line, 4) as quote, coalesce(l, line_no) as first_line from x where (b is null and c <> 1) or (b is not null and c <> b and c <> b + 1)
-""",
-    "label_punctuation": f"""
-with {made("label_lines")},
-x as (select *, coalesce(nullif(lead(line, 1) over w, ''), nullif(lead(line, 2) over w, ''), nullif(lead(line, 3) over w, '')) as following from label_lines window w as (partition by unit_id order by line_no))
-select unit_id, line_no as line_start, line as quote, cast(0.92 as double) as confidence from x where line = 'Output' and following = '42'
 """,
     "missing_images": f"""
 with {made("image_targets", "image_paths")},
@@ -173,16 +162,6 @@ there as (
 )
 select unit_id, line_no as line_start, split_part(line, ' ', 4) as quote, 'fail' as verdict, cast(0.9 as double) as confidence
 from instructions i where line like 'Download the dataset%' and not exists (select 1 from there t where t.unit_id = i.unit_id and t.base = split_part(line, ' ', 4))
-""",
-    "unconfirmed_paths": f"""
-with {made("instructions", "resource_paths")}
-select unit_id, line_no as line_start, split_part(line, ' ', 3) as quote, 'warning' as verdict, cast(0.82 as double) as confidence
-from instructions where line like 'Look at%' and unit_id not in (select unit_id from resource_paths where relative_path = 'vm.ova')
-""",
-    "resources_without_artifact": f"""
-with {made("instructions", "resource_paths")}
-select unit_id, line_no as line_start, 'archive' as quote, 'warning' as verdict, cast(0.78 as double) as confidence
-from instructions where line = 'Download the archive' and unit_id not in (select unit_id from resource_paths where relative_path = 'old.tar.gz')
 """,
     "environment_guides": f"""
 with {made("resource_paths")}
@@ -195,13 +174,6 @@ x as (select p.*, s.width, s.height from pictures p join picture_sizes s on p.un
 select unit_id, line_start, case when width is null then 'unreadable_image' else 'small_image' end as issue_type, case when width is null then 'info' else 'minor' end as severity,
   case when width is null then 'unknown' else 'warning' end as verdict, cast(case when width is null then 0.45 else 0.85 end as double) as confidence
 from x where width is null or ((width < 640 or height < 360) and value not like 'logo%' and not (width <= 128 and height <= 128))
-""",
-    "editorial_findings": f"""
-with {made("editorial_lines")}
-select unit_id, line_no as line_start, case line_no % 6 when 0 then 'typo' when 1 then 'quote_style' when 2 then 'wording' else 'case' end as issue_type,
-  case line_no % 6 when 0 then 'COMANY' when 1 then '"Other Name"' when 2 then 'ASP.NET' else 'в компании работались' end as quote,
-  cast(case line_no % 6 when 1 then 0.82 when 2 then 0.9 else 0.88 end as double) as confidence
-from editorial_lines where line_no % 6 in (0, 1, 3) or (line_no % 6 = 2 and cast(unit_id as integer) < 4)
 """,
     "editorial_windows": f"""
 with {LINES},
@@ -224,15 +196,6 @@ select unit_id, relative_path, batch, first_line, n_lines from ranked where k <=
     "word_definitions": f"""
 with {made("definitions")}
 select unit_id, line_no as line_start, case when line_no % 5 = 0 then 'Word is any symbol' else 'word is character' end as quote, cast(0.92 as double) as confidence from definitions where line_no % 5 in (0, 1)
-""",
-    "length_conflicts": f"""
-with {made("length_lines")},
-found as (
-  select *, case when line like 'functions%' then 20 else 10 end as low, case when line like 'functions%' then cast(regexp_extract(line, '[0-9]+') as integer) else 20 end as high from length_lines where line not like '30%'
-),
-first_one as (select unit_id, min_by(line, line_no) as line, min_by(low, line_no) as low, min_by(high, line_no) as high from found group by 1),
-other as (select f.*, a.line as first_line, row_number() over (partition by f.unit_id order by f.line_no) as k from found f join first_one a on a.unit_id = f.unit_id where (f.low, f.high) <> (a.low, a.high))
-select unit_id, line_no as line_start, first_line || ' / ' || line as quote from other where k = 1
 """,
     "table_mismatches": f"""
 with {made("table_lines")},
@@ -245,11 +208,6 @@ x as (select distinct d.unit_id, d.name, l.license_spdx as s from declared d joi
 select unit_id, name as quote, case when s = 'GPL-3.0-only' then 'critical' else 'info' end as severity, case when s = 'GPL-3.0-only' then 'fail' else 'unknown' end as verdict,
   cast(case when s = 'GPL-3.0-only' then 0.9 else 0.55 end as double) as confidence
 from x where s is null or s not in ('MIT', 'Apache-2.0')
-""",
-    "dataset_terms": f"""
-with {made("data_notes")},
-x as (select *, row_number() over (partition by unit_id order by relative_path) as k from data_notes where text like 'We load%' or text like 'xxx%')
-select unit_id, relative_path as file_path, case when text like 'We load%' then 'dataset' else 'kaggle.com/datasets' end as quote, cast(0.7 as double) as confidence from x where k <= 5
 """,
     "copied_code": f"with {made('code_matches')} select unit_id, other_unit_id as quote, similarity as confidence from code_matches where similarity >= 0.8 and not attributed",
     "rights_ladder": f"""
@@ -282,27 +240,6 @@ select x.unit_id, x.line_start, r.status as support_status, case r.status when '
 """,
     "technology_candidates": """
 select unit_id, value, file_path, 2 as line_start from (select cast(page_id % 20 as varchar) as unit_id, min('pages/' || cast(page_id as varchar) || '.md') as file_path from pages group by 1), (values ('Python'), ('Docker')) as v(value)
-""",
-    "market_fit": f"""
-with {made("market_lines")},
-x as (select unit_id, cast(bool_or(line like 'customer%') as int) + cast(bool_or(line like 'the Target%') as int) + cast(bool_or(line like 'KPI%') as int) as score from market_lines group by 1)
-select unit_id, score, case when score = 3 then 'info' else 'minor' end as severity, case when score = 3 then 'pass' else 'warning' end as verdict, round(cast(0.65 as double) + cast(0.1 as double) * score, 6) as confidence from x where score > 0
-""",
-    "call_outputs": f"""
-with {made("calls")},
-x as (
-  select unit_id, relative_path, min(line_no) as line_no, min_by(trim(split_part(line, '//', 2)), line_no) as raw, regexp_extract(line, '[0-9]+') as n,
-    case relative_path when 'README.md' then 0 else 1 end as rank from calls group by unit_id, relative_path, n, rank
-),
-g as (select unit_id, n, min((rank, relative_path, line_no, raw)) as a from x group by 1, 2 having count(distinct raw) > 1)
-select unit_id, a[2] as file_path, a[3] as line_start, a[4] as quote, 'add(' || n || ',2)' as call from g
-""",
-    "foreign_materials": f"""
-with {made("guides")},
-x as (
-  select *, case line_no % 4 when 0 then 'python' when 1 then 'cpp' when 2 then 'go' end as tech, case when cast(unit_id as integer) < 4 then 'java' when cast(unit_id as integer) < 7 then 'python' else 'go' end as language from guides
-)
-select unit_id, min(line_no) as line_start, min(line) as quote, tech, language from x where tech is not null and tech <> language and not (tech = 'cpp' and language = 'java') group by unit_id, tech, language
 """,
     "fact_claims": f"""
 with {made("claims")},
@@ -344,9 +281,6 @@ select {RELATION} as relation, count(*) as n from x group by 1
     "missing_artifacts": f"""
 with {made("artifact_texts")}
 select gold, found, count(*) as n from artifact_texts where (gold like 'Команда%' and found like 'pcap%') or (gold like 'tcpdump%' and found like 'the trace%') group by 1, 2
-""",
-    "text_anchors": """
-select page_id, 'https://host' || cast(page_id % 5 as varchar) || '.example/x' as urls, 'a_' || cast(page_id as varchar) || '.py' as files, 'src a ' || cast(page_id as varchar) || ' py two words here' as phrases from pages
 """,
     "stem_similarity": """
 select page_id, case page_id % 3 when 0 then 'задач проект' when 1 then 'кошк' else '' end as stems, cast(case when page_id % 3 = 0 and page_id % 2 = 0 then 1 else 0 end as double) as jaccard from pages
@@ -574,26 +508,6 @@ select * from (
   union all select 'local_link_checker', 'missing_local_image', 'major', 'fail', count(*) from pages where page_id % 5 = 3
   union all select 'link_checker', 'gone', 'major', 'fail', count(*) from pages where page_id % 5 = 4
 ) where n > 0
-""",
-    "curriculum_signals": """
-with x as (select cast(page_id % 10 as varchar) as unit_id, cast(page_id as integer) as line_no, page_id % 10 < 5 as java, page_id % 8 as way from pages),
-y as (
-  select *, case when way = 0 then 'language_material_conflict' when way = 1 and java then 'inappropriate_tool' when way = 2 and java then 'language_tooling_conflict' when way = 3 then 'outdated_approach'
-    when way = 4 then 'topic_review' when way = 5 then 'absolute_practice_claim' end as issue_type from x
-)
-select unit_id, line_no, issue_type, case when way = 1 or (way = 0 and java) then 'major' when way = 4 then 'info' else 'minor' end as severity, case when way = 3 then 'technology_freshness' else 'correctness' end as criterion, way not in (3, 4) as strong
-from y where issue_type is not null
-""",
-    "missing_topics": f"""
-with {made("topic_files")},
-u as (select unit_id, cast(unit_id as integer) % 4 as way, max(text) filter (kind = 'readme') as quote from topic_files group by 1 having bool_or(kind = 'readme') and bool_or(kind = 'code')),
-t as (
-  select *, 'preprocessor' as topic, 'minor' as severity from u where way <> 1
-  union all select *, 'unsigned_types', 'minor' from u where way = 0
-  union all select *, 'debugger', 'info' from u where way = 2
-  union all select *, 'state_machine', 'info' from u where way = 3
-)
-select unit_id, 'README.md' as file_path, 1 as line_start, quote, severity, topic from t
 """,
 }
 #: Over candidates that the query above this one gives.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..detector import Corpus, audit
 from ..functions.text import normalize_for_match, split_lines, strip
 from ..materialize import scratch, written
-from ..operators import adjudicate, align, checklists, consistency, context, curriculum, dependencies, entities, evaluate, findings, gold, links, markdown, matching, readability, resources, rights, sinks, verdicts
+from ..operators import adjudicate, align, checklists, consistency, context, dependencies, entities, evaluate, findings, gold, links, matching, readability, resources, rights, sinks, verdicts
 from ..operators.images import image_quality
 from ..operators.lines import FILE, lines, sticky_state, without_fences
 from ..sources import files as f
@@ -31,37 +31,27 @@ MADE = {
     "fenced": ("events", {**EVENT_FILE, "line": "case when event_id % 7 = 0 then '```' else props end"}),
     "tasks": ("events", {**EVENT_FILE, "line": "case event_id % 11 when 0 then '## Task 1' when 5 then '## Theory' else props end"}),
     "unit_paths": ("pages", {"unit_id": "cast(page_id % 40 as string)", "relative_path": "case when page_id % 3 = 0 and page_id % 2 = 0 then 'Readme_x.MD' when page_id % 4 = 1 then 'check-list.yaml' when page_id % 5 = 2 then 'docs/README.md' else 'src/a.py' end"}),
-    "chapters": ("pages", {**PAGE_FILE, "line": "concat('## Chapter ', case cast((page_id - page_id % 10) / 10 as int) % 7 when 0 then 'I' when 1 then 'II' when 2 then 'III' when 3 then 'IV' when 4 then 'V' when 5 then 'IX' else 'XII' end, ' of it')"}),
-    "label_lines": ("events", {**EVENT_FILE, "line": "case event_id % 4 when 0 then 'Output' when 1 then '' when 2 then '42' else 'Example: fine' end"}),
     "image_targets": ("pages", {"unit_id": "cast(page_id % 10 as string)", "file_path": "'docs/README.md'", "line_start": "cast(page_id as int)", "value": f"case page_id % 5 when 0 then concat('img/', {N}, '.png') when 1 then concat('../img/', {N}, '.png') when 2 then '../../out.png' when 3 then 'https://a.example/b.png' else concat('./img/../img/', {N}, '.png?raw=1') end"}),
     "image_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": f"case when page_id % 30 >= 15 then 'README.md' when page_id % 2 = 0 then concat('docs/img/', {N}, '.png') else concat('img/', {N}, '.png') end"}),
     "instructions": ("pages", {**PAGE_FILE, "line": f"case page_id % 6 when 0 then concat('Download the dataset data_', {N}, '.csv') when 1 then concat('Save the result to out_', {N}, '.csv') when 2 then case when page_id % 30 < 10 then concat('Get it from https://x.example/data_', cast(page_id % 30 + 10 as string), '.csv') else 'Nothing' end when 3 then 'Download the archive' when 4 then concat('Look at /opt/app/', {N}, '/run') else 'Nothing here' end"}),
     "resource_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": f"case when page_id % 30 = 4 then 'vm.ova' when page_id % 30 in (14, 16) then 'docs/VirtualBox guide.md' when page_id % 30 = 25 then 'old.tar.gz' when page_id % 30 < 10 then concat('data/data_', {N}, '.csv') else concat('src/f', {N}, '.py') end"}),
     "pictures": ("pages", {"unit_id": "cast(page_id % 10 as string)", "file_path": "'README.md'", "line_start": "cast(page_id as int)", "value": "concat(case when page_id % 9 = 0 then 'logo' else 'img' end, '/', cast(page_id as string), '.png')", "quote": "'a picture'"}),
     "picture_sizes": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "concat(case when page_id % 9 = 0 then 'logo' else 'img' end, '/', cast(page_id as string), '.png')", "width": "cast(case when page_id % 4 = 3 then null else page_id * 37 % 1000 + 1 end as int)", "height": "cast(case when page_id % 4 = 3 then null else page_id * 53 % 600 + 1 end as int)"}),
-    "editorial_lines": ("pages", {**PAGE_FILE, "line": "case page_id % 6 when 0 then 'Our COMANY sells' when 1 then 'we use `code` and \"Other Name\" here' when 2 then '## Built with ASP.NET' when 3 then 'в компании работались люди' when 4 then '| COMANY |' else 'plain' end"}),
     "definitions": ("pages", {**PAGE_FILE, "line": "case page_id % 5 when 0 then 'A Word is any symbol' when 1 then 'the word is character' when 2 then 'words are symbols' else url end"}),
-    "length_lines": ("pages", {**PAGE_FILE, "line": "case cast((page_id - page_id % 10) / 10 as int) % 4 when 0 then 'A function has 10-20 lines' when 1 then 'methods of 20 to 10 lines' when 2 then concat('functions: ', cast(page_id % 7 + 30 as string), ' - 20 lines') else '30-40 lines of text' end"}),
     "table_lines": ("events", {**EVENT_FILE, "line": "case event_id % 9 when 0 then 'The following fields: id, name, price' when 1 then '| id | name |' when 2 then '| id | name | Price |' when 3 then '| --- | --- |' else props end"}),
     "declared": ("part", {"unit_id": "cast(p_partkey % 20 as string)", "file_path": "'package.json'", "ecosystem": "'npm'", "name": "concat('lib', cast(p_partkey % 50 as string))"}),
     "licenses": ("part", {"ecosystem": "'npm'", "name": "concat('lib', cast(p_partkey % 50 as string))", "license_spdx": "case p_partkey % 50 % 6 when 0 then 'GPL-3.0-only' when 1 then 'MIT' when 2 then 'CC-BY-SA-4.0' when 3 then 'LicenseRef-x' when 4 then null else 'Apache-2.0' end"}),
-    "data_notes": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "concat('n', cast(page_id as string), '.md')", "kind": "'text'", "text": "case page_id % 4 when 0 then 'We load the dataset here' when 1 then 'A dataset under the license of X' when 2 then concat(repeat('x', 400), ' kaggle.com/datasets/a ', repeat('y', 400), ' license') else 'none' end"}),
     "code_matches": ("events", {"unit_id": "cast(user_id as string)", "other_unit_id": "event_type", "similarity": "value / 100", "attributed": "event_id % 3 = 0"}),
     "risks": ("events", {"unit_id": "cast(user_id as string)", "risk": "case event_id % 5 when 0 then 'violation' when 1 then 'unlicensed' when 2 then 'no_source' when 3 then 'no_license_only' else 'unverifiable' end", "deterministic": "event_id % 3 <> 0", "confidence": "cast(0.5 as double)", "issue_type": "event_type"}),
     "manifests": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "concat('p', cast(page_id as string), case page_id % 4 when 0 then '/package.json' when 1 then '/requirements.txt' when 2 then '/Dockerfile' else '/pyproject.toml' end)", "kind": "'dependency_manifest'", "text": "case page_id % 4 when 0 then concat('{\"dependencies\":{\"lib', cast(page_id % 7 as string), '\":\"^1.', cast(page_id % 5 as string), '.0\"},\"engines\":{\"node\":\">=18\"}}') when 1 then concat('# all', chr(10), 'flask==2.', cast(page_id % 6 as string), chr(10), 'numpy>=1.2 ; x > \"3\"', chr(10), '-r other') when 2 then concat('FROM python:3.', cast(page_id % 8 as string), ' AS b', chr(10), 'FROM busybox') else concat('[project]', chr(10), 'requires-python = \">=3.', cast(page_id % 3 as string), '\"', chr(10), 'dependencies = [\"requests[socks]>=2\"]') end"}),
     "registry": ("pages", {"ecosystem": "case page_id % 9 when 7 then 'pypi' when 8 then 'docker' else 'npm' end", "name": "case page_id % 9 when 7 then 'Flask' when 8 then 'python' else concat('lib', cast(page_id % 9 as string)) end", "latest_version": "case page_id % 9 when 7 then '2.3' when 8 then '3.5' else '2.0.0' end", "source_url": "'https://registry.example'", "checked_at": "cast(null as timestamp)"}),
     "services": ("pages", {"unit_id": "cast(page_id % 20 as string)", "file_path": "'README.md'", "line_start": "cast(page_id as int)", "value": "case page_id % 6 when 0 then 'https://www.figma.com/x' when 1 then 'Docker Hub' when 2 then 'api.slack.com' when 3 then 'notion' when 4 then 'slack' else url end", "quote": "url"}),
-    "market_lines": ("pages", {"unit_id": "cast(page_id % 70 as string)", "relative_path": "'README.md'", "kind": "'readme'", "line_no": "cast(page_id as int)", "line": "case (page_id + cast((page_id - page_id % 70) / 70 as int)) % 7 when 0 then 'customer data of a shop' when 1 then 'the Target Audience' when 2 then 'KPI and churn' when 3 then 'unit test with KPI' else 'x' end"}),
-    "calls": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "case page_id % 3 when 0 then 'README.md' when 1 then 'src/a.py' else 'src/b.js' end", "kind": "'text'", "line_no": "cast(page_id as int)", "line": "concat('add( ', cast(page_id % 20 as string), ', 2); // ', case when page_id % 7 < 3 then ' \"3\"' else '4' end)"}),
-    "code_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "concat('src/f', cast(page_id as string), case when page_id % 10 < 4 then '.java' when page_id % 10 < 7 then '.py' else '.go' end)"}),
-    "guides": ("pages", {**PAGE_FILE, "line": "case page_id % 4 when 0 then 'Follow PEP 8' when 1 then 'Use the Google C++ style' when 2 then 'gofmt all' else 'none' end"}),
     "claims": ("pages", {**PAGE_FILE, "line": "case page_id % 5 when 0 then concat('The release of version ', cast(page_id % 60 as string), ' was published in 2020 by its team.') when 1 then 'You must install the release of 2020 before all of the others.' when 2 then 'In 2020.' when 3 then '| The latest release of 2020 | was published by its own team |' else 'Nothing at all stands in this line that anyone could ever check.' end"}),
     "responses": ("events", {"namespace": "event_type", "cache_key": "cast(event_id as string)", "model": "concat('m', cast(event_id % 3 as string))", "cache_hit": "event_id % 5 = 0", "response": "case event_id % 4 when 0 then '{\"verdict\":\"OK\",\"confidence\":\"high\",\"evidence\":\"e\"}' when 1 then '[{\"verdict\":\"warn\",\"confidence\":\"55%\",\"quote\":\"q\"},{\"verdict\":\"unclear\",\"confidence\":\"0\"}]' when 2 then '{\"findings\":[{\"verdict\":\"error\",\"confidence\":\"0,7\",\"line\":3}]}' else '{\"items\":[]}' end"}),
     "event_lines": ("events", {**EVENT_FILE, "line": "concat('The  type is ', event_type, ' of ', props)"}),
     "quoted": ("events", {"unit_id": "cast(user_id as string)", "relative_path": "'README.md'", "line": "cast(event_id as int)", "quote": "case event_id % 3 when 0 then concat('TYPE is ', event_type) when 1 then 'type was' else '' end", "confidence": "value / 10"}),
     "relations": ("events", {"gs": "cast(case when event_id % 9 = 0 then null else event_id % 50 end as int)", "ge": "cast(case event_id % 4 when 0 then null when 1 then 0 else event_id % 50 + 3 end as int)", "ps": "cast(case when user_id % 9 = 0 then null else user_id % 50 end as int)", "pe": "cast(case event_id % 3 when 0 then null else user_id % 50 + 1 end as int)"}),
     "artifact_texts": ("events", {"gold": "case event_id % 4 when 0 then 'Команда whoami: в дампе нет вывода' when 1 then 'tcpdump capture is missing' when 2 then 'whoami works' else props end", "found": "case user_id % 3 when 0 then 'pcap without whoami' when 1 then 'the trace of tcpdump not found' else 'dump missing' end"}),
-    "anchor_texts": ("pages", {"page_id": "page_id", "text": "concat('Open https://Host', cast(page_id % 5 as string), '.example/x/, file `src/a_', cast(page_id as string), '.py` and «Two  words, here» or «one»')"}),
     "stem_texts": ("pages", {"page_id": "page_id", "a": "case page_id % 3 when 0 then 'Задачами проектов и на' when 1 then 'кошка' else '' end", "b": "case page_id % 2 when 0 then 'задача, проекты!' else 'ошибка' end"}),
     "opinion_cases": ("events", {"gold_idx": "event_id", "gold_text": "case event_id % 6 when 0 then 'По-моему, тут ошибка' when 1 then 'Лучше так' when 2 then null else props end"}),
     "issues": ("events", {"issue": "case event_id % 5 when 0 then concat(props, ' | ', event_type, ' | fix it | now | typo') when 1 then concat(props, '|', event_type) when 2 then 'case' when 3 then null else 'A B | Two Words' end", "location": "case event_id % 4 when 0 then 'a/b.md:10-12' when 1 then 'c:d:7' when 2 then 'none.md' else '' end"}),
@@ -80,10 +70,6 @@ MADE = {
     "named_projects": ("labels", {"raw_project": "case doc_id % 4 when 0 then 'Proj A (1)' when 1 then 'proj_b.id_77 x' when 2 then 'zzz' else 'Proj' end"}),
     "project_units": ("labels", {"project_id": "case doc_id % 3 when 0 then 'u1' when 1 then 'u2' else 'u3' end", "name": "case doc_id % 3 when 0 then 'Proj A' when 1 then 'PROJ B' else 'other' end"}),
     "atomic_rows": ("labels", {"row_number": "cast(doc_id as int)", "`критерий_код`": "case when doc_id % 6 = 5 then '' else 'links' end", "`Текст кейса`": "concat(' case ', cast(doc_id as string))", "`Проект`": "'p'", "`Строка`": "case doc_id % 4 when 0 then '12' when 1 then ' 9 - 7 ' when 2 then 'x' else null end", "`Файл`": "case doc_id % 3 when 0 then ' a.md ; b.md' when 1 then '' else 'c.md' end", "`Оставить`": "case doc_id % 5 when 0 then 'Opinion?' when 1 then 'мнение' else 'defect' end"}),
-    "curriculum_lines": ("pages", {**PAGE_FILE, "line": "case page_id % 8 when 0 then 'Follow the Google C++ code style' when 1 then 'Use ASP.NET' when 2 then 'Run make to build the target' when 3 then 'Write in C11' when 4 then 'Read about the debugger' when 5 then 'Never use goto' when 6 then 'make build target with Maven' else 'none' end"}),
-    "curriculum_units": ("pages", {"unit_id": "cast(page_id % 10 as string)", "name": "case when page_id % 10 < 5 then 'java_shop' else 'shop' end"}),
-    "curriculum_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "case when page_id % 10 < 5 then 'README.md' else 'src/a.c' end"}),
-    "topic_files": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'README.md' else 'src/a.c' end", "kind": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 0 then 'readme' else 'code' end", "text": "case when cast((page_id - page_id % 20) / 20 as int) % 2 = 1 then '#include <stdio.h>' when page_id % 4 = 0 then 'The int and char data types' when page_id % 4 = 1 then 'What is #include for' when page_id % 4 = 2 then 'gcc: quest 1, quest 2, quest 3' else 'A console game' end"}),
     "audited": ("pages", {"unit_id": "cast(page_id % 50 as string)", "relative_path": "concat('README_', cast(page_id as string), '.md')", "kind": "'readme'", "text": "concat('# Title ', cast(page_id as string), chr(10), case page_id % 5 when 0 then 'TODO: describe' when 1 then 'A word is any symbol' when 2 then 'Look at http:/broken.example/x' when 3 then '![shot](img/none.png)' else 'Look at https://gone.example/x' end, chr(10), 'License: MIT')"}),
     "strict_gold": ("events", {"gold_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 = 0", "gold_text": "case event_id % 4 when 0 then 'aaa bbb' when 1 then 'ccc' when 2 then '' else 'bbb aaa' end", "file_hint": "case when event_id % 2 = 0 then 'README.md' else null end", "line_start": "cast(case when event_id % 3 = 0 then null else event_id % 7 + 1 end as int)", "line_end": "cast(null as int)"}),
     "strict_found": ("events", {"pred_idx": "event_id", "project_id": "cast(user_id as string)", "criterion": "event_type", "use_row": "event_id % 5 in (1, 2)", "found_text": "case event_id % 3 when 0 then 'aaa bbb ccc' when 1 then 'ddd' else '' end", "file_path": "case event_id % 4 when 0 then 'readme_rus.md' when 1 then 'x.md' else null end", "line_start": "cast(event_id % 6 + 1 as int)", "line_end": "cast(null as int)"}),
@@ -127,14 +113,6 @@ def unit_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.structure(made(spark, sf_dir, "unit_paths")).select("unit_id", "criterion", "issue_type", "severity", "verdict", "confidence")
 
 
-def chapter_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.chapter_order(made(spark, sf_dir, "chapters")).select("unit_id", "line_start", "quote", F.element_at("extra", "first_line").cast("int").alias("first_line"))
-
-
-def label_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.labels(made(spark, sf_dir, "label_lines")).select("unit_id", "line_start", "quote", "confidence")
-
-
 def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.missing_images(made(spark, sf_dir, "image_targets"), made(spark, sf_dir, "image_paths")).select("unit_id", "line_start", "quote", "issue_type")
 
@@ -143,14 +121,6 @@ def missing_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.missing_resources(made(spark, sf_dir, "instructions"), made(spark, sf_dir, "resource_paths")).select("unit_id", "line_start", "quote", "verdict", "confidence")
 
 
-def unconfirmed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources.unconfirmed_paths(made(spark, sf_dir, "instructions"), made(spark, sf_dir, "resource_paths")).select("unit_id", "line_start", "quote", "verdict", "confidence")
-
-
-def resources_without_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources.resources_without_artifact(made(spark, sf_dir, "instructions"), made(spark, sf_dir, "resource_paths")).select("unit_id", "line_start", "quote", "verdict", "confidence")
-
-
 def environment_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.guides_without_image(made(spark, sf_dir, "resource_paths")).select("unit_id", "file_path", "quote", "confidence")
 
@@ -159,11 +129,6 @@ def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_quality(made(spark, sf_dir, "pictures"), made(spark, sf_dir, "picture_sizes")).select("unit_id", "line_start", "issue_type", "severity", "verdict", "confidence")
 
 
-def editorial_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    java = made(spark, sf_dir, "code_paths").where("relative_path like '%.java'").select("unit_id")
-    return readability.editorial(made(spark, sf_dir, "editorial_lines"), java).select("unit_id", "line_start", "issue_type", "quote", "confidence")
-
-
 def editorial_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of prose lines of documents, 12 a source at most."""
     return readability.editorial_windows(lines(t.files(spark, sf_dir))).select("unit_id", "relative_path", "batch", "first_line", "n_lines")
@@ -173,10 +138,6 @@ def word_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.word_definitions(made(spark, sf_dir, "definitions")).select("unit_id", "line_start", "quote", "confidence")
 
 
-def length_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.length_conflicts(made(spark, sf_dir, "length_lines")).select("unit_id", "line_start", "quote")
-
-
 def table_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.table_mismatches(made(spark, sf_dir, "table_lines")).select("unit_id", "line_start", "quote")
 
@@ -185,10 +146,6 @@ def dependency_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rights.dependency_licenses(made(spark, sf_dir, "declared"), made(spark, sf_dir, "licenses").distinct()).select("unit_id", "quote", "severity", "verdict", "confidence")
 
 
-def dataset_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rights.dataset_terms(made(spark, sf_dir, "data_notes")).select("unit_id", "file_path", "quote", "confidence")
-
-
 def copied_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rights.copied_code(made(spark, sf_dir, "code_matches")).select("unit_id", "quote", "confidence")
 
@@ -216,20 +173,6 @@ def technology_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.technology_candidates(entities.entities(page_notes(spark, sf_dir), ("version", "technology")))
 
 
-def market_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = context.market_fit(made(spark, sf_dir, "market_lines"), made(spark, sf_dir, "code_paths"))
-    return x.select("unit_id", F.element_at("extra", "market_fit_score").cast("int").alias("score"), "severity", "verdict", F.round("confidence", 6).alias("confidence"))
-
-
-def call_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.call_outputs(made(spark, sf_dir, "calls")).select("unit_id", "file_path", "line_start", "quote", F.element_at("extra", "call").alias("call"))
-
-
-def foreign_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = context.foreign_materials(made(spark, sf_dir, "guides"), made(spark, sf_dir, "code_paths"))
-    return x.select("unit_id", "line_start", "quote", F.element_at("extra", "tech_lang").alias("tech"), F.element_at("extra", "unit_lang").alias("language"))
-
-
 def fact_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.fact_claims(made(spark, sf_dir, "claims")).select("unit_id", "k", "claim", "line_no")
 
@@ -269,11 +212,6 @@ def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where(evaluate.missing_artifact(F.col("gold"), F.col("found"))).groupBy("gold", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = made(spark, sf_dir, "anchor_texts").withColumn("a", align.anchors(F.col("text")))
-    return x.select("page_id", *(F.array_join(f"a.{c}", " ").alias(c) for c in ("urls", "files", "phrases")))
-
-
 def stem_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = align.stems(F.col("a")), align.stems(F.col("b"))
     return made(spark, sf_dir, "stem_texts").select("page_id", F.array_join(F.array_sort(a), " ").alias("stems"), align.jaccard(a, b).alias("jaccard"))
@@ -368,21 +306,6 @@ def atomic_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.atomic_cases(made(spark, sf_dir, "atomic_rows"))
 
 
-def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = made(spark, sf_dir, "checklist_readmes").where("false")
-    return curriculum.language_hints(none, made(spark, sf_dir, "curriculum_paths"), made(spark, sf_dir, "curriculum_units"))
-
-
-def curriculum_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.line_signals(made(spark, sf_dir, "curriculum_lines"), _hints(spark, sf_dir)).select("unit_id", "line_no", "issue_type", "severity", "criterion", "strong")
-
-
-def missing_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = made(spark, sf_dir, "topic_files")
-    hints = curriculum.language_hints(files, files.select("unit_id", "relative_path"), files.select("unit_id", F.lit("x").alias("name")))
-    return curriculum.curriculum_findings(curriculum.missing_topics(files, hints)).select("unit_id", "file_path", "line_start", "quote", "severity", F.element_at("extra", "topic").alias("topic"))
-
-
 def _strict(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Gold cases and predictions of a user's events; several of each compete."""
     return made(spark, sf_dir, "strict_gold").where("use_row"), made(spark, sf_dir, "strict_found").where("use_row")
@@ -546,12 +469,12 @@ def report_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        image_entities, normalized_texts, lines_outside_fences, task_lines, unit_structure, chapter_sequence, label_punctuation, missing_images, missing_resources, unconfirmed_paths,
-        resources_without_artifact, environment_guides, small_images, editorial_findings, editorial_windows, word_definitions, length_conflicts, table_mismatches, dependency_licenses, dataset_terms,
-        copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates, market_fit, call_outputs, foreign_materials, fact_claims,
-        stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, text_anchors, stem_similarity, opinions_dropped, issue_parts,
+        image_entities, normalized_texts, lines_outside_fences, task_lines, unit_structure, missing_images, missing_resources,
+        environment_guides, small_images, editorial_windows, word_definitions, table_mismatches, dependency_licenses,
+        copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates, fact_claims,
+        stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, stem_similarity, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
-        checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, curriculum_signals, missing_topics, audit_counts,
+        checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, audit_counts,
         pair_scores, strict_matches, prescreened_pairs, assigned_pairs, dependency_conflicts, image_sources, discovered_units, manifest_licenses,
         evaluation_bundle, evaluation_slices, readme_fact_lines, readme_fact_batches, gated_verdicts, flattened_predictions, report_precision,
     )

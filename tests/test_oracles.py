@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from corpusloom.plans import oracles, queries, rule_oracles, rules
+from corpusloom.plans import oracles, planted, planted_oracles, queries, rule_oracles, rules
 
 from .conftest import SF
 
-QUERIES, ORACLE_SQL = queries.QUERIES | rules.QUERIES, oracles.ORACLE_SQL | rule_oracles.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | rules.QUERIES | planted.QUERIES, oracles.ORACLE_SQL | rule_oracles.ORACLE_SQL | planted_oracles.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
