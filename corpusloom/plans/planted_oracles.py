@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from ..operators import align, consistency, context, curriculum, markdown, readability, resources, rights, similarity
+from ..operators import align, consistency, context, curriculum, entities, markdown, readability, resources, rights, similarity
 from .oracles import LINE_SPLIT, names
-from .planted import ARTIFACTS, FILES
-from .rule_oracles import SPACES, stripped
+from .planted import ARTIFACTS, FILES, ROOTS
+from .rule_oracles import SPACES, stripped, words
 
 _LETTERS = r"\p{L}\p{M}\p{N}_"
 START, END = f"(?:^|[^{_LETTERS}])", f"(?:$|[^{_LETTERS}])"
@@ -111,6 +111,28 @@ _ANY = lambda words: " or ".join(f"contains(low, '{w}')" for w in words)  # noqa
 _MARKET = {n: f"coalesce(bool_or({said('low', a)} or {said('low', b)}), false)" for n, (a, b) in context.MARKET.items()}
 _ISSUE_TEXT = lambda x: f"regexp_replace({stripped(f'''regexp_replace(regexp_replace(lower({x}), 'https?:[/{chr(92)}{chr(92)}]+', ' ', 'g'), '[`*_\"{chr(39)}{chr(39)}«»(){chr(92)}[{chr(92)}]{{}}:;,.!?/{chr(92)}{chr(92)}|]+', ' ', 'g')''')}, '{SPACES}+', ' ', 'g')"
 
+# Spaces stand twice while names of files are sought, as a match takes the characters on both sides of a name.
+_REFS = rx(resources.FILE_REF)
+_NAME = stripped("replace(coalesce(nullif(one[i], ''), two[i]), '  ', ' ')")
+_NAMES = f"list_distinct(list_filter(list_transform(range(1, len(one) + 1), lambda i : regexp_replace({_NAME}, '^[.,;)]+|[.,;)]+$', '', 'g')), lambda r : r <> ''))"
+
+
+def last_place(p: str) -> str:
+    """Where the last match of a rule begins in `before`; -1 without one."""
+    return f"case when {said('before', p)} then length(regexp_extract(before, '(?is)^(.*)(?:{rx(p)})', 1)) else -1 end"
+
+
+_ENDINGS = "case " + " ".join(f"when w like '%{e}' and length(w) - {len(e)} >= 4 then substr(w, 1, length(w) - {len(e)})" for e in sorted(align.SUFFIXES, key=len, reverse=True)) + " else w end"
+
+
+def stems(x: str) -> str:
+    return f"list_distinct(list_transform(list_filter(string_split({_ISSUE_TEXT(x)}, ' '), lambda w : length(w) > 2 and w not in ({names(align.STOPWORDS)})), lambda w : {_ENDINGS}))"
+
+
+_POINTER, _INNER = f"(?i){rx(context.POINTER)}", r"\[[^\]]+\]\(\s*#[^)]+\)"
+_ASKED = " or ".join(f"contains(' ' || lower(claim) || ' ', '{m}')" for m in context.REQUIREMENTS)
+_CLAIM = stripped(f"regexp_replace(regexp_replace(regexp_replace({stripped('part')}, '^{SPACES}*(?:#{{1,6}}|[-*]|[0-9]+[.)]){SPACES}*', ''), '{chr(92)}[([^{chr(92)}]]+){chr(92)}]{chr(92)}(([^)]+){chr(92)})', '{chr(92)}1', 'g'), '{SPACES}+', ' ', 'g')")
+
 ORACLE_SQL = {
     "editorial_findings": f"""
 with {BASE},
@@ -249,4 +271,68 @@ found as (
   from own_files
 )
 select relative_path, {", ".join(f"coalesce(array_to_string(list_filter({c}, lambda v, i : list_position({c}, v) = i), ' | '), '') as {c}" for c in ("urls", "files", "phrases"))} from found
-"""}
+""",
+    "missing_resources": f"""
+with {BASE},
+sought as (select *, regexp_extract_all(replace(s, ' ', '  '), '(?i){_REFS}', 1) as one, regexp_extract_all(replace(s, ' ', '  '), '(?i){_REFS}', 2) as two from all_lines),
+refs as (select *, unnest({_NAMES}) as ref from sought where len(one) > 0),
+keyed as (
+  select *, lower(replace(trim(ref), '{chr(92)}', '/')) as key, regexp_extract(lower(replace(trim(ref), '{chr(92)}', '/')), '[^/]*$') as base, regexp_matches(s, '{_URL}') as linked, strpos(lower(s), lower(ref)) as place from refs
+),
+there as (
+  select unit_id, unnest([key, base]) as name from keyed where linked or ((kind = 'readme' or lower(regexp_extract(relative_path, '[^/]*$')) like 'readme%') and {said("s", resources.EXTERNAL)})
+  union select unit_id, unnest([low, regexp_extract(low, '[^/]*$')]) from paths
+),
+asked as (
+  select *, substr(lower(s), greatest(0, place - 121) + 1, place - 1 - greatest(0, place - 121)) as before, substr(lower(s), place, length(ref) + 80) as after from keyed where not linked and {said("s", resources.REQUIRED)}
+),
+judged as (select *, {last_place(resources.OUTPUT)} as made, {last_place(resources.REQUIRED)} as given from asked)
+select unit_id, relative_path as file_path, cast(line_no as integer) as line_start, ref as quote, 'fail' as verdict, cast(0.9 as double) as confidence from judged j
+where not (made >= 0 and made >= given and not contains(after, 'expected') and not contains(after, 'ожида')) and not exists (select 1 from there t where t.unit_id = j.unit_id and t.name in (j.key, j.base))
+""",
+    "environment_guides": f"""
+with {BASE}
+select unit_id, min(relative_path) as file_path, regexp_extract(min(relative_path), '[^/]*$') as quote, cast(0.84 as double) as confidence from paths
+where {said("regexp_extract(relative_path, '[^/]*$')", resources.GUIDE)} and unit_id not in (select unit_id from paths where {suffix("low")} in ({names(resources.ENVIRONMENT)})) group by unit_id
+""",
+    "unit_structure": f"""
+with {BASE},
+own as (select unit_id, low from paths union all select {ROOTS["unit_id"]}, lower({ROOTS["relative_path"]}) from documents where text is not null),
+x as (select unit_id, bool_or(regexp_matches(low, '^readme.*[.]md$')) as readme, bool_or(regexp_matches(low, '^check-list.*[.]ya?ml$')) as checklist from own group by 1)
+select unit_id, 'readability' as criterion, 'missing_readme' as issue_type, 'major' as severity, 'fail' as verdict, cast(0.95 as double) as confidence from x where not readme
+union all select unit_id, 'checklist_alignment', 'missing_checklist', 'major', 'fail', 0.95 from x where not checklist
+""",
+    "missing_images": f"""
+with {BASE},
+newlines as (select {FILE}, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from own_files),
+images as (select *, unnest(regexp_extract_all(line, '{entities.IMAGE}', 1)) as value from newlines),
+plain as (select *, regexp_replace(regexp_replace(regexp_replace(relative_path, '[^/]*$', '') || regexp_replace(value, '[?#].*$', ''), '(^|/)[.]/', '{chr(92)}1', 'g'), '/+', '/', 'g') as p0 from images where not regexp_matches(lower(value), '^(https?:|data:)')),
+up as (select *, {"".join(["regexp_replace("] * 3)}p0{"".join([f", '(^|/)[^/]*[^/.][^/]*/[.][.]/', '{chr(92)}1')"] * 3)} as target from plain)
+select unit_id, relative_path as file_path, cast(line_no as integer) as line_start, value as quote, 'missing_local_image' as issue_type from up u where not exists (select 1 from paths p where p.unit_id = u.unit_id and p.relative_path = u.target)
+""",
+    "stem_similarity": f"""
+with {BASE},
+x as (select relative_path, {stems("text")} as own, {stems("substr(text, 1, length(text) // 2)")} as a, {stems("substr(text, length(text) // 2 + 1)")} as b from own_files)
+select relative_path, md5(array_to_string(list_sort(own), ' ')) as stems_md5, cast(len(own) as bigint) as n_stems, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0) as jaccard from x
+""",
+    "fact_claims": f"""
+with {BASE},
+states as (
+  select *, coalesce(last_value(case when regexp_matches(line, '(?i){rx(context.THEORY_SECTION.removeprefix("(?iuU)"))}') then false when regexp_matches(line, '(?i){rx(context.TASK_SECTION.removeprefix("(?iuU)"))}') then true end ignore nulls)
+    over (partition by {FILE} order by line_no rows between unbounded preceding and current row), false) as in_task from all_lines where kind in ('readme', 'material', 'text')
+),
+parts as (select *, unnest(p) as part, generate_subscripts(p, 1) as n from (select *, string_split(regexp_replace(line, '([.!?]){SPACES}+', '{chr(92)}1' || chr(1), 'g'), chr(1)) as p from states where not (in_task and kind = 'readme'))),
+claims as (select *, {stripped("part")} as sentence, {_CLAIM} as claim, case kind when 'readme' then 0 when 'material' then 1 else 2 end as rank from parts),
+kept as (
+  select *, {matched_key("claim")} as key from claims
+  where sentence <> '' and sentence not like '#%' and not regexp_matches(sentence, '^\\s*\\|.+\\|\\s*$') and not {said("sentence", context.FEEDBACK)} and not regexp_matches(sentence, '{context.OPTION}')
+    and not (regexp_matches(sentence, '{_INNER}') and {words(f"regexp_replace(sentence, '{_INNER}', '', 'g')")} <= 3) and not (regexp_matches(sentence, '{_POINTER}') and {words(f"regexp_replace(sentence, '{_POINTER}', '', 'g')")} <= 6)
+    and not ({_ASKED}) and not {said("claim", context.LEADING)} and not {said("claim", context.SECOND_PERSON)} and (regexp_matches(claim, '{context.FACT_DATE}') or not ({" or ".join(said("claim", p) for p in context.LOCAL)}))
+    and length(claim) between 35 and 520 and not regexp_matches(lower(claim), '^(https?://|!\\[|\\[)') and {words("claim")} >= 5
+    and (regexp_matches(claim, '{context.FACT_DATE}') or {said("claim", context.FACT)} or {said("claim", context.TECHNOLOGIES.removeprefix("(?iuU)"))})
+),
+first_ones as (select *, row_number() over (partition by unit_id, key order by rank, relative_path, line_no, n) as again from kept),
+x as (select *, row_number() over (partition by unit_id order by rank, relative_path, line_no, n) as k from first_ones where again = 1)
+select unit_id, cast(k as integer) as k, claim, relative_path, cast(line_no as integer) as line_no from x where k <= 8
+""",
+}

@@ -141,32 +141,6 @@ select unit_id, count(*) as n, cast(sum(line_no) as bigint) as sum_lines from x
 with {made("tasks")},
 x as (select *, last_value(case line when '## Theory' then false when '## Task 1' then true end ignore nulls) over (partition by unit_id order by line_no rows between unbounded preceding and current row) as state from tasks)
 select unit_id, count(*) filter (coalesce(state, false)) as in_task, count(*) as n from x group by 1
-""",
-    "unit_structure": f"""
-with {made("unit_paths")}, x as (select unit_id, bool_or(relative_path = 'Readme_x.MD') as r, bool_or(relative_path = 'check-list.yaml') as c from unit_paths group by 1)
-select unit_id, 'readability' as criterion, 'missing_readme' as issue_type, 'major' as severity, 'fail' as verdict, cast(0.95 as double) as confidence from x where not r
-union all select unit_id, 'checklist_alignment', 'missing_checklist', 'major', 'fail', 0.95 from x where not c
-""",
-    "missing_images": f"""
-with {made("image_targets", "image_paths")},
-x as (
-  select *, case when value like 'img/%' then 'docs/' || value when value like '../img/%' then substr(value, 4) when value like './img/%' then 'docs/img/' || regexp_extract(value, '[0-9]+[.]png') end as target from image_targets where value not like 'https%'
-)
-select unit_id, line_start, value as quote, 'missing_local_image' as issue_type from x where not exists (select 1 from image_paths p where p.unit_id = x.unit_id and p.relative_path = x.target)
-""",
-    "missing_resources": f"""
-with {made("instructions", "resource_paths")},
-there as (
-  select unit_id, regexp_extract(relative_path, '[^/]+$') as base from resource_paths
-  union select unit_id, regexp_extract(line, '[^/]+$') from instructions where line like 'Get it%'
-)
-select unit_id, line_no as line_start, split_part(line, ' ', 4) as quote, 'fail' as verdict, cast(0.9 as double) as confidence
-from instructions i where line like 'Download the dataset%' and not exists (select 1 from there t where t.unit_id = i.unit_id and t.base = split_part(line, ' ', 4))
-""",
-    "environment_guides": f"""
-with {made("resource_paths")}
-select distinct unit_id, relative_path as file_path, 'VirtualBox guide.md' as quote, cast(0.84 as double) as confidence
-from resource_paths where relative_path like '%guide.md' and unit_id not in (select unit_id from resource_paths where relative_path = 'vm.ova')
 """,
     "small_images": f"""
 with {made("pictures", "picture_sizes")},
@@ -240,12 +214,6 @@ select x.unit_id, x.line_start, r.status as support_status, case r.status when '
 """,
     "technology_candidates": """
 select unit_id, value, file_path, 2 as line_start from (select cast(page_id % 20 as varchar) as unit_id, min('pages/' || cast(page_id as varchar) || '.md') as file_path from pages group by 1), (values ('Python'), ('Docker')) as v(value)
-""",
-    "fact_claims": f"""
-with {made("claims")},
-f as (select unit_id, line as claim, min(line_no) as line_no from claims where line like 'The release%' group by 1, 2),
-x as (select *, row_number() over (partition by unit_id order by line_no) as k from f)
-select unit_id, k, claim, line_no from x where k <= 8
 """,
     "stored_verdicts": """
 with x as (select 'm' || cast(event_id % 3 as varchar) as model, event_id % 4 as way from events where event_id % 4 <> 3)
@@ -281,9 +249,6 @@ select {RELATION} as relation, count(*) as n from x group by 1
     "missing_artifacts": f"""
 with {made("artifact_texts")}
 select gold, found, count(*) as n from artifact_texts where (gold like 'Команда%' and found like 'pcap%') or (gold like 'tcpdump%' and found like 'the trace%') group by 1, 2
-""",
-    "stem_similarity": """
-select page_id, case page_id % 3 when 0 then 'задач проект' when 1 then 'кошк' else '' end as stems, cast(case when page_id % 3 = 0 and page_id % 2 = 0 then 1 else 0 end as double) as jaccard from pages
 """,
     "opinions_dropped": "select event_id as gold_idx from events where event_id % 6 not in (0, 1)",
     "issue_parts": f"""

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..detector import Corpus, audit
 from ..functions.text import normalize_for_match, split_lines, strip
 from ..materialize import scratch, written
-from ..operators import adjudicate, align, checklists, consistency, context, dependencies, entities, evaluate, findings, gold, links, matching, readability, resources, rights, sinks, verdicts
+from ..operators import adjudicate, align, checklists, consistency, context, dependencies, entities, evaluate, findings, gold, matching, readability, rights, sinks, verdicts
 from ..operators.images import image_quality
-from ..operators.lines import FILE, lines, sticky_state, without_fences
+from ..operators.lines import lines, sticky_state, without_fences
 from ..sources import files as f
 from ..sources import findings_json
 from ..sources import tables as t
@@ -30,11 +30,6 @@ MADE = {
     "image_notes": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "concat('pages/', cast(page_id as string), '.md')", "kind": "'text'", "text": "concat('See ![shot](img/', cast(page_id as string), '.png) of ', url, chr(10), 'Again ![shot](img/', cast(page_id as string), '.png)')"}),
     "fenced": ("events", {**EVENT_FILE, "line": "case when event_id % 7 = 0 then '```' else props end"}),
     "tasks": ("events", {**EVENT_FILE, "line": "case event_id % 11 when 0 then '## Task 1' when 5 then '## Theory' else props end"}),
-    "unit_paths": ("pages", {"unit_id": "cast(page_id % 40 as string)", "relative_path": "case when page_id % 3 = 0 and page_id % 2 = 0 then 'Readme_x.MD' when page_id % 4 = 1 then 'check-list.yaml' when page_id % 5 = 2 then 'docs/README.md' else 'src/a.py' end"}),
-    "image_targets": ("pages", {"unit_id": "cast(page_id % 10 as string)", "file_path": "'docs/README.md'", "line_start": "cast(page_id as int)", "value": f"case page_id % 5 when 0 then concat('img/', {N}, '.png') when 1 then concat('../img/', {N}, '.png') when 2 then '../../out.png' when 3 then 'https://a.example/b.png' else concat('./img/../img/', {N}, '.png?raw=1') end"}),
-    "image_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": f"case when page_id % 30 >= 15 then 'README.md' when page_id % 2 = 0 then concat('docs/img/', {N}, '.png') else concat('img/', {N}, '.png') end"}),
-    "instructions": ("pages", {**PAGE_FILE, "line": f"case page_id % 6 when 0 then concat('Download the dataset data_', {N}, '.csv') when 1 then concat('Save the result to out_', {N}, '.csv') when 2 then case when page_id % 30 < 10 then concat('Get it from https://x.example/data_', cast(page_id % 30 + 10 as string), '.csv') else 'Nothing' end when 3 then 'Download the archive' when 4 then concat('Look at /opt/app/', {N}, '/run') else 'Nothing here' end"}),
-    "resource_paths": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": f"case when page_id % 30 = 4 then 'vm.ova' when page_id % 30 in (14, 16) then 'docs/VirtualBox guide.md' when page_id % 30 = 25 then 'old.tar.gz' when page_id % 30 < 10 then concat('data/data_', {N}, '.csv') else concat('src/f', {N}, '.py') end"}),
     "pictures": ("pages", {"unit_id": "cast(page_id % 10 as string)", "file_path": "'README.md'", "line_start": "cast(page_id as int)", "value": "concat(case when page_id % 9 = 0 then 'logo' else 'img' end, '/', cast(page_id as string), '.png')", "quote": "'a picture'"}),
     "picture_sizes": ("pages", {"unit_id": "cast(page_id % 10 as string)", "relative_path": "concat(case when page_id % 9 = 0 then 'logo' else 'img' end, '/', cast(page_id as string), '.png')", "width": "cast(case when page_id % 4 = 3 then null else page_id * 37 % 1000 + 1 end as int)", "height": "cast(case when page_id % 4 = 3 then null else page_id * 53 % 600 + 1 end as int)"}),
     "definitions": ("pages", {**PAGE_FILE, "line": "case page_id % 5 when 0 then 'A Word is any symbol' when 1 then 'the word is character' when 2 then 'words are symbols' else url end"}),
@@ -46,13 +41,11 @@ MADE = {
     "manifests": ("pages", {"unit_id": "cast(page_id % 20 as string)", "relative_path": "concat('p', cast(page_id as string), case page_id % 4 when 0 then '/package.json' when 1 then '/requirements.txt' when 2 then '/Dockerfile' else '/pyproject.toml' end)", "kind": "'dependency_manifest'", "text": "case page_id % 4 when 0 then concat('{\"dependencies\":{\"lib', cast(page_id % 7 as string), '\":\"^1.', cast(page_id % 5 as string), '.0\"},\"engines\":{\"node\":\">=18\"}}') when 1 then concat('# all', chr(10), 'flask==2.', cast(page_id % 6 as string), chr(10), 'numpy>=1.2 ; x > \"3\"', chr(10), '-r other') when 2 then concat('FROM python:3.', cast(page_id % 8 as string), ' AS b', chr(10), 'FROM busybox') else concat('[project]', chr(10), 'requires-python = \">=3.', cast(page_id % 3 as string), '\"', chr(10), 'dependencies = [\"requests[socks]>=2\"]') end"}),
     "registry": ("pages", {"ecosystem": "case page_id % 9 when 7 then 'pypi' when 8 then 'docker' else 'npm' end", "name": "case page_id % 9 when 7 then 'Flask' when 8 then 'python' else concat('lib', cast(page_id % 9 as string)) end", "latest_version": "case page_id % 9 when 7 then '2.3' when 8 then '3.5' else '2.0.0' end", "source_url": "'https://registry.example'", "checked_at": "cast(null as timestamp)"}),
     "services": ("pages", {"unit_id": "cast(page_id % 20 as string)", "file_path": "'README.md'", "line_start": "cast(page_id as int)", "value": "case page_id % 6 when 0 then 'https://www.figma.com/x' when 1 then 'Docker Hub' when 2 then 'api.slack.com' when 3 then 'notion' when 4 then 'slack' else url end", "quote": "url"}),
-    "claims": ("pages", {**PAGE_FILE, "line": "case page_id % 5 when 0 then concat('The release of version ', cast(page_id % 60 as string), ' was published in 2020 by its team.') when 1 then 'You must install the release of 2020 before all of the others.' when 2 then 'In 2020.' when 3 then '| The latest release of 2020 | was published by its own team |' else 'Nothing at all stands in this line that anyone could ever check.' end"}),
     "responses": ("events", {"namespace": "event_type", "cache_key": "cast(event_id as string)", "model": "concat('m', cast(event_id % 3 as string))", "cache_hit": "event_id % 5 = 0", "response": "case event_id % 4 when 0 then '{\"verdict\":\"OK\",\"confidence\":\"high\",\"evidence\":\"e\"}' when 1 then '[{\"verdict\":\"warn\",\"confidence\":\"55%\",\"quote\":\"q\"},{\"verdict\":\"unclear\",\"confidence\":\"0\"}]' when 2 then '{\"findings\":[{\"verdict\":\"error\",\"confidence\":\"0,7\",\"line\":3}]}' else '{\"items\":[]}' end"}),
     "event_lines": ("events", {**EVENT_FILE, "line": "concat('The  type is ', event_type, ' of ', props)"}),
     "quoted": ("events", {"unit_id": "cast(user_id as string)", "relative_path": "'README.md'", "line": "cast(event_id as int)", "quote": "case event_id % 3 when 0 then concat('TYPE is ', event_type) when 1 then 'type was' else '' end", "confidence": "value / 10"}),
     "relations": ("events", {"gs": "cast(case when event_id % 9 = 0 then null else event_id % 50 end as int)", "ge": "cast(case event_id % 4 when 0 then null when 1 then 0 else event_id % 50 + 3 end as int)", "ps": "cast(case when user_id % 9 = 0 then null else user_id % 50 end as int)", "pe": "cast(case event_id % 3 when 0 then null else user_id % 50 + 1 end as int)"}),
     "artifact_texts": ("events", {"gold": "case event_id % 4 when 0 then 'Команда whoami: в дампе нет вывода' when 1 then 'tcpdump capture is missing' when 2 then 'whoami works' else props end", "found": "case user_id % 3 when 0 then 'pcap without whoami' when 1 then 'the trace of tcpdump not found' else 'dump missing' end"}),
-    "stem_texts": ("pages", {"page_id": "page_id", "a": "case page_id % 3 when 0 then 'Задачами проектов и на' when 1 then 'кошка' else '' end", "b": "case page_id % 2 when 0 then 'задача, проекты!' else 'ошибка' end"}),
     "opinion_cases": ("events", {"gold_idx": "event_id", "gold_text": "case event_id % 6 when 0 then 'По-моему, тут ошибка' when 1 then 'Лучше так' when 2 then null else props end"}),
     "issues": ("events", {"issue": "case event_id % 5 when 0 then concat(props, ' | ', event_type, ' | fix it | now | typo') when 1 then concat(props, '|', event_type) when 2 then 'case' when 3 then null else 'A B | Two Words' end", "location": "case event_id % 4 when 0 then 'a/b.md:10-12' when 1 then 'c:d:7' when 2 then 'none.md' else '' end"}),
     "rivals": ("events", {"scope": "cast(user_id as string)", "gold_idx": "event_id % 7", "pred_idx": "event_id % 5", "score": "cast((event_id * 7 + user_id) % 20 as double) / 20"}),
@@ -109,22 +102,6 @@ def task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("unit_id").agg(F.count(F.when(F.col("in_task"), 1)).alias("in_task"), F.count(F.lit(1)).alias("n"))
 
 
-def unit_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources.structure(made(spark, sf_dir, "unit_paths")).select("unit_id", "criterion", "issue_type", "severity", "verdict", "confidence")
-
-
-def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.missing_images(made(spark, sf_dir, "image_targets"), made(spark, sf_dir, "image_paths")).select("unit_id", "line_start", "quote", "issue_type")
-
-
-def missing_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources.missing_resources(made(spark, sf_dir, "instructions"), made(spark, sf_dir, "resource_paths")).select("unit_id", "line_start", "quote", "verdict", "confidence")
-
-
-def environment_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resources.guides_without_image(made(spark, sf_dir, "resource_paths")).select("unit_id", "file_path", "quote", "confidence")
-
-
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_quality(made(spark, sf_dir, "pictures"), made(spark, sf_dir, "picture_sizes")).select("unit_id", "line_start", "issue_type", "severity", "verdict", "confidence")
 
@@ -173,10 +150,6 @@ def technology_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.technology_candidates(entities.entities(page_notes(spark, sf_dir), ("version", "technology")))
 
 
-def fact_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.fact_claims(made(spark, sf_dir, "claims")).select("unit_id", "k", "claim", "line_no")
-
-
 def stored_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = verdicts.verdict_rows(made(spark, sf_dir, "responses"))
     return x.groupBy("model", "verdict", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("sum_lines"))
@@ -212,11 +185,6 @@ def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where(evaluate.missing_artifact(F.col("gold"), F.col("found"))).groupBy("gold", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stem_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = align.stems(F.col("a")), align.stems(F.col("b"))
-    return made(spark, sf_dir, "stem_texts").select("page_id", F.array_join(F.array_sort(a), " ").alias("stems"), align.jaccard(a, b).alias("jaccard"))
-
-
 def opinions_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.opinions_dropped(made(spark, sf_dir, "opinion_cases")).select("gold_idx")
 
@@ -469,10 +437,10 @@ def report_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        image_entities, normalized_texts, lines_outside_fences, task_lines, unit_structure, missing_images, missing_resources,
-        environment_guides, small_images, editorial_windows, word_definitions, table_mismatches, dependency_licenses,
-        copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates, fact_claims,
-        stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, stem_similarity, opinions_dropped, issue_parts,
+        image_entities, normalized_texts, lines_outside_fences, task_lines,
+        small_images, editorial_windows, word_definitions, table_mismatches, dependency_licenses,
+        copied_code, rights_ladder, declared_dependencies, dependency_freshness, regional_availability, technology_candidates,
+        stored_verdicts, anchored_verdicts, model_usage, macro_metrics, cost_per_match, line_relations, missing_artifacts, opinions_dropped, issue_parts,
         greedy_rivals, postprocess_warnings, report_rows, adjudication_sheet, cache_upsert, gold_labels, gold_sheet, file_kinds, unit_ids, decoded_contents,
         checklist_questions, checklist_alignment, checklist_grounding, gold_cases, project_matches, atomic_gold, audit_counts,
         pair_scores, strict_matches, prescreened_pairs, assigned_pairs, dependency_conflicts, image_sources, discovered_units, manifest_licenses,
