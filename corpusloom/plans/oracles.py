@@ -65,7 +65,7 @@ SEPARATOR = "chr(32) || chr(9)"
 OUTLINE = r"""
 pages_in as (
   select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as unit_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title,
-    list_slice(regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1), 1, 900) as items from pages
+    regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) as items from pages
 ),
 items as (
   select unit_id, page_id, unnest(items) as item, generate_subscripts(items, 1) as n from pages_in
