@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,10 +105,116 @@ def gram_crcs(text: str, gram: int) -> np.ndarray:
     return (out ^ fixed[length]).astype(np.int64)
 
 
+#: MD5's additive constants, rotations, first state; grams that are hashed at once.
+_MD5_ADD = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+_MD5_TURN = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4, np.uint32)
+_MD5_FIRST = tuple(np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+MD5_LANES = 1 << 14
+
+
+def _md5_block(state: list[np.ndarray], words: list[np.ndarray | None]) -> list[np.ndarray]:
+    """MD5 states after a block of 16 words each; None is a word that is 0 everywhere."""
+    a, b, c, d = (x.copy() for x in state)
+    f, high = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            at = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            at = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            at = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            at = 7 * i % 16
+        f += a
+        f += _MD5_ADD[i]
+        if words[at] is not None:
+            f += words[at]
+        np.right_shift(f, np.uint32(32) - _MD5_TURN[i], out=high)
+        f <<= _MD5_TURN[i]
+        f |= high
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
+
+
+def md5_heads(data: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first 15 hexadecimal digits of md5 (which SQL engines have too) of stretches of bytes, many at a time."""
+    data = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
+    four = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    out = np.zeros(len(place), np.int64)
+    order = np.argsort(length, kind="stable")
+    for n in np.unique(length).tolist():
+        of_n = order[np.searchsorted(length, n, "left", sorter=order) : np.searchsorted(length, n, "right", sorter=order)]
+        for start in range(0, len(of_n), MD5_LANES):
+            some = of_n[start : start + MD5_LANES]
+            at, part = place[some], np.uint32(8 * (n % 4))
+            words: list[np.ndarray | None] = [four[at + 4 * i] for i in range(n // 4)]
+            last = four[at + n - n % 4] & ((np.uint32(1) << part) - np.uint32(1)) if n % 4 else np.zeros(len(at), np.uint32)
+            words.append(last | np.uint32(0x80) << part)
+            words += [None] * ((-len(words) - 2) % 16) + [np.full(len(at), 8 * n & 0xFFFFFFFF, np.uint32), None]
+            state = [np.full(len(at), x) for x in _MD5_FIRST]
+            for block in range(0, len(words), 16):
+                state = _md5_block(state, words[block : block + 16])
+            head, tail = (x.byteswap().astype(np.uint64) for x in state[:2])
+            out[some] = ((head << np.uint64(32) | tail) >> np.uint64(4)).astype(np.int64)
+    return out
+
+
+def _grams(texts: list[str], gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, where their grams of `gram` characters begin, their lengths in bytes, and each text's number of grams."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    chars = np.array([len(t) for t in texts], np.int64)
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    counts = np.maximum(chars - gram + 1, 0)
+    starts = np.repeat(np.cumsum(chars) - chars - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return data, first[starts], first[starts + gram] - first[starts], counts
+
+
 def _md5(text: str, places: np.ndarray, gram: int) -> np.ndarray:
-    """The first 15 hexadecimal digits of md5 (which SQL engines have too) of the grams at these places."""
-    digests = b"".join([hashlib.md5(text[i : i + gram].encode()).digest() for i in places.tolist()])
-    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+    """md5_heads of the grams at these places."""
+    data, begin, length, _ = _grams([text], gram)
+    return md5_heads(data, begin[places], length[places])
+
+
+#: Characters of texts whose grams are in memory at once; a longer text is taken alone.
+CHUNK = 1 << 20
+
+
+def minima(texts: list[str], gram: int, window: int, kind: str) -> list[np.ndarray]:
+    """Of each text the distinct minima of `window` neighbouring gram hashes (crc32 or md5), as winnowed has them."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size < CHUNK and i < len(texts) - 1:
+            continue
+        some = texts[start : i + 1]
+        if kind == "md5":
+            data, begin, length, counts = _grams(some, gram)
+            hashes = np.split(md5_heads(data, begin, length), np.cumsum(counts)[:-1])
+        else:
+            hashes = [gram_crcs(x, gram) for x in some]
+        for h in hashes:
+            n = len(h) - window + 1
+            if n < 1:
+                out.append(np.zeros(0, np.int64))
+                continue
+            low = h[:n].copy()
+            for k in range(1, window):
+                np.minimum(low, h[k : k + n], out=low)
+            out.append(np.unique(low[np.append(True, low[1:] != low[:-1])]))
+        start, size = i + 1, 0
+    return out
 
 
 def winnowed(text: str, gram: int, window: int, kind: str, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -175,28 +281,75 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
     return out
 
 
+#: Fingerprints in a bucket, about; their number of buckets grows with the texts.
+BUCKET = 1 << 20
+
+
+def shared_fingerprints(docs: DataFrame, key: str, scope: str, gram: int, window: int, kind: str) -> DataFrame:
+    """docs (scope, key, text) -> scope, fingerprint, df, key, size: the fingerprints that two texts of a scope or more have, and how many have them.
+
+    Most fingerprints are in one text only. They travel to their bucket packed, a row for each batch of texts and bucket,
+    and a bucket leaves rows for shared ones alone.
+    """
+    seen = Observation()
+    plain = written(docs.where(F.char_length("text") >= gram + window - 1).select(scope, key, "text").observe(seen, F.sum(F.char_length("text")).alias("chars")))
+    buckets = max(1, -(-2 * (seen.get["chars"] or 0) // ((window + 1) * BUCKET)))  # of window + 1 grams about two are minima
+
+    def pack(batches):
+        for batch in batches:
+            for of, part in batch.groupby(scope, sort=False, dropna=False):
+                found = minima(part["text"].tolist(), gram, window, kind)
+                sizes = np.array([len(f) for f in found], np.int32)
+                prints, row = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
+                place = (prints % buckets).astype(np.int32)
+                order = np.argsort(place, kind="stable")
+                prints, row, ends = prints[order], row[order], np.searchsorted(place[order], np.arange(buckets + 1))
+                keys, out = part[key].to_numpy(), []
+                for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                    own, counts = np.unique(row[ends[i] : ends[i + 1]], return_counts=True)
+                    out.append((of, i, keys[own], sizes[own], counts.astype(np.int32), prints[ends[i] : ends[i + 1]].tobytes()))
+                yield pd.DataFrame(out, columns=[scope, "bucket", "keys", "sizes", "counts", "prints"])
+
+    def shared(part: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c: np.concatenate(part[c].tolist())
+        prints, counts = np.frombuffer(b"".join(part["prints"]), np.int64), join("counts")
+        order = np.argsort(prints, kind="stable")
+        prints = prints[order]
+        edges = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+        df = np.diff(np.append(edges, len(prints)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        row = np.repeat(np.arange(len(counts)), counts)[order[keep]]
+        return pd.DataFrame({scope: part[scope].iloc[0], "fingerprint": prints[keep], "df": df[keep], key: join("keys")[row], "size": join("sizes")[row]})
+
+    kinds = {c: plain.schema[c].dataType.simpleString() for c in (scope, key)}
+    packed = plain.mapInPandas(pack, f"{scope} {kinds[scope]}, bucket int, keys array<{kinds[key]}>, sizes array<int>, counts array<int>, prints binary")
+    return written(packed.groupBy(scope, "bucket").applyInPandas(shared, f"{scope} {kinds[scope]}, fingerprint long, df long, {key} {kinds[key]}, size long"))
+
+
 def similar_units(docs: DataFrame, key: str = "unit_id", scope: str = "language", threshold: float = 0.8, kind: str = "crc32", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs (scope, key, text) -> scope, a, b (a < b), similarity: shared fingerprints over the smaller set, of pairs from the threshold on.
 
-    The inverted index lists, per fingerprint, who has it. A pair can only reach the threshold if the sizes allow it, so
-    the sizes travel with the fingerprints and pairs that can't are dropped before they are counted. Fingerprints are
-    also ordered by rarity in each set, and only the rarest (1 - threshold) * size + 1 of either side open a pair: two sets
-    that share `threshold` of the smaller one share at least one of these. So common fingerprints seldom make pairs.
+    Fingerprints that only one text has take no part. The others are ordered by rarity in each set, and only the rarest
+    (1 - threshold) * size + 1 of the smaller set open a pair: two sets that share `threshold` of the smaller one share at
+    least one of these. So common fingerprints seldom make pairs, and a text that shares too little opens none. Pairs are
+    confirmed on the sets of shared fingerprints as arrays, without a row for each common one.
     """
-    prints = fingerprints(docs, [scope, key], gram, window, kind).drop("crc")
-    per_print = prints.groupBy(scope, "fingerprint").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = prints.join(per_print, [scope, "fingerprint"])
-    rank = F.row_number().over(W.partitionBy(scope, key).orderBy("df", "fingerprint"))
+    shared = shared_fingerprints(docs, key, scope, gram, window, kind)
+    held = written(shared.groupBy(scope, key).agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
     # of the smaller set, all but ceil(threshold * size) - 1 may be missing from the other; those that nobody shares are missing anyway
-    lone = F.col("size") - F.count(F.lit(1)).over(W.partitionBy(scope, key))
-    need = F.col("size") - F.ceil(F.col("size") * (threshold - 0.00005) - 1e-9) + 1 - lone
-    shared = shared.withColumn("opens", rank <= need)
-    left, right = shared.select(scope, "fingerprint", F.col(key).alias("a"), F.col("size").alias("size_a"), F.col("opens").alias("opens_a")), shared.select(scope, "fingerprint", F.col(key).alias("b"), F.col("size").alias("size_b"), F.col("opens").alias("opens_b"))
-    # the smaller set (then the smaller key) opens: its rare fingerprints alone make the candidate pairs
+    need = F.col("size") - F.ceil(F.col("size") * (threshold - 0.00005) - 1e-9) + 1 - (F.col("size") - F.col("n"))
+    can = held.withColumn("need", need).where("need > 0").select(scope, key, "need")
+    rank = F.row_number().over(W.partitionBy(scope, key).orderBy("df", "fingerprint"))
+    opens = written(shared.join(can, [scope, key]).withColumn("rank", rank).where("rank <= need").select(scope, "fingerprint", F.col(key).alias("a"), F.col("size").alias("size_a")))
+    right = shared.select(scope, "fingerprint", F.col(key).alias("b"), F.col("size").alias("size_b"))
+    # the smaller set (then the smaller key) opens
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    pairs = left.where("opens_a").join(right, [scope, "fingerprint"]).where(smaller).select(scope, "a", "b", "size_a").distinct()
-    pairs = pairs.join(left.select(scope, "a", "fingerprint"), [scope, "a"]).join(right.select(scope, "b", "fingerprint"), [scope, "b", "fingerprint"])
-    pairs = pairs.groupBy(scope, "a", "b", "size_a").agg(F.count(F.lit(1)).alias("both")).withColumn("similarity", F.bround(F.col("both") / F.col("size_a"), 4))
+    pairs = written(opens.join(right, [scope, "fingerprint"]).where(smaller).select(scope, "a", "b", "size_a").distinct())
+    ends = pairs.select(scope, F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = written(shared.join(ends, [scope, key], "left_semi").groupBy(scope, key).agg(F.collect_list("fingerprint").alias("found")))
+    pairs = pairs.join(sets.select(scope, F.col(key).alias("a"), F.col("found").alias("found_a")), [scope, "a"]).join(sets.select(scope, F.col(key).alias("b"), F.col("found").alias("found_b")), [scope, "b"])
+    pairs = pairs.withColumn("similarity", F.bround(F.size(F.array_intersect("found_a", "found_b")) / F.col("size_a"), 4))
     return pairs.where(F.col("similarity") >= threshold).select(scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 

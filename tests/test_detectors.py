@@ -1,10 +1,12 @@
 """Rules on small texts, each with a twin that must not fire."""
 
+import hashlib
 import json
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import all_matches, line_number, quote_around, split_lines, strip
@@ -226,3 +228,37 @@ def test_nested_reports(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(text)
     got = [tuple(r) for r in findings_json.predictions(findings_json.read_reports(spark, str(tmp_path))).orderBy("pred_idx").select("pred_idx", "finding_id", "project", "line_start", "file_path", "issue_type", "found_text").collect()]
     assert got == [(1 << 32, "f1", "Unit", 3, "a.md", "typo", "q | one | do | typo"), ((1 << 32) + 2, "f3", "Unit", None, None, "", "")]
+
+
+def test_md5_of_many_grams():
+    """Heads of md5 taken many at a time are hashlib's, over one to three blocks; minima are those of the slower way."""
+    rng = random.Random(5)
+    for alphabet in ("abc ", "aéжж日🙂"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (0, 5, 33, 34, 700)]
+        for gram in (1, 14, 30):
+            for text in texts:
+                places = np.arange(max(0, len(text) - gram + 1))
+                assert similarity._md5(text, places, gram).tolist() == [int(hashlib.md5(text[i : i + gram].encode()).hexdigest()[:15], 16) for i in places]
+            for kind in ("md5", "crc32"):
+                assert [m.tolist() for m in similarity.minima(texts, gram, 4, kind)] == [similarity.winnowed(t, gram, 4, kind)[0].tolist() for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["md5", "crc32"])
+def test_only_shared_fingerprints_become_rows(spark, monkeypatch, kind):
+    """Fingerprints of one text alone leave no rows, and the pairs are those of all sets against all others, over many buckets."""
+    monkeypatch.setattr(similarity, "BUCKET", 1 << 9)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    common, texts = word() * 2, {}
+    for i in range(40):
+        body = "".join(word() for _ in range(6))
+        texts[f"x{i}"] = body + common
+        if i % 4 == 0:
+            texts[f"y{i}"] = body + common + word() * (i % 3)
+            texts[f"z{i}"] = body[20:] + common
+    docs = spark.createDataFrame([("text", k, t) for k, t in texts.items()], "language string, unit_id string, text string")
+    sets = {k: set(similarity.winnowed(t, 30, 4, kind)[0].tolist()) for k, t in texts.items()}
+    rows = similarity.shared_fingerprints(docs, "unit_id", "language", 30, 4, kind).collect()
+    assert sorted((r["unit_id"], r["fingerprint"]) for r in rows) == sorted((k, f) for k, s in sets.items() for f in s if sum(f in o for o in sets.values()) > 1)
+    want = sorted((a, b, round(len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])), 4)) for a in sets for b in sets if a < b)
+    assert found(similarity.similar_units(docs, kind=kind), "a", "b", "similarity") == [w for w in want if w[2] >= 0.8]
