@@ -68,6 +68,26 @@ def test_no_group_in_one_task(spark, monkeypatch):
     assert matching.greedy(df.where("false"), ["scope"], [("score", False), ("gold_idx", True), ("pred_idx", True)]).count() == 0
 
 
+def test_small_scopes_share_a_pass(spark, monkeypatch):
+    """Thousands of small scopes, keyed by two columns, are decided by one pass over each task's rows, also where Arrow batches cut through a scope."""
+    rng = random.Random(4)
+    pairs = {(s, c, 10 * s + rng.randrange(4), 10 * s + rng.randrange(4)) for s in range(600) for c in "xy" for _ in range(5)}
+    rows = [{"unit": s, "criterion": c, "gold_idx": g, "pred_idx": p, "score": rng.choice([0.5, 0.75, 0.9])} for s, c, g, p in pairs]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "unit long, criterion string, gold_idx long, pred_idx long, score double")
+    order = [("score", False), ("gold_idx", True), ("pred_idx", True)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = matching.greedy(df, ["unit", "criterion"], order)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        got = sorted((r["unit"], r["criterion"], r["gold_idx"], r["pred_idx"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scopes = {}
+    for r in rows:
+        scopes.setdefault((r["unit"], r["criterion"]), []).append(r)
+    assert got == sorted((*k, *p) for k, v in scopes.items() for p in greedy(v, lambda r: (-r["score"], r["gold_idx"], r["pred_idx"])))
+
+
 def test_strict_ladder(spark):
     gold = [(1, "p", "readability", "The heading is repeated twice here", 10, 12), (2, "p", "readability", "pcap dump: whoami is missing", None, None), (3, "p", "readability", "entirely different words", 50, 50), (4, "q", "facts", "nothing near", None, None)]
     pred = [(11, "p", "readability", "heading repeated", 11, 11), (12, "p", "readability", "whoami not found in the capture", 90, 90), (13, "p", "readability", "zzz qqq", 52, 52)]
