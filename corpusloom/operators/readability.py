@@ -44,7 +44,8 @@ def placeholders(lines: DataFrame) -> DataFrame:
 
 def long_lines(lines: DataFrame, longer_than: int = LONG_LINE, per_file: int = LONG_LINES_PER_FILE) -> DataFrame:
     """unit_id, relative_path, line_no, n_chars: README and material lines to be judged, the first `per_file` of a file."""
-    x = lines.where(F.col("kind").isin("readme", "material")).withColumn("n_chars", F.char_length(strip(F.col("line")))).where(F.col("n_chars") > longer_than)
+    long = F.char_length("line") > longer_than  # stripping never makes a line longer, and costs more than its length
+    x = lines.where(F.col("kind").isin("readme", "material") & long).withColumn("n_chars", F.char_length(strip(F.col("line")))).where(F.col("n_chars") > longer_than)
     return top_n(x, list(FILE), ["line_no"], per_file).select(*FILE, "line_no", "n_chars")
 
 

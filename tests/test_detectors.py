@@ -262,3 +262,12 @@ def test_only_shared_fingerprints_become_rows(spark, monkeypatch, kind):
     assert sorted((r["unit_id"], r["fingerprint"]) for r in rows) == sorted((k, f) for k, s in sets.items() for f in s if sum(f in o for o in sets.values()) > 1)
     want = sorted((a, b, round(len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])), 4)) for a in sets for b in sets if a < b)
     assert found(similarity.similar_units(docs, kind=kind), "a", "b", "similarity") == [w for w in want if w[2] >= 0.8]
+
+
+def test_a_text_is_split_once(spark):
+    """A text is split into lines once, not once for each time that its parts are named, and the lines are those of split_lines."""
+    texts = ["a\r\nb\x0bc d\n", "", "\n", "\n\n", "a", "a\n\n", "\r\n", None]
+    df = files(spark, *(("u", str(i), "readme", t) for i, t in enumerate(texts)))
+    assert lines(df)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    plain = df.select("relative_path", F.posexplode(split_lines(F.col("text"))).alias("n", "line")).select("relative_path", F.col("n") + 1, "line")
+    assert found(lines(df), "relative_path", "line_no", "line") == sorted(tuple(r) for r in plain.collect())
