@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..operators import align, consistency, context, curriculum, entities, links, markdown, readability, resources, rights
 from ..operators.lines import lines
 from ..sources import tables as t
@@ -172,7 +173,7 @@ def stem_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of whole texts, and how much of them the halves of a text share."""
     x = files(spark, sf_dir).withColumn("cut", F.expr("cast((length(text) - length(text) % 2) / 2 as int)"))
     halves = (F.expr("substr(text, 1, cut)"), F.expr("substr(text, cut + 1, length(text))"))
-    x = x.select("relative_path", align.stems(F.col("text")).alias("stems"), *(align.stems(h).alias(c) for h, c in zip(halves, "ab")))
+    x = once(x, stems=align.stems(F.col("text")), **{c: align.stems(h) for h, c in zip(halves, "ab")})
     return x.select("relative_path", F.md5(F.array_join(F.array_sort("stems"), " ").cast("binary")).alias("stems_md5"), F.size("stems").cast("long").alias("n_stems"), align.jaccard(F.col("a"), F.col("b")).alias("jaccard"))
 
 
