@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_for_match, pattern, strip
+from ..functions.text import folded, may_match, normalize_for_match, once, pattern, strip
 from .findings import findings
-from .lines import FILE, batches, first_in, lines, top_n, without_fences
+from .lines import FILE, batches, first_in, is_fence, lines, top_n, without_fences
 
 # Patterns, markers and thresholds of the rules.
 PLACEHOLDER = (
@@ -126,7 +126,9 @@ def java_units(files: DataFrame) -> DataFrame:
 def editorial(own_lines: DataFrame, java_units: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
     """Findings of the editorial rules on prose lines, and on all lines of artifacts; java_units (unit_id) also get the ASP.NET rule."""
     rules = [(t, pattern(p, True), 0.88) for t, p in EDITORIAL]
-    x = prose_lines(own_lines)
+    # the others can't hit, nor change where code begins and ends
+    may = may_match(F.col("folded"), *(p for _, p in EDITORIAL), *([] if java_units is None else [ASP_NET])) | (F.col("line").contains("`") & (F.col("line").contains("«") | F.col("line").contains('"')))
+    x = prose_lines(once(own_lines, folded=folded(F.col("line"))).where(is_fence(F.col("line")) | may).drop("folded"))
     if artifacts is not None:
         x = x.unionByName(artifacts.select(*x.columns))
     if java_units is not None:
