@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_for_match, pattern, strip
+from ..functions.text import folded, may_match, normalize_for_match, once, pattern, strip
 from .findings import findings
 from .lines import FILE, first_in
 
@@ -37,8 +37,8 @@ def _says(text: Column, p: str) -> Column:
     return F.coalesce(text.rlike(pattern(p, True)), F.lit(False))
 
 
-def _spoken(text: Column) -> list[Column]:
-    return [F.when(_says(text, p), F.lit(name)) for name, p in (("java", JAVA), ("c", C_LANGUAGE), ("cpp", CPP), ("csharp", CSHARP))]
+def _spoken(text: Column, low: Column) -> list[Column]:
+    return [F.when(may_match(low, p) & _says(text, p), F.lit(name)) for name, p in (("java", JAVA), ("c", C_LANGUAGE), ("cpp", CPP), ("csharp", CSHARP))]
 
 
 def language_hints(files: DataFrame, paths: DataFrame, units: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def language_hints(files: DataFrame, paths: DataFrame, units: DataFrame) -> Data
     suffix = F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1))
     x = units.select("unit_id", some([F.when(_says(F.col("name"), p), F.lit(n)) for n, p in NAMES]))
     x = x.unionByName(paths.select("unit_id", some([F.when(suffix.isin(*s), F.lit(n)) for n, s in SUFFIXES])))
-    x = x.unionByName(files.where("kind = 'readme'").select("unit_id", some(_spoken(F.substring("text", 1, HEAD)))))
+    heads = once(once(files.where("kind = 'readme'").select("unit_id", "text"), head=F.substring("text", 1, HEAD)), low=folded(F.col("head")))
+    x = x.unionByName(heads.select("unit_id", some(_spoken(F.col("head"), F.col("low")))))
     return x.groupBy("unit_id").agg(F.collect_set("language").alias("languages"))
 
 
@@ -58,11 +59,14 @@ def is_instruction(path: Column, kind: Column) -> Column:
 def line_signals(lines: DataFrame, hints: DataFrame) -> DataFrame:
     """Signals of single lines: unit_id, relative_path, line_no, issue_type, severity, criterion, quote, strong; each (line, type, quote) once."""
     text = strip(F.col("line"))
-    x = lines.where(is_instruction(F.col("relative_path"), F.col("kind"))).withColumn("text", text).where("text <> ''").join(hints, "unit_id", "left")
-    spoken = F.filter(F.array(*_spoken(F.col("text"))), lambda h: h.isNotNull())
+    x = once(lines.where(is_instruction(F.col("relative_path"), F.col("kind"))), low=folded(F.col("line")))
+    # languages make no signal of a line alone
+    x = x.where(may_match(F.col("low"), CPP_STYLE, ASP_NET, MAKEFILE, C_STANDARD, REVIEW, NO_GOTO))
+    x = once(x, text=text).where("text <> ''").join(hints, "unit_id", "left")
+    spoken = F.filter(F.array(*_spoken(F.col("text"), F.col("low"))), lambda h: h.isNotNull())
     x = x.withColumn("all", F.array_union(F.coalesce("languages", F.array().cast("array<string>")), spoken))
     has = lambda n: F.array_contains("all", n)
-    says = lambda p: _says(F.col("text"), p)
+    says = lambda p: may_match(F.col("low"), p) & _says(F.col("text"), p)
     rules = (
         (says(CPP_STYLE) & has("java"), "language_material_conflict", "major", "correctness", True),
         (says(CPP_STYLE) & has("c") & ~has("cpp"), "language_material_conflict", "minor", "correctness", True),
