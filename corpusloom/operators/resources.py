@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_matches, pattern, strip
+from ..functions.text import all_matches, folded, may_match, once, pattern, strip
 from .findings import findings
 from .lines import first_in
 
@@ -96,8 +96,8 @@ def is_output(line: Column, ref: Column) -> Column:
 
 def missing_resources(lines: DataFrame, paths: DataFrame) -> DataFrame:
     """Findings for named inputs that the unit doesn't have, by path or by name, and that no line gives from outside."""
-    text = strip(F.col("line"))
-    x = lines.withColumn("text", text).withColumn("ref", F.explode(file_refs(text)))
+    x = once(lines, low=folded(F.col("line"))).where(may_match(F.col("low"), FILE_REF)).drop("low")
+    x = once(x, text=strip(F.col("line"))).withColumn("ref", F.explode(file_refs(F.col("text"))))
     linked = F.col("text").rlike("(?i)" + URL)
     readme = (F.col("kind") == "readme") | F.lower(_base(F.col("relative_path"))).startswith("readme")
     x = x.withColumn("key", _key(F.col("ref"))).withColumn("base", _base(F.col("key")))
