@@ -70,6 +70,20 @@ def similar(sketches: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarra
     return ok
 
 
+def branched(rows: DataFrame) -> DataFrame:
+    """rows (cid, sig, node, path) -> (cid, node, path) of their children: BRANCHES different places of each node, none of its path.
+
+    path has a bit for each place that led to a node. A place of the path would move the whole node to one child, and
+    the same place twice would give that child every class twice.
+    """
+    free = F.filter(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda p: F.getbit("path", p) == 0)
+    order = F.array_sort(F.transform(free, lambda p: F.struct(F.xxhash64("node", p).alias("h"), p.alias("p"))))
+    chosen = rows.select("node", "path").distinct().select("node", F.slice(order, 1, BRANCHES)["p"].alias("chosen"))
+    token = lambda p: F.substring(F.col("sig"), 4 * p + 1, F.lit(4))
+    child = lambda p: F.struct(F.xxhash64("node", p, token(p)).alias("node"), F.col("path").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p)).alias("path"))
+    return rows.join(chosen, "node").select("cid", F.explode(F.transform("chosen", child)).alias("x")).select("cid", "x.*")
+
+
 def small_node_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """rows (node, cid, n_shingles, sketch) -> candidate pairs (a, b, alike) of nodes with at most SMALL members."""
 
@@ -218,8 +232,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     threshold = percent / 100
     # a set of n shingles is linked to one of n + 1 at most if n / (n + 1) reaches the threshold; smaller ones are linked to equal ones only
     least = -(-percent // max(1, 100 - percent))
-    roots = F.array(*(F.xxhash64(F.lit(t), F.lit(p), F.substring("sig", 4 * p + 1, 4)) for t in range(TREES) for p in range(t * BRANCHES, (t + 1) * BRANCHES)))
-    rows = classes.where(F.col("n_shingles") >= least).select("cid", F.explode(roots).alias("node"))
+    roots = F.array(*(F.struct(F.xxhash64(F.lit(t), F.lit(p), F.substring("sig", 4 * p + 1, 4)).alias("node"), F.lit(1 << p).cast("long").alias("path")) for t in range(TREES) for p in range(t * BRANCHES, (t + 1) * BRANCHES)))
+    rows = written(classes.where(F.col("n_shingles") >= least).select("cid", F.explode(roots).alias("x")).select("cid", "x.*"))
     small, stars, groups = [], [], []
     for depth in range(1, DEPTH + 1):
         seen = Observation()
@@ -231,7 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
         big = members.where(F.col("n") > SMALL).join(classes.select("cid", "doc_id"), "cid")
         pivots = big.groupBy("node").agg(F.min_by("cid", F.struct(F.col("doc_id").isNull(), "doc_id", "cid")).alias("pivot"))
         pivots = pivots.join(classes.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        big = written(big.select("cid", "node").join(classes.select("cid", "sig"), "cid").join(pivots, "node").select("node", "cid", "pivot", alike_count("sig", "pivot_sig").alias("alike")))
+        big = written(big.select("cid", "node", "path").join(classes.select("cid", "sig"), "cid").join(pivots, "node").select("node", "path", "cid", "pivot", alike_count("sig", "pivot_sig").alias("alike")))
         alike = F.col("alike") >= PLACES * (threshold - 0.2)
         families = big.groupBy("node").agg((F.avg(alike.cast("int")) >= 0.5).alias("family"))
         big = big.join(families, "node")
@@ -241,8 +255,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
         if depth == DEPTH:
             groups.append(rest.select(F.col("node").alias("grp"), "cid", F.lit(None).cast("long").alias("hub")))
             break
-        chosen = [F.pmod(F.xxhash64(F.lit(b), "node"), F.lit(PLACES)).cast("int") for b in range(BRANCHES)]
-        rows = rest.join(classes.select("cid", "sig"), "cid").select("cid", F.explode(F.array(*(F.xxhash64("node", p, F.substring(F.col("sig"), 4 * p + 1, F.lit(4))) for p in chosen))).alias("node"))
+        rows = written(branched(rest.join(classes.select("cid", "sig"), "cid")))
     pairs = written(union(small).groupBy("a", "b").agg(F.max("alike").alias("alike")))
     star = written(union(stars).groupBy("cid", "pivot").agg(F.max("alike").alias("alike"))) if stars else None
     groups = written(union(groups).distinct()) if groups else None

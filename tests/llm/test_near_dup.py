@@ -145,3 +145,27 @@ def test_words_that_a_polynomial_confuses(spark):
     texts = {1: f"{word} q r s", 2: f"{other} q r s", 3: f"{word} q {other} q"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check(near_dup.near_duplicates(df, words=2, percent=80).collect(), texts, 2, 80)
+
+
+def test_branches_of_a_node_differ(spark, monkeypatch):
+    """No node gets a class twice, and what a level is made of is made once, not for its counts and again for its rows."""
+    rows, plans = [], []
+
+    def watched(df):
+        if {"node", "cid"} <= set(df.columns):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            rows.append(out := written(df))
+            return out
+        return written(df)
+
+    written = near_dup.written
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "written", watched)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = dict(enumerate(" ".join([*(f"f{i % 30}x{j}" for j in range(25)), *rng.choices(vocabulary, k=15)]) for i in range(600)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(near_dup.near_duplicates(df, words=2, percent=80).collect(), texts, 2, 80)
+    assert len(rows) > 6
+    assert all(df.groupBy("node", "cid").count().where("count > 1").isEmpty() for df in rows)
+    assert all(p.count("Generate explode") <= 1 for p in plans)
