@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_for_match, pattern
+from ..functions.text import folded, may_match, normalize_for_match, once, pattern
+from ..materialize import written
 from .evaluate import sequence_ratio
 from .findings import findings
 from .lines import first_in
@@ -151,8 +154,8 @@ def _made(x: DataFrame) -> DataFrame:
 def sections(shown: DataFrame) -> DataFrame:
     """unit_id, number, section: the README's exercises, the first of each number."""
     start = rf"#{{1,6}}\s*{EXERCISE}(\d+)\b"
-    x = shown.select("unit_id", F.posexplode(F.split("readme", rf"(?imuU)(?=^{start})")).alias("at", "section"))
-    x = x.withColumn("number", F.regexp_extract("section", rf"(?iuU)^{start}", 1).try_cast("int")).where("number is not null")
+    x = once(shown, _parts=F.split("readme", rf"(?imuU)(?=^{start})")).select("unit_id", F.posexplode("_parts").alias("at", "section"))
+    x = once(x, number=F.regexp_extract("section", rf"(?iuU)^{start}", 1).try_cast("int")).where("number is not null")
     return first_in(x, ["unit_id", "number"], ["at"]).select("unit_id", "number", "section")
 
 
@@ -160,14 +163,22 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
 
 
+def _with(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def commands(text: Column) -> Column:
     """The known commands that a text names, in order of the alphabet."""
-    low = F.lower(text)
-    hits = []
-    for c in sorted(COMMANDS):
-        short = rf"`\s*{c}(?:\s|`)|\bresult\s+of\s*:\s*{c}\b|\bcommand\s+output\s+from\s+`?\s*{c}\b"
-        hits.append(F.when(low.rlike(short if c in SHORT_COMMANDS else rf"(?U)(?<![\w-]){c}(?![\w-])"), F.lit(c)))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+    def named(low: Column) -> Column:
+        hits = []
+        for c in sorted(COMMANDS):
+            short = rf"`\s*{c}(?:\s|`)|\bresult\s+of\s*:\s*{c}\b|\bcommand\s+output\s+from\s+`?\s*{c}\b"
+            hits.append(F.when(low.contains(c) & low.rlike(short if c in SHORT_COMMANDS else rf"(?U)(?<![\w-]){c}(?![\w-])"), F.lit(c)))
+        return F.array_compact(F.array(*hits))
+
+    return _with(F.lower(text), named)
 
 
 def _clean_ref(ref: Column) -> Column:
@@ -179,10 +190,12 @@ def _clean_ref(ref: Column) -> Column:
 
 def file_refs(text: Column) -> Column:
     """Names of resource files in a text, in order, each once whatever its case."""
-    rule = pattern(FILE_REF, True)
-    refs = F.zip_with(F.regexp_extract_all(text, F.lit(rule), F.lit(1)), F.regexp_extract_all(text, F.lit(rule), F.lit(2)), lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b))
-    refs = F.filter(F.transform(F.concat(refs, F.regexp_extract_all(text, F.lit(pattern(LOOSE_DOCUMENT, True)), F.lit(1))), _clean_ref), lambda r: r != "")
-    return F.filter(refs, lambda r, i: ~F.exists(F.slice(refs, F.lit(1), i), lambda q: F.lower(q) == F.lower(r)))
+    found = F.regexp_extract_all(text, F.lit(pattern(FILE_REF, True)), F.lit(0))
+    loose = F.regexp_extract_all(text, F.lit(pattern(LOOSE_DOCUMENT, True)), F.lit(1))
+    bare = F.transform(found, lambda r: F.when(r.startswith("`"), F.substring(r, F.lit(2), F.char_length(r) - 2)).otherwise(r))
+    refs = F.filter(F.transform(F.concat(bare, loose), _clean_ref), lambda r: r != "")
+    refs = _with(F.transform(refs, lambda r: F.struct(r.alias("ref"), F.lower(r).alias("low"))), lambda rs: F.filter(rs, lambda r, i: F.array_position(rs["low"], r["low"]) == i + 1))
+    return F.when(_with(folded(text), lambda low: may_match(low, FILE_REF, LOOSE_DOCUMENT)), refs["ref"]).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def _extension(name: Column) -> Column:
@@ -200,21 +213,24 @@ def _issue(name: str, evidence: Column) -> Column:
     return F.struct(F.lit(name).alias("issue_type"), evidence.alias("evidence"))
 
 
-def _section_issues(section: Column, text: Column) -> list[Column]:
-    """Arrays of issues that the README's section and a question's text show by themselves."""
-    low, tight = F.lower(section), compact(section)
-    has = lambda *words: F.coalesce(*(F.when(low.contains(w), True) for w in words), F.lit(False))
+def _section_issues(x: DataFrame) -> DataFrame:
+    """x with own: issues that the README's section and a question's description show by themselves; null without a section."""
+    text = F.when(F.col("section").isNotNull(), F.col("description"))
+    bare = F.regexp_replace(F.when(may_match(F.col("_asked"), FILE_REF), F.regexp_replace(text, pattern(FILE_REF, True), " ")).otherwise(text), r"<[^>\n]+>", " ")
     quoted = F.transform(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), lambda v: F.trim(v))
+    x = once(x, _low=F.lower("section"), _asked=folded(text))
+    x = once(x, _tight=compact(F.col("section")), _quoted=quoted, _bare=bare)
+    low, tight, quoted, bare = (F.col(c) for c in ("_low", "_tight", "_quoted", "_bare"))
+    has = lambda *words: F.coalesce(*(F.when(low.contains(w), True) for w in words), F.lit(False))
     none = F.array().cast("array<struct<issue_type:string,evidence:string>>")
     pairs = (low.contains("person_name1") & low.contains("person_name2")) | has("pairs of", "пары", "парами")
     order = F.filter(F.regexp_extract_all(text, F.lit(pattern(SELF_JOIN, True)), F.lit(0)), lambda p: ~tight.contains(compact(p)))
-    pizzas = low.rlike(r"(?U)\bназвания\s+пицц(?:ы)?\b")
+    pizzas = low.contains("названия") & low.rlike(r"(?U)\bназвания\s+пицц(?:ы)?\b")
     pizzerias = has("names of pizzerias", "name of pizzerias", "названия пиццерий", "название пиццерий") & ~(has("pizza_name", "names of pizzas") | pizzas)
     counts = F.filter(F.transform(F.array_distinct(quoted), lambda v: F.struct((-F.size(F.filter(quoted, lambda q: q == v))).alias("n"), v.alias("v"))), lambda c: c["n"] <= -3)
-    top = F.array_min(counts)
+    repeated = _with(F.array_min(counts), lambda top: F.when(top.isNotNull(), F.array(_issue("suspicious_duplicate_name_result", F.concat(top["v"], F.lit(" × "), (-top["n"]).cast("string"))))).otherwise(none))
     only_pizzas = (has("names of pizzas", "pizza names") | pizzas) & ~has("names of pizzerias", "name of pizzerias", "pizzeria", "пиццер")
     named = F.array_sort(F.array_distinct(F.filter(F.transform(quoted, F.lower), lambda v: v.isin(*PIZZERIAS))))
-    bare = F.regexp_replace(F.regexp_replace(text, pattern(FILE_REF, True), " "), r"<[^>\n]+>", " ")
 
     def described(p: Column) -> Column:
         left, right = (F.regexp_extract(F.lower(p), pattern(SAME_FIELD), k) for k in (1, 2))
@@ -223,18 +239,19 @@ def _section_issues(section: Column, text: Column) -> list[Column]:
 
     open_conditions = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(pattern(SQL_CONDITION, True)), F.lit(0)), lambda p: F.trim(p)), lambda p: ~p.rlike(pattern(SELF_JOIN, True)) & ~described(p) & ~tight.contains(compact(p)))
     each = lambda name, values: F.transform(values, lambda v: _issue(name, v))
-    return [
+    own = F.concat(
         F.when(pairs, each("ungrounded_self_join_order", order)).otherwise(none),
-        F.when(pizzerias & (F.size(counts) > 0), F.array(_issue("suspicious_duplicate_name_result", F.concat(top["v"], F.lit(" × "), (-top["n"]).cast("string"))))).otherwise(none),
-        F.when(bare.rlike(pattern(SQL_WORDS, True)), each("ungrounded_sql_condition", F.slice(open_conditions, 1, 3))).otherwise(none),
-        F.when(only_pizzas & (F.size(named) > 0), F.array(_issue("expected_output_semantic_mismatch", F.array_join(named, ", ")))).otherwise(none),
-    ]
+        F.when(pizzerias, repeated).otherwise(none),
+        F.when(may_match(F.col("_asked"), SQL_WORDS) & bare.rlike(pattern(SQL_WORDS, True)), each("ungrounded_sql_condition", F.slice(open_conditions, 1, 3))).otherwise(none),
+        F.when(only_pizzas, _with(named, lambda n: F.when(F.size(n) > 0, F.array(_issue("expected_output_semantic_mismatch", F.array_join(n, ", ")))).otherwise(none))).otherwise(none),
+    )
+    return once(x, own=F.when(F.col("section").isNotNull(), own)).drop("_low", "_asked", "_tight", "_quoted", "_bare")
 
 
 def _resource_issues(asked: DataFrame, shown: DataFrame, paths: DataFrame) -> DataFrame:
     """Files that a question names and neither the README nor the unit has: a similar name of the same kind, or a missing resource."""
-    x = asked.withColumn("expected", F.explode(file_refs(F.concat_ws(" ", "name", "description"))))
-    known = shown.select("unit_id", F.lit(0).alias("origin"), F.posexplode(file_refs(F.col("readme"))).alias("at", "known"))
+    x = once(asked, _refs=file_refs(F.concat_ws(" ", "name", "description"))).withColumn("expected", F.explode("_refs")).drop("_refs")
+    known = once(shown, _refs=file_refs(F.col("readme"))).select("unit_id", F.lit(0).alias("origin"), F.posexplode("_refs").alias("at", "known"))
     known = known.unionByName(paths.select("unit_id", F.lit(1).alias("origin"), F.lit(0).alias("at"), _clean_ref(F.col("relative_path")).alias("known")))
     known = known.withColumn("low", F.lower("known")).withColumn("ext", _extension(F.col("known"))).withColumn("key", _ref_key(F.col("known")))
     x = x.withColumn("low", F.lower("expected")).withColumn("ext", _extension(F.col("expected"))).withColumn("own_key", _ref_key(F.col("expected")))
@@ -251,30 +268,41 @@ def _resource_issues(asked: DataFrame, shown: DataFrame, paths: DataFrame) -> Da
 
 
 def _shows_output(text: Column, command: str) -> Column:
-    """Whether words that look like output follow a command before the next one."""
+    """Whether words that look like output follow a command in a text in lower case before the next command."""
     ends = rf"(?<![\w-])(?:{'|'.join(COMMANDS)})(?![\w-])"
-    tails = F.regexp_extract_all(F.lower(text), F.lit(rf"(?sU)(?<![\w-]){command}(?![\w-])(?=(.{{0,160}}))"), F.lit(1))
+    tails = F.regexp_extract_all(text, F.lit(rf"(?sU)(?<![\w-]){command}(?![\w-])(?=(.{{0,160}}))"), F.lit(1))
 
     def says(tail: Column) -> Column:
         part = F.regexp_replace(F.regexp_extract(tail, rf"(?sU)^(.*?)(?:{ends}|$)", 1), r"\b(result of|command output|output from)\b\s*:?", " ")
         words = F.regexp_extract_all(part, F.lit("[a-zа-яё0-9_./-]+"), F.lit(0))
         return F.exists(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(*OUTPUT_NOISE))
 
-    return F.exists(tails, says)
+    return text.contains(command) & F.exists(tails, says)
+
+
+def _artifact_kinds(description: Column, context: Column) -> Column:
+    """Extensions of the artifacts that a question speaks of without a name; null if it speaks of none."""
+    capture, log, dump = r"(?U)\b(pcap|pcapng|capture)\b|(\bзахват\w*\b)", r"(?U)\b(log|trace)\b", r"(?U)\b(dump)\b|(\bдамп\w*\b)"
+
+    def kinds(low: Column) -> Column:
+        says = lambda p: may_match(low, p) & low.rlike(p)
+        return F.when(says(capture), F.array(F.lit("pcap"), F.lit("pcapng"))).when(says(log), F.array(F.lit("log"), F.lit("txt"))).when(says(dump), F.array(*map(F.lit, CONTENT_EXTENSIONS)))
+
+    return _with(F.lower(F.concat_ws("\n", description, context)), kinds)
 
 
 def _artifact_issues(asked: DataFrame, paths: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Markers that a question expects inside an artifact whose text doesn't hold them. artifacts: unit_id, ref, text (lower case)."""
-    x = asked.where(F.col("description").rlike(pattern(CONTENT, True)))
+    """Markers that a question expects inside an artifact whose text doesn't hold them.
+
+    asked: questions with their number, the commands that they name, content (whether they speak of content) and kinds; artifacts: unit_id, ref, text (lower case).
+    """
+    x = asked.where("content")
     quoted = F.filter(F.transform(F.regexp_extract_all("description", F.lit(QUOTED), F.lit(1)), lambda v: F.trim(v)), lambda v: F.char_length(v).between(2, 80))
-    named = commands(F.col("description"))
-    first = F.filter(F.array(*map(F.lit, COMMANDS)), lambda c: F.array_contains(named, c))
-    x = x.withColumn("markers", F.concat(first, F.array_distinct(F.filter(quoted, lambda v: ~F.array_contains(first, F.lower(v)))))).where("size(markers) > 0")
-    low = F.lower(F.concat_ws("\n", "description", "context"))
-    kinds = F.when(low.rlike(r"(?U)\b(pcap|pcapng|capture)\b|(\bзахват\w*\b)"), F.array(F.lit("pcap"), F.lit("pcapng"))).when(low.rlike(r"(?U)\b(log|trace)\b"), F.array(F.lit("log"), F.lit("txt"))).when(low.rlike(r"(?U)\b(dump)\b|(\bдамп\w*\b)"), F.array(*map(F.lit, CONTENT_EXTENSIONS)))
-    explicit = F.filter(file_refs(F.col("description")), lambda r: _extension(r).isin(*CONTENT_EXTENSIONS))
-    keys = ["unit_id", "relative_path", "q_index", "name", "number", "description", "markers"]
-    x = x.withColumn("explicit", explicit).withColumn("kinds", kinds)
+    x = once(x, _first=F.filter(F.array(*map(F.lit, COMMANDS)), lambda c: F.array_contains("named", c)), _quoted=quoted)
+    x = once(x, markers=F.concat("_first", F.array_distinct(F.filter("_quoted", lambda v: ~F.array_contains("_first", F.lower(v)))))).where("size(markers) > 0")
+    hinted = lambda low: reduce(Column.__or__, (low.contains(h) for h in OUTPUT_HINTS), low.contains("след") & low.contains("команд"))
+    x = once(x, explicit=F.filter(file_refs(F.col("description")), lambda r: _extension(r).isin(*CONTENT_EXTENSIONS)), expects=_with(F.lower("description"), hinted))
+    keys = ["unit_id", "relative_path", "q_index", "name", "number", "description", "markers", "expects"]
     said = x.where("size(explicit) > 0").select(*keys, F.posexplode("explicit").alias("at", "ref"))
     own = paths.select("unit_id", F.col("relative_path").alias("ref"), _extension(F.col("relative_path")).alias("ext"))
     meant = x.where("size(explicit) = 0 and kinds is not null").select(*keys, F.explode("kinds").alias("ext")).join(own, ["unit_id", "ext"]).select(*keys, F.lit(0).alias("at"), "ref")
@@ -284,18 +312,15 @@ def _artifact_issues(asked: DataFrame, paths: DataFrame, artifacts: DataFrame) -
     whole = W.partitionBy("unit_id", "relative_path", "q_index")
     x = x.withColumn("mine", F.coalesce(F.rlike(F.col("ref"), rule), F.lit(False))).withColumn("any", F.max("mine").over(whole)).where("mine or not any")
     x = x.join(artifacts.select("unit_id", F.col("ref").alias("low"), "text"), (artifacts["unit_id"] == x["unit_id"]) & (F.col("low") == F.lower("ref"))).drop(artifacts["unit_id"])
-    x = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "ref", "text"))).alias("texts"))
-    low = F.lower("description")
-    expects = (low.contains("след") & low.contains("команд"))
-    for hint in OUTPUT_HINTS:
-        expects = expects | low.contains(hint)
-    x = x.withColumn("expects", expects)
-    shown = F.array(*(F.when(F.exists("texts", lambda t: _shows_output(t["text"], c)), F.lit(c)) for c in COMMANDS))  # noqa: B023
-    x = x.withColumn("shown", F.filter(shown, lambda c: c.isNotNull()))
     is_command = lambda m: F.col("expects") & F.lower(m).isin(*COMMANDS)
-    missing = F.filter("markers", lambda m: F.when(is_command(m), ~F.array_contains(F.col("shown"), F.lower(m))).otherwise(~F.exists("texts", lambda t: t["text"].contains(F.lower(m)))))
-    x = x.withColumn("missing", F.array_distinct(F.transform(missing, lambda m: F.when(is_command(m), F.concat(F.lit("вывод "), m)).otherwise(m)))).where("size(missing) > 0")
-    refs = F.array_distinct(F.transform("texts", lambda t: t["ref"]))
+    shown = _with(F.lower("text"), lambda low: F.array_compact(F.array(*(F.when(_shows_output(low, c), F.lit(c)) for c in COMMANDS))))
+    x = once(x, _shown=F.when(F.exists("markers", is_command), shown))
+    # texts end here: a question's group holds only which of its markers they have
+    held = F.filter("markers", lambda m: F.when(is_command(m), F.array_contains("_shown", F.lower(m))).otherwise(F.coalesce(F.col("text").contains(F.lower(m)), F.lit(True))))
+    x = x.select(*keys, "at", "ref", held.alias("held")).groupBy(*keys).agg(F.flatten(F.collect_set("held")).alias("held"), F.array_sort(F.collect_set(F.struct("at", "ref"))).alias("refs"))
+    missing = F.filter("markers", lambda m: ~F.array_contains("held", m))
+    x = once(x, missing=F.array_distinct(F.transform(missing, lambda m: F.when(is_command(m), F.concat(F.lit("вывод "), m)).otherwise(m)))).where("size(missing) > 0")
+    refs = F.array_distinct(F.col("refs")["ref"])
     evidence = F.concat(F.array_join(F.slice("missing", 1, 5), ", "), F.lit(" не найден в "), F.array_join(F.slice(refs, 1, 3), ", "))
     return x.select("unit_id", "relative_path", "q_index", "name", F.lit("artifact_missing_expected_text").alias("issue_type"), evidence.alias("evidence"))
 
@@ -306,14 +331,20 @@ def grounding(asked: DataFrame, shown: DataFrame, paths: DataFrame, artifacts: D
     Each (name, issue type, evidence) of a check-list once, at its first question.
     """
     number = F.regexp_extract("name", rf"(?iuU){EXERCISE}(\d+)", 1).try_cast("int")
-    x = asked.where("problem is null").withColumn("description", F.coalesce("description", F.lit(""))).withColumn("number", number)
+    x = once(asked.where("problem is null").withColumn("description", F.coalesce("description", F.lit(""))), number=number)
     x = x.join(sections(shown), ["unit_id", "number"], "left").join(shown, "unit_id", "left").withColumn("context", F.coalesce("section", "readme", F.lit("")))
     keys = ["unit_id", "relative_path", "q_index", "name"]
-    own = F.filter(F.concat(*_section_issues(F.coalesce("section", F.lit("")), F.col("description"))), lambda i: F.col("section").isNotNull())
-    parts = [x.select(*keys, F.explode(own).alias("i")).select(*keys, "i.*"), _resource_issues(x.select(*keys, "description"), shown, paths)]
-    missing = x.select(*keys, F.explode(F.array_except(commands(F.col("description")), commands(F.col("context")))).alias("evidence")).withColumn("issue_type", F.lit("ungrounded_command"))
+    x = once(_section_issues(x), named=commands(F.col("description")))
+    x = x.withColumn("lacking", F.when(F.size("named") > 0, F.array_except("named", commands(F.col("context")))))
+    if artifacts is not None:
+        x = once(x, content=_with(folded(F.col("description")), lambda low: may_match(low, CONTENT)) & F.col("description").rlike(pattern(CONTENT, True)))
+        x = x.withColumn("kinds", F.when(F.col("content"), _artifact_kinds(F.col("description"), F.col("context"))))
+    # the texts of READMEs are read in one pass; what follows needs only what was found in them
+    x = written(x.drop("section", "readme", "context"))
+    parts = [x.select(*keys, F.explode("own").alias("i")).select(*keys, "i.*"), _resource_issues(x.select(*keys, "description"), shown, paths)]
+    missing = x.select(*keys, F.explode("lacking").alias("evidence")).withColumn("issue_type", F.lit("ungrounded_command"))
     if artifacts is not None:
-        inside = _artifact_issues(x, paths, artifacts)
+        inside = written(_artifact_issues(x, paths, artifacts))
         said = inside.select("unit_id", "relative_path", "q_index", F.lower("evidence").alias("said"))
         missing = missing.join(said, ["unit_id", "relative_path", "q_index"], "left").where("said is null or not contains(said, evidence)").drop("said")
         parts.append(inside)
