@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
+from .materialize import scratch
 from .operators import checklists, consistency, context, curriculum, dependencies, links, markdown, readability, resources, rights, similarity
 from .operators.entities import entities
 from .operators.findings import calibrated, postprocessed, reported, union_findings
@@ -130,7 +131,17 @@ DETECTORS: tuple[Detector, ...] = (
 )
 
 
+def _written(parts: Iterable[DataFrame]) -> DataFrame:
+    """All rows of all parts. A job writes each part, as one plan of all of them takes longer to make than to run; parts with the same columns go to one table."""
+    tables: dict[tuple, tuple[str, DataFrame]] = {}
+    for part in parts:
+        path, _ = tables.setdefault(tuple(part.dtypes), (scratch(part.sparkSession), part))
+        part.write.mode("append").parquet(path)
+    return union_findings([x.sparkSession.read.schema(x.schema).parquet(path) for path, x in tables.values()])
+
+
 def audit(corpus: Corpus, detectors: Iterable[Detector] = DETECTORS) -> tuple[DataFrame, DataFrame]:
     """(findings to report, findings that left and why) of all detectors whose lookups are there."""
-    kept, dropped = postprocessed(calibrated(union_findings([d.detect(corpus) for d in detectors if all(n in corpus.lookups for n in d.needs)])))
+    found = _written(d.detect(corpus) for d in detectors if all(n in corpus.lookups for n in d.needs))
+    kept, dropped = postprocessed(calibrated(found))
     return reported(kept), dropped
